@@ -90,7 +90,7 @@ def fit_churn(
         .withColumn("prediction", F.col("prediction").cast("int"))
         .drop("_raw", "_features", "rawPrediction", "probability")
     )
-    return ChurnModel(pipeline, features, scored)
+    return ChurnModel(pipeline, features, stage(scored, "churn"))
 
 
 def classification_report(predictions: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:

@@ -1,7 +1,9 @@
 """K-means on standardised customer features, cluster profiles and names."""
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +15,9 @@ from tillroll.operators.rollups import as_metrics
 from tillroll.schema import CUSTOMER_CLUSTERS
 from tillroll.staging import stage
 
+# An iteration is a short job on customers, so a few fits share the executors.
+_PARALLEL_FITS = 4
+
 FEATURES = ["Recency", "Frequency", "MonetaryValue", "AvgOrderValue", "TotalQuantity", "CustomerLifespan"]
 
 # Cluster names and the marketing advice for each.
@@ -53,12 +58,15 @@ def _vectors(features: DataFrame) -> DataFrame:
 
 
 def _best_fit(vectors: DataFrame, k: int, restarts: int, seed: int):
-    """The fit of least training cost over several seeds."""
-    fits = [
-        KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="Cluster").fit(vectors)
-        for i in range(restarts)
-    ]
-    return min(fits, key=lambda fit: fit.summary.trainingCost)
+    """The fit of least training cost over several seeds, some of them at the same time."""
+
+    def fit(number):
+        model = KMeans(k=k, seed=seed + number, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="Cluster")
+        return model.fit(vectors)
+
+    with ThreadPool(min(restarts, _PARALLEL_FITS)) as pool:
+        fits = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
+    return min(fits, key=lambda found: found.summary.trainingCost)
 
 
 def _silhouette(assigned: DataFrame) -> float:

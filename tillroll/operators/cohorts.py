@@ -18,17 +18,17 @@ def _month_of(index: Column) -> Column:
 def activity_months(tx: DataFrame) -> DataFrame:
     """One row per registered customer and month with a purchase, next to the cohort.
 
-    The months of a customer are collected as a set of month numbers, at most one per
-    calendar month of the data, which tasks combine before the only shuffle.  The first
-    month is the set's minimum, so no join back to the transactions is needed.
+    Tasks reduce the transactions to distinct customers and months before the shuffle.  The
+    first month is then the minimum over a customer's few months, so neither the window nor
+    a join back sees the transactions.
     """
     months = (
         tx.filter(F.col("CustomerID") != GUEST)
-        .groupBy("CustomerID")
-        .agg(F.collect_set(dates.month_index("InvoiceDate")).alias("months"))
-        .withColumn("first", F.array_min("months"))
+        .select("CustomerID", dates.month_index("InvoiceDate").alias("month"))
+        .distinct()
+        .withColumn("first", F.min("month").over(Window.partitionBy("CustomerID")))
     )
-    return months.select("CustomerID", "first", F.explode("months").alias("month")).select(
+    return months.select(
         "CustomerID",
         _month_of(F.col("first")).alias("CohortMonth"),
         _month_of(F.col("month")).alias("PurchaseMonth"),

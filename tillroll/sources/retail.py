@@ -12,7 +12,8 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sold line, in the layout of `schema.RAW`.
 
     The order side is joined before the lines, so the widest table moves once per key,
-    and repeated rows come from a row generator instead of a second join.
+    and repeated rows come from a row generator instead of a second join.  Lines and orders
+    both grow with the data, so they are always merged and never broadcast.
     """
 
     def table(name):
@@ -32,7 +33,7 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     returned = "l_returnflag = 'R' AND l_linestatus = 'F'"
     return (
         table("lineitem")
-        .join(orders, F.expr("l_orderkey = o_orderkey"))
+        .join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey"))
         .join(table("part").select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey"))
         .selectExpr(
             f"concat(CASE WHEN {returned} THEN 'C' ELSE '' END, CAST(o_orderkey AS STRING)) AS InvoiceNo",
