@@ -133,3 +133,31 @@ def test_planted_spikes_are_flagged(spark):
 def test_expected_path_length():
     assert anomalies._expected_path([1, 2]).tolist() == [0.0, 1.0]
     assert float(anomalies._expected_path(256)) == pytest.approx(10.24, abs=0.02)
+
+
+def silhouette_by_pairs(frame, power):
+    names = [f"scaled_{c}" for c in clusters.FEATURES]
+    points, labels = frame[names].to_numpy(), frame["Cluster"].to_numpy()
+    distances = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)) ** power
+    widths = []
+    for i, label in enumerate(labels):
+        own = labels == label
+        if own.sum() == 1:
+            widths.append(0.0)
+            continue
+        inside = distances[i][own].sum() / (own.sum() - 1)
+        outside = min(distances[i][labels == other].mean() for other in set(labels) - {label})
+        widths.append((outside - inside) / max(inside, outside))
+    return np.mean(widths)
+
+
+def test_silhouettes_equal_all_pairs(spark):
+    random = np.random.default_rng(11)
+    rows = [(f"c{i}", *map(float, random.normal(size=6)), int(i % 3)) for i in range(60)] + [("alone", *[9.0] * 6, 3)]
+    names = ", ".join(f"{c} double" for c in clusters.FEATURES)
+    df = spark.createDataFrame(rows, f"CustomerID string, {names}, Cluster int")
+    scaled = clusters.standardise(df).toPandas()
+    plain = clusters.euclidean_silhouette(df).first()["number"]
+    assert plain == pytest.approx(silhouette_by_pairs(scaled, 1))
+    assert clusters.silhouette(df).first()["number"] == pytest.approx(silhouette_by_pairs(scaled, 2))
+    assert clusters.euclidean_silhouette(df, per_cluster=15).first()["number"] == pytest.approx(plain, abs=0.1)

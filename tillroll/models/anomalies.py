@@ -78,9 +78,13 @@ def _grow(tree: int, rows: np.ndarray, height: int, seed: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> dict:
+def distinct_tuples(rows: DataFrame) -> DataFrame:
+    """Distinct feature tuples with their number of rows, staged."""
+    return stage(rows.groupBy(*FEATURES).agg(F.count("*").alias("copies")), "tuples")
+
+
+def fit_forest(rows: DataFrame, total: int, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> dict:
     """Arrays of all tree nodes: at most `trees * 2 * sample` of them reach the driver."""
-    total = rows.count()
     per_tree = max(1, min(sample, total // trees or 1))
     chosen = _sample(rows, total, trees * per_tree, seed)
     height = int(np.ceil(np.log2(max(per_tree, 2))))
@@ -128,10 +132,9 @@ def _path_lengths(forest: dict, rows: np.ndarray) -> np.ndarray:
     return total / len(forest["feature"])
 
 
-def score_tuples(rows: DataFrame, forest: dict) -> DataFrame:
-    """Distinct feature tuples with their number of rows and their score in (0, 1)."""
-    tuples = rows.groupBy(*FEATURES).agg(F.count("*").alias("copies"))
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+def score_tuples(tuples: DataFrame, forest: dict) -> DataFrame:
+    """Add the score in (0, 1) of every tuple."""
+    shared = tuples.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -162,7 +165,9 @@ def detect_anomalies(
 
 
 def _scored(rows, contamination, trees, sample, seed):
-    scored = score_tuples(rows, fit_forest(rows, trees, sample, seed))
+    tuples = distinct_tuples(rows)
+    total = tuples.agg(F.sum("copies")).first()[0] or 0
+    scored = score_tuples(tuples, fit_forest(rows, total, trees, sample, seed))
     per_score = scored.groupBy("score").agg(F.sum("copies").alias("copies"))
     (cutoff,) = exact_quantiles(per_score, "score", [1 - contamination], "copies")
     return scored, F.lit(cutoff).cast("double")

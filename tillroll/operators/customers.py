@@ -64,14 +64,11 @@ def rfm_scores(sales: DataFrame, reference_date=None, buckets: int = 5) -> DataF
         reference = _newest(everyone) + F.expr("INTERVAL 1 DAY")
     else:
         reference = F.lit(reference_date).cast("timestamp_ntz")
-    members = stage(
-        registered(everyone).select(
-            "CustomerID",
-            dates.elapsed_days(reference, F.col("LastPurchase")).alias("Recency"),
-            "Frequency",
-            F.col("MonetaryValue").alias("Monetary"),
-        ),
-        "rfm",
+    members = registered(everyone).select(
+        "CustomerID",
+        dates.elapsed_days(reference, F.col("LastPurchase")).alias("Recency"),
+        "Frequency",
+        F.col("MonetaryValue").alias("Monetary"),
     )
     cuts = inner_fractions(buckets)
     recency_bin = quantile_score(F.col("Recency"), exact_quantiles(members, "Recency", cuts))

@@ -51,9 +51,9 @@ def top_products(tx: DataFrame, n: int = 15) -> DataFrame:
 
 
 def customer_segments(tx: DataFrame, buckets: int = 5) -> DataFrame:
-    """Recency, frequency and money tiles of registered customers, rolled up to segments.
+    """Recency and frequency tiles of registered customers, rolled up to segments.
 
-    Days since the last purchase are calendar days up to the last sale of any customer.
+    Money is reported but does not decide the segment, so it is not tiled.  Days since the last purchase are calendar days up to the last sale of any customer.
     Equal values are tiled by CustomerID.
     """
     everyone = customer_table(tx)
@@ -68,7 +68,6 @@ def customer_segments(tx: DataFrame, buckets: int = 5) -> DataFrame:
         {
             "R": ntile(members, [("Recency", False), "CustomerID"], buckets),
             "F": ntile(members, ["Frequency", "CustomerID"], buckets),
-            "M": ntile(members, ["MonetaryValue", "CustomerID"], buckets),
         }
     )
     recent, frequent = F.col("R"), F.col("F")

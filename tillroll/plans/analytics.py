@@ -136,25 +136,27 @@ def _(f):
     return customers.top_lifetime_values(customers.lifetime_value(f.sales))
 
 
-@query(
-    "v4_frequency_histogram",
-    with_tables(
-        f"""SELECT bin, {rounded('low + (bin - 1) * (high - low) / 30.0')} AS lower,
-              {rounded('low + bin * (high - low) / 30.0')} AS upper, count(Frequency) AS rows
-            FROM range(1, 31) AS r(bin) CROSS JOIN extent
+def _histogram_sql(column, bins, source, **extra):
+    return with_tables(
+        f"""SELECT bin, {rounded(f'low + (bin - 1) * (high - low) / {bins}.0')} AS lower,
+              {rounded(f'low + bin * (high - low) / {bins}.0')} AS upper, count({column}) AS rows
+            FROM range(1, {bins + 1}) AS r(bin) CROSS JOIN extent
             LEFT JOIN placed USING (bin) GROUP BY bin, low, high""",
-        orders=f"SELECT Frequency FROM ({sql.customers('sales')}) WHERE CustomerID != 'Guest'",
-        extent="SELECT min(Frequency) AS low, max(Frequency) AS high FROM orders",
-        placed="""SELECT Frequency, least(1 + CAST(floor((Frequency - low) * 30 / (high - low)) AS BIGINT), 30) AS bin
-                  FROM orders, extent""",
-    ),
-)
+        **extra,
+        extent=f"SELECT min({column}) AS low, max({column}) AS high FROM {source}",
+        placed=f"""SELECT {column},
+                     least(1 + CAST(floor(({column} - low) * {bins} / (high - low)) AS BIGINT), {bins}) AS bin
+                   FROM {source}, extent""",
+    )
+
+
+@query("v4_frequency_histogram", _histogram_sql("PurchaseCount", 30, "lives", **_CLV))
 def _(f):
     members = customers.customer_aggregate(customers.registered(f.sales))
     return customers.histogram(members, "Frequency", 30)
 
 
-@query("v4_value_histogram")
+@query("v4_value_histogram", _histogram_sql("CLV", 50, "clv", **_CLV))
 def _(f):
     return customers.histogram(customers.lifetime_value(f.sales), "CLV", 50)
 
@@ -540,11 +542,37 @@ def _(f):
     return clusters.cluster_customers(customers.cluster_features(f.tx))
 
 
-@query("k5_silhouette")
+def _silhouette_sql(name, distance):
+    """All pairs of customers, which is what the score is defined on."""
+    scaled = ", ".join(
+        f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(clusters.FEATURES)
+    )
+    squares = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(len(clusters.FEATURES)))
+    return with_tables(
+        f"""SELECT '{name}' AS metric, {rounded('avg(width)')} AS number, CAST(NULL AS VARCHAR) AS label FROM (
+              SELECT CustomerID, min(mean) FILTER (Cluster != other) AS outside,
+                any_value(mean) FILTER (Cluster = other) AS inside,
+                coalesce((outside - inside) / greatest(outside, inside), 0) AS width
+              FROM distances GROUP BY CustomerID)""",
+        **_CLUSTERS,
+        points=f"SELECT CustomerID, Cluster, {scaled} FROM tiers",
+        distances=f"""SELECT a.CustomerID, a.Cluster, b.Cluster AS other,
+                        sum({distance.format(squares)}) / nullif(count(*) - CAST(a.Cluster = b.Cluster AS INT), 0)
+                          AS mean
+                      FROM points a, points b GROUP BY a.CustomerID, a.Cluster, b.Cluster""",
+    )
+
+
+@query("k5_silhouette", _silhouette_sql("silhouette_squared_euclidean", "{}"))
 def _(f):
     return clusters.silhouette(_tiers(f))
 
 
+@query("k5_euclidean_silhouette", _silhouette_sql("silhouette_euclidean", "sqrt({})"))
+def _(f):
+    return clusters.euclidean_silhouette(_tiers(f))
+
+
 _PROFILE_SELECT = f"""SELECT *, {half_even('Customers * 100.0 / sum(Customers) OVER ()', 1)} AS Customer_Pct,
   {half_even('Total_Revenue * 100.0 / sum(Total_Revenue) OVER ()', 1)} AS Revenue_Pct,
   CASE Cluster_Name {' '.join(f"WHEN '{name}' THEN '{advice}'" for name, advice in clusters.STRATEGIES.items())} END
