@@ -4,6 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def moment(value) -> Column:
+    """A date, datetime or text as TIMESTAMP_NTZ; a date without a time is its midnight."""
+    return F.to_timestamp_ntz(F.lit(str(value)))
+
+
 def month_start(ts) -> Column:
     """First day of the month, as DATE."""
     return F.trunc(F.to_date(ts), "month")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import rollups
+from tillroll.operators.baskets import best_sellers
 from tillroll.operators.explore import rolling_mean
 
 TRAIN_SHARE = 0.8
@@ -90,17 +91,16 @@ def forecast_totals(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def product_demand(sales: DataFrame, top_n: int = 20, show: int = 5, window: int = DEMAND_WINDOW) -> DataFrame:
     """Mean daily demand, moving mean at the last day and total units of the best sellers.
 
-    Every product is handled by one plan over the daily aggregate; the list of products is
-    broadcast, as `show` bounds it.
+    One plan handles all products.  The list of best sellers, bounded by `show`, is broadcast
+    to the scan, so only their lines are grouped by day.
     """
-    daily = sales.groupBy(F.col("Description").alias("Product"), F.to_date("InvoiceDate").alias("Date")).agg(
-        F.sum("Quantity").alias("units")
-    )
-    totals = daily.groupBy("Product").agg(F.sum("units").alias("Total_Sold"))
-    best = rollups.top(totals.filter("Product IS NOT NULL"), min(top_n, show), "Total_Sold", "Product")
-    observed = daily.join(F.broadcast(best), "Product").withColumn(
-        "smooth", rolling_mean(daily, "units", ["Product"], "Date", window)
+    best = best_sellers(sales, min(top_n, show)).withColumnRenamed("units", "Total_Sold")
+    daily = (
+        sales.join(F.broadcast(best), "Description")
+        .groupBy(F.col("Description").alias("Product"), "Total_Sold", F.to_date("InvoiceDate").alias("Date"))
+        .agg(F.sum("Quantity").alias("units"))
     )
+    observed = daily.withColumn("smooth", rolling_mean(daily, "units", ["Product"], "Date", window))
     return observed.groupBy("Product", "Total_Sold").agg(
         F.avg("units").alias("Avg_Daily_Demand"), F.max_by("smooth", "Date").alias("Forecasted_Demand")
     )

@@ -116,16 +116,11 @@ def best_sellers(sales: DataFrame, n: int = 50) -> DataFrame:
 def best_seller_pairs(sales: DataFrame, top_products: int = 50) -> DataFrame:
     """Invoices shared by each pair of best sellers.
 
-    A basket keeps at most `top_products` items, which bounds its pairs; the list of best
-    sellers is broadcast, as the parameter bounds it too.
+    Only lines of best sellers are shuffled by invoice, and a basket keeps at most
+    `top_products` items, which bounds its pairs.  The parameter bounds the broadcast list too.
     """
-    bought = _bought(sales)
-    sellers = rollups.top(
-        bought.groupBy("Description").agg(F.sum("units").alias("units")), top_products, "units", "Description"
-    )
-    baskets = bought.filter(F.col("units") > 0).join(
-        F.broadcast(sellers.select("Description")), "Description", "left_semi"
-    )
+    sellers = best_sellers(sales, top_products).select("Description")
+    baskets = _bought(sales.join(F.broadcast(sellers), "Description", "left_semi")).filter(F.col("units") > 0)
     a, b = baskets.alias("a"), baskets.alias("b")
     together = (F.col("a.InvoiceNo") == F.col("b.InvoiceNo")) & (F.col("a.Description") < F.col("b.Description"))
     return (

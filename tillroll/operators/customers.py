@@ -63,7 +63,7 @@ def rfm_scores(sales: DataFrame, reference_date=None, buckets: int = 5) -> DataF
     if reference_date is None:
         reference = _newest(everyone) + F.expr("INTERVAL 1 DAY")
     else:
-        reference = F.lit(reference_date).cast("timestamp_ntz")
+        reference = dates.moment(reference_date)
     members = registered(everyone).select(
         "CustomerID",
         dates.elapsed_days(reference, F.col("LastPurchase")).alias("Recency"),

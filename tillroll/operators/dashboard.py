@@ -1,10 +1,9 @@
 """Frames behind the interactive page: filter once, then aggregate."""
 
-from datetime import date, datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.dates import moment
 from tillroll.functions.numbers import half_even, safe_ratio
 from tillroll.functions.text import count_label, money_label
 from tillroll.operators import explore, rollups
@@ -13,10 +12,6 @@ from tillroll.schema import GUEST
 EVERY = "All"
 
 
-def _moment(value: str | date | datetime):
-    return F.to_timestamp_ntz(F.lit(str(value)))
-
-
 def filter_sales(
     sales: DataFrame,
     start=None,
@@ -30,9 +25,9 @@ def filter_sales(
     A date without a time is the midnight that starts it, also as the end of the range.
     """
     if start is not None:
-        sales = sales.filter(F.col("InvoiceDate") >= _moment(start))
+        sales = sales.filter(F.col("InvoiceDate") >= moment(start))
     if end is not None:
-        sales = sales.filter(F.col("InvoiceDate") <= _moment(end))
+        sales = sales.filter(F.col("InvoiceDate") <= moment(end))
     if country != EVERY:
         sales = sales.filter(F.col("Country") == country)
     if product != EVERY:
