@@ -70,3 +70,10 @@ def test_sample_is_stable(spark):
     again = {r["id"] for r in dashboard.stable_sample(df.repartition(7), "id", 100).collect()}
     assert first == again and len(first) == 100
     assert dashboard.stable_sample(df.limit(10), "id", 100).count() == 10
+
+
+def test_summary_with_sketched_quartiles(spark):
+    df = spark.range(1, 101).select(F.col("id").alias("x"))
+    exact, sketched = (as_dicts(profiling.numeric_summary(df, approximate=a))[0] for a in (False, True))
+    assert (exact["q25"], exact["median"], exact["q75"]) == (25.75, 50.5, 75.25)
+    assert abs(sketched["median"] - 50.5) <= 1 and sketched["mean"] == exact["mean"] == 50.5

@@ -1,6 +1,6 @@
 """K-means on standardised customer features, cluster profiles and names."""
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -59,15 +59,20 @@ def _vectors(features: DataFrame) -> DataFrame:
     return assembler.transform(scaled).persist()
 
 
+def _side_by_side(vectors: DataFrame, run: Callable, inputs: Iterable) -> list:
+    """Run a few fits at the same time, results in the order of the inputs."""
+    with ThreadPool(_PARALLEL_FITS) as pool:
+        return pool.map(inheritable_thread_target(vectors.sparkSession)(run), inputs, chunksize=1)
+
+
 def _best_fit(vectors: DataFrame, k: int, restarts: int, seed: int):
-    """The fit of least training cost over several seeds, some of them at the same time."""
+    """The fit of least training cost over several seeds."""
 
     def fit(number):
         model = KMeans(k=k, seed=seed + number, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="Cluster")
         return model.fit(vectors)
 
-    with ThreadPool(min(restarts, _PARALLEL_FITS)) as pool:
-        fits = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
+    fits = _side_by_side(vectors, fit, range(restarts))
     return min(fits, key=lambda found: found.summary.trainingCost)
 
 
@@ -78,10 +83,12 @@ def _silhouette(assigned: DataFrame) -> float:
 def elbow(features: DataFrame, max_k: int = 10, restarts: int = 1, seed: int = 42) -> DataFrame:
     """Inertia and silhouette (squared Euclidean, all customers) for 2 to `max_k` clusters."""
     vectors = _vectors(features)
-    rows = []
-    for k in range(2, max_k + 1):
+
+    def measure(k):
         fit = _best_fit(vectors, k, restarts, seed)
-        rows.append((k, float(fit.summary.trainingCost), float(_silhouette(fit.transform(vectors)))))
+        return k, float(fit.summary.trainingCost), float(_silhouette(fit.transform(vectors)))
+
+    rows = _side_by_side(vectors, measure, range(2, max_k + 1))
     vectors.unpersist()
     return features.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import dates, text
 from tillroll.functions.numbers import safe_ratio
-from tillroll.schema import GUEST, UNKNOWN_PRODUCT
+from tillroll.schema import CALCULATED, GUEST, UNKNOWN_PRODUCT
 
 MAX_PRICE = 10000.0
 
@@ -106,10 +106,11 @@ def clean_transactions(raw: DataFrame, max_price: float = MAX_PRICE, drop_return
 
 def validate(tx: DataFrame) -> DataFrame:
     """`(check, passed)` rows; all row checks come from one pass."""
+    price = F.col("UnitPrice")
     checks = {
         "no_null_customerid": F.every(F.col("CustomerID").isNotNull()),
         "no_null_description": F.every(F.col("Description").isNotNull()),
-        "positive_prices": F.every(F.coalesce(F.col("UnitPrice") > 0, F.lit(False))),
+        "positive_prices": F.every(F.coalesce((price > 0) & ~F.isnan(price), F.lit(False))),
         "valid_quantities": F.every(F.col("Quantity").isNotNull()),
         "has_total_price": F.lit("TotalPrice" in tx.columns),
         "has_date_fields": F.lit(all(c in tx.columns for c in _DATE_FIELDS)),
@@ -140,7 +141,7 @@ def cleaning_summary(raw: DataFrame, max_price: float = MAX_PRICE) -> DataFrame:
         original.alias("original_rows"),
         F.lit(columns).alias("original_columns"),
         kept.alias("final_rows"),
-        F.lit(columns + 10).alias("final_columns"),
+        F.lit(columns + len(CALCULATED)).alias("final_columns"),
         (original - kept).alias("rows_removed"),
         safe_ratio((original - kept) * 100.0, original).alias("removal_percentage"),
         F.sum("anonymous").alias("missing_customers_original"),

@@ -70,14 +70,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, minimum, exact quartiles and maximum per column.
-
-    Values are counted first, so quartiles come from the table of distinct values, which is
-    sorted over all tasks.
-    """
-    if columns is None:
-        columns = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+def _exact_quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
     counted = (
         df.select(F.inline(F.array(*pairs)))
@@ -86,6 +79,26 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         .agg(F.count("*").alias("copies"))
     )
     counted = stage(counted, "values")
+    fractions = list(_QUARTILES.values())
+    return {
+        c: exact_quantiles(counted.filter(F.col("column") == c), "value", fractions, "copies") for c in columns
+    }
+
+
+def numeric_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
+) -> DataFrame:
+    """Count, mean, standard deviation, minimum, quartiles and maximum per column.
+
+    Values are counted first, so exact quartiles come from the table of distinct values, which
+    is sorted over all tasks.  Approximate ones come from sketches in a single pass.
+    """
+    if columns is None:
+        columns = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+    def sketched(c):
+        return [F.percentile_approx(c, list(_QUARTILES.values())).alias("sketched")] if approximate else []
+
     moments = df.agg(
         *[
             F.struct(
@@ -94,16 +107,16 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                 F.stddev_samp(c).alias("std"),
                 F.min(c).cast("double").alias("min"),
                 F.max(c).cast("double").alias("max"),
+                *sketched(c),
             ).alias(c)
             for c in columns
         ]
     )
-    quartiles = {
-        c: exact_quantiles(counted.filter(F.col("column") == c), "value", list(_QUARTILES.values()), "copies")
-        for c in columns
-    }
+    quartiles = None if approximate else _exact_quartiles(df, columns)
 
     def quartile(position):
+        if approximate:
+            return lambda c: F.col(c)["sketched"][position].cast("double")
         return lambda c: F.lit(quartiles[c][position]).cast("double")
 
     def moment(name):

@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders of local sessions, removed when Python ends.
+_LOCAL_SCRATCH: list[tempfile.TemporaryDirectory] = []
+
+
 def staging_root(spark: SparkSession) -> str:
     """This application's folder below `spark.checkpoint.dir`."""
     context = spark.sparkContext
@@ -18,7 +22,9 @@ def staging_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tillroll-")
+        scratch = tempfile.TemporaryDirectory(prefix="tillroll-", ignore_cleanup_errors=True)
+        _LOCAL_SCRATCH.append(scratch)
+        root = scratch.name
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tillroll-{context.applicationId}"
 
