@@ -22,10 +22,11 @@ from tillroll.llm.text import ALNUM, chunks, joined, map_texts, mix, owners, sig
 BITS = 18
 PER_CLASS = 2000
 BEGINNINGS = (4, 5)
-EPOCHS = 40
-RATE = 0.3
-DECAY = 1e-4
-START = -5.0
+EPOCHS = 15
+RATE = 1.0
+SPARSITY = 3e-4
+MIN_DOCS = 5
+START = -9.0
 BATCH = 64
 
 _STOP = np.zeros(256, np.int32)
@@ -39,7 +40,7 @@ class Sentences:
     row: np.ndarray  # text of every sentence
     first: np.ndarray  # bytes from the beginning of the text
     last: np.ndarray
-    owner: np.ndarray  # sentence of every feature
+    owner: np.ndarray  # sentence of every feature, each feature once
     bucket: np.ndarray
 
 
@@ -63,7 +64,9 @@ def sentences(texts: list[bytes]) -> Sentences:
         buckets.append(mix(span_hashes(data, starts[long], starts[long] + n) + np.uint64(n)) >> shift)
         owning.append(owner[long])
     row = text[heads]
-    return Sentences(row, starts[heads] - begins[row], ends[tails] - begins[row], np.concatenate(owning), np.concatenate(buckets).astype(np.int64))
+    pairs = np.unique(np.concatenate(owning) << BITS | np.concatenate(buckets).astype(np.int64))
+    first, last = starts[heads] - begins[row], ends[tails] - begins[row]
+    return Sentences(row, first, last, pairs >> BITS, pairs & ((1 << BITS) - 1))
 
 
 @dataclass
@@ -84,9 +87,18 @@ def fit_rows(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> M
     weights, bias = np.zeros(1 << BITS), START
     if len(set(labels.tolist())) < 2:
         return Model(weights, -30.0)
-    squares, bias_square = np.full(1 << BITS, 1e-6), 1e-6
-    rng = np.random.default_rng(0)
     counts = [int(owner.max()) + 1 if len(owner) else 0 for owner, _ in docs]
+    # Words of few documents can only be learned by heart; their weights stay zero.
+    seen = np.zeros(1 << BITS, np.int64)
+    for _, bucket in docs:
+        seen[np.unique(bucket)] += 1
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    place = np.zeros(1 << BITS, np.int64)
+    place[used] = np.arange(len(used))
+    common = [seen[bucket] >= MIN_DOCS for _, bucket in docs]
+    docs = [(owner[c], place[bucket[c]]) for (owner, bucket), c in zip(docs, common)]
+    learned, squares, bias_square = np.zeros(len(used)), np.full(len(used), 1e-6), 1e-6
+    rng = np.random.default_rng(0)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
@@ -97,19 +109,21 @@ def fit_rows(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> M
             owner = np.concatenate([docs[k][0] + o for k, o in zip(batch, offsets)])
             bucket = np.concatenate([docs[k][1] for k in batch])
             row = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            p = np.clip(sigmoid(np.bincount(owner, weights[bucket], offsets[-1]) + bias), 1e-9, 1 - 1e-9)
+            p = np.clip(sigmoid(np.bincount(owner, learned[bucket], offsets[-1]) + bias), 1e-9, 1 - 1e-9)
             clean = np.exp(np.bincount(row, np.log1p(-p), len(batch)))
             toxic = np.maximum(1 - clean, 1e-9)
             label = labels[batch]
             # Gradient of the log likelihood by the logit of each sentence.
             slope = np.where(label[row] == 1, np.minimum(clean / toxic, 1e3)[row] * p, -p) / len(batch)
-            used, place = np.unique(bucket, return_inverse=True)
-            gradient = np.bincount(place, slope[owner], len(used)) - DECAY * weights[used]
-            squares[used] += gradient**2
-            weights[used] += RATE * gradient / np.sqrt(squares[used])
+            gradient = np.bincount(bucket, slope[owner], len(used))
+            squares += gradient**2
+            step = RATE / np.sqrt(squares) * (gradient != 0)
+            moved = learned + step * gradient
+            learned = np.sign(moved) * np.maximum(np.abs(moved) - step * SPARSITY, 0)
             total = slope.sum()
             bias_square += total**2
             bias += 0.1 * RATE * total / np.sqrt(bias_square)
+    weights[used] = learned
     return Model(weights, float(bias))
 
 
@@ -121,10 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int =
         for a, b in chunks(texts):
             found = sentences(texts[a:b])
             first = np.searchsorted(found.row, np.arange(b - a + 1))
-            order = np.argsort(found.owner, kind="stable")
-            cuts = np.searchsorted(found.owner[order], first)
+            cuts = np.searchsorted(found.owner, first)
             for k in range(b - a):
-                mine = order[cuts[k] : cuts[k + 1]]
+                mine = slice(cuts[k], cuts[k + 1])
                 owner.append((found.owner[mine] - first[k]).astype("<i4").tobytes())
                 bucket.append(found.bucket[mine].astype("<i4").tobytes())
         return [pa.array(owner, pa.binary()), pa.array(bucket, pa.binary())]
