@@ -37,10 +37,10 @@ def letters() -> np.ndarray:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """How often each text (row) has each bucket (column), and whether it has a letter."""
-    strings = [t.decode("utf-8", "replace").lower() for t in texts]
-    points = np.frombuffer((" ".join(strings) + " ").encode("utf-32-le", "replace"), np.uint32)
+    strings = [f" {t.decode('utf-8', 'replace').lower()} " for t in texts]
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "replace"), np.uint32)
     begins = np.zeros(len(strings) + 1, np.int64)
-    np.cumsum([len(s) + 1 for s in strings], out=begins[1:])
+    np.cumsum([len(s) for s in strings], out=begins[1:])
     is_letter = letters()[points]
     points = np.where(is_letter, points, 32).astype(np.uint64)
     row = np.repeat(np.arange(len(strings)), np.diff(begins))
@@ -53,7 +53,6 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n == 3:
             use = use[:-1] & use[1:]
             code = code[:-1] << np.uint64(21) | points[2:]
-            use &= is_letter[1:-1] | (row[:-2] == row[2:])
         cells.append(((row[: len(code)] << BITS) | (mix(code + np.uint64(n << 60)) >> shift).astype(np.int64))[use])
     counts = np.bincount(np.concatenate(cells), minlength=len(texts) << BITS).reshape(len(texts), -1)
     some = np.add.reduceat(is_letter, begins[:-1], dtype=np.int64) > 0 if len(texts) else np.empty(0, bool)

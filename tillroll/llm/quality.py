@@ -60,12 +60,12 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, size: int) -> np.ndarray:
+def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, size: int, epochs: int = EPOCHS) -> np.ndarray:
     """Dual coordinate descent for the L2-regularised hinge loss; the order of rows is fixed by a seed."""
     weights, alpha = np.zeros(size), np.zeros(len(rows))
     norms = [float(v @ v) for v in values]
     rng = np.random.default_rng(0)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         moved = 0.0
         for k in rng.permutation(len(rows)):
             at, x = rows[k], values[k]
@@ -77,7 +77,7 @@ def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray
                 weights[at] += (new - alpha[k]) * sign[k] * x
                 moved = max(moved, abs(new - alpha[k]))
                 alpha[k] = new
-        if moved < 1e-3:
+        if moved < 1e-4:
             break
     return weights
 

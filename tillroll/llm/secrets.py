@@ -66,11 +66,12 @@ def linked(text: str, found: list[Span]) -> list[Span]:
         return []
     edges = sorted((a, b) for _, a, b in found)
     weak = [s for s in weak if not overlaps(edges, s[1], s[2])]
-    breaks = np.array([m.start() for m in PARAGRAPH.finditer(text)] or [len(text)])
+    breaks = [m.span() for m in PARAGRAPH.finditer(text)]
+    begin_of, end_of = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
     parts = found + weak
     role = np.array([ROLES[kind] for kind, _, _ in parts])
     first, last = np.array([a for _, a, _ in parts]), np.array([b for _, _, b in parts])
-    scope = np.searchsorted(breaks, first)
+    scope = np.searchsorted(end_of[:-1], first, side="right")
     result = []
     for mine in sorted(set(role.tolist())):
         other = np.flatnonzero(role != mine)
@@ -80,8 +81,7 @@ def linked(text: str, found: list[Span]) -> list[Span]:
         for k in range(len(found), len(parts)):
             if role[k] != mine or not len(other):
                 continue
-            low = max(first[k] - REACH, 0 if scope[k] == 0 else int(breaks[scope[k] - 1]))
-            high = min(last[k] + REACH, int(breaks[scope[k]]) if scope[k] < len(breaks) else len(text))
+            low, high = max(first[k] - REACH, begin_of[scope[k]]), min(last[k] + REACH, end_of[scope[k]])
             at = np.searchsorted(begins, high, side="right") - 1
             if at >= 0 and ends[at] >= low:
                 result.append(parts[k])
