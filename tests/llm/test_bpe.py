@@ -45,8 +45,8 @@ def test_pairs_against_merging(tool):
     rng = random.Random(9)
     a, b = (np.array([rng.randrange(50256) for _ in range(20000)]) for _ in range(2))
     good = tool.compatible(a, b)
-    merged = tool.merge([tool.texts[x] + tool.texts[y] for x, y in zip(a, b)])
-    assert good.tolist() == [m == [x, y] for m, x, y in zip(merged, a.tolist(), b.tolist())]
+    merged = bpe.cut_up(*tool.merge([tool.texts[x] + tool.texts[y] for x, y in zip(a, b)]))
+    assert good.tolist() == [ids(m) == [x, y] for m, x, y in zip(merged, a.tolist(), b.tolist())]
     assert 0 < good.sum() < len(good)
 
 

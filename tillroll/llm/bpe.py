@@ -12,7 +12,7 @@ import functools
 import hashlib
 import json
 import re
-import struct
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
 NEVER = np.int64(1) << 40
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 MERGE_CELLS = 1 << 21
 
 
@@ -59,6 +59,36 @@ def split(text: str) -> list[str]:
     return (WIDE if BEYOND.search(text) else NARROW_SPLIT).findall(text)
 
 
+class Known(dict):
+    """Token ids by word; a word asked for in vain is noted once."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str):
+        self[word] = None
+        self.new.append(word)
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+def gathered(found: list[tuple[np.ndarray, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens listed as (row, token), in order within each row, as one array and where each row begins."""
+    row = np.concatenate([r for r, _ in found] or [np.empty(0, np.int64)])
+    token = np.concatenate([t for _, t in found] or [np.empty(0, np.int64)])
+    cuts = np.zeros(rows + 1, np.int64)
+    np.cumsum(np.bincount(row, minlength=rows), out=cuts[1:])
+    return token[np.argsort(row, kind="stable")], cuts
+
+
+def cut_up(flat: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """The tokens of each row as little-endian unsigned 32-bit numbers."""
+    raw, edges = flat.astype("<u4").tobytes(), (4 * cuts).tolist()
+    return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+
 class Encoder:
     """A vocabulary file of the tokenizers library, byte-level BPE with its `added_tokens`.
 
@@ -80,17 +110,17 @@ class Encoder:
             self.texts[i] = token.encode()
         self.special = {token: np.uint32(i).tobytes() for token, i in special.items()}
         self.byte_ids = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.longest = max(map(len, self.ids), default=1)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self._trees()
+        self._trie()
         self.derivable = np.zeros(len(self.texts), bool)  # tokens that their own bytes merge into
         own = list(self.ids.values())
-        for i, tokens in zip(own, self.merge([self.texts[i] for i in own])):
-            self.derivable[i] = tokens == [i]
+        for i, ids in zip(own, cut_up(*self.merge([self.texts[i] for i in own]))):
+            self.derivable[i] = ids == np.uint32(i).tobytes()
         names = sorted(special, key=len, reverse=True)
         self.control = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         self.failed = 0
 
     def _trees(self):
@@ -110,6 +140,15 @@ class Encoder:
         self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
         self.pair_wholes = np.array(wholes, np.int64)[order]
 
+    def _trie(self):
+        """The vocabulary as a tree: edges (node, byte) in order, the node of edge k being k + 1."""
+        prefixes = {b""} | {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
+        by_size = sorted(prefixes, key=lambda p: (len(p), p))
+        # Nodes in breadth-first order have their edges in ascending order of (parent, byte).
+        number = {p: k for k, p in enumerate(by_size)}
+        self.trie_keys = np.array([number[p[:-1]] << 8 | p[-1] for p in by_size[1:]] or [-1], np.int64)
+        self.trie_tokens = np.array([self.ids.get(p, -1) for p in by_size] + [-1], np.int64)
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that two mergeable tokens make."""
         return self.pair_wholes[np.searchsorted(self.pair_keys, a << 20 | b)]
@@ -146,61 +185,75 @@ class Encoder:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return good
 
-    def propose(self, word: bytes) -> list[int]:
-        """Longest match from the left; -1 for a byte without a token."""
-        tokens, start, ids, size = [], 0, self.ids, len(word)
-        while start < size:
-            for end in range(min(size, start + self.longest), start, -1):
-                token = ids.get(word[start:end])
-                if token is not None:
-                    tokens.append(token)
-                    start = end
-                    break
-            else:
-                tokens.append(-1)
-                start += 1
-        return tokens
-
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging, lowest rank first, leftmost of equals; bytes without a token are left out.
-
-        All words take a step at once: each merges its best pair, and only the ranks next to it change.
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from the left, all words at once: tokens, and where each word's begin.
+
+        A byte without a token becomes -1.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        at, row, found = ends - sizes, np.arange(len(words)), []
+        row = row[sizes > 0]
+        at = at[row]
+        while len(row):
+            limit = ends[row]
+            best, length = np.full(len(row), -1, np.int64), np.ones(len(row), np.int64)
+            live, node, depth = np.arange(len(row)), np.zeros(len(row), np.int64), 0
+            while len(live):
+                key = node << 8 | data[at[live] + depth]
+                place = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+                hit = self.trie_keys[place] == key
+                live, node = live[hit], place[hit] + 1
+                depth += 1
+                token = self.trie_tokens[node]
+                whole = token >= 0
+                best[live[whole]], length[live[whole]] = token[whole], depth
+                more = at[live] + depth < limit[live]
+                live, node = live[more], node[more]
+            found.append((row, best))
+            at = at + length
+            left = at < limit
+            row, at = row[left], at[left]
+        return gathered(found, len(words))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging, lowest rank first, leftmost of equals: tokens, and where each word's begin.
+
+        Bytes without a token are left out.  All words take a step at once: each merges its best pair,
+        and only the ranks next to it change.  Words of about one length share a table.
         """
-        result: list[list[int]] = [[]] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        first = 0
-        while first < len(order):  # words of about one length share a table
-            width = len(words[order[first]])
-            last, cells = first, 0
-            while last < len(order) and (size := len(words[order[last]])) <= max(8, width * 5 // 4):
-                if cells + size > MERGE_CELLS and last > first:
-                    break
-                cells += size
+        first, found = 0, []
+        while first < len(order):
+            width = max(8, len(words[order[first]]) * 5 // 4)
+            last = first + 1
+            while last < len(order) and len(words[order[last]]) <= width and (last - first) * width < MERGE_CELLS:
                 last += 1
-            rows = order[first:last]
-            for row, tokens in zip(rows, self._merge_table([words[k] for k in rows])):
-                result[row] = tokens
+            rows = np.array(order[first:last])
+            found += [(rows[row], token) for row, token in self._merge_table([words[k] for k in rows])]
             first = last
-        return result
-
-    def _merge_table(self, words: list[bytes]) -> list[list[int]]:
-        parts = [[t for t in self.byte_ids[np.frombuffer(w, np.uint8)].tolist() if t >= 0] for w in words]
-        width = max(map(len, parts), default=0) + 1
-        tokens = np.full((len(parts), width), -1, np.int64)
-        for row, part in enumerate(parts):
-            tokens[row, : len(part)] = part
-        ranks = np.full((len(parts), width), NEVER)
-        both = np.flatnonzero((tokens[:, 1:] >= 0).ravel())
-        at_row, at_col = np.divmod(both, max(width - 1, 1))
+        return gathered(found, len(words))
+
+    def _merge_table(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        row = np.repeat(np.arange(len(words)), sizes)[raw >= 0]
+        raw = raw[raw >= 0]
+        counts = np.bincount(row, minlength=len(words))
+        width = int(counts.max(initial=0)) + 1
+        tokens = np.full((len(words), width), -1, np.int64)
+        tokens[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = raw
+        ranks = np.full((len(words), width), NEVER)
+        at_row, at_col = np.nonzero(tokens[:, 1:] >= 0)
         ranks[at_row, at_col] = self.pair_rank(tokens[at_row, at_col], tokens[at_row, at_col + 1])
-        done: list[list[int]] = [[]] * len(parts)
-        alive = np.arange(len(parts))
+        alive, done = np.arange(len(words)), []
         while len(alive):
             best = ranks.argmin(axis=1)
-            line = np.arange(len(alive))
-            more = ranks[line, best] < NEVER
-            for row in np.flatnonzero(~more):
-                done[alive[row]] = [t for t in tokens[row].tolist() if t >= 0]
+            more = ranks[np.arange(len(alive)), best] < NEVER
+            rest = ~more
+            at_row, at_col = np.nonzero(tokens[rest] >= 0)
+            done.append((alive[rest][at_row], tokens[rest][at_row, at_col]))
             alive, tokens, ranks, best = alive[more], tokens[more], ranks[more], best[more]
             line = np.arange(len(alive))
             tokens[line, best] = self.merged(tokens[line, best], tokens[line, best + 1])
@@ -216,23 +269,18 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Encodes words not seen before: proposals, one check of all pairs, merging of what fails."""
         raw = [w.encode() for w in words]
-        proposals = [self.propose(w) for w in raw]
-        cuts = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum([len(p) for p in proposals], out=cuts[1:])
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, cuts[-1])
+        flat, cuts = self.propose(raw)
         wrong = (flat < 0) | ~self.derivable[flat]
         inner = np.ones(max(len(flat) - 1, 0), bool)
-        inner[cuts[1:-1][cuts[1:-1] > 0] - 1] = False
+        inner[cuts[1:-1][(cuts[1:-1] > 0) & (cuts[1:-1] < len(flat))] - 1] = False
         inner = np.flatnonzero(inner)
         inner = inner[(flat[inner] >= 0) & (flat[inner + 1] >= 0)]
         pairs, which = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
         wrong[inner[~self.compatible(pairs >> 20, pairs & 0xFFFFF)[which]]] = True
         failing = np.unique(np.searchsorted(cuts, np.flatnonzero(wrong), side="right") - 1).tolist()
-        for k, tokens in zip(failing, self.merge([raw[k] for k in failing])):
-            proposals[k] = tokens
+        self.known.update(zip(words, cut_up(flat, cuts)))
+        self.known.update(zip([words[k] for k in failing], cut_up(*self.merge([raw[k] for k in failing]))))
         self.failed += len(failing)
-        pack = struct.pack
-        self.known.update((w, pack(f"<{len(t)}I", *t)) for w, t in zip(words, proposals))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of whole texts, as little-endian unsigned 32-bit numbers."""
@@ -243,14 +291,15 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        cut = [self.control.split(t) if self.control else [t] for t in texts]  # every second piece is a control token
-        found = [[split(part) if k % 2 == 0 else part for k, part in enumerate(parts)] for parts in cut]
-        new = set().union(*(words for parts in found for words in parts[::2]))
         if len(known) > CACHED_WORDS:
             known.clear()
-        self.learn([w for w in new if w not in known])
-        one = lambda part: b"".join(map(known.__getitem__, part)) if isinstance(part, list) else self.special[part]
-        return [b"".join(map(one, parts)) for parts in found]
+        cut = [self.control.split(t) if self.control else [t] for t in texts]  # every second piece is a control token
+        words = [split(part) for parts in cut for part in parts[::2]]
+        for part in words:
+            deque(map(known.__getitem__, part), 0)  # notes words without ids
+        self.learn(known.taken())
+        plain = map(b"".join, (map(known.__getitem__, part) for part in words))
+        return [b"".join(self.special[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids, control tokens included; broken characters become U+FFFD."""
@@ -309,11 +358,11 @@ def digests(docs: DataFrame, path: str, keep: list[Column | str]) -> DataFrame:
     def work(texts):
         tool = encoder(definition.value)
         counts, ids, back = [], [], []
-        for text in texts:
-            (made,) = tool.encode([text.decode("utf-8", "replace")])
-            counts.append(len(made) // 4)
-            ids.append(hashlib.sha256(made).hexdigest())
-            back.append(hashlib.sha256(tool.decode(made).encode()).hexdigest())
+        for a, b in chunks(texts):
+            for made in tool.encode([t.decode("utf-8", "replace") for t in texts[a:b]]):
+                counts.append(len(made) // 4)
+                ids.append(hashlib.sha256(made).hexdigest())
+                back.append(hashlib.sha256(tool.decode(made).encode()).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
 
     return map_texts(docs, keep, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")], work)
