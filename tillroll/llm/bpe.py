@@ -108,6 +108,9 @@ class Encoder:
             self.texts[i] = token
         for token, i in special.items():
             self.texts[i] = token.encode()
+        self.text_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.text_sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
         self.special = {token: np.uint32(i).tobytes() for token, i in special.items()}
         self.byte_ids = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
@@ -303,7 +306,11 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids, control tokens included; broken characters become U+FFFD."""
-        return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4")
+        sizes = self.text_sizes[tokens]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.text_starts[tokens] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        return self.text_bytes[at].tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
