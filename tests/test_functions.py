@@ -35,7 +35,7 @@ def test_week_label_starts_on_monday(spark):
 
 @pytest.mark.parametrize(
     "number, digits, up, even",
-    [(2.675, 2, 2.68, 2.68), (2.665, 2, 2.67, 2.66), (0.125, 2, 0.13, 0.12), (-2.5, 0, -3.0, -2.0)],
+    [(2.675, 2, 2.68, 2.68), (2.665, 2, 2.67, 2.66), (0.125, 2, 0.13, 0.12), (-2.5, 0, -3.0, -2.0), (2.4999999, 0, 2.0, 2.0), (0.0049999996, 2, 0.0, 0.0)],
 )
 def test_rounding(spark, number, digits, up, even):
     assert value(spark, numbers.half_up(F.lit(number), digits)) == up

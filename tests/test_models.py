@@ -39,11 +39,12 @@ def test_arima_finds_the_coefficients(spark):
     assert first == date(2020, 1, 1) + timedelta(days=1200)
 
 
-def test_every_series_is_forecast_even_a_short_one(spark):
+def test_a_short_series_says_so_and_has_no_forecast(spark):
     both = series(spark, range(50)).unionByName(series(spark, [4.0, 6.0], "short"))
     for method in (forecast.arima, forecast.holt_winters):
-        counts = {r["name"]: r["n"] for r in method(both, ["name"], 5).filter("part = 'future'").groupBy("name").agg(F.count("forecast").alias("n")).collect()}
-        assert counts == {"a": 5, "short": 5}
+        future = method(both, ["name"], 5).filter("part = 'future'").groupBy("name", "status")
+        counts = {(r["name"], r["status"], r["n"]) for r in future.agg(F.count("forecast").alias("n")).collect()}
+        assert counts == {("a", forecast.FITTED, 5), ("short", forecast.TOO_SHORT, 0)}
 
 
 def test_demand_needs_seven_days(spark):
@@ -157,7 +158,23 @@ def test_silhouettes_equal_all_pairs(spark):
     names = ", ".join(f"{c} double" for c in clusters.FEATURES)
     df = spark.createDataFrame(rows, f"CustomerID string, {names}, Cluster int")
     scaled = clusters.standardise(df).toPandas()
-    plain = clusters.euclidean_silhouette(df).first()["number"]
-    assert plain == pytest.approx(silhouette_by_pairs(scaled, 1))
+    names = [f"scaled_{c}" for c in clusters.FEATURES]
+    centres = scaled.groupby("Cluster")[names].mean()
+    away = np.sqrt(((scaled[names].to_numpy()[:, None] - centres.to_numpy()[None]) ** 2).sum(axis=2))
+    own = scaled["Cluster"].to_numpy()[:, None] == centres.index.to_numpy()[None]
+    inside, outside = away[own], np.where(own, np.inf, away).min(axis=1)
+    expected = ((outside - inside) / np.maximum(outside, inside)).mean()
+    assert clusters.centroid_silhouette(df).first()["number"] == pytest.approx(expected)
     assert clusters.silhouette(df).first()["number"] == pytest.approx(silhouette_by_pairs(scaled, 2))
-    assert clusters.euclidean_silhouette(df, per_cluster=15).first()["number"] == pytest.approx(plain, abs=0.1)
+
+
+@pytest.mark.parametrize("n", [1, 50, 700, 5000])
+def test_every_tree_has_its_rows_at_any_size(spark, n):
+    rows = spark.range(n).select(
+        *[F.col("id").cast("string").alias(c) for c in anomalies.DUPLICATE_KEY if c not in anomalies.FEATURES],
+        *[(F.col("id") * (k + 3) % 101).cast("double").alias(c) for k, c in enumerate(anomalies.FEATURES)],
+    )
+    forest = anomalies.fit_forest(rows, n, trees=10)
+    assert len(forest["feature"]) == 10
+    assert forest["scale"] == (float(anomalies._expected_path(min(256, n))) or 1.0)
+    assert forest["height"] == int(np.ceil(np.log2(max(min(256, n), 2))))

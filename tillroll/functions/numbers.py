@@ -6,18 +6,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Digits at which float noise of a sum is removed before a decimal tie is decided.
-_NOISE_DIGITS = 6
-
-
 def half_up(value, digits: int) -> Column:
     """Round halves away from zero on the decimal value."""
-    return F.round(F.round(value, _NOISE_DIGITS), digits)
+    return F.round(value, digits)
 
 
 def half_even(value, digits: int) -> Column:
     """Round halves to the even neighbour on the decimal value."""
-    return F.bround(F.round(value, _NOISE_DIGITS), digits)
+    return F.bround(value, digits)
 
 
 def safe_ratio(numerator, denominator) -> Column:

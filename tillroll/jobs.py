@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.models import anomalies, churn, clusters, forecast
 from tillroll.operators import baskets, cleaning, cohorts, customers, explore, profiling, reports
 from tillroll.sources import tables
+from tillroll.staging import clear
 
 
 def _write_all(results: Mapping[str, DataFrame], folder: str) -> None:
@@ -152,7 +153,7 @@ def cluster(spark: SparkSession, source: str, folder: str) -> None:
             "elbow": clusters.elbow(features),
             "cluster_profile": clusters.cluster_profile(found),
             "cluster_sizes": clusters.cluster_sizes(found),
-            "silhouette": clusters.silhouette(found).unionByName(clusters.euclidean_silhouette(found)),
+            "silhouette": clusters.silhouette(found).unionByName(clusters.centroid_silhouette(found)),
             "cluster_rollup": reports.cluster_rollup(labelled),
             "cluster_personas": reports.cluster_personas(labelled),
         },
@@ -176,8 +177,14 @@ def main() -> None:
     parser.add_argument("job", choices=JOBS)
     parser.add_argument("source", help="table to read")
     parser.add_argument("folder", help="folder for the results")
+    parser.add_argument("--kind", default="parquet", help="format of the raw table (clean, profile)")
     chosen = parser.parse_args()
-    JOBS[chosen.job](SparkSession.builder.getOrCreate(), chosen.source, chosen.folder)
+    spark = SparkSession.builder.getOrCreate()
+    try:
+        kind = {"kind": chosen.kind} if chosen.job in ("clean", "profile") else {}
+        JOBS[chosen.job](spark, chosen.source, chosen.folder, **kind)
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

@@ -37,17 +37,10 @@ def anomaly_features(sales: DataFrame) -> DataFrame:
     ).dropna(subset=FEATURES)
 
 
-def _sample(rows: DataFrame, total: int, wanted: int, seed: int) -> DataFrame:
-    """`wanted` rows in the order of a seeded hash, numbered from 0.
-
-    A cut on the hash leaves about four times the wanted rows before the sort.
-    """
-    draw = F.xxhash64(*DUPLICATE_KEY, F.lit(seed))
-    share = min(1.0, 4.0 * wanted / max(total, 1))
-    cut = int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1
-    drawn = rows.select(*FEATURES, draw.alias("draw")).filter(F.col("draw") <= cut)
+def _sample(rows: DataFrame, wanted: int, seed: int) -> DataFrame:
+    """`wanted` rows in the order of a seeded hash, numbered from 0; a bounded heap per task."""
     order = ["draw", *FEATURES]
-    chosen = drawn.orderBy(*order).limit(wanted)
+    chosen = rows.select(*FEATURES, F.xxhash64(*DUPLICATE_KEY, F.lit(seed)).alias("draw")).orderBy(*order).limit(wanted)
     return chosen.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
@@ -84,9 +77,17 @@ def distinct_tuples(rows: DataFrame) -> DataFrame:
 
 
 def fit_forest(rows: DataFrame, total: int, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> dict:
-    """Arrays of all tree nodes: at most `trees * 2 * sample` of them reach the driver."""
-    per_tree = max(1, min(sample, total // trees or 1))
-    chosen = _sample(rows, total, trees * per_tree, seed)
+    """Arrays of all tree nodes: at most `trees * 2 * sample` of them reach the driver.
+
+    Each tree takes the next `sample` rows of one random order, beginning again at its end; all rows
+    if there are fewer.
+    """
+    per_tree = max(1, min(sample, total))
+    wanted = max(1, min(total, trees * per_tree))
+    places = rows.sparkSession.range(trees * per_tree).select(
+        F.floor(F.col("id") / per_tree).cast("int").alias("tree"), (F.col("id") % wanted).cast("int").alias("position")
+    )
+    chosen = _sample(rows, wanted, seed).join(places, "position")
     height = int(np.ceil(np.log2(max(per_tree, 2))))
     features = FEATURES
 
@@ -97,7 +98,7 @@ def fit_forest(rows: DataFrame, total: int, trees: int = TREES, sample: int = SA
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
 
     grown = (
-        chosen.withColumn("tree", F.col("position") % trees).groupBy("tree").applyInPandas(grow, _NODE).toPandas()
+        chosen.groupBy("tree").applyInPandas(grow, _NODE).toPandas()
     )
     shape = (trees, 2 ** (height + 1) - 1)
     forest = {
@@ -110,7 +111,7 @@ def fit_forest(rows: DataFrame, total: int, trees: int = TREES, sample: int = SA
     at = (grown["tree"].to_numpy(), grown["node"].to_numpy())
     for name in ("feature", "threshold", "path"):
         forest[name][at] = grown[name].to_numpy()
-    # Trees without rows (fewer rows than trees) are left out.
+    # Without rows there are no trees.
     filled = np.unique(at[0])
     for name in ("feature", "threshold", "path"):
         forest[name] = forest[name][filled]

@@ -1,15 +1,15 @@
 """K-means on standardised customer features, cluster profiles and names."""
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import half_even, safe_ratio
@@ -80,7 +80,7 @@ def _silhouette(assigned: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="Cluster").evaluate(assigned)
 
 
-def elbow(features: DataFrame, max_k: int = 10, restarts: int = 1, seed: int = 42) -> DataFrame:
+def elbow(features: DataFrame, max_k: int = 10, restarts: int = 10, seed: int = 42) -> DataFrame:
     """Inertia and silhouette (squared Euclidean, all customers) for 2 to `max_k` clusters."""
     vectors = _vectors(features)
 
@@ -119,39 +119,24 @@ def silhouette(clustered: DataFrame) -> DataFrame:
     return as_metrics(row, {"silhouette_squared_euclidean": "silhouette"})
 
 
-def euclidean_silhouette(clustered: DataFrame, per_cluster: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean silhouette with plain distances, as a metric row.
+def centroid_silhouette(clustered: DataFrame) -> DataFrame:
+    """Mean silhouette with plain distances to centroids, as a metric row.
 
-    Plain distances need all pairs.  Every customer is compared with at most `per_cluster`
-    customers of each cluster, drawn in the order of a seeded hash: the result is exact while
-    no cluster is larger and an estimate beyond.  The drawn customers, whose number is
-    `per_cluster` times the clusters, travel with the task.
+    Every customer is compared with the mean of the own and of the nearest other cluster: one pass
+    over all customers, and one row per cluster on the driver.
     """
     scaled = [f"scaled_{c}" for c in FEATURES]
-    points = standardise(clustered).select("CustomerID", "Cluster", *scaled)
-    draw = F.row_number().over(
-        Window.partitionBy("Cluster").orderBy(F.xxhash64("CustomerID", F.lit(seed)), "CustomerID")
-    )
-    drawn = points.withColumn("_draw", draw).filter(F.col("_draw") <= per_cluster).drop("_draw").toPandas()
-    samples = {
-        cluster: (set(part["CustomerID"]), part[scaled].to_numpy()) for cluster, part in drawn.groupby("Cluster")
+    points = standardise(clustered).select("Cluster", *scaled)
+    means = points.groupBy("Cluster").agg(*[F.avg(c).alias(c) for c in scaled]).collect()
+    away = {
+        m["Cluster"]: F.sqrt(reduce(add, [(F.col(c) - F.lit(m[c])) ** 2 for c in scaled])) for m in means
     }
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch[scaled].to_numpy()
-            inside, outside = np.full(len(batch), np.nan), np.full(len(batch), np.inf)
-            for cluster, (ids, sample) in samples.items():
-                total = sum(np.sqrt(((values - point) ** 2).sum(axis=1)) for point in sample)
-                own = (batch["Cluster"] == cluster).to_numpy()
-                others = len(sample) - batch["CustomerID"].isin(ids).to_numpy()
-                inside[own] = np.where(others > 0, total / np.maximum(others, 1), np.nan)[own]
-                outside[~own] = np.minimum(outside, total / len(sample))[~own]
-            width = (outside - inside) / np.maximum(outside, inside)
-            yield pd.DataFrame({"width": np.nan_to_num(width)})
-
-    mean = points.mapInPandas(score, "width double").agg(F.avg("width").alias("silhouette"))
-    return as_metrics(mean, {"silhouette_euclidean": "silhouette"})
+    nothing = F.lit(None).cast("double")
+    inside = F.coalesce(nothing, *[F.when(F.col("Cluster") == k, d) for k, d in away.items()])
+    others = [F.when(F.col("Cluster") != k, d) for k, d in away.items()]
+    outside = F.least(nothing, nothing, *others)
+    width = F.coalesce(safe_ratio(outside - inside, F.greatest(outside, inside)), F.lit(0.0))
+    return as_metrics(points.agg(F.avg(width).alias("silhouette")), {"silhouette_centroid": "silhouette"})
 
 
 def cluster_profile(clustered: DataFrame) -> DataFrame:

@@ -25,6 +25,10 @@ DEMAND_WINDOW = 7
 TRAIN_END = "train_end"
 SERIES_END = "series_end"
 
+# A series shorter than its model needs has no forecast.
+FITTED = "fitted"
+TOO_SHORT = "too_short"
+
 
 def daily_series(sales: DataFrame, *keys: str) -> DataFrame:
     """Revenue, orders and customers per observed day, for each value of the keys."""
@@ -88,13 +92,13 @@ def forecast_totals(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def product_demand(sales: DataFrame, top_n: int = 20, show: int = 5, window: int = DEMAND_WINDOW) -> DataFrame:
+def product_demand(sales: DataFrame, top_n: int = 20, window: int = DEMAND_WINDOW) -> DataFrame:
     """Mean daily demand, moving mean at the last day and total units of the best sellers.
 
-    One plan handles all products.  The list of best sellers, bounded by `show`, is broadcast
+    One plan handles all products.  The list of best sellers, bounded by `top_n`, is broadcast
     to the scan, so only their lines are grouped by day.
     """
-    best = best_sellers(sales, min(top_n, show)).withColumnRenamed("units", "Total_Sold")
+    best = best_sellers(sales, top_n).withColumnRenamed("units", "Total_Sold")
     daily = (
         sales.join(F.broadcast(best), "Description")
         .groupBy(F.col("Description").alias("Product"), "Total_Sold", F.to_date("InvoiceDate").alias("Date"))
@@ -118,6 +122,7 @@ def _forecast(series: DataFrame, keys: Sequence[str], model: Callable, days_ahea
             T.StructField("Date", T.DateType()),
             T.StructField("actual", T.DoubleType()),
             T.StructField("forecast", T.DoubleType()),
+            T.StructField("status", T.StringType()),
         ]
     )
 
@@ -145,6 +150,7 @@ def _forecast(series: DataFrame, keys: Sequence[str], model: Callable, days_ahea
             }
         )
         rows = pd.concat([held_out, future], ignore_index=True)
+        rows["status"] = FITTED if fitted.ready else TOO_SHORT
         for g in groups:
             rows[g] = group[g].iloc[0]
         return rows[[f.name for f in result]]
@@ -168,20 +174,12 @@ def _best_on_grid(loss: Callable, axes: Sequence[np.ndarray], rounds: int = 4) -
     return tuple(best)
 
 
-class _Level:
-    """Fallback for a series too short for a model: its mean."""
-
-    @staticmethod
-    def flat(values, steps):
-        return np.full(steps, values.mean() if len(values) else np.nan)
-
-
 class _Arima:
     shortest = 4
 
     def __init__(self, train: np.ndarray):
-        self.coefficients = None
-        if len(train) >= self.shortest:
+        self.ready = len(train) >= self.shortest
+        if self.ready:
             axis = np.linspace(-0.98, 0.98, 29)
             changes = np.diff(train)
             self.coefficients = _best_on_grid(lambda ar, ma: self._errors(changes, ar, ma)[0], [axis, axis])
@@ -197,8 +195,8 @@ class _Arima:
         return total, error
 
     def ahead(self, values: np.ndarray, steps: int) -> np.ndarray:
-        if self.coefficients is None:
-            return _Level.flat(values, steps)
+        if not self.ready:
+            return np.full(steps, np.nan)
         ar, ma = self.coefficients
         changes = np.diff(values)
         _, error = self._errors(changes, np.array([ar]), np.array([ma]))
@@ -210,8 +208,8 @@ class _HoltWinters:
     shortest = 2 * SEASON
 
     def __init__(self, train: np.ndarray):
-        self.weights = None
-        if len(train) >= self.shortest:
+        self.ready = len(train) >= self.shortest
+        if self.ready:
             axes = [np.linspace(0.01, 0.99, 9), np.linspace(0.0, 0.5, 6), np.linspace(0.0, 0.9, 7)]
             self.weights = _best_on_grid(lambda *w: self._smooth(train, *w)[0], axes)
 
@@ -235,8 +233,8 @@ class _HoltWinters:
         return total, level, trend, season
 
     def ahead(self, values: np.ndarray, steps: int) -> np.ndarray:
-        if self.weights is None:
-            return _Level.flat(values, steps)
+        if not self.ready:
+            return np.full(steps, np.nan)
         _, level, trend, season = self._smooth(values, *[np.array([w]) for w in self.weights])
         n = len(values)
         return np.array(

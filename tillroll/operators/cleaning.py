@@ -91,12 +91,16 @@ def remove_returns(df: DataFrame) -> DataFrame:
 
 
 def clean_transactions(raw: DataFrame, max_price: float = MAX_PRICE, drop_returns: bool = False) -> DataFrame:
-    """Raw to cleaned transactions: one lazy plan with one shuffle."""
+    """Raw to cleaned transactions: one lazy plan with one shuffle.
+
+    Returns are flagged after de-duplication: the flag follows from Quantity, which is in the key,
+    and would otherwise be carried, and ordered by, through the shuffle.
+    """
     tx = (
         raw.transform(handle_missing_customers)
-        .transform(flag_returns)
         .transform(remove_bad_prices, max_price)
         .transform(remove_duplicates)
+        .transform(flag_returns)
         .transform(handle_missing_descriptions)
         .transform(add_calculated_fields)
         .transform(clean_text)

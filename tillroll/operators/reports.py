@@ -93,11 +93,12 @@ def customer_segments(tx: DataFrame, buckets: int = 5) -> DataFrame:
 
 
 def hourly_patterns(tx: DataFrame, n: int = 20) -> DataFrame:
+    """Busiest hours of the week; sums are exact, so a half is rounded alike in every run."""
     slots = tx.groupBy(
         F.hour("InvoiceDate").alias("Hour"), dates.day_name("InvoiceDate").alias("DayOfWeek")
     ).agg(
         F.count_distinct("InvoiceNo").alias("Orders"),
-        half_up(F.sum("TotalPrice"), 2).alias("Revenue"),
+        half_up(F.sum(F.col("TotalPrice").cast("decimal(28,8)")).cast("double"), 2).alias("Revenue"),
         half_up(F.avg("TotalPrice"), 2).alias("AvgTransaction"),
     )
     return rollups.top(slots, n, "Revenue", "Hour", "DayOfWeek")

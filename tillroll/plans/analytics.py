@@ -7,7 +7,7 @@ from tillroll.operators import baskets, cohorts, customers, dashboard, explore,
 from tillroll.plans import sql
 from tillroll.plans.registry import query
 from tillroll.plans.reports import BASKET_TABLES, DAILY_DEMAND
-from tillroll.plans.sql import day, half_even, metric, metrics, rounded, with_tables
+from tillroll.plans.sql import compared, day, half_even, metric, metrics, with_tables
 
 _RFM = {
     "members": f"""SELECT CustomerID,
@@ -35,7 +35,7 @@ _RFM = {
 
 @query(
     "r1_rfm_scores",
-    with_tables(f"SELECT * REPLACE ({rounded('Monetary')} AS Monetary) FROM rfm", **_RFM),
+    with_tables(f"SELECT * REPLACE ({compared('Monetary')} AS Monetary) FROM rfm", **_RFM),
 )
 def _(f):
     return customers.rfm_scores(f.sales)
@@ -44,9 +44,9 @@ def _(f):
 @query(
     "r2_rfm_summary",
     with_tables(
-        f"""SELECT Segment, count(*) AS customers, {rounded('sum(Monetary)')} AS revenue,
-              {rounded('avg(Recency)')} AS avg_recency, {rounded('avg(Frequency)')} AS avg_frequency,
-              {rounded('avg(Monetary)')} AS avg_monetary FROM rfm GROUP BY Segment""",
+        f"""SELECT Segment, count(*) AS customers, {compared('sum(Monetary)')} AS revenue,
+              {compared('avg(Recency)')} AS avg_recency, {compared('avg(Frequency)')} AS avg_frequency,
+              {compared('avg(Monetary)')} AS avg_monetary FROM rfm GROUP BY Segment""",
         **_RFM,
     ),
 )
@@ -82,9 +82,9 @@ _CLV = {
                 PurchaseCount / nullif(LifespanDays / 30.0, 0) AS PurchaseFrequency,
                 coalesce(AvgOrderValue * PurchaseFrequency * LifespanMonths, 0) AS CLV FROM lives""",
 }
-_CLV_COLUMNS = f"""CustomerID, PurchaseCount, {rounded('TotalRevenue')} AS TotalRevenue, LifespanDays,
-  {rounded('AvgOrderValue')} AS AvgOrderValue, {rounded('PurchaseFrequency')} AS PurchaseFrequency,
-  {rounded('LifespanMonths')} AS LifespanMonths, {rounded('CLV')} AS CLV"""
+_CLV_COLUMNS = f"""CustomerID, PurchaseCount, {compared('TotalRevenue')} AS TotalRevenue, LifespanDays,
+  {compared('AvgOrderValue')} AS AvgOrderValue, {compared('PurchaseFrequency')} AS PurchaseFrequency,
+  {compared('LifespanMonths')} AS LifespanMonths, {compared('CLV')} AS CLV"""
 
 
 @query("v1_lifetime_value", with_tables(f"SELECT {_CLV_COLUMNS} FROM clv", **_CLV))
@@ -138,8 +138,8 @@ def _(f):
 
 def _histogram_sql(column, bins, source, **extra):
     return with_tables(
-        f"""SELECT bin, {rounded(f'low + (bin - 1) * (high - low) / {bins}.0')} AS lower,
-              {rounded(f'low + bin * (high - low) / {bins}.0')} AS upper, count({column}) AS rows
+        f"""SELECT bin, {compared(f'low + (bin - 1) * (high - low) / {bins}.0')} AS lower,
+              {compared(f'low + bin * (high - low) / {bins}.0')} AS upper, count({column}) AS rows
             FROM range(1, {bins + 1}) AS r(bin) CROSS JOIN extent
             LEFT JOIN placed USING (bin) GROUP BY bin, low, high""",
         **extra,
@@ -176,7 +176,7 @@ _COHORTS = {
     "h1_cohort_matrix",
     with_tables(
         f"""SELECT CohortMonth, CohortIndex, CustomerCount, CohortSize,
-              {rounded('CustomerCount * 100.0 / CohortSize')} AS RetentionPct FROM sized""",
+              {compared('CustomerCount * 100.0 / CohortSize')} AS RetentionPct FROM sized""",
         **_COHORTS,
     ),
 )
@@ -253,7 +253,7 @@ def _(f):
 @query(
     "m0_daily_series",
     with_tables(
-        f"""SELECT {day('InvoiceDate')} AS Date, {rounded('sum(TotalPrice)')} AS Revenue,
+        f"""SELECT {day('InvoiceDate')} AS Date, {compared('sum(TotalPrice)')} AS Revenue,
               count(DISTINCT InvoiceNo) AS Orders, count(DISTINCT CustomerID) AS Customers
             FROM sales GROUP BY {day('InvoiceDate')}"""
     ),
@@ -294,7 +294,7 @@ _CHURN = f"""SELECT *, CASE WHEN Recency > 90 THEN 1 ELSE 0 END AS Churned FROM
 @query(
     "m3_churn_features",
     with_tables(
-        f"""SELECT * REPLACE ({rounded('TotalSpent')} AS TotalSpent, {rounded('AvgOrderValue')} AS AvgOrderValue)
+        f"""SELECT * REPLACE ({compared('TotalSpent')} AS TotalSpent, {compared('AvgOrderValue')} AS AvgOrderValue)
             FROM features""",
         features=_CHURN,
     ),
@@ -307,7 +307,7 @@ def _(f):
     "m3_churn_distribution",
     with_tables(
         f"""SELECT count(*) FILTER (Churned = 0) AS active, count(*) FILTER (Churned = 1) AS churned,
-              {rounded('avg(Churned) * 100')} AS churn_rate_pct FROM features""",
+              {compared('avg(Churned) * 100')} AS churn_rate_pct FROM features""",
         features=_CHURN,
     ),
 )
@@ -341,9 +341,9 @@ def _(f):
     with_tables(
         " UNION ALL ".join(
             f"""SELECT '{name}' AS class,
-                  {rounded(f'coalesce(sum(hit) * 1.0 / nullif(sum(said), 0), 0)')} AS precision,
-                  {rounded(f'coalesce(sum(hit) * 1.0 / nullif(sum(actual), 0), 0)')} AS recall,
-                  {rounded(f'coalesce(sum(hit) * 2.0 / nullif(sum(said) + sum(actual), 0), 0)')} AS f1,
+                  {compared(f'coalesce(sum(hit) * 1.0 / nullif(sum(said), 0), 0)')} AS precision,
+                  {compared(f'coalesce(sum(hit) * 1.0 / nullif(sum(actual), 0), 0)')} AS recall,
+                  {compared(f'coalesce(sum(hit) * 2.0 / nullif(sum(said) + sum(actual), 0), 0)')} AS f1,
                   CAST(sum(actual) AS BIGINT) AS support
                 FROM (SELECT CAST(Churned = {value} AS INT) AS actual, CAST(rule = {value} AS INT) AS said,
                         CAST(Churned = {value} AND rule = {value} AS INT) AS hit
@@ -380,7 +380,7 @@ _RISK = f"SELECT *, Recency / 90.0 AS ChurnProbability FROM ({_CHURN})"
 @query(
     "m7_risk_summary",
     with_tables(
-        f"""SELECT count(*) AS at_risk_customers, coalesce({rounded('sum(TotalSpent)')}, 0.0) AS revenue_at_risk
+        f"""SELECT count(*) AS at_risk_customers, coalesce({compared('sum(TotalSpent)')}, 0.0) AS revenue_at_risk
             FROM scored WHERE Churned = 0 AND ChurnProbability > 0.7""",
         scored=_RISK,
     ),
@@ -393,12 +393,12 @@ def _(f):
 @query(
     "m8_product_demand",
     with_tables(
-        f"""SELECT Product, {rounded('avg(units)')} AS Avg_Daily_Demand,
-              (array_agg({rounded('smooth')} ORDER BY Date DESC))[1] AS Forecasted_Demand,
+        f"""SELECT Product, {compared('avg(units)')} AS Avg_Daily_Demand,
+              (array_agg({compared('smooth')} ORDER BY Date DESC))[1] AS Forecasted_Demand,
               CAST(sum(units) AS BIGINT) AS Total_Sold
             FROM (SELECT *, CASE WHEN count(*) OVER w >= 7 THEN avg(units) OVER w END AS smooth FROM daily
                   WINDOW w AS (PARTITION BY Product ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-            GROUP BY Product ORDER BY sum(units) DESC, Product LIMIT 5""",
+            GROUP BY Product ORDER BY sum(units) DESC, Product LIMIT 20""",
         daily=DAILY_DEMAND,
     ),
 )
@@ -419,7 +419,7 @@ def _(f):
 @query(
     "m9_anomaly_features",
     with_tables(
-        f"""SELECT Quantity, {rounded('UnitPrice', 4)} AS UnitPrice, {rounded('TotalPrice', 4)} AS TotalPrice,
+        f"""SELECT Quantity, {compared('UnitPrice', 4)} AS UnitPrice, {compared('TotalPrice', 4)} AS TotalPrice,
               CAST(hour(InvoiceDate) AS INT) AS Hour, CAST(isodow(InvoiceDate) - 1 AS INT) AS DayOfWeek
             FROM sales"""
     ),
@@ -433,8 +433,8 @@ def _(f):
 @query(
     "m10_forecast_errors",
     with_tables(
-        f"""SELECT Country, {rounded('avg(abs(e))')} AS mae, {rounded('sqrt(avg(e * e))')} AS rmse,
-              {rounded('avg(abs(e / nullif(actual, 0))) * 100')} AS mape
+        f"""SELECT Country, {compared('avg(abs(e))')} AS mae, {compared('sqrt(avg(e * e))')} AS rmse,
+              {compared('avg(abs(e / nullif(actual, 0))) * 100')} AS mape
             FROM (SELECT Country, actual, actual - avg(actual) OVER (PARTITION BY Country ORDER BY Date
                     ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS e,
                     row_number() OVER (PARTITION BY Country ORDER BY Date) AS place,
@@ -488,7 +488,7 @@ def _labelled(f):
 @query(
     "k1_cluster_features",
     with_tables(
-        f"""SELECT * REPLACE ({rounded('MonetaryValue')} AS MonetaryValue, {rounded('AvgOrderValue')} AS AvgOrderValue)
+        f"""SELECT * REPLACE ({compared('MonetaryValue')} AS MonetaryValue, {compared('AvgOrderValue')} AS AvgOrderValue)
             FROM features""",
         features=_FEATURES,
     ),
@@ -501,10 +501,10 @@ def _(f):
     "k1_feature_summary",
     with_tables(
         " UNION ALL ".join(
-            f"""SELECT '{c}' AS "column", count({c}) AS count, {rounded(f'avg({c})')} AS mean,
-                  {rounded(f'stddev_samp({c})')} AS std, {rounded(f'min({c})')} AS min,
-                  {rounded(f'quantile_cont({c}, 0.25)')} AS q25, {rounded(f'quantile_cont({c}, 0.5)')} AS median,
-                  {rounded(f'quantile_cont({c}, 0.75)')} AS q75, {rounded(f'max({c})')} AS max FROM features"""
+            f"""SELECT '{c}' AS "column", count({c}) AS count, {compared(f'avg({c})')} AS mean,
+                  {compared(f'stddev_samp({c})')} AS std, {compared(f'min({c})')} AS min,
+                  {compared(f'quantile_cont({c}, 0.25)')} AS q25, {compared(f'quantile_cont({c}, 0.5)')} AS median,
+                  {compared(f'quantile_cont({c}, 0.75)')} AS q75, {compared(f'max({c})')} AS max FROM features"""
             for c in clusters.FEATURES
         ),
         features=_FEATURES,
@@ -519,7 +519,7 @@ def _(f):
     with_tables(
         "SELECT CustomerID, "
         + ", ".join(
-            f"""{rounded(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 4)} AS scaled_{c}"""
+            f"""{compared(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 4)} AS scaled_{c}"""
             for c in clusters.FEATURES
         )
         + " FROM features",
@@ -549,7 +549,7 @@ def _silhouette_sql(name, distance):
     )
     squares = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(len(clusters.FEATURES)))
     return with_tables(
-        f"""SELECT '{name}' AS metric, {rounded('avg(width)')} AS number, CAST(NULL AS VARCHAR) AS label FROM (
+        f"""SELECT '{name}' AS metric, {compared('avg(width)')} AS number, CAST(NULL AS VARCHAR) AS label FROM (
               SELECT CustomerID, min(mean) FILTER (Cluster != other) AS outside,
                 any_value(mean) FILTER (Cluster = other) AS inside,
                 coalesce((outside - inside) / greatest(outside, inside), 0) AS width
@@ -568,9 +568,26 @@ def _(f):
     return clusters.silhouette(_tiers(f))
 
 
-@query("k5_euclidean_silhouette", _silhouette_sql("silhouette_euclidean", "sqrt({})"))
+_SCALED = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(clusters.FEATURES)]
+_AXES = range(len(clusters.FEATURES))
+
+
+@query(
+    "k5_euclidean_silhouette",
+    with_tables(
+        f"""SELECT 'silhouette_centroid' AS metric, {compared('avg(coalesce((outside - inside) / greatest(outside, inside), 0))')} AS number,
+              CAST(NULL AS VARCHAR) AS label
+            FROM (SELECT min(d) FILTER (own != other) AS outside, any_value(d) FILTER (own = other) AS inside
+                  FROM distances GROUP BY CustomerID)""",
+        **_CLUSTERS,
+        points=f"SELECT CustomerID, Cluster, {', '.join(_SCALED)} FROM tiers",
+        centres=f"SELECT Cluster, {', '.join(f'avg(x{i}) AS m{i}' for i in _AXES)} FROM points GROUP BY Cluster",
+        distances=f"""SELECT CustomerID, p.Cluster AS own, c.Cluster AS other,
+                        sqrt({' + '.join(f'(x{i} - m{i}) ** 2' for i in _AXES)}) AS d FROM points p, centres c""",
+    ),
+)
 def _(f):
-    return clusters.euclidean_silhouette(_tiers(f))
+    return clusters.centroid_silhouette(_tiers(f))
 
 
 _PROFILE_SELECT = f"""SELECT *, {half_even('Customers * 100.0 / sum(Customers) OVER ()', 1)} AS Customer_Pct,
@@ -617,8 +634,8 @@ def _(f):
     return clusters.cluster_profile(_tiers(f)).select("Cluster", "Cluster_Name", "Strategy")
 
 
-_LABELLED_COLUMNS = f"""CustomerID, Cluster, Recency, Frequency, {rounded('MonetaryValue')} AS MonetaryValue,
-  {rounded('AvgOrderValue')} AS AvgOrderValue, TotalQuantity, CustomerLifespan, ClusterName"""
+_LABELLED_COLUMNS = f"""CustomerID, Cluster, Recency, Frequency, {compared('MonetaryValue')} AS MonetaryValue,
+  {compared('AvgOrderValue')} AS AvgOrderValue, TotalQuantity, CustomerLifespan, ClusterName"""
 
 
 @query("k9_labelled_customers", with_tables(f"SELECT {_LABELLED_COLUMNS} FROM labelled", **_LABELLED))
@@ -645,9 +662,9 @@ def _(f):
 @query(
     "l2_cluster_rollup",
     with_tables(
-        f"""SELECT ClusterName, count(*) AS customers, {rounded('sum(MonetaryValue)')} AS revenue,
-              {rounded('avg(MonetaryValue)')} AS avg_value, {rounded('avg(Recency)')} AS avg_recency,
-              {rounded('avg(Frequency)')} AS avg_frequency FROM labelled GROUP BY ClusterName""",
+        f"""SELECT ClusterName, count(*) AS customers, {compared('sum(MonetaryValue)')} AS revenue,
+              {compared('avg(MonetaryValue)')} AS avg_value, {compared('avg(Recency)')} AS avg_recency,
+              {compared('avg(Frequency)')} AS avg_frequency FROM labelled GROUP BY ClusterName""",
         **_LABELLED,
     ),
 )
@@ -658,9 +675,9 @@ def _(f):
 @query(
     "l3_cluster_personas",
     with_tables(
-        f"""SELECT ClusterName, count(*) AS customer_count, {rounded('avg(MonetaryValue)')} AS avg_lifetime_value,
-              {rounded('avg(Frequency)', 1)} AS avg_orders, {rounded('avg(Recency)', 0)} AS avg_days_since_purchase,
-              {rounded('avg(AvgOrderValue)')} AS avg_order_size, {rounded('sum(MonetaryValue)')} AS total_revenue
+        f"""SELECT ClusterName, count(*) AS customer_count, {compared('avg(MonetaryValue)')} AS avg_lifetime_value,
+              {compared('avg(Frequency)', 1)} AS avg_orders, {compared('avg(Recency)', 0)} AS avg_days_since_purchase,
+              {compared('avg(AvgOrderValue)')} AS avg_order_size, {compared('sum(MonetaryValue)')} AS total_revenue
             FROM labelled GROUP BY ClusterName""",
         **_LABELLED,
     ),
@@ -672,7 +689,7 @@ def _(f):
 @query(
     "l4_cluster_sample",
     with_tables(
-        f"""SELECT CustomerID, Cluster, ClusterName, {rounded('MonetaryValue')} AS MonetaryValue FROM labelled
+        f"""SELECT CustomerID, Cluster, ClusterName, {compared('MonetaryValue')} AS MonetaryValue FROM labelled
             ORDER BY CustomerID LIMIT 5""",
         **_LABELLED,
     ),

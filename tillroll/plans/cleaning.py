@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, profiling
 from tillroll.plans.registry import query
-from tillroll.plans.sql import half_even, rounded, with_tables
+from tillroll.plans.sql import compared, half_even, with_tables
 from tillroll.schema import RAW, TRANSACTIONS
 from tillroll.sources import tables
 from tillroll.staging import new_path
@@ -27,7 +27,7 @@ def _by_country(df):
 
 
 def _by_country_sql(source):
-    return with_tables(_BY_COUNTRY.format(price=rounded("sum(UnitPrice)"), source=source))
+    return with_tables(_BY_COUNTRY.format(price=compared("sum(UnitPrice)"), source=source))
 
 
 @query("s1_raw_scan", _by_country_sql("raw"))
@@ -71,10 +71,10 @@ def _(f):
 @query(
     "s5_partitioned_sink",
     with_tables(
-        f"""SELECT 'all' AS part, YearMonth, count(*) AS rows, {rounded('sum(TotalPrice)')} AS revenue
+        f"""SELECT 'all' AS part, YearMonth, count(*) AS rows, {compared('sum(TotalPrice)')} AS revenue
             FROM tx GROUP BY YearMonth
             UNION ALL
-            SELECT 'sales', YearMonth, count(*), {rounded('sum(TotalPrice)')} FROM sales GROUP BY YearMonth"""
+            SELECT 'sales', YearMonth, count(*), {compared('sum(TotalPrice)')} FROM sales GROUP BY YearMonth"""
     ),
 )
 def _(f):
@@ -93,7 +93,7 @@ def _(f):
 
 @query(
     "s6_csv_sink",
-    with_tables(f"SELECT Country, {rounded('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country"),
+    with_tables(f"SELECT Country, {compared('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country"),
 )
 def _(f):
     path = new_path(f.spark, "result")
@@ -139,7 +139,7 @@ def _(f):
 @query(
     "c3_bad_prices",
     with_tables(
-        f"""SELECT StockCode, count(*) AS rows, {rounded('sum(UnitPrice)')} AS prices
+        f"""SELECT StockCode, count(*) AS rows, {compared('sum(UnitPrice)')} AS prices
             FROM raw WHERE NOT coalesce(UnitPrice <= 0 OR UnitPrice > 10000, FALSE) GROUP BY StockCode"""
     ),
 )
@@ -151,7 +151,7 @@ def _(f):
 @query(
     "c4_duplicates",
     with_tables(
-        f"""SELECT {_RAW_COLUMNS.replace('UnitPrice', rounded('UnitPrice') + ' AS UnitPrice')}
+        f"""SELECT {_RAW_COLUMNS.replace('UnitPrice', compared('UnitPrice') + ' AS UnitPrice')}
             FROM (SELECT *, row_number() OVER (
                     PARTITION BY InvoiceNo, StockCode, CustomerID, Quantity, UnitPrice, InvoiceDate
                     ORDER BY Description NULLS LAST, Country NULLS LAST) AS copy FROM raw)
@@ -185,7 +185,7 @@ _CALENDAR = ["Year", "Month", "Day", "DayOfWeek", "Hour", "MonthName", "DayName"
 @query(
     "c6_calculated_fields",
     with_tables(
-        f"""SELECT {', '.join(_CALENDAR)}, count(*) AS rows, {rounded('sum(TotalPrice)')} AS TotalPrice
+        f"""SELECT {', '.join(_CALENDAR)}, count(*) AS rows, {compared('sum(TotalPrice)')} AS TotalPrice
             FROM tx GROUP BY ALL"""
     ),
 )
@@ -224,7 +224,7 @@ def _(f):
     with_tables(
         f"""SELECT original_rows, 8 AS original_columns, final_rows, 18 AS final_columns,
               original_rows - final_rows AS rows_removed,
-              {rounded('(original_rows - final_rows) * 100.0 / original_rows')} AS removal_percentage,
+              {compared('(original_rows - final_rows) * 100.0 / original_rows')} AS removal_percentage,
               missing_customers_original, returns_identified,
               original_rows - priced_rows AS bad_prices_removed, priced_rows - final_rows AS duplicates_removed,
               missing_descriptions_original
@@ -243,7 +243,7 @@ def _(f):
 @query(
     "c10_remove_returns",
     with_tables(
-        f"""SELECT Country, count(*) AS rows, {rounded('sum(TotalPrice)')} AS revenue
+        f"""SELECT Country, count(*) AS rows, {compared('sum(TotalPrice)')} AS revenue
             FROM tx WHERE NOT IsReturn GROUP BY Country"""
     ),
 )
@@ -262,10 +262,10 @@ def _(f):
               count(DISTINCT StockCode) AS unique_products,
               count(DISTINCT InvoiceNo) AS unique_invoices,
               min(InvoiceDate) AS first_date, max(InvoiceDate) AS last_date,
-              (SELECT {rounded('sum(TotalPrice)')} FROM sales) AS total_revenue,
-              (SELECT {rounded('avg(t)')} FROM (SELECT sum(TotalPrice) AS t FROM sales GROUP BY InvoiceNo))
+              (SELECT {compared('sum(TotalPrice)')} FROM sales) AS total_revenue,
+              (SELECT {compared('avg(t)')} FROM (SELECT sum(TotalPrice) AS t FROM sales GROUP BY InvoiceNo))
                 AS avg_invoice_total,
-              (SELECT {rounded('avg(UnitPrice)')} FROM sales) AS avg_item_price
+              (SELECT {compared('avg(UnitPrice)')} FROM sales) AS avg_item_price
             FROM tx"""
     ),
 )
@@ -289,7 +289,7 @@ def _preview_sql(direction):
         f"{c} {direction} NULLS LAST"
         for c in ["InvoiceDate", "InvoiceNo", "StockCode", "Description", "Quantity", "UnitPrice", "CustomerID"]
     )
-    columns = _RAW_COLUMNS.replace("UnitPrice", rounded("UnitPrice") + " AS UnitPrice")
+    columns = _RAW_COLUMNS.replace("UnitPrice", compared("UnitPrice") + " AS UnitPrice")
     return f"(SELECT {columns} FROM raw ORDER BY {order}, Country {direction} LIMIT 5)"
 
 
@@ -327,10 +327,10 @@ def _(f):
 def _describe_sql(source, columns):
     return with_tables(
         " UNION ALL ".join(
-            f"""SELECT '{c}' AS "column", count({c}) AS count, {rounded(f'avg({c})')} AS mean,
-                  {rounded(f'stddev_samp({c})')} AS std, {rounded(f'min({c})')} AS min,
-                  {rounded(f'quantile_cont({c}, 0.25)')} AS q25, {rounded(f'quantile_cont({c}, 0.5)')} AS median,
-                  {rounded(f'quantile_cont({c}, 0.75)')} AS q75, {rounded(f'max({c})')} AS max FROM {source}"""
+            f"""SELECT '{c}' AS "column", count({c}) AS count, {compared(f'avg({c})')} AS mean,
+                  {compared(f'stddev_samp({c})')} AS std, {compared(f'min({c})')} AS min,
+                  {compared(f'quantile_cont({c}, 0.25)')} AS q25, {compared(f'quantile_cont({c}, 0.5)')} AS median,
+                  {compared(f'quantile_cont({c}, 0.75)')} AS q75, {compared(f'max({c})')} AS max FROM {source}"""
             for c in columns
         )
     )

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.functions.numbers import half_up
 from tillroll.operators.cleaning import clean_transactions, remove_returns
 from tillroll.sources.retail import raw_transactions
 
@@ -15,6 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Digits at which the float noise of a sum is removed before results are compared.
+_NOISE_DIGITS = 6
+
+
 class Frames:
     """Raw, cleaned and sold transactions of one data folder, as lazy plans."""
 
@@ -41,7 +44,7 @@ def comparable(df: DataFrame, digits: int = 2) -> DataFrame:
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            column = half_up(column, digits)
+            column = F.round(F.round(column, _NOISE_DIGITS), digits)
         elif isinstance(field.dataType, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         columns.append(column.alias(field.name))

@@ -8,7 +8,7 @@ from tillroll.models import forecast
 from tillroll.operators import baskets, cohorts, customers, explore, ranking, reports, rollups
 from tillroll.plans import sql
 from tillroll.plans.registry import query
-from tillroll.plans.sql import day, rounded, with_tables
+from tillroll.plans.sql import compared, day, rounded, with_tables
 
 
 @query(
@@ -79,7 +79,7 @@ def _(f):
     "q5_hourly_patterns",
     with_tables(
         f"""SELECT CAST(extract(hour FROM InvoiceDate) AS INT) AS Hour, dayname(InvoiceDate) AS DayOfWeek,
-              count(DISTINCT InvoiceNo) AS Orders, {rounded('sum(TotalPrice)')} AS Revenue,
+              count(DISTINCT InvoiceNo) AS Orders, {rounded('sum(CAST(TotalPrice AS DECIMAL(28, 8)))')} AS Revenue,
               {rounded('avg(TotalPrice)')} AS AvgTransaction
             FROM tx GROUP BY 1, 2 ORDER BY Revenue DESC, Hour, DayOfWeek LIMIT 20"""
     ),
@@ -145,7 +145,7 @@ def _(f):
 
 @query(
     "b1_country_totals",
-    with_tables(f"SELECT Country, {rounded('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country"),
+    with_tables(f"SELECT Country, {compared('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country"),
 )
 def _(f):
     return reports.country_totals(f.tx)
@@ -155,7 +155,7 @@ def _(f):
     "b2_month_totals",
     with_tables(
         f"""SELECT {day("date_trunc('month', InvoiceDate)")} AS Month, count(*) AS Orders,
-              {rounded('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY date_trunc('month', InvoiceDate)"""
+              {compared('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY date_trunc('month', InvoiceDate)"""
     ),
 )
 def _(f):
@@ -166,7 +166,7 @@ def _(f):
     "l1_business_kpis",
     with_tables(
         f"""SELECT count(DISTINCT InvoiceNo) AS total_orders, count(DISTINCT CustomerID) AS total_customers,
-              {rounded('sum(TotalPrice)')} AS total_revenue, {rounded('avg(TotalPrice)')} AS avg_transaction FROM tx"""
+              {compared('sum(TotalPrice)')} AS total_revenue, {compared('avg(TotalPrice)')} AS avg_transaction FROM tx"""
     ),
 )
 def _(f):
@@ -210,7 +210,7 @@ def _(f):
     "j5_cohort_share",
     with_tables(
         f"""SELECT c.CohortMonth, c.CohortIndex, c.CustomerCount, s.CustomerCount AS CohortSize,
-              {rounded('c.CustomerCount * 100.0 / s.CustomerCount')} AS RetentionPct
+              {compared('c.CustomerCount * 100.0 / s.CustomerCount')} AS RetentionPct
             FROM cohort_data c JOIN cohort_data s ON c.CohortMonth = s.CohortMonth AND s.CohortIndex = 0""",
         dated="""SELECT CustomerID, InvoiceDate, min(InvoiceDate) OVER (PARTITION BY CustomerID) AS first
                  FROM tx WHERE CustomerID != 'Guest'""",
@@ -226,7 +226,7 @@ def _(f):
 @query(
     "j6_best_seller_lines",
     with_tables(
-        f"""SELECT Description, count(*) AS rows, {rounded('sum(TotalPrice)')} AS revenue FROM sales
+        f"""SELECT Description, count(*) AS rows, {compared('sum(TotalPrice)')} AS revenue FROM sales
             WHERE Description IN (SELECT Description FROM sales GROUP BY Description
                                   ORDER BY sum(Quantity) DESC, Description LIMIT 50)
             GROUP BY Description"""
@@ -257,7 +257,7 @@ def _(f):
 @query(
     "a1_basic_aggregates",
     with_tables(
-        f"""SELECT StockCode, {rounded('sum(TotalPrice)')} AS total, {rounded('avg(TotalPrice)')} AS mean,
+        f"""SELECT StockCode, {compared('sum(TotalPrice)')} AS total, {compared('avg(TotalPrice)')} AS mean,
               count(*) AS rows, min(InvoiceDate) AS first, max(InvoiceDate) AS last FROM tx GROUP BY StockCode"""
     ),
 )
@@ -305,7 +305,7 @@ def _(f):
 @query(
     "a4_having",
     with_tables(
-        f"""SELECT Country, {rounded('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country
+        f"""SELECT Country, {compared('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country
             HAVING sum(TotalPrice) > (SELECT sum(TotalPrice) / 25 FROM tx)"""
     ),
 )
@@ -332,7 +332,7 @@ def _(f):
 @query(
     "a6_two_level_aggregate",
     with_tables(
-        f"""SELECT Country, {rounded('avg(t)')} AS mean_invoice, {rounded('max(t)')} AS largest_invoice
+        f"""SELECT Country, {compared('avg(t)')} AS mean_invoice, {compared('max(t)')} AS largest_invoice
             FROM (SELECT Country, InvoiceNo, sum(TotalPrice) AS t FROM sales GROUP BY 1, 2) GROUP BY Country"""
     ),
 )
@@ -345,7 +345,7 @@ def _(f):
 
 @query(
     "a7_median",
-    with_tables(f"SELECT {rounded('median(TotalPrice)')} AS median_line FROM sales"),
+    with_tables(f"SELECT {compared('median(TotalPrice)')} AS median_line FROM sales"),
 )
 def _(f):
     (median,) = ranking.exact_quantiles(f.sales, "TotalPrice", [0.5])
@@ -356,7 +356,7 @@ def _(f):
     "a8_quantile_edges",
     with_tables(
         " UNION ALL ".join(
-            f"SELECT CAST({p} AS DOUBLE) AS fraction, {rounded(f'quantile_cont(UnitPrice, {p})', 4)} AS edge FROM sales"
+            f"SELECT CAST({p} AS DOUBLE) AS fraction, {compared(f'quantile_cont(UnitPrice, {p})', 4)} AS edge FROM sales"
             for p in (0.2, 0.4, 0.6, 0.8)
         )
     ),
@@ -393,7 +393,7 @@ def _(f):
 @query(
     "a11_share_of_total",
     with_tables(
-        f"""SELECT Country, {rounded('sum(TotalPrice)')} AS Revenue,
+        f"""SELECT Country, {compared('sum(TotalPrice)')} AS Revenue,
               {sql.half_even('sum(TotalPrice) * 100.0 / (SELECT sum(TotalPrice) FROM sales)', 1)} AS Revenue_Pct
             FROM sales GROUP BY Country"""
     ),
@@ -406,8 +406,8 @@ def _(f):
 @query(
     "a12_customer_aggregate",
     with_tables(
-        f"""SELECT CustomerID, Frequency, {rounded('MonetaryValue')} AS MonetaryValue,
-              {rounded('AvgOrderValue')} AS AvgOrderValue, TotalQuantity, FirstPurchase, LastPurchase FROM c""",
+        f"""SELECT CustomerID, Frequency, {compared('MonetaryValue')} AS MonetaryValue,
+              {compared('AvgOrderValue')} AS AvgOrderValue, TotalQuantity, FirstPurchase, LastPurchase FROM c""",
         c=sql.customers("tx"),
     ),
 )
@@ -499,7 +499,7 @@ DAILY_DEMAND = """SELECT Description AS Product, CAST(InvoiceDate AS DATE) AS Da
     "w5_rolling_mean",
     with_tables(
         f"""SELECT Product, {day('Date')} AS Date, CAST(units AS BIGINT) AS units,
-              CASE WHEN count(*) OVER w >= 7 THEN {rounded('avg(units) OVER w')} END AS smooth
+              CASE WHEN count(*) OVER w >= 7 THEN {compared('avg(units) OVER w')} END AS smooth
             FROM daily WINDOW w AS (PARTITION BY Product ORDER BY Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
         daily=DAILY_DEMAND,
     ),

@@ -62,14 +62,19 @@ def with_tables(select: str, **tables: str) -> str:
     return f"{_TABLES}{extra}\n{select}"
 
 
-def rounded(expression: str, digits: int = 2) -> str:
-    """Halves away from zero on the decimal value."""
+def compared(expression: str, digits: int = 2) -> str:
+    """What `registry.comparable` makes of a double: float noise goes first."""
     return f"CAST(round(CAST({expression} AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
 
 
+def rounded(expression: str, digits: int = 2) -> str:
+    """Halves away from zero on the decimal value, where an operator rounds by itself."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
 def half_even(expression: str, digits: int = 2) -> str:
     """Halves to the even neighbour on the decimal value."""
-    return f"CAST(round_even(CAST({expression} AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
+    return f"CAST(round_even(CAST({expression} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
 
 
 def day(expression: str) -> str:
@@ -78,7 +83,7 @@ def day(expression: str) -> str:
 
 def metric(name: str, number: str = "NULL", label: str = "NULL", source: str = "") -> str:
     """One `(metric, number, label)` row."""
-    number = "CAST(NULL AS DOUBLE)" if number == "NULL" else rounded(number)
+    number = "CAST(NULL AS DOUBLE)" if number == "NULL" else compared(number)
     return f"SELECT '{name}' AS metric, {number} AS number, CAST({label} AS VARCHAR) AS label {source}"
 
 

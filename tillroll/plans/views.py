@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import dashboard, explore, profiling, rollups
 from tillroll.plans import sql
 from tillroll.plans.registry import query
-from tillroll.plans.sql import metric, metrics, rounded, with_tables
+from tillroll.plans.sql import compared, metric, metrics, with_tables
 from tillroll.schema import WEEKDAYS
 
 _LATEST = "sum(TotalPrice) AS Revenue"
@@ -102,7 +102,7 @@ _SERIES_SQL = {
 
 def _series_sql(source):
     return " UNION ALL ".join(
-        f"SELECT '{grain}' AS grain, {period} AS Date, {rounded('sum(TotalPrice)')} AS Revenue FROM {source} GROUP BY 2"
+        f"SELECT '{grain}' AS grain, {period} AS Date, {compared('sum(TotalPrice)')} AS Revenue FROM {source} GROUP BY 2"
         for grain, period in _SERIES_SQL.items()
     )
 
@@ -128,7 +128,7 @@ def _(f):
 @query(
     "e2_top_products",
     with_tables(
-        f"""(SELECT 'Revenue' AS ranking, Description AS Product, {rounded('Revenue')} AS value FROM by_product
+        f"""(SELECT 'Revenue' AS ranking, Description AS Product, {compared('Revenue')} AS value FROM by_product
              ORDER BY Revenue DESC, Description LIMIT 20)
             UNION ALL
             (SELECT 'Quantity', Description, CAST(Quantity AS DOUBLE) FROM by_product
@@ -152,7 +152,7 @@ def _(f):
 @query(
     "e3_top_customers",
     with_tables(
-        f"""SELECT CustomerID, {rounded('Revenue')} AS Revenue FROM by_customer
+        f"""SELECT CustomerID, {compared('Revenue')} AS Revenue FROM by_customer
             ORDER BY by_customer.Revenue DESC, CustomerID LIMIT 20""",
         **_TABLES,
     ),
@@ -169,7 +169,7 @@ def _(f):
 @query(
     "e4_country_totals",
     with_tables(
-        f"SELECT Country, {rounded('Revenue')} AS Revenue, rows AS Transactions FROM by_country", **_TABLES
+        f"SELECT Country, {compared('Revenue')} AS Revenue, rows AS Transactions FROM by_country", **_TABLES
     ),
 )
 def _(f):
@@ -183,14 +183,14 @@ def _(f):
 
 @query(
     "e5_hourly",
-    with_tables(f"SELECT Hour, {rounded('Revenue')} AS Revenue, rows AS Transactions FROM by_hour", **_TABLES),
+    with_tables(f"SELECT Hour, {compared('Revenue')} AS Revenue, rows AS Transactions FROM by_hour", **_TABLES),
 )
 def _(f):
     return explore.hourly(f.sales)
 
 
 def _panel(name, key, value, source):
-    return f"""(SELECT '{name}' AS panel, CAST({key} AS VARCHAR) AS key, {rounded(value)} AS value FROM {source})"""
+    return f"""(SELECT '{name}' AS panel, CAST({key} AS VARCHAR) AS key, {compared(value)} AS value FROM {source})"""
 
 
 @query(
@@ -257,7 +257,7 @@ def _(f):
         f"""SELECT 'total' AS part, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM tx
             UNION ALL SELECT 'sales', '', CAST(count(*) AS DOUBLE) FROM sales
             UNION ALL SELECT 'returns', '', CAST(count(*) AS DOUBLE) FROM tx WHERE IsReturn
-            UNION ALL (SELECT 'customers', CustomerID, {rounded('Revenue')} FROM by_customer
+            UNION ALL (SELECT 'customers', CustomerID, {compared('Revenue')} FROM by_customer
                        ORDER BY Revenue DESC, CustomerID LIMIT 5)
             UNION ALL (SELECT 'products', Description, CAST(Quantity AS DOUBLE) FROM by_product
                        ORDER BY Quantity DESC, Description LIMIT 5)""",
@@ -283,7 +283,7 @@ def _(f):
 @query(
     "t1_order_and_limit",
     with_tables(
-        f"""SELECT StockCode, {rounded('r')} AS Revenue FROM (
+        f"""SELECT StockCode, {compared('r')} AS Revenue FROM (
               SELECT StockCode, sum(TotalPrice) AS r FROM tx GROUP BY StockCode) ORDER BY r DESC, StockCode LIMIT 25"""
     ),
 )
@@ -319,7 +319,7 @@ _WEEK = ", ".join(f"({i}, '{name}')" for i, name in enumerate(WEEKDAYS, start=1)
 
 
 def _weekday_sql(source):
-    return f"""SELECT w.position, w.day AS Day, {rounded('r')} AS Revenue
+    return f"""SELECT w.position, w.day AS Day, {compared('r')} AS Revenue
                FROM (VALUES {_WEEK}) AS w(position, day)
                LEFT JOIN (SELECT DayName, sum(TotalPrice) AS r FROM {source} GROUP BY 1) ON w.day = DayName"""
 
@@ -343,7 +343,7 @@ def _(f):
 @query(
     "u2_top_and_others",
     with_tables(
-        f"""SELECT CASE WHEN rank <= 5 THEN Country ELSE 'Others' END AS Country, {rounded('sum(Revenue)')} AS Revenue
+        f"""SELECT CASE WHEN rank <= 5 THEN Country ELSE 'Others' END AS Country, {compared('sum(Revenue)')} AS Revenue
             FROM (SELECT *, row_number() OVER (ORDER BY Revenue DESC, Country) AS rank FROM by_country) GROUP BY 1""",
         **_TABLES,
     ),
@@ -385,7 +385,7 @@ _CHOSEN = """sales WHERE InvoiceDate >= TIMESTAMP '1996-01-01 00:00:00'
     "d0_filtered_sales",
     with_tables(
         f"""SELECT InvoiceNo, StockCode, Description, CustomerID, InvoiceDate, Quantity,
-              {rounded('TotalPrice')} AS TotalPrice FROM {_CHOSEN}"""
+              {compared('TotalPrice')} AS TotalPrice FROM {_CHOSEN}"""
     ),
 )
 def _(f):
@@ -397,9 +397,9 @@ def _(f):
 @query(
     "d1_kpis",
     with_tables(
-        f"""SELECT {rounded('sum(TotalPrice)')} AS total_revenue, count(*) AS total_transactions,
+        f"""SELECT {compared('sum(TotalPrice)')} AS total_revenue, count(*) AS total_transactions,
               count(DISTINCT CustomerID) AS total_customers,
-              {rounded('(SELECT avg(t) FROM (SELECT sum(TotalPrice) AS t FROM chosen GROUP BY InvoiceNo))')}
+              {compared('(SELECT avg(t) FROM (SELECT sum(TotalPrice) AS t FROM chosen GROUP BY InvoiceNo))')}
                 AS avg_order_value FROM chosen""",
         chosen=f"SELECT * FROM {_CHOSEN}",
     ),
@@ -414,7 +414,7 @@ def _(f):
 
 
 def _top_sql(key, name):
-    return f"""SELECT {key} AS {name}, {rounded('r')} AS Revenue FROM (
+    return f"""SELECT {key} AS {name}, {compared('r')} AS Revenue FROM (
                  SELECT {key}, sum(TotalPrice) AS r FROM sales GROUP BY 1) ORDER BY r DESC, {key} LIMIT 10"""
 
 
@@ -429,7 +429,7 @@ def _(f):
 
 
 @query(
-    "d5_hourly_revenue", with_tables(f"SELECT Hour, {rounded('sum(TotalPrice)')} AS Revenue FROM sales GROUP BY Hour")
+    "d5_hourly_revenue", with_tables(f"SELECT Hour, {compared('sum(TotalPrice)')} AS Revenue FROM sales GROUP BY Hour")
 )
 def _(f):
     return dashboard.hourly_revenue(f.sales)
@@ -438,7 +438,7 @@ def _(f):
 @query(
     "d6_guest_split",
     with_tables(
-        f"""SELECT t AS CustomerType, coalesce({rounded('sum(TotalPrice)')}, 0.0) AS Revenue
+        f"""SELECT t AS CustomerType, coalesce({compared('sum(TotalPrice)')}, 0.0) AS Revenue
             FROM (VALUES ('Guest'), ('Registered')) AS v(t)
             LEFT JOIN sales ON (CustomerID = 'Guest') = (t = 'Guest') GROUP BY t"""
     ),
