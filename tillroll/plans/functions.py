@@ -6,7 +6,7 @@ from tillroll.functions import dates, numbers, text
 from tillroll.operators import cleaning, customers
 from tillroll.plans import sql
 from tillroll.plans.registry import query
-from tillroll.plans.sql import day, half_even, rounded, with_tables
+from tillroll.plans.sql import compared, day, half_even, rounded, with_tables
 
 
 def _by_value(name, source, column, expression, digits=2):
@@ -119,7 +119,7 @@ def _(f):
 @query(
     "f14_safe_division",
     with_tables(
-        f"""SELECT CustomerID, {rounded('sum(TotalPrice) / nullif(count(*) FILTER (IsReturn), 0)')} AS per_return
+        f"""SELECT CustomerID, {compared('sum(TotalPrice) / nullif(count(*) FILTER (IsReturn), 0)')} AS per_return
             FROM tx GROUP BY CustomerID"""
     ),
 )
@@ -132,7 +132,7 @@ def _(f):
 @query(
     "f15_finite_or_zero",
     with_tables(
-        f"""SELECT CustomerID, CASE WHEN life = 0 THEN 0.0 ELSE {rounded('orders / (life / 30.0)', 4)} END AS per_month
+        f"""SELECT CustomerID, CASE WHEN life = 0 THEN 0.0 ELSE {compared('orders / (life / 30.0)', 4)} END AS per_month
             FROM (SELECT CustomerID, count(DISTINCT InvoiceNo) AS orders,
                     {sql.elapsed('min(InvoiceDate)', 'max(InvoiceDate)')} AS life FROM sales GROUP BY CustomerID)"""
     ),

@@ -15,7 +15,7 @@ from tillroll.plans.sql import compared, day, rounded, with_tables
     "q1_revenue_by_country",
     with_tables(
         f"""SELECT Country, count(DISTINCT InvoiceNo) AS Orders, count(DISTINCT CustomerID) AS Customers,
-              {rounded('sum(TotalPrice)')} AS Revenue, {rounded('avg(TotalPrice)')} AS AvgOrderValue,
+              {compared('sum(TotalPrice)')} AS Revenue, {compared('avg(TotalPrice)')} AS AvgOrderValue,
               CAST(sum(Quantity) AS BIGINT) AS TotalUnits
             FROM tx GROUP BY Country HAVING sum(TotalPrice) > 10000 ORDER BY sum(TotalPrice) DESC LIMIT 10"""
     ),
@@ -28,8 +28,8 @@ def _(f):
     "q2_monthly_trends",
     with_tables(
         f"""SELECT {day("date_trunc('month', InvoiceDate)")} AS Month, count(DISTINCT InvoiceNo) AS Orders,
-              count(DISTINCT CustomerID) AS Customers, {rounded('sum(TotalPrice)')} AS Revenue,
-              {rounded('avg(TotalPrice)')} AS AvgTransaction, CAST(sum(Quantity) AS BIGINT) AS Units
+              count(DISTINCT CustomerID) AS Customers, {compared('sum(TotalPrice)')} AS Revenue,
+              {compared('avg(TotalPrice)')} AS AvgTransaction, CAST(sum(Quantity) AS BIGINT) AS Units
             FROM tx GROUP BY date_trunc('month', InvoiceDate) ORDER BY 1"""
     ),
 )
