@@ -38,10 +38,10 @@ def brute_force(rows, min_together):
     return {pair: (n, money[pair]) for pair, n in times.items() if n >= min_together}
 
 
-@pytest.mark.parametrize("seed, min_together, heavy_items", [(1, 4, 5), (2, 6, 5), (3, 2, 1), (4, 1, 1), (5, 5, 1000)])
-def test_affinity_equals_brute_force(spark, seed, min_together, heavy_items):
+@pytest.mark.parametrize("seed, min_together, block", [(1, 4, 5), (2, 6, 5), (3, 2, 1), (4, 1, 1), (5, 5, 1000)])
+def test_affinity_equals_brute_force(spark, seed, min_together, block):
     rows = random_baskets(seed)
-    found = baskets.product_affinity(transactions(spark, rows), min_together, 1000, heavy_items)
+    found = baskets.product_affinity(transactions(spark, rows), min_together, 1000, block)
     mine = {
         (r["Product_A"], r["Product_B"]): (r["TimesBoughtTogether"], r["CombinedRevenue"]) for r in as_dicts(found)
     }
@@ -83,3 +83,9 @@ def test_best_sellers_limit_the_pairs(spark):
 def test_pairs_are_joined_by_invoice_not_crossed(spark):
     plan = baskets.best_seller_pairs(transactions(spark, random_baskets(1)))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_large_basket_is_spread(spark):
+    lines = spark.range(2000).selectExpr("'one' AS InvoiceNo", "concat('p', id) AS Description", "1 AS lines", "CAST(1 AS DECIMAL(24, 8)) AS money")
+    pairs = baskets._pairs(lines, 256)
+    assert pairs.select("Product_A", "Product_B").distinct().count() == pairs.count() == 2000 * 1999 // 2

@@ -78,6 +78,8 @@ def test_cohorts(spark):
     assert found == {("2019-12", 0): (2, 100.0), ("2019-12", 1): (1, 50.0), ("2020-01", 0): (1, 100.0)}
     summary = metrics(cohorts.retention_summary(cohorts.retention(sales)))
     assert summary["best_cohort"] == (2.0, "2019-12") and summary["avg_month1_retention"][0] == 50.0
+    every = cohorts.retention_matrix(cohorts.retention(sales))
+    assert every.columns == ["CohortMonth", *(f"month_{k}" for k in range(len(every.columns) - 1))]
     (first, second) = as_dicts(cohorts.retention_matrix(cohorts.retention(sales), [0, 1]))
     assert (first["month_1"], second["month_1"]) == (50.0, None)
     (row, _) = as_dicts(reports.cohort_retention(sales))

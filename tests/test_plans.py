@@ -41,3 +41,10 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "p_name" not in plan.split("part.parquet")[1] and "n_name" not in plan
     # The report reads no text, so duplicates are found by a hash aggregate.
     assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["v1_lifetime_value", "h1_cohort_matrix"])
+def test_sales_are_found_without_their_texts(spark, name):
+    df = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "p_name" not in plan and "n_name" not in plan

@@ -11,18 +11,36 @@ from tillroll.staging import stage
 
 
 def basket_lines(tx: DataFrame, exclude: str = POSTAGE) -> DataFrame:
-    """Lines and money per invoice and product: a product counts once per invoice."""
+    """Lines and money per invoice and product: a product counts once per invoice.
+
+    Money is a decimal, so that sums do not depend on the order of the rows.
+    """
     return (
         tx.filter(F.col("Description").isNotNull() & (F.col("Description") != exclude))
         .groupBy("InvoiceNo", "Description")
-        .agg(F.count("*").alias("lines"), F.sum("TotalPrice").alias("money"))
+        .agg(
+            F.count("*").cast("int").alias("lines"),
+            F.sum(F.col("TotalPrice").cast("decimal(24,8)")).cast("decimal(24,8)").alias("money"),
+        )
     )
 
 
-def _pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of different products per invoice, smaller name first."""
-    a, b = lines.alias("a"), lines.alias("b")
-    together = (F.col("a.InvoiceNo") == F.col("b.InvoiceNo")) & (F.col("a.Description") < F.col("b.Description"))
+def _pairs(lines: DataFrame, block: int) -> DataFrame:
+    """Pairs of different products per invoice, smaller name first.
+
+    A basket is spread over one salt per `block` products: one side is dealt over the salts, the
+    other repeated for each, so a task holds `block` rows of it against the basket.  A basket of up
+    to `block` products has one salt and nothing is repeated.
+    """
+    sizes = lines.groupBy("InvoiceNo").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    salted = lines.join(sizes, "InvoiceNo")
+    a = salted.withColumn("salt", F.pmod(F.xxhash64("Description"), "salts").cast("int")).alias("a")
+    b = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    together = (
+        (F.col("a.InvoiceNo") == F.col("b.InvoiceNo"))
+        & (F.col("a.salt") == F.col("b.salt"))
+        & (F.col("a.Description") < F.col("b.Description"))
+    )
     return a.join(b, together).select(
         F.col("a.Description").alias("Product_A"),
         F.col("b.Description").alias("Product_B"),
@@ -39,65 +57,27 @@ def _count_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("Product_A", "Product_B").agg(F.count("*").alias("times"), F.sum("money").alias("money"))
 
 
-def product_affinity(
-    tx: DataFrame, min_together: int = 50, n: int = 15, heavy_items: int = 1000
-) -> DataFrame:
+def product_affinity(tx: DataFrame, min_together: int = 50, n: int = 15, block: int = 512) -> DataFrame:
     """Product pairs sharing at least `min_together` invoices, with the money of their lines.
 
-    A basket of k products holds k * (k - 1) / 2 pairs, so the input is cut without loss:
-
-    - a product in fewer than `min_together` invoices is in no such pair;
-    - up to `min_together // 2` of the largest baskets (those with more than `heavy_items`
-      products) are left out of the self-join.  They add at most one each to a pair, so a
-      pair that qualifies has the missing rest among the other baskets.  Only these
-      candidates are then looked up in the large baskets.
+    A basket of k products holds k * (k - 1) / 2 pairs.  A product in fewer than `min_together`
+    invoices is in no pair that qualifies and goes first, without loss; the pairs of a large basket
+    are made by several tasks and combined in each before they are shuffled.
     """
     lines = stage(basket_lines(tx), "baskets")
     common = (
         lines.groupBy("Description").agg(F.count("*").alias("invoices")).filter(F.col("invoices") >= min_together)
     )
-    lines = lines.join(common, "Description", "left_semi")
-    heavy = _heaviest(lines, heavy_items, min_together // 2)
-    if not heavy:
-        counted = _count_pairs(_pairs(lines))
-    else:
-        in_heavy = F.col("InvoiceNo").isin(*heavy)
-        light = _count_pairs(_pairs(lines.filter(~in_heavy)))
-        candidates = stage(light.filter(F.col("times") >= min_together - len(heavy)), "pairs")
-        counted = _add_heavy(candidates, lines.filter(in_heavy))
+    counted = _count_pairs(_pairs(lines.join(common, "Description", "left_semi"), block))
     found = counted.filter(F.col("times") >= min_together).select(
         "Product_A",
         "Product_B",
         F.col("times").alias("TimesBoughtTogether"),
-        half_up("money", 2).alias("CombinedRevenue"),
+        half_up(F.col("money").cast("double"), 2).alias("CombinedRevenue"),
     )
     return rollups.top(found, n, "TimesBoughtTogether", "Product_A", "Product_B")
 
 
-def _heaviest(lines: DataFrame, more_than: int, at_most: int) -> list[str]:
-    """Invoices of the largest baskets; the caller's parameter bounds the list."""
-    sizes = lines.groupBy("InvoiceNo").agg(F.count("*").alias("items")).filter(F.col("items") > more_than)
-    return [row["InvoiceNo"] for row in rollups.top(sizes, at_most, "items", "InvoiceNo").collect()]
-
-
-def _add_heavy(candidates: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add what the large baskets hold of the candidate pairs."""
-    a, b = lines.alias("a"), lines.alias("b")
-    seen = (
-        candidates.join(a, F.col("Product_A") == F.col("a.Description"))
-        .join(
-            b,
-            (F.col("Product_B") == F.col("b.Description")) & (F.col("a.InvoiceNo") == F.col("b.InvoiceNo")),
-        )
-        .select("Product_A", "Product_B", F.lit(1).cast("long").alias("times"), _joint_money().alias("money"))
-    )
-    return (
-        candidates.unionByName(seen)
-        .groupBy("Product_A", "Product_B")
-        .agg(F.sum("times").alias("times"), F.sum("money").alias("money"))
-    )
-
-
 def _bought(sales: DataFrame) -> DataFrame:
     """Summed quantity per invoice and product."""
     return (

@@ -52,8 +52,15 @@ def retention(sales: DataFrame) -> DataFrame:
     )
 
 
-def retention_matrix(cohorts: DataFrame, offsets: Sequence[int], value: str = "RetentionPct") -> DataFrame:
-    """One row per cohort, one column per listed offset; null where nobody came."""
+def retention_matrix(
+    cohorts: DataFrame, offsets: Sequence[int] | None = None, value: str = "RetentionPct"
+) -> DataFrame:
+    """One row per cohort, one column per offset; null where nobody came.
+
+    Without a list, all offsets up to the largest in the data, which is bounded by the months it spans.
+    """
+    if offsets is None:
+        offsets = range((cohorts.agg(F.max("CohortIndex")).first()[0] or 0) + 1)
     pivoted = cohorts.groupBy("CohortMonth").pivot("CohortIndex", list(offsets)).agg(F.first(value))
     renamed = [F.col(f"`{offset}`").alias(f"month_{offset}") for offset in offsets]
     return pivoted.select("CohortMonth", *renamed).orderBy(F.col("CohortMonth").asc_nulls_last())

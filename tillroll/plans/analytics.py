@@ -1,9 +1,10 @@
 """Customer analytics, baskets, models and clusters."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.models import anomalies, churn, clusters, forecast
-from tillroll.operators import baskets, cohorts, customers, dashboard, explore, profiling, ranking, reports
+from tillroll.operators import baskets, cohorts, customers, dashboard, profiling, ranking, reports
 from tillroll.plans import sql
 from tillroll.plans.registry import query
 from tillroll.plans.reports import BASKET_TABLES, DAILY_DEMAND
@@ -436,7 +437,7 @@ def _(f):
         f"""SELECT Country, {compared('avg(abs(e))')} AS mae, {compared('sqrt(avg(e * e))')} AS rmse,
               {compared('avg(abs(e / nullif(actual, 0))) * 100')} AS mape
             FROM (SELECT Country, actual, actual - avg(actual) OVER (PARTITION BY Country ORDER BY Date
-                    ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS e,
+                    ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS e,
                     row_number() OVER (PARTITION BY Country ORDER BY Date) AS place,
                     count(*) OVER (PARTITION BY Country) AS n
                   FROM (SELECT Country, CAST(InvoiceDate AS DATE) AS Date, sum(TotalPrice) AS actual
@@ -446,8 +447,8 @@ def _(f):
 )
 def _(f):
     series = forecast.split_by_time(forecast.daily_series(f.sales, "Country"), ["Country"])
-    smooth = explore.rolling_mean(series, "Revenue", ["Country"], "Date", 7)
-    guessed = series.withColumn("forecast", smooth).withColumnRenamed("Revenue", "actual")
+    before = Window.partitionBy("Country").orderBy("Date").rowsBetween(-7, -1)
+    guessed = series.withColumn("forecast", F.avg("Revenue").over(before)).withColumnRenamed("Revenue", "actual")
     return forecast.forecast_errors(guessed, ["Country"])
 
 
