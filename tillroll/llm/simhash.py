@@ -10,7 +10,7 @@ so no task holds more than two blocks of it, and links leave a task only as a sp
 
 Texts: null counts as empty; a text without words has fingerprint zero, linked like any other; one
 with fewer words than a shingle is one shingle.  Rows with a null id get a fingerprint but no class
-(null); rows repeating an id belong to the class of every one of them.
+(null); rows repeating an id are fingerprinted one by one, and classes that share an id may merge.
 """
 
 from collections.abc import Iterator
