@@ -32,7 +32,8 @@ def test_arima_finds_the_coefficients(spark):
     for t in range(1, 1500):
         changes.append(0.6 * changes[-1] + noise[t] + 0.3 * noise[t - 1])
     values = 1000 + np.cumsum(changes)
-    ar, ma = forecast._Arima(values).coefficients
+    best = forecast.fitted_series(series(spark, values), ["name"], forecast.Arima).first()["_best"]
+    ar, ma = best["ar"], best["ma"]
     assert ar == pytest.approx(0.6, abs=0.1) and ma == pytest.approx(0.3, abs=0.12)
     fitted = forecast.arima(series(spark, values), origin=forecast.TRAIN_END)
     first = fitted.filter("part = 'future'").agg(F.min("Date")).first()[0]

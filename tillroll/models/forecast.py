@@ -1,17 +1,16 @@
 """Daily series, their forecasts and forecast errors.
 
 A series is the daily aggregate of one key, so its length is the number of calendar days in
-the data.  Spark builds all series and hands each to one numpy fit.
+the data.  It becomes one sorted array, and a model is a recursion over that array: Spark
+aggregates it for every point of a grid of parameters and keeps the point of least error.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import product
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import rollups
@@ -56,7 +55,7 @@ def arima(series: DataFrame, keys: Sequence[str] = (), days_ahead: int = 30, ori
     by conditional least squares on the first 80 % of the days.  `origin='train_end'` starts
     the future right after those instead of after the last day.
     """
-    return _forecast(series, keys, _Arima, days_ahead, origin)
+    return _forecast(series, keys, Arima, days_ahead, origin)
 
 
 def holt_winters(
@@ -66,7 +65,7 @@ def holt_winters(
 
     Smoothing weights minimise the squared one-step error over a refined grid.
     """
-    return _forecast(series, keys, _HoltWinters, days_ahead, origin)
+    return _forecast(series, keys, HoltWinters, days_ahead, origin)
 
 
 def forecast_errors(forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -110,133 +109,192 @@ def product_demand(sales: DataFrame, top_n: int = 20, window: int = DEMAND_WINDO
     )
 
 
-def _forecast(series: DataFrame, keys: Sequence[str], model: Callable, days_ahead: int, origin: str) -> DataFrame:
-    groups = list(keys)
-    if not groups:
-        series, groups = series.withColumn("series", F.lit("all")), ["series"]
-    fields = [series.schema[g] for g in groups]
-    result = T.StructType(
-        [
-            *fields,
-            T.StructField("part", T.StringType()),
-            T.StructField("Date", T.DateType()),
-            T.StructField("actual", T.DoubleType()),
-            T.StructField("forecast", T.DoubleType()),
-            T.StructField("status", T.StringType()),
-        ]
-    )
+class Axis(NamedTuple):
+    """Values of a parameter in the first grid, and the limits of its refinement."""
+
+    name: str
+    values: tuple[float, ...]
+    low: float
+    high: float
+
+    @property
+    def step(self) -> float:
+        return round(self.values[1] - self.values[0], 6)
+
+
+# After the first grid, the neighbours of the best point at half the step, this many times.
+REFINEMENTS = 3
+
+
+class Arima:
+    """Differences with one autoregressive and one moving-average coefficient."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("Date")
-        values = group["Revenue"].to_numpy(dtype=float)
-        cut = int(len(values) * TRAIN_SHARE)
-        fitted = model(values[:cut])
-        held_out = pd.DataFrame(
-            {
-                "part": "test",
-                "Date": group["Date"].to_numpy()[cut:],
-                "actual": values[cut:],
-                "forecast": fitted.ahead(values[:cut], len(values) - cut),
-            }
-        )
-        seen = cut if origin == TRAIN_END else len(values)
-        last = pd.Timestamp(group["Date"].iloc[max(seen, 1) - 1])
-        future = pd.DataFrame(
-            {
-                "part": "future",
-                "Date": pd.date_range(last, periods=days_ahead + 1)[1:].date,
-                "actual": np.nan,
-                "forecast": fitted.ahead(values[:seen], days_ahead),
-            }
-        )
-        rows = pd.concat([held_out, future], ignore_index=True)
-        rows["status"] = FITTED if fitted.ready else TOO_SHORT
-        for g in groups:
-            rows[g] = group[g].iloc[0]
-        return rows[[f.name for f in result]]
-
-    return series.select(*groups, "Date", "Revenue").groupBy(*groups).applyInPandas(fit, result)
-
-
-def _best_on_grid(loss: Callable, axes: Sequence[np.ndarray], rounds: int = 4) -> tuple:
-    """Grid point of least loss; every round searches one step around the last winner."""
-    lows = [axis[0] for axis in axes]
-    highs = [axis[-1] for axis in axes]
-    best = None
-    for _ in range(rounds):
-        points = np.array(list(product(*axes)))
-        best = points[int(np.argmin(loss(*points.T)))]
-        steps = [axis[1] - axis[0] for axis in axes]
-        axes = [
-            np.linspace(max(low, b - step), min(high, b + step), len(axis))
-            for axis, b, step, low, high in zip(axes, best, steps, lows, highs)
-        ]
-    return tuple(best)
-
-
-class _Arima:
     shortest = 4
+    used = 2
+    axes = tuple(Axis(name, (-0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6, 0.8), -0.95, 0.95) for name in ("ar", "ma"))
+
+    @staticmethod
+    def start(values: Column) -> Column:
+        """State after the first `used` values."""
+        second = F.get(values, F.lit(1))
+        return F.struct(
+            second.alias("last"),
+            (second - F.get(values, F.lit(0))).alias("change"),
+            F.lit(0.0).alias("error"),
+            F.lit(0.0).alias("loss"),
+        )
 
-    def __init__(self, train: np.ndarray):
-        self.ready = len(train) >= self.shortest
-        if self.ready:
-            axis = np.linspace(-0.98, 0.98, 29)
-            changes = np.diff(train)
-            self.coefficients = _best_on_grid(lambda ar, ma: self._errors(changes, ar, ma)[0], [axis, axis])
+    @staticmethod
+    def step(state: Column, value: Column, at: Column) -> Column:
+        change = value - state["last"]
+        error = change - at["ar"] * state["change"] - at["ma"] * state["error"]
+        return F.struct(
+            value.alias("last"), change.alias("change"), error.alias("error"), (state["loss"] + error * error).alias("loss")
+        )
 
     @staticmethod
-    def _errors(changes, ar, ma):
-        """Sum of squared one-step errors and the last error, for arrays of coefficients."""
-        error = np.zeros_like(np.asarray(ar, dtype=float))
-        total = np.zeros_like(error)
-        for before, now in zip(changes[:-1], changes[1:]):
-            error = now - ar * before - ma * error
-            total = total + error * error
-        return total, error
-
-    def ahead(self, values: np.ndarray, steps: int) -> np.ndarray:
-        if not self.ready:
-            return np.full(steps, np.nan)
-        ar, ma = self.coefficients
-        changes = np.diff(values)
-        _, error = self._errors(changes, np.array([ar]), np.array([ma]))
-        following = ar * changes[-1] + ma * error[0]
-        return values[-1] + np.cumsum(following * ar ** np.arange(steps))
-
-
-class _HoltWinters:
+    def ahead(state: Column, at: Column, days: Column) -> Column:
+        following = at["ar"] * state["change"] + at["ma"] * state["error"]
+        return state["last"] + following * (1 - F.pow(at["ar"], days)) / (1 - at["ar"])
+
+
+class HoltWinters:
+    """Level, trend and one value per weekday; the first of `season` belongs to the next day."""
+
     shortest = 2 * SEASON
+    used = SEASON
+    axes = (
+        Axis("level", (0.1, 0.3, 0.5, 0.7, 0.9), 0.01, 0.99),
+        Axis("trend", (0.0, 0.1, 0.2, 0.3, 0.4), 0.0, 0.5),
+        Axis("season", (0.0, 0.2, 0.4, 0.6, 0.8), 0.0, 0.9),
+    )
 
-    def __init__(self, train: np.ndarray):
-        self.ready = len(train) >= self.shortest
-        if self.ready:
-            axes = [np.linspace(0.01, 0.99, 9), np.linspace(0.0, 0.5, 6), np.linspace(0.0, 0.9, 7)]
-            self.weights = _best_on_grid(lambda *w: self._smooth(train, *w)[0], axes)
+    @staticmethod
+    def start(values: Column) -> Column:
+        def mean(first):
+            return F.aggregate(F.slice(values, first, SEASON), F.lit(0.0), lambda a, b: a + b) / SEASON
+
+        return F.struct(
+            mean(1).alias("level"),
+            ((mean(SEASON + 1) - mean(1)) / SEASON).alias("trend"),
+            F.transform(F.slice(values, 1, SEASON), lambda v: v - mean(1)).alias("season"),
+            F.lit(0.0).alias("loss"),
+        )
 
     @staticmethod
-    def _smooth(values, level_weight, trend_weight, season_weight):
-        """Sum of squared one-step errors and the final state, for arrays of weights."""
-        first, second = values[:SEASON].mean(), values[SEASON : 2 * SEASON].mean()
-        level = np.full_like(np.asarray(level_weight, dtype=float), first)
-        trend = np.full_like(level, (second - first) / SEASON)
-        season = [np.full_like(level, v - first) for v in values[:SEASON]]
-        total = np.zeros_like(level)
-        for t in range(SEASON, len(values)):
-            slot = t % SEASON
-            expected = level + trend
-            gap = values[t] - expected - season[slot]
-            total = total + gap * gap
-            new_level = expected + level_weight * gap
-            trend = trend + trend_weight * (new_level - level - trend)
-            season[slot] = season[slot] + season_weight * gap
-            level = new_level
-        return total, level, trend, season
-
-    def ahead(self, values: np.ndarray, steps: int) -> np.ndarray:
-        if not self.ready:
-            return np.full(steps, np.nan)
-        _, level, trend, season = self._smooth(values, *[np.array([w]) for w in self.weights])
-        n = len(values)
-        return np.array(
-            [level[0] + (h + 1) * trend[0] + season[(n + h) % SEASON][0] for h in range(steps)], dtype=float
+    def step(state: Column, value: Column, at: Column) -> Column:
+        expected = state["level"] + state["trend"]
+        due = F.get(state["season"], F.lit(0))
+        gap = value - expected - due
+        later = F.slice(state["season"], 2, SEASON - 1)
+        return F.struct(
+            (expected + at["level"] * gap).alias("level"),
+            (state["trend"] + at["level"] * at["trend"] * gap).alias("trend"),
+            F.concat(later, F.array(due + at["season"] * gap)).alias("season"),
+            (state["loss"] + gap * gap).alias("loss"),
         )
+
+    @staticmethod
+    def ahead(state: Column, at: Column, days: Column) -> Column:
+        due = F.get(state["season"], ((days - 1) % SEASON).cast("int"))
+        return state["level"] + days * state["trend"] + due
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once per row, however often lambdas use them.
+
+    Projections would be merged into the lambdas; no expression moves across a generator.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*df.columns, F.inline(F.array(made)))
+
+
+def _through(model, values: Column, at: Column) -> Column:
+    """State of a model at the end of the values."""
+    rest = F.slice(values, model.used + 1, F.greatest(F.size(values) - model.used, F.lit(0)))
+    return F.aggregate(rest, model.start(values), lambda state, value: model.step(state, value, at))
+
+
+def _best(model, grid: Column) -> Column:
+    """Point of least loss, of equals the smallest."""
+    names = [axis.name for axis in model.axes]
+    tried = F.transform(
+        grid, lambda p: F.struct(_through(model, F.col("_train"), p)["loss"].alias("loss"), *[p[n].alias(n) for n in names])
+    )
+    return F.array_min(tried)
+
+
+def _points(model, points) -> Column:
+    """An array of literal parameter points."""
+    fields = [", ".join(f"'{a.name}', {v!r}D" for a, v in zip(model.axes, point)) for point in points]
+    return F.expr(f"array({', '.join(f'named_struct({text})' for text in fields)})")
+
+
+def _grid(model) -> Column:
+    return _points(model, product(*[axis.values for axis in model.axes]))
+
+
+def _around(model, best: Column, part: float) -> Column:
+    """The point and its neighbours, at a part of each axis' step."""
+    moves = _points(model, product(*[(-part * a.step, 0.0, part * a.step) for a in model.axes]))
+
+    def moved(by, axis):
+        return F.least(F.greatest(best[axis.name] + by[axis.name], F.lit(axis.low)), F.lit(axis.high)).alias(axis.name)
+
+    return F.transform(moves, lambda by: F.struct(*[moved(by, axis) for axis in model.axes]))
+
+
+def fitted_series(series: DataFrame, keys: Sequence[str], model) -> DataFrame:
+    """One row per series: its days in order, the number `_cut` of training days and the parameters `_best`.
+
+    The series are dealt over all shuffle partitions by key, as the search costs far more than its bytes tell.
+    """
+    partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = F.struct("Date", F.col("Revenue").cast("double").alias("value"))
+    found = series.repartition(partitions, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(days)).alias("_days"))
+    found = _once(found, _cut=F.floor(F.size("_days") * F.lit(TRAIN_SHARE)).cast("int"))
+    found = _once(found, _values=F.transform("_days", lambda d: d["value"]))
+    found = _once(found, _train=F.slice("_values", 1, F.col("_cut")))
+    found = _once(found, _best=_best(model, _grid(model)))
+    for k in range(REFINEMENTS):
+        found = _once(found, _next=_best(model, _around(model, F.col("_best"), 0.5 ** (k + 1))))
+        found = found.withColumn("_best", F.col("_next")).drop("_next")
+    return found
+
+
+def _forecast(series: DataFrame, keys: Sequence[str], model, days_ahead: int, origin: str) -> DataFrame:
+    groups = list(keys)
+    if not groups:
+        series, groups = series.withColumn("series", F.lit("all")), ["series"]
+    ready = F.col("_cut") >= model.shortest
+    seen = F.col("_train") if origin == TRAIN_END else F.col("_values")
+    found = fitted_series(series, groups, model)
+    found = _once(
+        found,
+        _trained=_through(model, F.col("_train"), F.col("_best")),
+        _last=_through(model, seen, F.col("_best")),
+        _until=F.get("_days", F.greatest(F.size(seen), F.lit(1)) - 1)["Date"],
+    )
+
+    def row(part, date, actual, state, days):
+        guess = F.when(ready, model.ahead(F.col(state), F.col("_best"), days))
+        status = F.when(ready, F.lit(FITTED)).otherwise(F.lit(TOO_SHORT))
+        return F.struct(
+            F.lit(part).alias("part"), date.alias("Date"), actual.alias("actual"), guess.alias("forecast"), status.alias("status")
+        )
+
+    tested = F.transform(
+        F.sequence(F.lit(1), F.size("_days") - F.col("_cut")),
+        lambda h: row(
+            "test",
+            F.get("_days", F.col("_cut") + h - 1)["Date"],
+            F.get("_values", F.col("_cut") + h - 1),
+            "_trained",
+            h,
+        ),
+    )
+    future = F.transform(
+        F.sequence(F.lit(1), F.lit(days_ahead)),
+        lambda h: row("future", F.date_add("_until", h), F.lit(None).cast("double"), "_last", h),
+    )
+    return found.select(*groups, F.inline(F.concat(tested, future)))

@@ -263,28 +263,6 @@ def _(f):
     return forecast.daily_series(f.sales)
 
 
-@query("m1_arima")
-def _(f):
-    return forecast.arima(forecast.daily_series(f.sales))
-
-
-@query("m1_arima_by_country")
-def _(f):
-    fitted = forecast.arima(forecast.daily_series(f.sales, "Country"), ["Country"])
-    return forecast.forecast_errors(fitted, ["Country"])
-
-
-@query("m2_holt_winters")
-def _(f):
-    return forecast.holt_winters(forecast.daily_series(f.sales))
-
-
-@query("m2_holt_winters_by_country")
-def _(f):
-    fitted = forecast.holt_winters(forecast.daily_series(f.sales, "Country"), ["Country"])
-    return forecast.forecast_totals(fitted, ["Country"])
-
-
 _CHURN = f"""SELECT *, CASE WHEN Recency > 90 THEN 1 ELSE 0 END AS Churned FROM (
                SELECT CustomerID, Frequency AS PurchaseFrequency, MonetaryValue AS TotalSpent, AvgOrderValue,
                  TotalQuantity, FirstPurchase, LastPurchase,
