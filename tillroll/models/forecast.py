@@ -158,15 +158,18 @@ class Arima:
         return state["last"] + following * (1 - F.pow(at["ar"], days)) / (1 - at["ar"])
 
 
+_WEEK = [f"s{k}" for k in range(SEASON)]
+
+
 class HoltWinters:
-    """Level, trend and one value per weekday; the first of `season` belongs to the next day."""
+    """Level, trend and one value per weekday: `s0` belongs to the next day, `s1` to the one after."""
 
     shortest = 2 * SEASON
     used = SEASON
     axes = (
-        Axis("level", (0.1, 0.3, 0.5, 0.7, 0.9), 0.01, 0.99),
-        Axis("trend", (0.0, 0.1, 0.2, 0.3, 0.4), 0.0, 0.5),
-        Axis("season", (0.0, 0.2, 0.4, 0.6, 0.8), 0.0, 0.9),
+        Axis("level", (0.1, 0.4, 0.7), 0.01, 0.99),
+        Axis("trend", (0.0, 0.2, 0.4), 0.0, 0.5),
+        Axis("season", (0.0, 0.3, 0.6, 0.9), 0.0, 0.9),
     )
 
     @staticmethod
@@ -177,26 +180,25 @@ class HoltWinters:
         return F.struct(
             mean(1).alias("level"),
             ((mean(SEASON + 1) - mean(1)) / SEASON).alias("trend"),
-            F.transform(F.slice(values, 1, SEASON), lambda v: v - mean(1)).alias("season"),
             F.lit(0.0).alias("loss"),
+            *[(F.get(values, F.lit(k)) - mean(1)).alias(day) for k, day in enumerate(_WEEK)],
         )
 
     @staticmethod
     def step(state: Column, value: Column, at: Column) -> Column:
         expected = state["level"] + state["trend"]
-        due = F.get(state["season"], F.lit(0))
-        gap = value - expected - due
-        later = F.slice(state["season"], 2, SEASON - 1)
+        gap = value - expected - state["s0"]
         return F.struct(
             (expected + at["level"] * gap).alias("level"),
             (state["trend"] + at["level"] * at["trend"] * gap).alias("trend"),
-            F.concat(later, F.array(due + at["season"] * gap)).alias("season"),
             (state["loss"] + gap * gap).alias("loss"),
+            *[state[following].alias(day) for day, following in zip(_WEEK, _WEEK[1:])],
+            (state["s0"] + at["season"] * gap).alias(_WEEK[-1]),
         )
 
     @staticmethod
     def ahead(state: Column, at: Column, days: Column) -> Column:
-        due = F.get(state["season"], ((days - 1) % SEASON).cast("int"))
+        due = F.get(F.array(*[state[day] for day in _WEEK]), ((days - 1) % SEASON).cast("int"))
         return state["level"] + days * state["trend"] + due
 
 
