@@ -48,3 +48,30 @@ def test_sales_are_found_without_their_texts(spark, name):
     df = driver.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "p_name" not in plan and "n_name" not in plan
+
+
+@pytest.mark.parametrize("name", ["e1_revenue_series", "e2_products", "e5_time_patterns", "d2_revenue_trend"])
+def test_sales_are_built_once(spark, name):
+    def scans(key):
+        df = driver.queries()[key](spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+
+    assert scans(name) == scans("q1_revenue_by_country")
+
+
+@pytest.mark.parametrize("name", ["e6_summary_panels", "e7_insights", "e8_viewer", "x1_top_pairs", "x2_affinity_summary", "m8_product_demand"])
+def test_several_reports_read_staged_sales(spark, name):
+    df = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "lineitem.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["p6_distinct_values", "c11_cleaned_kpis"])
+def test_distinct_counts_copy_no_rows(spark, name):
+    df = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_forecast_shuffles_each_series_once(spark):
+    df = driver.queries()["m1_arima"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Pandas" not in plan

@@ -39,7 +39,7 @@ def stratified_split(
     The last drawn row of a class is found by the distributed ranking, so no task sees a
     whole class.
     """
-    drawn = stage(customers.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed))), "draw")
+    drawn = stage(customers.withColumn("_draw", F.md5(F.concat_ws("|", key, F.lit(seed)))), "draw")
     order = ["_draw", key]
     is_test = F.lit(False)
     for value in CLASS_NAMES:

@@ -16,6 +16,7 @@ from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import rollups
 from tillroll.operators.baskets import best_sellers
 from tillroll.operators.explore import rolling_mean
+from tillroll.staging import stage
 
 TRAIN_SHARE = 0.8
 SEASON = 7
@@ -95,8 +96,9 @@ def product_demand(sales: DataFrame, top_n: int = 20, window: int = DEMAND_WINDO
     """Mean daily demand, moving mean at the last day and total units of the best sellers.
 
     One plan handles all products.  The list of best sellers, bounded by `top_n`, is broadcast
-    to the scan, so only their lines are grouped by day.
+    to the scan, so only their lines are grouped by day.  Both read the staged columns of sales.
     """
+    sales = stage(sales.select("InvoiceDate", "Description", "Quantity"), "lines")
     best = best_sellers(sales, top_n).withColumnRenamed("units", "Total_Sold")
     daily = (
         sales.join(F.broadcast(best), "Description")

@@ -98,7 +98,16 @@ def best_seller_pairs(sales: DataFrame, top_products: int = 50) -> DataFrame:
 
     Only lines of best sellers are shuffled by invoice, and a basket keeps at most
     `top_products` items, which bounds its pairs.  The parameter bounds the broadcast list too.
+    Three columns of sales are staged, as the list and the lines both need them.
     """
+    return _best_seller_pairs(_needed(sales), top_products)
+
+
+def _needed(sales: DataFrame) -> DataFrame:
+    return stage(sales.select("InvoiceNo", "Description", "Quantity"), "lines")
+
+
+def _best_seller_pairs(sales: DataFrame, top_products: int) -> DataFrame:
     sellers = best_sellers(sales, top_products).select("Description")
     baskets = _bought(sales.join(F.broadcast(sellers), "Description", "left_semi")).filter(F.col("units") > 0)
     a, b = baskets.alias("a"), baskets.alias("b")
@@ -122,7 +131,8 @@ def top_pairs(pairs: DataFrame, n: int = 20, label_length: int = 30) -> DataFram
 
 def affinity_summary(sales: DataFrame, top_products: int = 50) -> DataFrame:
     """Number of pairs, the top pair, the share of non-empty baskets and the mean basket size."""
-    pairs = best_seller_pairs(sales, top_products).withColumn(
+    sales = _needed(sales)
+    pairs = _best_seller_pairs(sales, top_products).withColumn(
         "pair", F.concat_ws(" + ", "Product_A", "Product_B")
     )
     first = F.min_by("pair", F.struct(-F.col("Count"), F.col("Product_A"), F.col("Product_B")))

@@ -1,11 +1,14 @@
 """Cleaning steps, in the order in which `clean_transactions` applies them."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import dates, text
 from tillroll.functions.numbers import safe_ratio
 from tillroll.schema import CALCULATED, GUEST, UNKNOWN_PRODUCT
+from tillroll.staging import stage
 
 MAX_PRICE = 10000.0
 
@@ -159,8 +162,8 @@ def cleaning_summary(raw: DataFrame, max_price: float = MAX_PRICE) -> DataFrame:
 def cleaned_kpis(tx: DataFrame) -> DataFrame:
     """Size, range and money of the cleaned table, as one row.
 
-    Lines are first rolled up per invoice, product and customer, which shrinks the input of
-    the distinct counts.  The mean invoice total is revenue over sold invoices.
+    Lines are first rolled up per invoice, product and customer.  The rollup is staged, and each
+    distinct count reads only its column of it.  The mean invoice total is revenue over sold invoices.
     """
     sold = ~F.col("IsReturn")
     rolled = tx.groupBy("InvoiceNo", "StockCode", "CustomerID").agg(
@@ -172,20 +175,26 @@ def cleaned_kpis(tx: DataFrame) -> DataFrame:
         F.min("InvoiceDate").alias("first"),
         F.max("InvoiceDate").alias("last"),
     )
-    sold_invoice = F.when(F.col("sales") > 0, F.col("InvoiceNo"))
+    rolled = stage(rolled, "rollup")
+    counted = {
+        "unique_customers": F.col("CustomerID"),
+        "unique_products": F.col("StockCode"),
+        "unique_invoices": F.col("InvoiceNo"),
+        "_sold_invoices": F.when(F.col("sales") > 0, F.col("InvoiceNo")),
+    }
+    # As rows of their own; as columns they would become one aggregate over four copies of each row.
+    counts = [rolled.agg(F.count_distinct(c).alias("n")).select(F.lit(name).alias("name"), "n") for name, c in counted.items()]
+    found = reduce(DataFrame.unionByName, counts).agg(F.map_from_entries(F.collect_list(F.struct("name", "n")))).scalar()
     totals = rolled.agg(
         F.sum("rows").alias("total_transactions"),
         F.sum("sales").alias("sales_transactions"),
-        F.count_distinct("CustomerID").alias("unique_customers"),
-        F.count_distinct("StockCode").alias("unique_products"),
-        F.count_distinct("InvoiceNo").alias("unique_invoices"),
-        F.count_distinct(sold_invoice).alias("_sold_invoices"),
         F.min("first").alias("first_date"),
         F.max("last").alias("last_date"),
         F.sum("revenue").alias("total_revenue"),
         F.sum("prices").alias("_prices"),
         F.sum("priced").alias("_priced"),
     )
+    totals = totals.select("*", *[found[name].alias(name) for name in counted])
     return totals.select(
         "total_transactions",
         "sales_transactions",

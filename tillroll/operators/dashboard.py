@@ -88,4 +88,4 @@ def segment_summary(clusters: DataFrame) -> DataFrame:
 
 def stable_sample(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """At most `n` rows in the order of a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", key, F.lit(seed))), key).limit(n)

@@ -12,10 +12,13 @@ from tillroll.functions import dates
 from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import rollups
 from tillroll.schema import GUEST, WEEKDAYS
+from tillroll.staging import stage
 
 # The country whose revenue is not international.
 HOME_COUNTRY = "United Kingdom"
 
+_PANEL_COLUMNS = ["InvoiceNo", "InvoiceDate", "CustomerID", "StockCode", "Description", "Country", "Quantity", "TotalPrice", "Hour"]
+
 _GRAINS = {
     "Daily": lambda: F.date_format("InvoiceDate", "yyyy-MM-dd"),
     "Weekly": lambda: dates.week_label("InvoiceDate"),
@@ -33,6 +36,21 @@ def revenue_series(sales: DataFrame, grain: str = "Monthly") -> DataFrame:
     return sales.groupBy(period).agg(_revenue().alias("Revenue")).orderBy("Date")
 
 
+def all_series(sales: DataFrame) -> DataFrame:
+    """The series of all grains, from one daily aggregate."""
+    daily = daily_revenue(sales).withColumnRenamed("Date", "InvoiceDate")
+    grains = [F.struct(F.lit(name).alias("grain"), period().alias("Date"), "Revenue") for name, period in _GRAINS.items()]
+    return daily.select(F.inline(F.array(*grains))).groupBy("grain", "Date").agg(F.sum("Revenue").alias("Revenue"))
+
+
+def _by_each(rolled: DataFrame, keys: dict[str, str], *values: str, named: str | None = None) -> DataFrame:
+    """Sums of an aggregate by each of several keys, as rows of `side` and `key`; its source is read once."""
+    extra = [F.lit(None).cast("string").alias("name")] if named is None else [F.col(named).alias("name")]
+    sides = [F.struct(F.lit(side).alias("side"), F.col(key).alias("key"), *extra, *values) for side, key in keys.items()]
+    sums = [F.sum(value).alias(value) for value in values]
+    return rolled.select(F.inline(F.array(*sides))).groupBy("side", "key").agg(F.max("name").alias("name"), *sums)
+
+
 def daily_revenue(sales: DataFrame) -> DataFrame:
     return sales.groupBy(F.to_date("InvoiceDate").alias("Date")).agg(_revenue().alias("Revenue"))
 
@@ -80,27 +98,30 @@ def top_products(sales: DataFrame, n: int = 20, by: str = "Revenue") -> DataFram
 
 
 def products(sales: DataFrame) -> DataFrame:
-    """Distinct stock codes, mean product revenue, best products by revenue and quantity."""
-    codes = sales.groupBy("Description", "StockCode").agg(
-        _revenue().alias("Revenue"), F.sum("Quantity").alias("Quantity")
-    )
-    distinct = codes.agg(F.count_distinct("StockCode").alias("codes"))
-    named = codes.groupBy("Description").agg(
-        F.sum("Revenue").alias("Revenue"), F.sum("Quantity").alias("Quantity")
-    )
-    best = named.agg(
-        rollups.largest("Description", "Revenue").alias("by_revenue"),
-        F.max("Revenue").alias("revenue"),
-        F.avg("Revenue").alias("mean"),
-        rollups.largest("Description", "Quantity").alias("by_quantity"),
-        F.max("Quantity").alias("quantity"),
+    """Distinct stock codes, mean product revenue, best products by revenue and quantity.
+
+    One aggregate by product and code is counted by code and by product side by side.
+    """
+    rolled = sales.groupBy("Description", "StockCode").agg(_revenue().alias("Revenue"), F.sum("Quantity").alias("Quantity"))
+    sides = _by_each(rolled, {"code": "StockCode", "product": "Description"}, "Revenue", "Quantity")
+    product = F.col("side") == "product"
+
+    def best(value):
+        order = F.struct(-F.col(value), F.col("key"))
+        return F.min_by("key", F.when(product, order))
+
+    totals = sides.agg(
+        F.count_if(~product & F.col("key").isNotNull()).alias("codes"),
+        best("Revenue").alias("by_revenue"),
+        F.max(F.when(product, F.col("Revenue"))).alias("revenue"),
+        F.avg(F.when(product, F.col("Revenue"))).alias("mean"),
+        best("Quantity").alias("by_quantity"),
+        F.max(F.when(product, F.col("Quantity"))).alias("quantity"),
     )
-    return rollups.as_metrics(distinct, {"total_unique": "codes"}).unionByName(
-        rollups.as_metrics(
-            best,
-            {"top_product": "revenue", "avg_product_revenue": "mean", "top_quantity_product": "quantity"},
-            {"top_product": "by_revenue", "top_quantity_product": "by_quantity"},
-        )
+    return rollups.as_metrics(
+        totals,
+        {"total_unique": "codes", "top_product": "revenue", "avg_product_revenue": "mean", "top_quantity_product": "quantity"},
+        {"top_product": "by_revenue", "top_quantity_product": "by_quantity"},
     )
 
 
@@ -193,33 +214,24 @@ def weekday_revenue(sales: DataFrame) -> DataFrame:
 def time_patterns(sales: DataFrame) -> DataFrame:
     """Peak and slowest hour, best and worst weekday, from one hour by weekday aggregate."""
     slots = sales.groupBy("Hour", "DayOfWeek", "DayName").agg(_revenue().alias("Revenue"))
-    hours = slots.groupBy("Hour").agg(F.sum("Revenue").alias("Revenue"))
-    days = slots.groupBy("DayOfWeek", "DayName").agg(F.sum("Revenue").alias("Revenue"))
-    of_hours = hours.agg(
-        rollups.largest("Hour", "Revenue").alias("peak"),
-        F.max("Revenue").alias("peak_revenue"),
-        rollups.smallest("Hour", "Revenue").alias("slowest"),
-        F.min("Revenue").alias("slowest_revenue"),
-    )
-    # Of equal days the first of the week wins.
-    best = F.struct(-F.col("Revenue"), F.col("DayOfWeek"))
-    worst = F.struct(F.col("Revenue"), F.col("DayOfWeek"))
-    of_days = days.agg(
-        F.min_by("DayName", best).alias("best"),
-        F.max("Revenue").alias("best_revenue"),
-        F.min_by("DayName", worst).alias("worst"),
-        F.min("Revenue").alias("worst_revenue"),
-    )
+    # Days are known by their place in the week; of equal days the first wins.
+    sides = _by_each(slots, {"hour": "Hour", "day": "DayOfWeek"}, "Revenue", named="DayName")
+
+    def of(side):
+        def only(column):
+            return F.when(F.col("side") == side, column)
+
+        label = F.col("name") if side == "day" else F.col("key").cast("string")
+        return [
+            F.min_by(label, only(F.struct(-F.col("Revenue"), F.col("key")))).alias(f"most_{side}"),
+            F.max(only(F.col("Revenue"))).alias(f"most_{side}_revenue"),
+            F.min_by(label, only(F.struct(F.col("Revenue"), F.col("key")))).alias(f"least_{side}"),
+            F.min(only(F.col("Revenue"))).alias(f"least_{side}_revenue"),
+        ]
+
+    names = {"peak_hour": "most_hour", "slowest_hour": "least_hour", "best_day": "most_day", "worst_day": "least_day"}
     return rollups.as_metrics(
-        of_hours,
-        {"peak_hour": "peak_revenue", "slowest_hour": "slowest_revenue"},
-        {"peak_hour": "peak", "slowest_hour": "slowest"},
-    ).unionByName(
-        rollups.as_metrics(
-            of_days,
-            {"best_day": "best_revenue", "worst_day": "worst_revenue"},
-            {"best_day": "best", "worst_day": "worst"},
-        )
+        sides.agg(*of("hour"), *of("day")), {metric: f"{name}_revenue" for metric, name in names.items()}, names
     )
 
 
@@ -256,7 +268,8 @@ def _as_panel(panel: str, df: DataFrame, key: str, value: str = "Revenue") -> Da
 
 
 def summary_panels(sales: DataFrame, n: int = 5) -> DataFrame:
-    """The executive summary as `(panel, key, value)` rows."""
+    """The executive summary as `(panel, key, value)` rows; the needed columns of sales are staged and read by all."""
+    sales = stage(sales.select(*_PANEL_COLUMNS), "sales")
     panels = [
         _as_panel("kpi", summary_kpis(sales), "metric", "number"),
         _as_panel("monthly", revenue_series(sales, "Monthly"), "Date"),
@@ -269,7 +282,8 @@ def summary_panels(sales: DataFrame, n: int = 5) -> DataFrame:
 
 
 def insights(sales: DataFrame, home: str = HOME_COUNTRY) -> DataFrame:
-    """All exploratory key figures with their section."""
+    """All exploratory key figures with their section; the needed columns of sales are staged and read by all."""
+    sales = stage(sales.select(*_PANEL_COLUMNS, "DayOfWeek", "DayName"), "sales")
     sections = {
         "revenue": revenue_trends(sales),
         "products": products(sales),

@@ -1,6 +1,7 @@
 """Profile of a raw table."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,15 +136,26 @@ def numeric_summary(
 
 
 def distinct_values(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct values and their share of all rows per column."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    totals = df.agg(F.count("*").alias("_rows"), *[distinct(c).alias(c) for c in df.columns])
-    return _per_column(
-        totals,
-        df.columns,
-        unique_count=F.col,
-        unique_pct=lambda c: half_even(safe_ratio(F.col(c) * 100.0, F.col("_rows")), 2),
-    )
+    """Distinct values and their share of all rows per column.
+
+    Sketches take one pass.  Exact counts stage the frame and read one column at a time, so that each
+    is combined before its shuffle and no row is copied once per column.
+    """
+
+    def share(unique):
+        return half_even(safe_ratio(F.col(unique) * 100.0, F.col("_rows")), 2)
+
+    if approximate:
+        totals = df.agg(F.count("*").alias("_rows"), *[F.approx_count_distinct(c).alias(c) for c in df.columns])
+        return _per_column(totals, df.columns, unique_count=F.col, unique_pct=share)
+    staged = stage(df, "profiled")
+    counts = [
+        staged.agg(F.count("*").alias("_rows"), F.count_distinct(c).alias("unique_count")).select(
+            F.lit(c).alias("column"), "unique_count", share("unique_count").alias("unique_pct")
+        )
+        for c in df.columns
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def top_values(df: DataFrame, n: int = 10, columns: Sequence[str] | None = None) -> DataFrame:

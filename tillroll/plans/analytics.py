@@ -309,6 +309,18 @@ def _(f):
     )
 
 
+@query(
+    "m4_split_members",
+    with_tables(
+        """SELECT CustomerID, Churned, row_number() OVER (PARTITION BY Churned ORDER BY md5(CustomerID || '|42'), CustomerID)
+             <= round_even(count(*) OVER (PARTITION BY Churned) * 0.2, 0) AS is_test FROM features""",
+        features=_CHURN,
+    ),
+)
+def _(f):
+    return churn.stratified_split(customers.churn_features(f.sales)).select("CustomerID", "Churned", "is_test")
+
+
 @query("m4_churn_scores")
 def _(f):
     return churn.fit_churn(customers.churn_features(f.sales)).scored

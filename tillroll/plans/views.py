@@ -1,8 +1,5 @@
 """Exploratory reports, rankings, samples and dashboard frames."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators import dashboard, explore, profiling, rollups
@@ -10,6 +7,7 @@ from tillroll.plans import sql
 from tillroll.plans.registry import query
 from tillroll.plans.sql import compared, metric, metrics, with_tables
 from tillroll.schema import WEEKDAYS
+from tillroll.staging import stage
 
 _LATEST = "sum(TotalPrice) AS Revenue"
 
@@ -107,17 +105,9 @@ def _series_sql(source):
     )
 
 
-def _all_series(sales):
-    parts = [
-        explore.revenue_series(sales, grain).select(F.lit(grain).alias("grain"), "Date", "Revenue")
-        for grain in _SERIES_SQL
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("e1_revenue_series", with_tables(_series_sql("sales")))
 def _(f):
-    return _all_series(f.sales)
+    return explore.all_series(f.sales)
 
 
 @query("e2_products", with_tables(metrics(*_PRODUCTS), **_TABLES))
@@ -265,16 +255,18 @@ def _(f):
     ),
 )
 def _(f):
-    counts = explore.table_counts(f.tx)
+    tx = stage(f.tx.select("IsReturn", "CustomerID", "Description", "TotalPrice", "Quantity"), "viewer")
+    sales = tx.filter("NOT IsReturn")
+    counts = explore.table_counts(tx)
     entries = {"total": "total_transactions", "sales": "sales_only", "returns": "returns"}
     pairs = [
         F.struct(F.lit(p).alias("part"), F.lit("").alias("key"), F.col(c).cast("double").alias("value"))
         for p, c in entries.items()
     ]
-    best = explore.top_customers(f.sales, 5).select(
+    best = explore.top_customers(sales, 5).select(
         F.lit("customers").alias("part"), F.col("CustomerID").alias("key"), F.col("Revenue").alias("value")
     )
-    sold = explore.top_products(f.sales, 5, "Quantity").select(
+    sold = explore.top_products(sales, 5, "Quantity").select(
         F.lit("products").alias("part"), F.col("Product").alias("key"), F.col("Quantity").cast("double").alias("value")
     )
     return counts.select(F.inline(F.array(*pairs))).unionByName(best).unionByName(sold)
@@ -329,7 +321,13 @@ def _(f):
     return explore.weekday_revenue(f.sales)
 
 
-@query("t6_stable_sample")
+@query(
+    "t6_stable_sample",
+    with_tables(
+        f"""SELECT CustomerID, {compared('sum(TotalPrice)')} AS Revenue FROM sales GROUP BY CustomerID
+            ORDER BY md5(CustomerID || '|42'), CustomerID LIMIT 1000"""
+    ),
+)
 def _(f):
     each = f.sales.groupBy("CustomerID").agg(F.sum("TotalPrice").alias("Revenue"))
     return dashboard.stable_sample(each, "CustomerID")
@@ -410,7 +408,7 @@ def _(f):
 
 @query("d2_revenue_trend", with_tables(_series_sql("chosen"), chosen=f"SELECT * FROM {_CHOSEN}"))
 def _(f):
-    return _all_series(dashboard.filter_sales(f.sales, **_CHOICE))
+    return explore.all_series(dashboard.filter_sales(f.sales, **_CHOICE))
 
 
 def _top_sql(key, name):
