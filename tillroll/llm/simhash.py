@@ -186,11 +186,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each class, that with the smallest id, with all its columns.
 
-    Rows without an id stay; of rows repeating a kept id, one stays.  The texts are shuffled once, by
-    id, against the ids to remove; the window uses the same partitioning.
+    Rows without an id stay and are not shuffled.  Of rows repeating a kept id the one with the
+    smallest hash of its text stays; the rank limit is applied before the shuffle too, so an id holding
+    many rows sends one per task.
     """
     found = near_duplicates(docs, radius)
     removed = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(removed, F.col("doc_id") == F.col("__gone"), "left_anti")
+    named = docs.filter("doc_id IS NOT NULL").join(removed, F.col("doc_id") == F.col("__gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("__row", first).filter("__row = 1 OR doc_id IS NULL").drop("__row")
+    named = named.withColumn("__row", first).filter("__row = 1").drop("__row")
+    return named.unionByName(docs.filter("doc_id IS NULL"))
