@@ -40,6 +40,11 @@ FROM_BASE_TABLES = [
     "e1_revenue_trends",
     "m8_product_demand",
     "m2_holt_winters_by_country",
+    "m1_arima_by_country",
+    "e6_summary_panels",
+    "e7_insights",
+    "x2_affinity_summary",
+    "p6_distinct_values",
 ]
 
 
