@@ -123,6 +123,8 @@ def predict(spark: SparkSession, source: str, folder: str) -> None:
     tables.write_result(forecast.daily_series(sales), f"{folder}/daily_series", "parquet")
     series = spark.read.parquet(f"{folder}/daily_series")
     arima, smoothed = forecast.arima(series), forecast.holt_winters(series)
+    tables.write_result(forecast.daily_series(sales, "Country"), f"{folder}/daily_series_by_country", "parquet")
+    by_country = spark.read.parquet(f"{folder}/daily_series_by_country")
     model = churn.fit_churn(customers.churn_features(sales))
     _write_all(
         {
@@ -131,6 +133,8 @@ def predict(spark: SparkSession, source: str, folder: str) -> None:
             "holt_winters_forecast": smoothed,
             "holt_winters_errors": forecast.forecast_errors(smoothed),
             "holt_winters_totals": forecast.forecast_totals(smoothed),
+            "arima_forecast_by_country": forecast.arima(by_country, ["Country"]),
+            "holt_winters_forecast_by_country": forecast.holt_winters(by_country, ["Country"]),
             "churn_report": churn.evaluate(model),
             "churn_feature_importance": churn.feature_importance(model),
             "at_risk_customers": churn.at_risk(model.scored),
