@@ -37,6 +37,23 @@ def test_weak_parts_need_complementary_parts():
     assert kinds(f"client_id=robot77 {key}") == ["id", "key"]
 
 
+def test_parts_are_linked_over_the_whole_paragraph(spark):
+    key, far = "abcdefGHIJKL1234567890mnopQRST", "word " * 2000
+    docs = awkward(spark, [f"client_id=robot77 {far}{key}", f"client_id=robot77\n\n{far}{key}"])
+    rows = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(docs, ["doc_id"]).collect()}
+    assert rows[100] == ["id", "key"] and rows[101] == []
+    done = {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()}
+    assert key not in done[100] and key in done[101]
+
+
+def test_a_strong_part_inside_a_weak_one_is_its_partner():
+    kinds = lambda t: [k for k, _, _ in secrets.spans(t, None)]
+    assert secrets.spans("get https://api.example.com/v1?token=abcdefgh12345") == [("endpoint", 4, 50), ("assign", 31, 50)]
+    assert secrets.redact("get https://api.example.com/v1?token=abcdefgh12345 now") == "get [secret] now"
+    assert kinds(f"AKIA{'B' * 16}/wJalrXUtnFEMIK7MDENGbPxRfiCY") == ["access", "key"]
+    assert kinds("secret=abcdefGHIJKL1234567890mnopQRST") == ["assign"]  # one part, not two
+
+
 def test_redaction():
     text = 'é token = "0123456789abcdef0123456789abcdef" end'
     assert secrets.redact(text) == 'é [secret]" end' and secrets.spans(secrets.redact(text)) == []

@@ -2,8 +2,9 @@
 
 Strong patterns (assignments of secrets, access keys, long hex strings) are always reported.  Weak
 candidates (other access identifiers, key-like strings, endpoints) mean little alone: an interval join
-within the scope of a paragraph reports them only where a part of another role lies at most `REACH`
-code points away.
+within the scope of a paragraph reports them only where a part of another role occurs too, also inside
+or around them.  `find_secrets` and `redact` join over whole paragraphs; `reach` limits the distance in
+code points, as `spans` does unless told otherwise.
 
 Positions are code points.  Null and empty texts have no spans.  Parts never leave their text, so the
 join needs no shuffle, and its memory is bounded by one text.
@@ -56,16 +57,19 @@ def strong(text: str) -> Iterator[Span]:
         yield "hex", m.start(), m.end()
 
 
-def linked(text: str, found: list[Span]) -> list[Span]:
-    """Weak candidates that have a part of another role nearby in their paragraph."""
+def linked(text: str, found: list[Span], reach: int | None = None) -> list[Span]:
+    """Weak candidates that have a part of another role in their paragraph, at most `reach` away if given.
+
+    One overlapping a strong span of its own role is that part once more, and is left out.
+    """
     roles = {ROLES[kind] for kind, _, _ in found}
     weak = []
     if roles or "://" in text or WEAK["id"].search(text) or WEAK["endpoint"].search(text):
         weak = [(kind, m.start(), m.end()) for kind, pattern in WEAK.items() for m in pattern.finditer(text)]
     if not weak:
         return []
-    edges = sorted((a, b) for _, a, b in found)
-    weak = [s for s in weak if not overlaps(edges, s[1], s[2])]
+    edges = {role: sorted((a, b) for kind, a, b in found if ROLES[kind] == role) for role in roles}
+    weak = [s for s in weak if not overlaps(edges.get(ROLES[s[0]], []), s[1], s[2])]
     breaks = [m.span() for m in PARAGRAPH.finditer(text)]
     begin_of, end_of = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
     parts = found + weak
@@ -81,7 +85,9 @@ def linked(text: str, found: list[Span]) -> list[Span]:
         for k in range(len(found), len(parts)):
             if role[k] != mine or not len(other):
                 continue
-            low, high = max(first[k] - REACH, begin_of[scope[k]]), min(last[k] + REACH, end_of[scope[k]])
+            low, high = begin_of[scope[k]], end_of[scope[k]]
+            if reach is not None:
+                low, high = max(first[k] - reach, low), min(last[k] + reach, high)
             at = np.searchsorted(begins, high, side="right") - 1
             if at >= 0 and ends[at] >= low:
                 result.append(parts[k])
@@ -92,16 +98,16 @@ def overlaps(edges: list[tuple[int, int]], a: int, b: int) -> bool:
     return any(first < b and a < last for first, last in edges)
 
 
-def spans(text: str) -> list[Span]:
-    """All spans by start, then kind in the order of `KINDS`, then end."""
+def spans(text: str, reach: int | None = REACH) -> list[Span]:
+    """All spans by start, then kind in the order of `KINDS`, then end; without `reach` over whole paragraphs."""
     found = list(strong(text))
-    return sorted(found + linked(text, found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(found + linked(text, found, reach), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def redact(text: str, mark: str = "[secret]") -> str:
+def redact(text: str, mark: str = "[secret]", reach: int | None = None) -> str:
     """The text with every stretch covered by spans replaced."""
     out, at = [], 0
-    for _, a, b in spans(text):
+    for _, a, b in spans(text, reach):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
@@ -111,12 +117,12 @@ def redact(text: str, mark: str = "[secret]") -> str:
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint>>"
 
 
-def find_secrets(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
+def find_secrets(docs: DataFrame, keep: list[Column | str], reach: int | None = None) -> DataFrame:
     """Adds `spans` to the columns `keep`; one pass, no shuffle."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def work(texts):
-        found = (spans(t.decode("utf-8", "replace")) for t in texts)
+        found = (spans(t.decode("utf-8", "replace"), reach) for t in texts)
         return [pa.array([[dict(kind=k, start=a, stop=b) for k, a, b in s] for s in found], kind)]
 
     return map_texts(docs, keep, [("spans", SPANS)], work)
