@@ -117,6 +117,21 @@ def test_languages(spark):
     assert odd[101].lang_pred in sound and 0 <= odd[4].score <= 1
 
 
+def test_every_language_can_be_predicted(spark):
+    rng, rows = random.Random(5), []
+    for k in range(230):  # the later, the rarer; the last has one row to learn from
+        letters = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        for j in range(6 if k < 120 else 4 if k < 229 else 1):
+            text = " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(20))
+            rows.append((len(rows), text, f"l{k:03d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    assert len(model.names) == 230
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model, ["doc_id"]).collect()}
+    assert {got[k] for k, _, _ in rows} == {lang for _, _, lang in rows}
+    assert np.mean([got[k] == lang for k, _, lang in rows]) > 0.95
+
+
 def test_language_without_training_rows(spark):
     model = language.fit(empty(spark), F.lit(True))
     assert {r.lang_pred for r in language.predict(awkward(spark, ["x"]), model, ["doc_id"]).collect()} == {"und"}

@@ -5,8 +5,9 @@ Document frequencies cover every learnable text; the weights are trained on a sa
 follow-the-regularised-leader with an elastic net, one row at a time; a temperature fitted on sample
 rows kept aside makes the probabilities honest.
 
-The sample takes about `SAMPLE` rows in equal shares over the languages (at most `LANGUAGES`, the
-most frequent), by a threshold on a hash.  Null texts and texts without a letter are `und` with score 0,
+The sample takes about `SAMPLE` rows in equal shares over all languages, but no fewer than about `LEAST`
+of each, by a threshold on a hash; the row of a language that comes first by it is always taken, and one
+row of each at least is trained on, so every language can be predicted.  Null texts and texts without a letter are `und` with score 0,
 as is every text if nothing could be learned.
 """
 
@@ -23,7 +24,7 @@ from tillroll.llm.text import chunks, map_texts, mix
 BITS = 13
 ROWS = 256  # texts in one dense table
 SAMPLE = 4000
-LANGUAGES = 200
+LEAST = 20  # sample rows of a language, as far as it has them
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 ASIDE = 5  # every so many sample rows calibrate
@@ -106,6 +107,11 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, name
         return np.where(np.abs(z) > L1, w, 0.0)
 
     train = [k for k in range(len(rows)) if k % ASIDE or len(rows) < 2 * ASIDE]
+    trained = set(labels[train].tolist())
+    for k in range(0, len(rows), ASIDE):
+        if labels[k] not in trained:
+            trained.add(labels[k])
+            train.append(k)
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for k in rng.permutation(train):
@@ -154,15 +160,16 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(
         learnable & F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    kinds = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(10**9))
+    kinds = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
     if not kinds:
         return Model()
     total, seen = document_frequencies(known)
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
-    share = F.lit(0)
-    for r in kinds:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, sample / len(kinds) / r["count"]) * 10**9)).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(10**9))
+    wanted = max(sample / len(kinds), LEAST)
+    bounds = [(r["lang"], max(int(min(1.0, wanted / r["n"]) * 10**9), r["first"] + 1)) for r in kinds]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, __bound long")
+    chosen = known.join(F.broadcast(bounds), "lang").filter(place < F.col("__bound"))
 
     def work(texts):
         at, count = [], []
@@ -173,15 +180,16 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
                 count.append(line[used].astype("<i4").tobytes())
         return [pa.array(at, pa.binary()), pa.array(count, pa.binary())]
 
-    rows = map_texts(known.filter(place < share), [F.col("doc_id"), F.col("lang")], [("at", "binary"), ("n", "binary")], work)
+    rows = map_texts(chosen, [F.col("doc_id"), F.col("lang")], [("at", "binary"), ("n", "binary")], work)
     rows = sorted(rows.collect(), key=lambda r: (hash_order(r.doc_id), bytes(r.at)))
     names = sorted(r["lang"] for r in kinds)
+    number = {name: k for k, name in enumerate(names)}
     made = []
     for r in rows:
         at = np.frombuffer(r.at, "<i4")
         x = np.log1p(np.frombuffer(r.n, "<i4").astype(np.float32)) * idf[at]
         made.append((at, x / (np.sqrt(x @ x) or 1)))
-    return fit_rows(made, np.array([names.index(r.lang) for r in rows], int), names, idf)
+    return fit_rows(made, np.array([number[r.lang] for r in rows], int), names, idf)
 
 
 def hash_order(doc_id) -> tuple[int, int]:
