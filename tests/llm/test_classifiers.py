@@ -89,6 +89,21 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(loss(w) <= loss(w + 0.05 * rng.normal(size=5)) + 1e-3 for _ in range(200))
 
 
+def test_ratios_count_rows_outside_the_sample(spark):
+    rows = [(k, f"plain common words {'zebra' if k % 2 else 'lemur'}{k // 20 % 10}") for k in range(400)]
+    docs = spark.createDataFrame([*rows, (401, None), (402, "zebra0"), (None, "zebra0")], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(402)] + [(402, 0), (402, 1), (None, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    learnable = F.coalesce(F.col("doc_id") >= 10, F.lit(False))
+    expected = np.zeros((2, 1 << quality.BITS))
+    for k, text in rows[10:]:
+        expected[k % 2, quality.ngrams([text.encode()])[1]] += 1
+    assert (quality.class_counts(docs, labels, learnable) == expected).all()
+    model = quality.fit(docs, labels, learnable, per_class=2)  # most animals are in no sampled row
+    scores = {w: model.score([w.encode()])[0] for w in (f"{a}{k}" for a in ("zebra", "lemur") for k in range(10))}
+    assert all(scores[f"zebra{k}"] > scores[f"lemur{k}"] for k in range(10))
+
+
 def test_repeated_words_are_seen_once():
     found = toxicity.sentences([b"same same same"])
     assert len(found.owner) == 1

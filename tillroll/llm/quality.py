@@ -4,7 +4,7 @@ A text is the set of its n-grams: words, and runs of three word shapes (case, pu
 length, repetition of the word before).  Indicators are scaled by the log ratio of how often the two
 classes have them, and a linear hinge-loss model is fitted on them by dual coordinate descent.
 
-The fit uses at most `PER_CLASS` labelled rows of each class; scoring is one pass over all texts with
+The ratios count all learnable labelled rows, the hinge fit uses at most `PER_CLASS` of each class; scoring is one pass over all texts with
 a table of 2**BITS weights.  Null and empty texts have no n-grams and get the score of the bias.
 Without labelled rows of both classes every score is the share of class 1 among the labels seen, or 0.5.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.sampling import labelled_sample
+from tillroll.llm.sampling import agreed_labels, labelled_sample
 from tillroll.llm.text import ALNUM, SPACED, chunks, distinct_pairs, joined, map_texts, mix, owners, sigmoid, span_hashes, words
 
 BITS = 18
@@ -98,15 +98,21 @@ class Model:
         return sigmoid(self.slope * sums / norm + self.offset)
 
 
-def fit_rows(buckets: list[np.ndarray], labels: np.ndarray) -> Model:
-    """The model of texts given as sets of n-grams, and their labels."""
+def fit_rows(buckets: list[np.ndarray], labels: np.ndarray, counts: np.ndarray | None = None) -> Model:
+    """The model of texts given as sets of n-grams, and their labels.
+
+    `counts` tells how many rows of each class have each n-gram; without it these texts are counted.
+    """
     size, bias = (1 << BITS) + 1, 1 << BITS
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
         return Model(np.zeros(size), 0.0, float(np.log(share / (1 - share))))
     seen = np.full((2, size), SMOOTHING)
-    for at, label in zip(buckets, labels):
-        seen[label, at] += 1
+    if counts is not None:
+        seen[:, :-1] += counts
+    else:
+        for at, label in zip(buckets, labels):
+            seen[label, at] += 1
     seen[:, bias] = 1
     ratio = np.log(seen[1] / seen[1, :-1].sum()) - np.log(seen[0] / seen[0, :-1].sum())
     ratio[bias] = 1.0
@@ -137,8 +143,34 @@ def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def class_counts(docs: DataFrame, labels: DataFrame, learnable: Column) -> np.ndarray:
+    """Per class and bucket, how many learnable labelled rows have it; summed inside each task first.
+
+    Two times 2**BITS numbers at most reach the driver.
+    """
+
+    def count(batches):
+        seen = np.zeros(2 << BITS, np.int64)
+        for batch in batches:
+            texts, label = batch.column("utf8").to_pylist(), batch.column("label").to_numpy().astype(np.int64)
+            for a, b in chunks(texts):
+                row, bucket = ngrams(texts[a:b])
+                seen += np.bincount(label[a:b][row] << BITS | bucket, minlength=2 << BITS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["place", "n"])
+
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("utf8")
+    known = agreed_labels(labels, "quality", learnable).hint("merge")  # labels grow with the texts
+    texts = docs.filter(learnable).select("doc_id", text).join(known, "doc_id")
+    found = texts.select("utf8", "label").mapInArrow(count, "place bigint, n bigint")
+    found = found.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 << BITS)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    return counts.reshape(2, -1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> Model:
-    """Learns `quality` from labelled rows for which `learnable` holds."""
+    """Learns `quality` from labelled rows for which `learnable` holds, at most `per_class` of them by hinge loss."""
 
     def work(texts):
         found = []
@@ -150,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int =
     sample = labelled_sample(docs, labels, "quality", learnable, per_class)
     grams = map_texts(sample, [F.col("doc_id"), F.col("label")], [("grams", "binary")], work)
     rows = sorted(grams.collect(), key=lambda r: (r.doc_id, bytes(r.grams)))
-    return fit_rows([np.frombuffer(r.grams, "<i4") for r in rows], np.array([r.label for r in rows], int))
+    counts = class_counts(docs, labels, learnable)
+    return fit_rows([np.frombuffer(r.grams, "<i4") for r in rows], np.array([r.label for r in rows], int), counts)
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column | str]) -> DataFrame:
