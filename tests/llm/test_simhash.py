@@ -88,3 +88,10 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 100, 102]
     assert kept.filter("doc_id IS NULL").count() == 2
     assert simhash.near_duplicates(empty(spark)).count() == simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_repeated_ids_go_only_with_a_copy_that_stays(spark):
+    a, b = "one two three four five six", "something else altogether, quite another text"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, "a third text of its own here"), (4, "and the fourth is not like it")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[2], rows[4], rows[5]])

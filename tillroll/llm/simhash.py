@@ -184,15 +184,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns.
+    """One row of each class, that with the smallest id, with all its columns.
 
-    Rows without an id stay and are not shuffled.  Of rows repeating a kept id the one with the
-    smallest hash of its text stays; the rank limit is applied before the shuffle too, so an id holding
-    many rows sends one per task.
+    Classes are over fingerprints, so rows repeating an id with other texts are judged one by one, and
+    a row goes only if one of its own class stays.  Rows without an id stay and are not shuffled.  Of
+    rows repeating id and fingerprint the one with the smallest hash of its text stays; the rank limit
+    is applied before the shuffle too, so an id holding many rows sends one per task.
     """
-    found = near_duplicates(docs, radius)
-    removed = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(removed, F.col("doc_id") == F.col("__gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = named.withColumn("__row", first).filter("__row = 1").drop("__row")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL")
+    work = named.select(F.col("doc_id").cast("bigint").alias("__id"), "text", F.struct(*docs.columns).alias("__row"))
+    printed = stage(fingerprints(work, ["__id", "__row"]), "printed")
+    distinct = stage(printed.filter("__id IS NOT NULL").groupBy("fp").agg(F.min("__id").alias("first")), "distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("id")), radius))
+    placed = distinct.join(found, distinct.fp == found.node, "left")
+    stays = placed.groupBy(F.coalesce("component", "fp").alias("class")).agg(F.min(F.struct("first", "fp")).alias("s"))
+    stays = stays.select(F.col("s.first").alias("__first"), F.col("s.fp").alias("__fp"))
+    rank = F.row_number().over(Window.partitionBy("__id", "fp").orderBy(F.xxhash64("__row.text")))
+    ranked = printed.withColumn("__rank", rank).filter("__rank = 1")
+    kept = ranked.join(stays, (F.col("__id") == F.col("__first")) & (F.col("fp") == F.col("__fp")), "left_semi")
+    return kept.select("__row.*").unionByName(docs.filter("doc_id IS NULL"))
