@@ -75,3 +75,9 @@ def test_a_forecast_shuffles_each_series_once(spark):
     df = driver.queries()["m1_arima"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "Pandas" not in plan
+
+
+def test_the_centroid_silhouette_has_a_name_of_its_own():
+    names = [n for n in driver.queries() if n.startswith("k5_")]
+    assert "k5_centroid_silhouette" in names and "k5_euclidean_silhouette" not in names
+    assert "k5_centroid_silhouette" in driver.oracle_sql()

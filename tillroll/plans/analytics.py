@@ -564,7 +564,7 @@ _AXES = range(len(clusters.FEATURES))
 
 
 @query(
-    "k5_euclidean_silhouette",
+    "k5_centroid_silhouette",
     with_tables(
         f"""SELECT 'silhouette_centroid' AS metric, {compared('avg(coalesce((outside - inside) / greatest(outside, inside), 0))')} AS number,
               CAST(NULL AS VARCHAR) AS label
