@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, containment, fertility, language, licenses, quality, secrets, simhash, toxicity
+from tillroll.llm import bpe, chat, containment, fertility, language, licenses, quality, secrets, simhash, sketches, toxicity
 from tillroll.llm.text import bucket_of, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -171,3 +171,16 @@ def op10_toxicity_instances(spark, folder):
     model = toxicity.fit(docs, table(spark, folder, "labels"), learnable(3, 1))
     scored = toxicity.score(docs, model, [DOC_ID, held_out(3, 1)])
     return scored.select("*", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op11_bottom_k_sketches(spark, folder):
+    found = sketches.edited(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        sketches.as_text("sketch").alias("fingerprint"), sketches.as_text("edited_sketch").alias("edited_fingerprint"),
+        sketches.resemblance("sketch", "edited_sketch").alias("near_edited"),
+        sketches.resemblance("sketch", "next_sketch").alias("near_next"),
+        sketches.containment("sketch", "edited_sketch").alias("kept_in_edited"),
+        sketches.distinct_shingles("sketch").alias("n_shingles"),
+    )
