@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, containment, fertility, language, licenses, quality, secrets, simhash, sketches, toxicity
+from tillroll.llm import bpe, chat, containment, fertility, language, licenses, phrases, quality, secrets, simhash, sketches, toxicity
 from tillroll.llm.text import bucket_of, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -184,3 +184,42 @@ def op11_bottom_k_sketches(spark, folder):
         sketches.containment("sketch", "edited_sketch").alias("kept_in_edited"),
         sketches.distinct_shingles("sketch").alias("n_shingles"),
     )
+
+
+@query
+def op13_setm_collocations(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op13_setm_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(body, '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS body FROM documents)),
+w AS (SELECT lang, piece, unnest(words) AS word, unnest(range(len(words))) AS pos FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, word AS w1, NULL AS w2, NULL AS w3 FROM w
+  UNION ALL SELECT a.lang, 2, a.word, b.word, NULL FROM w a JOIN w b ON a.piece = b.piece AND b.pos = a.pos + 1
+  UNION ALL SELECT a.lang, 3, a.word, b.word, c.word FROM w a JOIN w b ON a.piece = b.piece AND b.pos = a.pos + 1
+                                                          JOIN w c ON a.piece = c.piece AND c.pos = a.pos + 2),
+f AS (SELECT lang, size, concat_ws(' ', w1, w2, w3) AS phrase, w1, w2, w3, count(*) AS n FROM grams GROUP BY ALL),
+one AS (SELECT lang, phrase, n FROM f WHERE size = 1),
+two AS (SELECT * FROM f WHERE size = 2),
+three AS (SELECT * FROM f WHERE size = 3 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.n AS a, 1 AS k, l.n AS l, r.n AS r FROM two c
+    JOIN one l ON l.lang = c.lang AND l.phrase = c.w1 JOIN one r ON r.lang = c.lang AND r.phrase = c.w2 WHERE c.n >= 10
+  UNION ALL SELECT c.lang, c.phrase, c.n, 1, l.n, r.n FROM three c
+    JOIN one l ON l.lang = c.lang AND l.phrase = c.w1 JOIN two r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+  UNION ALL SELECT c.lang, c.phrase, c.n, 2, l.n, r.n FROM three c
+    JOIN two l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2 JOIN one r ON r.lang = c.lang AND r.phrase = c.w3),
+worst AS (
+  SELECT *, (1000000 * a::HUGEINT * a::HUGEINT) // (l::HUGEINT * r::HUGEINT) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM worst w WHERE NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, w1 || ' ' || w2 AS phrase, n FROM three UNION ALL SELECT lang, w2 || ' ' || w3, n FROM three) t
+    WHERE t.lang = w.lang AND t.phrase = w.phrase AND 100 * t.n >= 50 * w.a))
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(n)::BIGINT FROM one o WHERE o.lang = k.lang) AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) k WHERE rank <= 2000"""
