@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, containment, fertility, language, licenses, phrases, quality, secrets, simhash, sketches, toxicity
+from tillroll.llm import bpe, chat, containment, fertility, language, licenses, negatives, phrases, quality, secrets, simhash, sketches, toxicity
 from tillroll.llm.text import bucket_of, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -186,6 +186,34 @@ def op11_bottom_k_sketches(spark, folder):
     )
 
 
+@query
+def op12_gnat_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(
+        F.col("vec_id").alias("id"), label.alias("label"), negatives.quantised("embedding", 256).alias("vector")
+    )
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_gnat_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label AS label,
+         list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE label = own AND id != anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE label != own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 5"""
+
+
 @query
 def op13_setm_collocations(spark, folder):
     return phrases.collocations(table(spark, folder, "documents"))
