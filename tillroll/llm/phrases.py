@@ -1,7 +1,7 @@
 """Phrase collocations by set-oriented mining over occurrence relations.
 
 The relation of length k holds the places of every phrase of k words: one row per chunk of a language's
-texts, sorted by piece and position.  A place is a number; the words of a piece have consecutive places and
+texts, sorted by piece and position, and a row per phrase of the chunk.  A place is a number; the words of a piece have consecutive places and
 pieces lie a gap apart, so the merge join of a relation with the words at the adjacent position of the same
 piece is a shift by k places.  Per length: the relation is written to the shared folder, its groups are
 counted (per chunk first, then over all chunks), a semi-join with the frequent groups shortens it, and only
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.text import utf8
 from tillroll.staging import stage
 
-WINDOW = 8 << 20
+WINDOW = 4 << 20
 MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
@@ -40,8 +40,9 @@ _KINDS[[*b".,;:!?", 10, 11, 12, 13]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_FIRST = "chunk bigint, lang string, vocabulary array<string>, counts array<bigint>, places binary"
-_LONGER = "chunk bigint, places binary, words binary, ids binary, prefix array<bigint>, next array<bigint>, counts array<bigint>"
+# A chunk's row with its places comes with a row for every group in it.
+_FIRST = "chunk bigint, lang string, at int, word string, n bigint, places binary"
+_LONGER = "chunk bigint, at int, prefix bigint, next bigint, n bigint, places binary, words binary, ids binary"
 
 
 def read_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -81,10 +82,18 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             number += 1
             sizes.pop(lang)
             vocabulary, counts, places = read_words(held.pop(lang))
-            return pa.RecordBatch.from_pydict(
-                {"chunk": [number], "lang": [lang], "vocabulary": [vocabulary], "counts": [counts], "places": [places.tobytes()]},
-                pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("vocabulary", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("places", pa.binary())]),
-            )
+            n = len(vocabulary)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + 1, number)),
+                    pa.array([lang] * (n + 1), pa.string()),
+                    pa.array(np.arange(-1, n, dtype=np.int32)),
+                    pa.concat_arrays([pa.nulls(1, pa.string()), vocabulary]),
+                    pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
+                    pa.concat_arrays([pa.array([places.tobytes()], pa.binary()), pa.nulls(n, pa.binary())]),
+                ],
+                names=["chunk", "lang", "at", "word", "n", "places"],
+            )
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -110,10 +119,10 @@ def extend(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _nothing()
-        ids = right["id"].to_numpy()
-        alive = np.full(int(right["at"].to_numpy().max()) + 2, -1, np.int32)
-        alive[right["at"].to_numpy()] = np.arange(len(ids), dtype=np.int32)
+            return table([], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        at, ids = right["at"].to_numpy(), right["id"].to_numpy()
+        alive = np.full(int(at.max()) + 2, -1, np.int32)
+        alive[at] = np.arange(len(ids), dtype=np.int32)
         places = np.frombuffer(left["places"][0].as_py(), np.int32)
         # Groups above the last frequent one share the last entry, as does the gap's -1.
         places = alive[np.where(places < len(alive) - 1, places, -1)]
@@ -127,26 +136,25 @@ def extend(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
         here = np.flatnonzero((head >= 0) & (last >= 0) & (places[1 : n + 1] >= 0))
         groups = head[here].astype(np.int64) * len(word_ids) + last[here]
         groups, numbers, counts = np.unique(groups, return_inverse=True, return_counts=True)
-        if not len(groups):
-            return _nothing()
         longer = np.full(len(places), -1, np.int32)
         longer[here] = numbers
-        return pa.Table.from_pydict(
-            {
-                "chunk": left["own"].to_pylist(), "places": [longer.tobytes()], "words": [words.tobytes()], "ids": [word_ids.tobytes()],
-                "prefix": [ids[groups // len(word_ids)]], "next": [word_ids[groups % len(word_ids)]], "counts": [counts],
-            },
-            _schema(),
-        )
-
-    def _schema():
-        longs = pa.list_(pa.int64())
-        return pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("places", "words", "ids")), *((c, longs) for c in ("prefix", "next", "counts"))])
-
-    def _nothing():
-        return _schema().empty_table()
-
-    mine = relation.select(F.col("chunk").alias("own"), *columns).groupBy("own")
+        kept = [left["own"][0].as_py(), longer.tobytes(), words.tobytes(), word_ids.tobytes()]
+        return table(kept, ids[groups // len(word_ids)], word_ids[groups % len(word_ids)], counts)
+
+    def table(kept, prefix, following, counts) -> pa.Table:
+        n, whole = len(prefix), 1 if kept else 0
+        own, *binary = kept or [0, None, None, None]
+        return pa.table(
+            [
+                pa.array(np.full(n + whole, own)),
+                pa.array(np.arange(-whole, n, dtype=np.int32)),
+                *(pa.concat_arrays([pa.nulls(whole, pa.int64()), pa.array(c, pa.int64())]) for c in (prefix, following, counts)),
+                *(pa.concat_arrays([pa.array([b][:whole], pa.binary()), pa.nulls(n, pa.binary())]) for b in binary),
+            ],
+            names=["chunk", "at", "prefix", "next", "n", "places", "words", "ids"],
+        )
+
+    mine = relation.filter("places IS NOT NULL").select(F.col("chunk").alias("own"), *columns).groupBy("own")
     return mine.cogroup(frequent.select("chunk", "at", "id").groupBy("chunk")).applyInArrow(run, _LONGER)
 
 
@@ -156,8 +164,7 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     A phrase has lang, text, f (occurrences) and `phrase`, the array of its words' numbers.
     """
     relation = stage(occurrences(docs), "words")
-    counted = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("at", "group"))
-    groups = counted.select("chunk", "at", "lang", F.col("group.vocabulary").alias("word"), F.col("group.counts").alias("n"))
+    groups = relation.filter("places IS NULL").select("chunk", "at", "lang", "word", "n")
     totals = groups.groupBy("lang").agg(F.sum("n").alias("n"))
     key = ["lang", "word"]
     phrases = []
@@ -180,9 +187,8 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
         if length < max_words:
             relation = extend(relation, groups.join(frequent, key).select("chunk", "at", "id"), length)
             relation = stage(relation, "occurrences") if length + 1 < max_words else relation
-            flat = relation.select("chunk", F.posexplode(F.arrays_zip("prefix", "next", "counts")).alias("at", "group"))
             key = ["prefix", "next"]
-            groups = flat.select("chunk", "at", "group.prefix", "group.next", F.col("group.counts").alias("n"))
+            groups = relation.filter("places IS NULL").select("chunk", "at", *key, "n")
     return phrases, totals
 
 

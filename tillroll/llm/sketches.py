@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, keep: list[Column | str], k: int = K, size: in
 
 def union(a: Column | str, b: Column | str, k: int = K) -> Column:
     """The sketch of both texts together."""
-    return F.slice(F.array_sort(F.array_distinct(F.concat(a, b))), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, k)
 
 
 def resemblance(a: Column | str, b: Column | str, k: int = K) -> Column:
@@ -132,7 +132,7 @@ def merge(sketches: DataFrame, keys: list[str], k: int = K, sketch: str = "sketc
         return pa.RecordBatch.from_arrays([*columns, _lists(list(held.values()))], names=kind.names)
 
     def level(df: DataFrame, by: list[Column | str]) -> DataFrame:
-        merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__sketch")))), 1, k)
+        merged = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("__sketch")))), 1, k)
         return df.groupBy(*by).agg(merged.alias("__sketch"))
 
     reduced = source.mapInArrow(per_task, kinds).withColumn("__salt", F.pmod(F.xxhash64("__sketch"), _SALTS))
