@@ -2,8 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.llm.data import awkward, empty
 from tillroll.llm import sketches
@@ -42,17 +42,15 @@ def texts(n, seed=3):
 def test_edited_against_a_plain_sort(spark, parts):
     rows = [(rng_id, t) for rng_id, t in zip(random.Random(1).sample(range(-50, 1000), 80), texts(80))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sketches.edited(docs, k=4096, parts=parts)
-    got = got.withColumn("e", sketches.resemblance("sketch", "edited_sketch", 4096))
-    got = {r.doc_id: r for r in got.withColumn("n", sketches.resemblance("sketch", "next_sketch", 4096)).collect()}
+    got = {r.doc_id: r for r in sketches.edited(docs, k=4096, parts=parts).collect()}
     expected = plain_edited(rows)
     assert len(got) == len(expected)
     for i, n, digest, own, new, after in expected:
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (n, digest)
-        assert r.e == pytest.approx(jaccard(shingles(own), shingles(new)))
-        assert r.n == pytest.approx(jaccard(shingles(own), shingles(after)))
-        assert len(r.sketch) == len(shingles(own))
+        assert r.near_edited == pytest.approx(jaccard(shingles(own), shingles(new)))
+        assert r.near_next == pytest.approx(jaccard(shingles(own), shingles(after)))
+        assert len(r.fingerprint) == 16 * len(shingles(own)) and r.n_shingles == len(shingles(own))
 
 
 def test_repeated_and_null_ids(spark):
@@ -89,6 +87,20 @@ def test_sketch_estimates(spark):
     assert r.n == pytest.approx(len(x), rel=0.15)
 
 
+def test_columns_and_tasks_estimate_alike(spark):
+    docs = spark.createDataFrame(list(enumerate([*texts(40, 12), "", "a b"])), "doc_id long, text string")
+    k = 16
+    own = {r.doc_id: r.sketch for r in sketches.fingerprints(docs, ["doc_id"], k).collect()}
+    pairs = [(own[a], own[b]) for a in range(42) for b in (a, (a * 7 + 1) % 42)]
+    rows = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(
+        "a", "b", sketches.resemblance("a", "b", k).alias("r"), sketches.containment("a", "b", k).alias("c")
+    )
+    for row in rows.collect():
+        assert (row.r, row.c) == pytest.approx(sketches.likeness(np.array(row.a, np.int64), np.array(row.b, np.int64), k))
+    found = sketches.edited(docs, k).select("doc_id", sketches.from_hex("fingerprint").alias("s"))
+    assert {r.doc_id: r.s for r in found.collect()} == own
+
+
 def test_merge_equals_the_sketch_of_the_whole(spark):
     rows = [(k % 4 if k % 5 else None, t) for k, t in enumerate(texts(200, 9))]
     docs = spark.createDataFrame(rows, "part long, text string").repartition(7)
@@ -106,9 +118,9 @@ def test_awkward_rows(spark):
     got = sketches.edited(awkward(spark, ["one two", "ONE  two"])).collect()
     assert len(got) == 10
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
-    assert by_id[2].sketch == by_id[3].sketch == [] and by_id[2].n_chars == 0
-    assert by_id[100].sketch == by_id[101].sketch
-    assert len(by_id[4].sketch) == sketches.K
+    assert by_id[2].fingerprint == by_id[3].fingerprint == "" and by_id[2].n_chars == 0
+    assert by_id[100].fingerprint == by_id[101].fingerprint != ""
+    assert len(by_id[4].fingerprint) == 16 * sketches.K
     assert sketches.edited(empty(spark)).count() == 0
     assert sketches.fingerprints(awkward(spark), ["doc_id", "score"]).columns == ["doc_id", "score", "sketch"]
     assert sketches.merge(sketches.fingerprints(empty(spark), ["doc_id"]), ["doc_id"]).count() == 0

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.text import utf8
 from tillroll.staging import stage
 
-WINDOW = 4 << 20
+WINDOW = 8 << 20
 MAX_WORDS = 3
 MIN_COUNT = 10
 TOP = 2000
@@ -169,7 +169,13 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     key = ["lang", "word"]
     phrases = []
     for length in range(1, max_words + 1):
-        frequent = groups.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+        if length < max_words:
+            # One shuffle: a group's rows, one per chunk that has it, meet and learn their sum.
+            total = F.sum("n").over(Window.partitionBy(*key))
+            kept = stage(groups.withColumn("f", total).filter(F.col("f") >= min_count).drop("n"), "kept")
+            frequent = kept.groupBy(*key).agg(F.first("f").alias("f"))
+        else:
+            frequent = groups.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
         frequent = stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
         if length == 1:
             spelled = frequent.select("id", F.array("id").alias("phrase"), "f", "lang", F.col("word").alias("text"))
@@ -185,7 +191,7 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
             )
         phrases.append(spelled)
         if length < max_words:
-            relation = extend(relation, groups.join(frequent, key).select("chunk", "at", "id"), length)
+            relation = extend(relation, kept.join(frequent.select(*key, "id"), key).select("chunk", "at", "id"), length)
             relation = stage(relation, "occurrences") if length + 1 < max_words else relation
             key = ["prefix", "next"]
             groups = relation.filter("places IS NULL").select("chunk", "at", *key, "n")

@@ -175,15 +175,7 @@ def op10_toxicity_instances(spark, folder):
 
 @query
 def op11_bottom_k_sketches(spark, folder):
-    found = sketches.edited(table(spark, folder, "documents"))
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256",
-        sketches.as_text("sketch").alias("fingerprint"), sketches.as_text("edited_sketch").alias("edited_fingerprint"),
-        sketches.resemblance("sketch", "edited_sketch").alias("near_edited"),
-        sketches.resemblance("sketch", "next_sketch").alias("near_next"),
-        sketches.containment("sketch", "edited_sketch").alias("kept_in_edited"),
-        sketches.distinct_shingles("sketch").alias("n_shingles"),
-    )
+    return sketches.edited(table(spark, folder, "documents"))
 
 
 @query

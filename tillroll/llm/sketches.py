@@ -65,6 +65,18 @@ def _lists(sketches: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sketches])))
 
 
+def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
+    """`resemblance` and `containment` of two sketches inside a task."""
+    both = bottom(np.concatenate([a, b]), k)
+    if not len(both):
+        return 1.0, 1.0
+    shared = np.intersect1d(a, b, assume_unique=True)
+    known = min([s[-1] for s in (a, b) if len(s) >= k], default=(1 << 63) - 1)
+    mine = np.searchsorted(a, known, "right")
+    inside = np.searchsorted(shared, known, "right") / mine if mine else float(not len(a))
+    return np.searchsorted(shared, both[-1], "right") / len(both), inside
+
+
 def fingerprints(docs: DataFrame, keep: list[Column | str], k: int = K, size: int = SHINGLE) -> DataFrame:
     """The columns `keep` and the `sketch` of every text; nothing is shuffled."""
     return map_texts(docs, keep, [("sketch", "array<bigint>")], lambda texts: [_lists(sketch_texts(texts, k, size))])
@@ -193,15 +205,19 @@ def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     return body.unionByName(ends).repartitionById(len(table), F.col("number")).sortWithinPartitions("number", "tail", "at", "text")
 
 
+_EDITED = """doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,
+  near_edited double, near_next double, kept_in_edited double, n_shingles double"""
+
+
 def edited(docs: DataFrame, k: int = K, size: int = SHINGLE, parts: int | None = None) -> DataFrame:
-    """Sketches of every text, of its edited text and of the next document's text.
+    """Sketches (as text) of every text and of its edited text, and how like they and the next text's are.
 
     The next document follows in falling order of doc_id (rows without id last, ties by text), after the last
     the first; a lone document follows itself.  The edited text has the last half of its code points, rounded
     down, replaced by the first as many of the next text.  Texts are shuffled once.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, sketch array<bigint>, edited_sketch array<bigint>, next_sketch array<bigint>"
+    names = [c.split()[0] for c in _EDITED.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -222,22 +238,38 @@ def edited(docs: DataFrame, k: int = K, size: int = SHINGLE, parts: int | None =
             half = len(text) // 2
             sizes.append(len(text))
             halves.append((text[: len(text) - half] + after[:half]).encode())
-        own = sketch_texts(texts, k, size)
+        own, new = sketch_texts(texts, k, size), sketch_texts(halves, k, size)
+        near = [likeness(own[r], n, k) for r, n in zip(rows, new)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([ids[r] for r in rows], pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array([hashlib.sha256(t).hexdigest() for t in halves], pa.string()),
-                _lists([own[r] for r in rows]),
-                _lists(sketch_texts(halves, k, size)),
-                _lists([own[r + 1] for r in rows]),
+                pa.array([hex_digits(own[r]) for r in rows], pa.string()),
+                pa.array([hex_digits(s) for s in new], pa.string()),
+                pa.array([n[0] for n in near], pa.float64()),
+                pa.array([likeness(own[r], own[r + 1], k)[0] for r in rows], pa.float64()),
+                pa.array([n[1] for n in near], pa.float64()),
+                pa.array([_count(own[r], k) for r in rows], pa.float64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch"],
+            names=names,
         )
 
-    return _in_order(docs, max(1, parts)).select("doc_id", "text", "tail").mapInArrow(run, schema)
+    return _in_order(docs, max(1, parts)).select("doc_id", "text", "tail").mapInArrow(run, _EDITED)
+
+
+def _count(sketch: np.ndarray, k: int) -> float:
+    return float(len(sketch)) if len(sketch) < k else (k - 1) * 2.0**63 / float(sketch[-1])
+
+
+def hex_digits(sketch: np.ndarray) -> str:
+    """A sketch as 16 hex digits per hash, smallest hash first."""
+    return sketch.astype(">i8").tobytes().hex()
 
 
-def as_text(sketch: Column | str) -> Column:
-    """A sketch as 16 hex digits per hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def from_hex(text: Column | str) -> Column:
+    """The sketch that `hex_digits` has written."""
+    text = F.col(text) if isinstance(text, str) else text
+    starts = F.sequence(F.lit(0), F.floor(F.length(text) / 16).cast("int") - 1)
+    digits = F.transform(starts, lambda i: F.conv(F.substring(text, i * 16 + 1, F.lit(16)), 16, 10))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(digits.cast("array<bigint>"))
