@@ -2,10 +2,10 @@
 
 The relation of length k holds the places of every phrase of k words: one row per chunk of a language's
 texts, sorted by piece and position, and a row per phrase of the chunk.  A place is a number; the words of a piece have consecutive places and
-pieces lie a gap apart, so the merge join of a relation with the words at the adjacent position of the same
-piece is a shift by k places.  Per length: the relation is written to the shared folder, its groups are
+pieces lie a gap apart, so the merge join of a sorted relation with itself by piece and adjacent position is
+a shift by one place.  Per length: the relation is written to the shared folder, its groups are
 counted (per chunk first, then over all chunks), a semi-join with the frequent groups shortens it, and only
-what is left is extended by one word.
+what is left is extended by one word.  Semi-join and merge join run in one co-group per chunk.
 
 Texts are lower-cased (A-Z) and split into pieces at `.,;:!?` and the line breaks 0A-0D, pieces into words at
 blanks and tabs.  Null texts are empty, the language null is `und`.  Everything is counted per language, over
@@ -42,7 +42,7 @@ _LOWER[65:91] += 32
 
 # A chunk's row with its places comes with a row for every group in it.
 _FIRST = "chunk bigint, lang string, at int, word string, n bigint, places binary"
-_LONGER = "chunk bigint, at int, prefix bigint, next bigint, n bigint, places binary, words binary, ids binary"
+_LONGER = "chunk bigint, at int, prefix bigint, next bigint, n bigint, places binary"
 
 
 def read_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -109,53 +109,58 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), utf8().alias("text")).mapInArrow(run, _FIRST)
 
 
-def extend(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
-    """The relation of `length + 1` words from that of `length` words without its rare groups.
+def extend(relation: DataFrame, frequent: DataFrame, last: bool = False) -> DataFrame:
+    """The relation of phrases longer by a word, from a relation and the frequent groups in it.
 
-    `frequent` has chunk, `at` (the group's number in the chunk) and id (its number everywhere).  A phrase
-    goes on only where both its first and its last `length` words are frequent.
+    `frequent` has chunk, `at` (the group's number in the chunk), id (its number everywhere) and `next` (its
+    last word).  The phrases at adjacent places of a piece share all words but the first and the last one, so
+    both must be frequent and the second brings the new word.  The `last` relation comes without places.
     """
-    columns = ["places"] + (["words", "ids"] if length > 1 else [])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return table([], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-        at, ids = right["at"].to_numpy(), right["id"].to_numpy()
+            return table(0, None, *[np.empty(0, np.int64)] * 3)
+        at, ids, words = (right[c].to_numpy() for c in ("at", "id", "next"))
         alive = np.full(int(at.max()) + 2, -1, np.int32)
         alive[at] = np.arange(len(ids), dtype=np.int32)
         places = np.frombuffer(left["places"][0].as_py(), np.int32)
         # Groups above the last frequent one share the last entry, as does the gap's -1.
         places = alive[np.where(places < len(alive) - 1, places, -1)]
-        if length > 1:
-            words = np.frombuffer(left["words"][0].as_py(), np.int32)
-            word_ids = np.frombuffer(left["ids"][0].as_py(), np.int64)
-        else:
-            words, word_ids = places, ids
-        n = max(len(places) - length, 0)
-        head, last = places[:n], words[length:]
-        here = np.flatnonzero((head >= 0) & (last >= 0) & (places[1 : n + 1] >= 0))
-        groups = head[here].astype(np.int64) * len(word_ids) + last[here]
-        groups, numbers, counts = np.unique(groups, return_inverse=True, return_counts=True)
-        longer = np.full(len(places), -1, np.int32)
-        longer[here] = numbers
-        kept = [left["own"][0].as_py(), longer.tobytes(), words.tobytes(), word_ids.tobytes()]
-        return table(kept, ids[groups // len(word_ids)], word_ids[groups % len(word_ids)], counts)
-
-    def table(kept, prefix, following, counts) -> pa.Table:
-        n, whole = len(prefix), 1 if kept else 0
-        own, *binary = kept or [0, None, None, None]
+        here = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
+        pairs = places[here].astype(np.int64) * len(ids) + places[here + 1]
+        pairs, numbers, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        longer = None
+        if not last:
+            longer = np.full(len(places), -1, np.int32)
+            longer[here] = numbers
+        return table(left["own"][0].as_py(), longer, ids[pairs // len(ids)], words[pairs % len(ids)], counts)
+
+    def table(own, longer, prefix, following, counts) -> pa.Table:
+        n, whole = len(prefix), int(longer is not None)
         return pa.table(
             [
                 pa.array(np.full(n + whole, own)),
                 pa.array(np.arange(-whole, n, dtype=np.int32)),
                 *(pa.concat_arrays([pa.nulls(whole, pa.int64()), pa.array(c, pa.int64())]) for c in (prefix, following, counts)),
-                *(pa.concat_arrays([pa.array([b][:whole], pa.binary()), pa.nulls(n, pa.binary())]) for b in binary),
+                pa.concat_arrays([pa.array([longer.tobytes()] if whole else [], pa.binary()), pa.nulls(n, pa.binary())]),
             ],
-            names=["chunk", "at", "prefix", "next", "n", "places", "words", "ids"],
+            names=["chunk", "at", "prefix", "next", "n", "places"],
         )
 
-    mine = relation.filter("places IS NOT NULL").select(F.col("chunk").alias("own"), *columns).groupBy("own")
-    return mine.cogroup(frequent.select("chunk", "at", "id").groupBy("chunk")).applyInArrow(run, _LONGER)
+    mine = relation.filter("places IS NOT NULL").select(F.col("chunk").alias("own"), "places").groupBy("own")
+    return mine.cogroup(frequent.select("chunk", "at", "id", "next").groupBy("chunk")).applyInArrow(run, _LONGER)
+
+
+def frequent_groups(groups: DataFrame, key: list[str], min_count: int) -> DataFrame:
+    """The rows of groups that occur `min_count` times or more in all chunks, with their count `f` and an id.
+
+    One shuffle: a group's rows, one per chunk that has it, meet and learn their sum.  The id is the place of
+    the group's first row in the written table, so it is fixed by writing it.
+    """
+    met = groups.repartition(*key).withColumn("place", F.monotonically_increasing_id())
+    over = Window.partitionBy(*key)
+    counted = met.withColumns({"f": F.sum("n").over(over), "id": F.min("place").over(over)})
+    return stage(counted.filter(F.col("f") >= min_count).drop("n", "place"), "frequent")
 
 
 def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[list[DataFrame], DataFrame]:
@@ -170,16 +175,15 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     phrases = []
     for length in range(1, max_words + 1):
         if length < max_words:
-            # One shuffle: a group's rows, one per chunk that has it, meet and learn their sum.
-            total = F.sum("n").over(Window.partitionBy(*key))
-            kept = stage(groups.withColumn("f", total).filter(F.col("f") >= min_count).drop("n"), "kept")
-            frequent = kept.groupBy(*key).agg(F.first("f").alias("f"))
+            rows = frequent_groups(groups, key, min_count)
+            frequent = rows.select("id", *key, "f").distinct()
         else:
             frequent = groups.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-        frequent = stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
+            frequent = stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
         if length == 1:
-            spelled = frequent.select("id", F.array("id").alias("phrase"), "f", "lang", F.col("word").alias("text"))
-            one = spelled
+            spelled = one = stage(
+                frequent.select("id", F.array("id").alias("phrase"), "f", "lang", F.col("word").alias("text")), "phrases"
+            )
         else:
             first = spelled.select(F.col("id").alias("prefix"), "phrase", "lang", "text")
             last = one.select(F.col("id").alias("next"), F.col("text").alias("word"))
@@ -191,8 +195,9 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
             )
         phrases.append(spelled)
         if length < max_words:
-            relation = extend(relation, kept.join(frequent.select(*key, "id"), key).select("chunk", "at", "id"), length)
-            relation = stage(relation, "occurrences") if length + 1 < max_words else relation
+            last = length + 1 == max_words
+            relation = extend(relation, rows if length > 1 else rows.withColumn("next", F.col("id")), last)
+            relation = relation if last else stage(relation, "occurrences")
             key = ["prefix", "next"]
             groups = relation.filter("places IS NULL").select("chunk", "at", *key, "n")
     return phrases, totals
