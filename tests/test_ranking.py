@@ -70,3 +70,37 @@ def test_no_window_without_partition_over_the_rows(spark):
     df = frame(spark, range(50))
     plan = df.withColumn("tile", ranking.ntile(df, ["v", "id"], 5))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("pivots, few", [(1, 1), (3, 2), (8, 30)])
+def test_selection_in_many_rounds(spark, monkeypatch, pivots, few):
+    monkeypatch.setattr(ranking, "_PIVOTS", pivots)
+    monkeypatch.setattr(ranking, "_FEW", few)
+    rng = random.Random(pivots)
+    rows = [(rng.choice([7.5] * 9 + [rng.random(), -1.0, float("nan")]), rng.choice("abcé漢") * rng.randint(0, 2), rng.randint(1, 4)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "x double, k string, n long").repartition(3)
+    place = lambda r: (r[0] != r[0], r[0] if r[0] == r[0] else 0.0, [-b for b in r[1].encode()] + [1])
+    flat = [r for r in sorted(rows, key=place) for _ in range(r[2])]
+    wanted = [0, 1, len(flat) // 3, len(flat) // 2, len(flat) - 1]
+    total, found = ranking.rows_at(df, ["x", ("k", False)], lambda n: wanted, "n")
+    assert total == len(flat)
+    for r in wanted:
+        assert found[r]["k"] == flat[r][1] and repr(found[r]["x"]) == repr(flat[r][0])
+
+
+def test_one_value_on_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_PIVOTS", 16)
+    monkeypatch.setattr(ranking, "_FEW", 16)
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.col("id").cast("double")).alias("x"))
+    values = sorted(500.0 if i % 3 == 0 else float(i) for i in range(30000))
+    fractions = [0, 0.01, 0.1, 0.25, 0.5, 0.99, 1]
+    assert ranking.exact_quantiles(df, "x", fractions) == pytest.approx(np.quantile(values, fractions).tolist())
+
+
+def test_several_columns_at_once(spark):
+    rows = [(float(i % 17), None if i % 5 else i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b int, c double").repartition(4)
+    got = ranking.quantiles_of(df, ["a", "b", "c"], [0.1, 0.5])
+    assert got["a"] == pytest.approx(np.quantile([r[0] for r in rows], [0.1, 0.5]).tolist())
+    assert got["b"] == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], [0.1, 0.5]).tolist())
+    assert got["c"] == [None, None]

@@ -8,6 +8,7 @@ from tillroll.functions.numbers import finite_or_zero, right_closed_band, safe_r
 from tillroll.operators import rollups
 from tillroll.operators.ranking import (
     exact_quantiles,
+    quantiles_of,
     inner_fractions,
     quantile_score,
     rank_quantile_score,
@@ -71,8 +72,9 @@ def rfm_scores(sales: DataFrame, reference_date=None, buckets: int = 5) -> DataF
         F.col("MonetaryValue").alias("Monetary"),
     )
     cuts = inner_fractions(buckets)
-    recency_bin = quantile_score(F.col("Recency"), exact_quantiles(members, "Recency", cuts))
-    money_bin = quantile_score(F.col("Monetary"), exact_quantiles(members, "Monetary", cuts))
+    edges = quantiles_of(members, ["Recency", "Monetary"], cuts)
+    recency_bin = quantile_score(F.col("Recency"), edges["Recency"])
+    money_bin = quantile_score(F.col("Monetary"), edges["Monetary"])
     frequency_bin = rank_quantile_score(members, ["Frequency", "CustomerID"], buckets)
     scored = members.withColumns(
         {"R_Score": F.lit(buckets + 1) - recency_bin, "F_Score": frequency_bin, "M_Score": money_bin}

@@ -1,20 +1,22 @@
 """Global order over a whole table without moving it into one task.
 
-`row_number()`, `ntile()` and `percentile()` without a partition run in one task.  Here
-the rows are range partitioned on a unique sort key, sorted, and numbered inside each
+`row_number()`, `ntile()` and `percentile()` without a partition run in one task.  Tiles and quantiles
+need a few order statistics only, which `rows_at` selects by counting.  To number all rows, they are range partitioned on a unique sort key, sorted, and numbered inside each
 partition by `monotonically_increasing_id()`, whose upper bits are the partition and whose
 lower 33 bits count its rows.  The result is staged, because another evaluation may sample
 other range bounds.  Only the row count per partition is ever summed up in one place.
 """
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from fractions import Fraction
-from functools import reduce
+from functools import cmp_to_key, reduce
 from math import floor
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.staging import stage
 
@@ -69,51 +71,132 @@ def number_rows(df: DataFrame, order, name: str = "row_number") -> DataFrame:
 def rows_at(
     df: DataFrame, order, pick: Callable[[int], Iterable[int]], weight: str | None = None
 ) -> tuple[int, dict[int, Row]]:
-    """The rows that hold chosen 0-based ranks, and the total number of ranks.
-
-    `pick` maps the total to the wanted ranks: a handful, set by the caller's parameters
-    and not by the data.  With `weight`, a row stands for that many equal rows.  The driver
-    receives one number per range partition and the wanted rows; the wanted rows are found
-    by pushed-down ranges of the staged position.
+    """The order columns of the rows that hold chosen 0-based ranks, and the total number of ranks.
+
+    `pick` maps the total to the wanted ranks: a handful, set by the caller's parameters and not by the
+    data.  With `weight`, a row stands for that many equal rows.  Nothing is sorted, shuffled or written:
+    sampled rows become pivots, one scan counts the rows before, at and between them, and only the gaps that
+    hold a wanted rank are looked at again.  Each round shrinks them by about `_PIVOTS` / ranks, until
+    `_FEW` rows are left to sort at once; equal rows are found at a pivot, however many there are.
+    `df` must return the same rows in every job.
     """
     keys = _keys(order)
-    runs = _sorted_runs(df, keys)
-    units = F.count("*") if weight is None else F.sum(weight)
-    sizes = runs.groupBy(_run().alias("run")).agg(units.alias("size")).orderBy("run").collect()
-    total = sum(size for _, size in sizes)
-    wanted = sorted(set(pick(total)))
-    located = {rank: _locate(rank, sizes) for rank in wanted}
-    if not located:
-        return total, {}
-    if weight is None:
-        ids = {(run << _RUN_BITS) + local: rank for rank, (run, local) in located.items()}
-        hits = runs.filter(F.col(_ID).isin(*ids)).collect()
-        return total, {ids[row[_ID]]: row for row in hits}
-    touched = {run for run, _ in located.values()}
-    in_touched = reduce(
-        Column.__or__, [F.col(_ID).between(run << _RUN_BITS, ((run + 1) << _RUN_BITS) - 1) for run in touched]
-    )
-    running = Window.partitionBy(_run()).orderBy(_ID).rowsBetween(Window.unboundedPreceding, 0)
-    spans = runs.filter(in_touched).withColumn("_end", F.sum(weight).over(running)).withColumn("_run", _run())
-    holds = [
-        (F.col("_run") == run) & (F.col("_end") > local) & (F.col("_end") - F.col(weight) <= local)
-        for run, local in located.values()
-    ]
-    hits = spans.filter(reduce(Column.__or__, holds)).collect()
-    found = {}
-    for rank, (run, local) in located.items():
-        found[rank] = next(
-            row for row in hits if row["_run"] == run and row["_end"] - row[weight] <= local < row["_end"]
-        )
+    names = [key.name for key in keys]
+    units = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*names, units.cast("long").alias("_units"))
+    total, left = rows.agg(F.coalesce(F.sum("_units"), F.lit(0)), F.count("*")).first()
+    found: dict[int, Row] = {}
+    # Open intervals between two rows (None is the end): rows in it, ranks before it, wanted ranks.
+    gaps = [(None, None, left, 0, sorted(set(pick(total))))]
+    while gaps := [gap for gap in gaps if gap[4]]:
+        inside = rows.filter(reduce(Column.__or__, [_between(keys, low, high) for low, high, *_ in gaps]))
+        if sum(gap[2] for gap in gaps) <= _FEW:
+            _resolve(inside, keys, gaps, found)
+            break
+        sample = inside.select(*names).orderBy(F.rand(1)).limit(_PIVOTS)
+        # The ends of the gaps are pivots too, so that no cell reaches from one gap into another.
+        ends = [row for gap in gaps for row in gap[:2] if row is not None]
+        pivots = list({_place(keys, row).obj: row for row in [*ends, *sample.collect()]}.values())
+        pivots.sort(key=lambda row: _place(keys, row))
+        counts = {row[0]: (row[1], row[2]) for row in _cells(inside, keys, pivots, sample.schema).collect()}
+        gaps = [smaller for gap in gaps for smaller in _narrow(gap, keys, pivots, counts, found)]
     return total, found
 
 
-def _locate(rank, sizes):
-    for run, size in sizes:
-        if rank < size:
-            return run, rank
-        rank -= size
-    raise IndexError("rank beyond the last row")
+# Rows that a round compares with, and rows that the driver sorts at the end.
+_PIVOTS = 1024
+_FEW = 4096
+
+
+def _between(keys: Sequence[SortKey], low: Row | None, high: Row | None) -> Column:
+    after = F.lit(True) if low is None else _after(keys, low)
+    return after if high is None else after & _after([SortKey(k.name, not k.ascending) for k in keys], high)
+
+
+def _cells(rows: DataFrame, keys: Sequence[SortKey], pivots: list[Row], schema) -> DataFrame:
+    """Rows and ranks per cell: 2 p + 1 holds the rows equal to pivot p, 2 p those between it and the one before."""
+    table = rows.sparkSession.createDataFrame([(p, *row) for p, row in enumerate(pivots)], _with_number(schema))
+    listed = table.agg(F.sort_array(F.collect_list(F.struct("_p", *[F.col(key.name) for key in keys])))).scalar()
+
+    def beyond(pivot: Column) -> Column:
+        condition = F.lit(False)
+        for key in reversed(keys):
+            mine, bound = F.col(key.name), pivot[key.name]
+            condition = ((mine > bound) if key.ascending else (mine < bound)) | ((mine == bound) & condition)
+        return condition
+
+    steps = F.lit([1 << k for k in reversed(range(len(pivots).bit_length()))])
+    inside = rows.withColumn("_pivots", listed)
+    place = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, s: F.when((at + s <= len(pivots)) & beyond(F.get("_pivots", at + s - 1)), at + s).otherwise(at),
+    )
+    placed = inside.withColumn("_at", place)
+    same = reduce(Column.__and__, [F.col(k.name).eqNullSafe(F.get("_pivots", F.col("_at"))[k.name]) for k in keys])
+    cell = 2 * F.col("_at") + F.when((F.col("_at") < len(pivots)) & same, 1).otherwise(0)
+    return placed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("_units").alias("units"))
+
+
+def _with_number(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField("_p", T.IntegerType()), *schema.fields])
+
+
+def _narrow(gap, keys, pivots, counts, found):
+    """The gaps between pivots that hold wanted ranks; ranks that fall on a pivot are found."""
+    low, high, _, before, wanted = gap
+    places = [_place(keys, row) for row in pivots]
+    first, last = _within(places, keys, low, high)
+    smaller = []
+    for p in range(first, last + 1):
+        end = pivots[p] if p < last else high
+        n, units = counts.get(2 * p, (0, 0))
+        smaller.append((low, end, n, before, [r for r in wanted if before <= r < before + units]))
+        before += units
+        if p < last:
+            units = counts[2 * p + 1][1]
+            found.update({r: end for r in wanted if before <= r < before + units})
+            before, low = before + units, end
+    return smaller
+
+
+def _resolve(rows: DataFrame, keys: Sequence[SortKey], gaps: list, found: dict[int, Row]) -> None:
+    """Sorts the few rows that are left in the gaps."""
+    names = [key.name for key in keys]
+    left = sorted(rows.collect(), key=lambda row: _place(keys, row))
+    places = [_place(keys, row) for row in left]
+    for low, high, _, before, wanted in gaps:
+        first, last = _within(places, keys, low, high)
+        for row in left[first:last]:
+            found.update({r: Row(**{n: row[n] for n in names}) for r in wanted if before <= r < before + row["_units"]})
+            before += row["_units"]
+
+
+def _within(places: list, keys, low: Row | None, high: Row | None) -> tuple[int, int]:
+    """The range of sorted places strictly between two rows."""
+    first = 0 if low is None else bisect_right(places, _place(keys, low))
+    return first, len(places) if high is None else bisect_left(places, _place(keys, high))
+
+
+def _place(keys: Sequence[SortKey], row: Row):
+    """Compares as the engine does: strings by their bytes, NaN above all numbers."""
+    return _ordered(tuple((_plain(row[key.name]), key.ascending) for key in keys))
+
+
+def _plain(value):
+    if isinstance(value, str):
+        return value.encode()
+    return (value != value, 0.0 if value != value else value) if isinstance(value, float) else value
+
+
+def _compare(a, b) -> int:
+    for (x, up), (y, _) in zip(a, b):
+        if x != y:
+            return (1 if x > y else -1) * (1 if up else -1)
+    return 0
+
+
+_ordered = cmp_to_key(_compare)
 
 
 def _after(keys: Sequence[SortKey], row: Row) -> Column:
@@ -164,23 +247,41 @@ def quantile_ranks(total: int, fractions: Sequence) -> list[int]:
 
 
 def exact_quantiles(df: DataFrame, column: str, fractions: Sequence, weight: str | None = None) -> list:
-    """Linearly interpolated quantiles of the non-null values, one per fraction.
-
-    Without `weight` the equal values are first counted, so a value shared by a third of all
-    rows is one row of the sort.
-    """
-    if weight is None:
-        weight = "_copies"
-        df = df.groupBy(column).agg(F.count("*").alias(weight))
-    values = df.filter(F.col(column).isNotNull()).select(column, weight)
+    """Linearly interpolated quantiles of the non-null values, one per fraction; a row may stand for `weight` rows."""
+    values = df.filter(F.col(column).isNotNull()).select(column, *([weight] if weight else []))
     total, rows = rows_at(values, [column], lambda n: quantile_ranks(n, fractions), weight)
+    return _interpolated(total, {rank: row[column] for rank, row in rows.items()}, fractions)
+
+
+def quantiles_of(df: DataFrame, columns: Sequence[str], fractions: Sequence) -> dict[str, list]:
+    """The same for several numeric columns, selected together in the same scans."""
+    picked = values_at(df, columns, lambda n: quantile_ranks(n, fractions))
+    return {c: _interpolated(total, rows, fractions) for c, (total, rows) in picked.items()}
+
+
+def values_at(df: DataFrame, columns: Sequence[str], pick: Callable[[int], Iterable[int]]) -> dict:
+    """Per numeric column the number of its non-null values, and its values at the ranks that `pick` wants."""
+    entries = [F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
+    long = df.select(F.inline(F.array(*entries))).filter("_value IS NOT NULL")
+    sizes = dict(map(tuple, long.groupBy("_column").agg(F.count("*")).collect()))
+    totals = [sizes.get(i, 0) for i in range(len(columns))]
+    starts = [sum(totals[:i]) for i in range(len(columns))]
+    wanted = [sorted(set(pick(n))) for n in totals]
+    _, rows = rows_at(long, ["_column", "_value"], lambda _: [start + r for start, ranks in zip(starts, wanted) for r in ranks])
+    return {
+        c: (n, {r: rows[start + r]["_value"] for r in ranks})
+        for c, n, start, ranks in zip(columns, totals, starts, wanted)
+    }
+
+
+def _interpolated(total: int, values: dict[int, float], fractions: Sequence) -> list:
     if total == 0:
         return [None] * len(fractions)
     result = []
     for p in fractions:
         at = _exact(p) * (total - 1)
         low = floor(at)
-        a, b = float(rows[low][column]), float(rows[min(low + 1, total - 1)][column])
+        a, b = float(values[low]), float(values[min(low + 1, total - 1)])
         result.append(a + (b - a) * float(at - low))
     return result
 
