@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.data import as_dicts, at, transactions
-from tillroll.models import anomalies, churn, clusters, forecast
+from tillroll.models import anomalies, churn, clusters, forecast, forest
 
 
 def series(spark, values, name="a"):
@@ -90,6 +91,37 @@ def test_forest_separates_churned_customers(spark):
     assert "Recency" not in leak_free.features
 
 
+def test_forest_of_one_class_or_nothing(spark):
+    data = churn_input(spark).withColumn("Churned", F.lit(0))
+    for rows in (data, data.limit(0)):
+        grown = forest.fit(rows, "CustomerID", "Churned", ["Recency", "TotalSpent"], trees=3, depth=2)
+        assert grown.nodes.filter("feature >= 0").count() == 0
+        assert forest.score(data, grown, "p").agg(F.max("p")).first()[0] == 0.0
+
+
+def test_forest_walks_cuts_as_they_were_counted(spark):
+    """Rows per class in every node, counted again by plain steps over bins and bootstrap weights."""
+    random = np.random.default_rng(3)
+    rows = [(f"k{i}", float(random.integers(0, 9)), None if i % 11 == 0 else float(random.normal()), int(random.random() < 0.3)) for i in range(300)]
+    data = spark.createDataFrame(rows, "k string, a double, b double, y int").repartition(3)
+    grown = forest.fit(data, "k", "y", ["a", "b"], trees=4, depth=3, bins=8, seed=5)
+    nodes = {(n.tree, n.node): n for n in grown.nodes.collect()}
+    assert max(n for _, n in nodes) > 2
+    counted = {}
+    for k, a, b, y in rows:
+        bins = [sum(e < round(x or 0.0, 6) for e in cuts) for x, cuts in zip((a, b), grown.edges)]
+        for tree in range(4):
+            u = int(hashlib.md5(f"{k}|5|{tree}".encode()).hexdigest()[:8], 16)
+            at, weight = 0, sum(u >= cut for cut in forest.POISSON)
+            while weight:
+                counted.setdefault((tree, at), [0, 0])[y] += weight
+                node = nodes[tree, at]
+                if node.feature < 0:
+                    break
+                at = 2 * at + 1 + (bins[node.feature] > node.cut)
+    assert {at: [n.active, n.positive] for at, n in nodes.items()} == counted
+
+
 def blobs(spark, per_blob=20):
     random = np.random.default_rng(0)
     rows = []

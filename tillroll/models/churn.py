@@ -2,14 +2,11 @@
 
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import safe_ratio
+from tillroll.models import forest
 from tillroll.operators.ranking import bucket_by_last_rows, rows_at
 from tillroll.staging import stage
 
@@ -26,7 +23,7 @@ CLASS_NAMES = {0: "Active", 1: "Churned"}
 
 
 class ChurnModel(NamedTuple):
-    pipeline: PipelineModel
+    forest: forest.Forest
     features: list[str]
     scored: DataFrame  # all customers with ChurnProbability, prediction and is_test
 
@@ -58,6 +55,7 @@ def fit_churn(
     depth: int = 10,
     test_share: float = 0.2,
     seed: int = 42,
+    key: str = "CustomerID",
 ) -> ChurnModel:
     """Fit on the training customers and score all.
 
@@ -65,32 +63,11 @@ def fit_churn(
     Recency out of the inputs.
     """
     features = [f for f in FEATURES if not (leak_free and f == "Recency")]
-    data = stratified_split(customers.fillna(0, FEATURES), test_share=test_share, seed=seed)
-    train = data.filter(~F.col("is_test"))
-    sizes = {row[LABEL]: row["n"] for row in train.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
-    weight = F.lit(0.0)
-    for value, size in sizes.items():
-        weight = F.when(F.col(LABEL) == value, sum(sizes.values()) / (len(sizes) * size)).otherwise(weight)
-    stages = [
-        VectorAssembler(inputCols=features, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-        RandomForestClassifier(
-            featuresCol="_features",
-            labelCol=LABEL,
-            weightCol="_weight",
-            numTrees=trees,
-            maxDepth=depth,
-            seed=seed,
-        ),
-    ]
-    pipeline = Pipeline(stages=stages).fit(train.withColumn("_weight", weight))
-    scored = (
-        pipeline.transform(data)
-        .withColumn("ChurnProbability", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
-        .withColumn("prediction", F.col("prediction").cast("int"))
-        .drop("_raw", "_features", "rawPrediction", "probability")
-    )
-    return ChurnModel(pipeline, features, stage(scored, "churn"))
+    data = stratified_split(customers.fillna(0, FEATURES), key=key, test_share=test_share, seed=seed)
+    grown = forest.fit(data.filter(~F.col("is_test")), key, LABEL, features, trees, depth, seed=seed)
+    scored = forest.score(data, grown, "ChurnProbability")
+    scored = scored.withColumn("prediction", (F.col("ChurnProbability") > 0.5).cast("int"))
+    return ChurnModel(grown, features, stage(scored, "churn"))
 
 
 def classification_report(predictions: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -119,11 +96,8 @@ def evaluate(model: ChurnModel) -> DataFrame:
 
 
 def feature_importance(model: ChurnModel) -> DataFrame:
-    importances = model.pipeline.stages[-1].featureImportances.toArray().tolist()
-    rows = list(zip(model.features, importances))
-    return model.scored.sparkSession.createDataFrame(rows, "Feature string, Importance double").orderBy(
-        F.desc("Importance"), "Feature"
-    )
+    """Mean fall of impurity per input, largest first."""
+    return forest.importance(model.forest).orderBy(F.desc("Importance"), "Feature")
 
 
 def at_risk(scored: DataFrame, threshold: float = 0.7) -> DataFrame:

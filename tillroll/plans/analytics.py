@@ -3,9 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.models import anomalies, churn, clusters, forecast
+from tillroll.models import anomalies, churn, clusters, forecast, forest
 from tillroll.operators import baskets, cohorts, customers, dashboard, profiling, ranking, reports
-from tillroll.plans import sql
+from tillroll.plans import forests, kmeans, sql
 from tillroll.plans.registry import query
 from tillroll.plans.reports import BASKET_TABLES, DAILY_DEMAND
 from tillroll.plans.sql import compared, day, half_even, metric, metrics, with_tables
@@ -321,11 +321,46 @@ def _(f):
     return churn.stratified_split(customers.churn_features(f.sales)).select("CustomerID", "Churned", "is_test")
 
 
-@query("m4_churn_scores")
+_SCORED = f"""CustomerID, PurchaseFrequency, {compared('TotalSpent')} AS TotalSpent, {compared('AvgOrderValue')} AS AvgOrderValue,
+  TotalQuantity, FirstPurchase, LastPurchase, Recency, CustomerLifetime, Churned, is_test,
+  {compared('ChurnProbability')} AS ChurnProbability, prediction"""
+
+
+@query("m4_churn_scores", sql.with_stored(f"SELECT {_SCORED} FROM scores", forests.churn_tables(_CHURN, forests.FEATURES)))
 def _(f):
     return churn.fit_churn(customers.churn_features(f.sales)).scored
 
 
+# Probabilities and cuts to more digits, from a forest without Recency.
+@query(
+    "m4_forest_probabilities",
+    sql.with_stored(
+        f"SELECT CustomerID, {compared('ChurnProbability', 6)} AS ChurnProbability FROM scores",
+        forests.churn_tables(_CHURN, forests.LEAK_FREE, trees=20, depth=6, bins=16, seed=7),
+    ),
+    digits=6,
+)
+def _(f):
+    data = churn.stratified_split(customers.churn_features(f.sales).fillna(0, forests.FEATURES), seed=7)
+    train = data.filter(~F.col("is_test"))
+    grown = forest.fit(train, "CustomerID", churn.LABEL, forests.LEAK_FREE, trees=20, depth=6, bins=16, seed=7)
+    return forest.score(data, grown, "ChurnProbability").select("CustomerID", "ChurnProbability")
+
+
+@query(
+    "m4_forest_cuts",
+    sql.with_stored(
+        f"""SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, CAST(f AS INT) AS feature, CAST(bin AS INT) AS cut,
+              CAST(n0 AS BIGINT) AS active, CAST(n1 AS BIGINT) AS positive, {compared('score - own', 6)} AS gain FROM cuts""",
+        forests.churn_tables(_CHURN, forests.FEATURES, trees=10, depth=5),
+    ),
+    digits=6,
+)
+def _(f):
+    model = churn.fit_churn(customers.churn_features(f.sales), trees=10, depth=5)
+    return model.forest.nodes.filter("feature >= 0")
+
+
 # The report over a rule instead of the forest, which SQL cannot fit.
 @query(
     "m5_rule_report",
@@ -349,21 +384,52 @@ def _(f):
     return churn.classification_report(customers.churn_features(f.sales).withColumn("prediction", rule))
 
 
-@query("m5_churn_report")
+_FOREST = forests.churn_tables(_CHURN, forests.FEATURES)
+_LEAK_FREE_FOREST = forests.churn_tables(_CHURN, forests.LEAK_FREE)
+
+
+def _report(source: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS class, {compared('coalesce(sum(hit) * 1.0 / nullif(sum(said), 0), 0)', 6)} AS precision,
+              {compared('coalesce(sum(hit) * 1.0 / nullif(sum(actual), 0), 0)', 6)} AS recall,
+              {compared('coalesce(sum(hit) * 2.0 / nullif(sum(said) + sum(actual), 0), 0)', 6)} AS f1,
+              CAST(coalesce(sum(actual), 0) AS BIGINT) AS support
+            FROM (SELECT CAST(Churned = {value} AS INT) AS actual, CAST(prediction = {value} AS INT) AS said,
+                    CAST(Churned = {value} AND prediction = {value} AS INT) AS hit FROM {source} WHERE is_test)"""
+        for value, name in churn.CLASS_NAMES.items()
+    )
+
+
+@query("m5_churn_report", sql.with_stored(_report("scores"), _LEAK_FREE_FOREST), digits=6)
 def _(f):
     return churn.evaluate(churn.fit_churn(customers.churn_features(f.sales), leak_free=True))
 
 
-@query("m6_feature_importance")
+@query("m5_full_report", sql.with_stored(_report("scores"), _FOREST), digits=6)
+def _(f):
+    return churn.evaluate(churn.fit_churn(customers.churn_features(f.sales)))
+
+
+@query(
+    "m6_feature_importance",
+    sql.with_stored(f"SELECT Feature, {compared('Importance', 6)} AS Importance FROM importances", _FOREST),
+    digits=6,
+)
 def _(f):
     return churn.feature_importance(churn.fit_churn(customers.churn_features(f.sales)))
 
 
-@query("m7_at_risk")
+@query("m7_at_risk", sql.with_stored(f"SELECT {_SCORED} FROM scores WHERE Churned = 0 AND ChurnProbability > 0.3", _LEAK_FREE_FOREST))
 def _(f):
     return churn.at_risk(churn.fit_churn(customers.churn_features(f.sales), leak_free=True).scored, 0.3)
 
 
+# The threshold in use, on the model with all inputs.
+@query("m7_at_risk_full", sql.with_stored(f"SELECT {_SCORED} FROM scores WHERE Churned = 0 AND ChurnProbability > 0.7", _FOREST))
+def _(f):
+    return churn.at_risk(churn.fit_churn(customers.churn_features(f.sales)).scored, 0.7)
+
+
 # The list for a given probability: days since the last purchase over the churn limit.
 _RISK = f"SELECT *, Recency / 90.0 AS ChurnProbability FROM ({_CHURN})"
 
@@ -523,12 +589,25 @@ def _(f):
     return scaled.select("CustomerID", *[f"scaled_{c}" for c in clusters.FEATURES])
 
 
-@query("k3_elbow")
+_ELBOW, _ELBOW_TABLES = kmeans.elbow()
+
+
+@query("k3_elbow", sql.with_recursive(_ELBOW, {"features": _FEATURES, **_ELBOW_TABLES}), digits=4)
 def _(f):
-    return clusters.elbow(customers.cluster_features(f.tx))
+    found = clusters.elbow(customers.cluster_features(f.tx))
+    return found.withColumn("inertia", F.round("inertia", 2))
+
 
+_KMEANS = {"features": _FEATURES, **kmeans.clustered(), "profile": _PROFILE}
 
-@query("k4_clusters")
+
+@query(
+    "k4_clusters",
+    sql.with_recursive(
+        f"""SELECT * REPLACE ({compared('MonetaryValue')} AS MonetaryValue, {compared('AvgOrderValue')} AS AvgOrderValue) FROM tiers""",
+        _KMEANS,
+    ),
+)
 def _(f):
     return clusters.cluster_customers(customers.cluster_features(f.tx))
 
@@ -592,7 +671,7 @@ def _(f):
     return clusters.cluster_profile(_tiers(f))
 
 
-@query("k6_kmeans_profile")
+@query("k6_kmeans_profile", sql.with_recursive(_PROFILE_SELECT, _KMEANS))
 def _(f):
     return clusters.cluster_profile(clusters.cluster_customers(customers.cluster_features(f.tx)))
 

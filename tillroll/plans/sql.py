@@ -62,6 +62,17 @@ def with_tables(select: str, **tables: str) -> str:
     return f"{_TABLES}{extra}\n{select}"
 
 
+def with_recursive(select: str, tables: dict[str, str]) -> str:
+    """The same for subqueries of which some read themselves."""
+    return with_stored(select, tables).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def with_stored(select: str, tables: dict[str, str]) -> str:
+    """The same with subqueries that are evaluated once, for chains in which each is read several times."""
+    extra = "".join(f",\n{name} AS MATERIALIZED ({text})" for name, text in tables.items())
+    return f"{_TABLES}{extra}\n{select}"
+
+
 def compared(expression: str, digits: int = 2) -> str:
     """What `registry.comparable` makes of a double: float noise goes first."""
     return f"CAST(round(CAST({expression} AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
