@@ -211,3 +211,20 @@ def test_every_tree_has_its_rows_at_any_size(spark, n):
     assert len(forest["feature"]) == 10
     assert forest["scale"] == (float(anomalies._expected_path(min(256, n))) or 1.0)
     assert forest["height"] == int(np.ceil(np.log2(max(min(256, n), 2))))
+
+
+def test_a_tuple_that_half_of_all_rows_share(spark):
+    base = spark.range(4000).select(
+        F.col("id").cast("string").alias("InvoiceNo"), F.lit("s").alias("StockCode"), F.lit("c").alias("CustomerID"),
+        F.when(F.col("id") % 2 == 0, 5).when(F.col("id") == 777, 90000).otherwise((F.col("id") % 97).cast("int")).alias("Quantity"),
+        F.when(F.col("id") % 2 == 0, 2.0).when(F.col("id") == 777, 9000.0).otherwise(F.col("id") % 13 + 0.5).alias("UnitPrice"),
+        F.timestamp_seconds(1_600_000_000 + F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") * 3600)).alias("InvoiceDate"),
+    )
+    sales = base.withColumn("TotalPrice", F.col("Quantity") * F.col("UnitPrice")).repartition(6)
+    found = anomalies.detect_anomalies(sales, trees=20)
+    assert found.count() == 4000
+    (plan,) = [found._jdf.queryExecution().executedPlan().toString()]
+    assert "Join" not in plan  # rows are scored where they are
+    odd = {r.InvoiceNo for r in anomalies.flagged(sales, trees=20).collect()}
+    assert "777" in odd and len(odd) <= 40
+    assert not any(int(i) % 2 == 0 for i in odd)

@@ -1,14 +1,14 @@
 """Isolation forest on transaction features (Liu, Ting and Zhou, 2008).
 
-Equal feature tuples have equal scores, so only distinct tuples are scored, weighted by
-their rows.  A tree sees a fixed number of rows, whatever the size of the table.
+The score quantile is taken over distinct feature tuples, weighted by their rows.  A tree sees a fixed number of rows, whatever the size of the table.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import dates
@@ -37,10 +37,17 @@ def anomaly_features(sales: DataFrame) -> DataFrame:
     ).dropna(subset=FEATURES)
 
 
+def _draw(seed: int) -> Column:
+    """A hash of what names a row; rows it does not tell apart follow in the order of their features."""
+    names = [F.col("InvoiceNo"), F.col("StockCode"), F.col("CustomerID"), F.col("Quantity").cast("string")]
+    names.append(F.col("InvoiceDate").cast("string"))
+    return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in names], F.lit(seed)).cast("binary"))
+
+
 def _sample(rows: DataFrame, wanted: int, seed: int) -> DataFrame:
     """`wanted` rows in the order of a seeded hash, numbered from 0; a bounded heap per task."""
     order = ["draw", *FEATURES]
-    chosen = rows.select(*FEATURES, F.xxhash64(*DUPLICATE_KEY, F.lit(seed)).alias("draw")).orderBy(*order).limit(wanted)
+    chosen = rows.select(*FEATURES, _draw(seed).alias("draw")).orderBy(*order).limit(wanted)
     return chosen.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
@@ -51,23 +58,32 @@ def _expected_path(size):
     return np.where(size > 2, 2 * harmonic - 2 * (size - 1) / np.maximum(size, 1), np.where(size == 2, 1.0, 0.0))
 
 
+def leaf_path(depth: int, size: int) -> float:
+    """Depth of a leaf and the mean depth that its rows would still have, without the noise of the logarithm."""
+    return round(float(depth + _expected_path(size)), 9)
+
+
 def _grow(tree: int, rows: np.ndarray, height: int, seed: int) -> list[tuple]:
-    """Nodes of one random tree; children of node `i` are `2 i + 1` and `2 i + 2`."""
-    random = np.random.default_rng([seed, tree])
+    """Nodes of one random tree; children of node `i` are `2 i + 1` and `2 i + 2`.
+
+    A hash of tree and node picks one of the features that vary, and a threshold in its range.
+    """
     nodes, pending = [], [(0, 0, rows)]
     while pending:
         node, depth, part = pending.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(low < high)
-        if depth >= height or len(part) < 2 or not len(varying):
-            nodes.append((tree, node, -1, 0.0, float(depth + _expected_path(len(part)))))
+        if depth >= height or not len(varying):
+            nodes.append((tree, node, -1, 0.0, leaf_path(depth, len(part))))
             continue
-        feature = int(random.choice(varying))
-        threshold = float(random.uniform(low[feature], high[feature]))
+        digits = hashlib.md5(f"{seed}|{tree}|{node}".encode()).hexdigest()
+        feature = int(varying[int(digits[:8], 16) % len(varying)])
+        threshold = float(low[feature] + (high[feature] - low[feature]) * (int(digits[8:16], 16) / 2**32))
         below = part[:, feature] <= threshold
         nodes.append((tree, node, feature, threshold, 0.0))
         pending.append((2 * node + 1, depth + 1, part[below]))
-        pending.append((2 * node + 2, depth + 1, part[~below]))
+        if not below.all():
+            pending.append((2 * node + 2, depth + 1, part[~below]))
     return nodes
 
 
@@ -133,19 +149,26 @@ def _path_lengths(forest: dict, rows: np.ndarray) -> np.ndarray:
     return total / len(forest["feature"])
 
 
-def score_tuples(tuples: DataFrame, forest: dict) -> DataFrame:
-    """Add the score in (0, 1) of every tuple."""
-    shared = tuples.sparkSession.sparkContext.broadcast(forest)
+def scored_rows(rows: DataFrame, forest: dict, name: str = "score") -> DataFrame:
+    """Add the score in (0, 1) of every row, in Arrow batches; nothing is shuffled.
+
+    Walking the trees inside the JVM takes a lambda call per tree and level and is many times slower.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shared.value
         for batch in batches:
             values = np.column_stack([column.to_numpy(dtype=float) for column in batch])
-            yield pd.Series(np.exp2(-_path_lengths(trees, values) / trees["scale"]))
+            yield pd.Series(np.round(np.exp2(-_path_lengths(trees, values) / trees["scale"]), 9))
 
-    inputs = [F.col(c).cast("double") for c in FEATURES]
-    return stage(tuples.withColumn("score", score(*inputs)), "scores")
+    return rows.withColumn(name, score(*[F.col(c).cast("double") for c in FEATURES]))
+
+
+def score_tuples(tuples: DataFrame, forest: dict) -> DataFrame:
+    """The same for distinct tuples, written once."""
+    return stage(scored_rows(tuples, forest), "scores")
 
 
 def detect_anomalies(
@@ -157,21 +180,28 @@ def detect_anomalies(
 ) -> DataFrame:
     """Feature rows with `Anomaly`: -1 above the score quantile `1 - contamination`, else 1.
 
-    The quantile is exact over all rows.  Only flagged tuples are joined back.
+    The quantile is exact over all rows.  Rows are scored where they are: no join on the features could be
+    skewed by a tuple that many rows share.
     """
     rows = anomaly_features(sales)
-    scored, cutoff = _scored(rows, contamination, trees, sample, seed)
-    flagged = scored.filter(F.col("score") > cutoff).select(*FEATURES, F.lit(-1).alias("Anomaly"))
-    return rows.join(flagged, FEATURES, "left").withColumn("Anomaly", F.coalesce("Anomaly", F.lit(1)))
+    _, forest, cutoff = _scored(rows, contamination, trees, sample, seed)
+    found = F.when(F.col("_score") > cutoff, -1).otherwise(1)
+    return scored_rows(rows, forest, "_score").withColumn("Anomaly", found).drop("_score")
+
+
+def flagged(sales: DataFrame, **options) -> DataFrame:
+    """The anomalous rows alone."""
+    return detect_anomalies(sales, **options).filter("Anomaly = -1")
 
 
 def _scored(rows, contamination, trees, sample, seed):
     tuples = distinct_tuples(rows)
     total = tuples.agg(F.sum("copies")).first()[0] or 0
-    scored = score_tuples(tuples, fit_forest(rows, total, trees, sample, seed))
+    forest = fit_forest(rows, total, trees, sample, seed)
+    scored = score_tuples(tuples, forest)
     per_score = scored.groupBy("score").agg(F.sum("copies").alias("copies"))
     (cutoff,) = exact_quantiles(per_score, "score", [1 - contamination], "copies")
-    return scored, F.lit(cutoff).cast("double")
+    return scored, forest, F.lit(cutoff).cast("double")
 
 
 def anomaly_summary(
@@ -182,7 +212,7 @@ def anomaly_summary(
     seed: int = 42,
 ) -> DataFrame:
     """Rows, flagged rows and rate, means of flagged and normal rows, from the scored tuples."""
-    scored, cutoff = _scored(anomaly_features(sales), contamination, trees, sample, seed)
+    scored, _, cutoff = _scored(anomaly_features(sales), contamination, trees, sample, seed)
     flagged = F.col("score") > cutoff
 
     def count(condition):

@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.models import anomalies, churn, clusters, forecast, forest
-from tillroll.operators import baskets, cohorts, customers, dashboard, profiling, ranking, reports
-from tillroll.plans import forests, kmeans, sql
+from tillroll.operators import baskets, cleaning, cohorts, customers, dashboard, profiling, ranking, reports
+from tillroll.plans import forests, isolation, kmeans, sql
 from tillroll.plans.registry import query
 from tillroll.plans.reports import BASKET_TABLES, DAILY_DEMAND
 from tillroll.plans.sql import compared, day, half_even, metric, metrics, with_tables
@@ -463,12 +463,40 @@ def _(f):
     return forecast.product_demand(f.sales)
 
 
-@query("m9_anomalies")
+_ISOLATION = isolation.tables("sales")
+_ON = ", ".join(anomalies.FEATURES)
+
+
+@query(
+    "m9_anomalies",
+    sql.with_stored(
+        f"""SELECT {', '.join(f's.{c}' for c in cleaning.DUPLICATE_KEY if c not in anomalies.FEATURES)}, Quantity,
+              {compared('UnitPrice')} AS UnitPrice, {compared('TotalPrice')} AS TotalPrice, Hour, DayOfWeek,
+              CASE WHEN score > cutoff THEN -1 ELSE 1 END AS Anomaly
+            FROM inputs s JOIN scored_tuples USING ({_ON}), limits""",
+        _ISOLATION,
+    ),
+)
 def _(f):
     return anomalies.detect_anomalies(f.sales)
 
 
-@query("m9_anomaly_summary")
+def _mean_where(column, condition):
+    return compared(f"sum({column} * copies) FILTER ({condition}) / nullif(sum(copies) FILTER ({condition}), 0)")
+
+
+@query(
+    "m9_anomaly_summary",
+    sql.with_stored(
+        f"""SELECT CAST(sum(copies) AS BIGINT) AS total_transactions, CAST(coalesce(sum(copies) FILTER (score > cutoff), 0) AS BIGINT) AS anomalies,
+              {compared('coalesce(sum(copies) FILTER (score > cutoff), 0) * 1.0 / sum(copies)')} AS anomaly_rate,
+              {_mean_where('Quantity', 'score > cutoff')} AS avg_quantity_anomalous,
+              {_mean_where('Quantity', 'score <= cutoff')} AS avg_quantity_normal,
+              {_mean_where('TotalPrice', 'score > cutoff')} AS avg_total_price_anomalous,
+              {_mean_where('TotalPrice', 'score <= cutoff')} AS avg_total_price_normal FROM scored_tuples, limits""",
+        _ISOLATION,
+    ),
+)
 def _(f):
     return anomalies.anomaly_summary(f.sales)
 
