@@ -20,12 +20,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.text import utf8
-from tillroll.staging import stage
+from tillroll.staging import new_path
 
 WINDOW = 8 << 20
 MAX_WORDS = 3
@@ -45,6 +46,21 @@ _FIRST = "chunk bigint, lang string, at int, word string, n bigint, places binar
 _LONGER = "chunk bigint, at int, prefix bigint, next bigint, n bigint, places binary"
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a relation once to the shared folder, packed more tightly than by default, and return the table."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pack(places: np.ndarray) -> bytes:
+    return zstandard.compress(places.tobytes())
+
+
+def unpack(places: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(places), np.int32)
+
+
 def read_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of texts, how often each occurs, and the word at every place (-1 between pieces)."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
@@ -90,7 +106,7 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     pa.array(np.arange(-1, n, dtype=np.int32)),
                     pa.concat_arrays([pa.nulls(1, pa.string()), vocabulary]),
                     pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(counts, pa.int64())]),
-                    pa.concat_arrays([pa.array([places.tobytes()], pa.binary()), pa.nulls(n, pa.binary())]),
+                    pa.concat_arrays([pa.array([pack(places)], pa.binary()), pa.nulls(n, pa.binary())]),
                 ],
                 names=["chunk", "lang", "at", "word", "n", "places"],
             )
@@ -123,7 +139,7 @@ def extend(relation: DataFrame, frequent: DataFrame, last: bool = False) -> Data
         at, ids, words = (right[c].to_numpy() for c in ("at", "id", "next"))
         alive = np.full(int(at.max()) + 2, -1, np.int32)
         alive[at] = np.arange(len(ids), dtype=np.int32)
-        places = np.frombuffer(left["places"][0].as_py(), np.int32)
+        places = unpack(left["places"][0].as_py())
         # Groups above the last frequent one share the last entry, as does the gap's -1.
         places = alive[np.where(places < len(alive) - 1, places, -1)]
         here = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
@@ -142,7 +158,7 @@ def extend(relation: DataFrame, frequent: DataFrame, last: bool = False) -> Data
                 pa.array(np.full(n + whole, own)),
                 pa.array(np.arange(-whole, n, dtype=np.int32)),
                 *(pa.concat_arrays([pa.nulls(whole, pa.int64()), pa.array(c, pa.int64())]) for c in (prefix, following, counts)),
-                pa.concat_arrays([pa.array([longer.tobytes()] if whole else [], pa.binary()), pa.nulls(n, pa.binary())]),
+                pa.concat_arrays([pa.array([pack(longer)] if whole else [], pa.binary()), pa.nulls(n, pa.binary())]),
             ],
             names=["chunk", "at", "prefix", "next", "n", "places"],
         )
