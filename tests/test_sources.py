@@ -1,3 +1,5 @@
+import threading
+
 from tests.data import as_dicts, raw, transactions
 from tillroll import staging
 from tillroll.sources import tables
@@ -35,3 +37,29 @@ def test_staged_tables_lie_in_the_checkpoint_folder(spark):
     staged = staging.stage(spark.range(3), "test")
     assert staging.staging_root(spark) in staged.inputFiles()[0]
     assert staged.count() == 3
+
+
+def test_readers_never_miss_a_table_that_is_replaced(spark, tmp_path):
+    name = "tillroll_polled"
+    tables.replace_table(spark.range(3), name, str(tmp_path / "it's"))
+    seen, problems, done = set(), [], threading.Event()
+
+    def poll():
+        while not done.is_set():
+            try:
+                seen.add(spark.table(name).count())
+            except Exception as error:  # any failure of a reader counts
+                problems.append(str(error)[:300])
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    try:
+        for n in (4, 5, 6, 7):
+            assert tables.replace_table(spark.range(n), name, str(tmp_path / "it's")).count() == n
+    finally:
+        done.set()
+        reader.join()
+    assert not problems and seen <= {3, 4, 5, 6, 7}
+    other = tables.replace_table(spark.range(2).selectExpr("id AS other"), name, str(tmp_path / "b"))
+    assert other.columns == ["other"] and other.count() == 2
+    spark.sql(f"DROP TABLE {name}")

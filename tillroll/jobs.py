@@ -109,6 +109,7 @@ def customer_analytics(spark: SparkSession, source: str, folder: str) -> None:
             "lifetime_value_summary": customers.lifetime_value_summary(clv),
             "lifetime_value_bands": customers.lifetime_value_bands(clv),
             "retention": retention,
+            "retention_matrix": cohorts.retention_matrix(retention),
             "retention_summary": cohorts.retention_summary(retention),
             "top_pairs": baskets.top_pairs(baskets.best_seller_pairs(sales)),
             "affinity_summary": baskets.affinity_summary(sales),
@@ -141,17 +142,20 @@ def predict(spark: SparkSession, source: str, folder: str) -> None:
             "churn_risk": churn.risk_summary(model.scored),
             "demand_forecast": forecast.product_demand(sales),
             "anomaly_summary": anomalies.anomaly_summary(sales),
+            "anomalous_transactions": anomalies.flagged(sales),
         },
         folder,
     )
 
 
-def cluster(spark: SparkSession, source: str, folder: str) -> None:
-    """Customer clusters over cleaned transactions."""
+def cluster(spark: SparkSession, source: str, folder: str, table: str | None = None) -> None:
+    """Customer clusters over cleaned transactions; `table` names a catalog table to replace by them."""
     features = customers.cluster_features(tables.read_transactions(spark, source))
     found = clusters.cluster_customers(features)
     tables.write_result(clusters.labelled_customers(found), f"{folder}/customer_clusters", "parquet")
     labelled = tables.read_clusters(spark, f"{folder}/customer_clusters")
+    if table:
+        tables.replace_table(labelled, table)
     _write_all(
         {
             "elbow": clusters.elbow(features),
@@ -182,11 +186,13 @@ def main() -> None:
     parser.add_argument("source", help="table to read")
     parser.add_argument("folder", help="folder for the results")
     parser.add_argument("--kind", default="parquet", help="format of the raw table (clean, profile)")
+    parser.add_argument("--table", help="catalog table to replace by the clustered customers (clusters)")
     chosen = parser.parse_args()
     spark = SparkSession.builder.getOrCreate()
     try:
-        kind = {"kind": chosen.kind} if chosen.job in ("clean", "profile") else {}
-        JOBS[chosen.job](spark, chosen.source, chosen.folder, **kind)
+        options = {"kind": chosen.kind} if chosen.job in ("clean", "profile") else {}
+        options |= {"table": chosen.table} if chosen.job == "clusters" else {}
+        JOBS[chosen.job](spark, chosen.source, chosen.folder, **options)
     finally:
         clear(spark)
 

@@ -819,3 +819,67 @@ _MONEY = """CASE WHEN {0} >= 1000000 THEN printf('$%.2fM', {0} / 1000000.0)
 )
 def _(f):
     return dashboard.segment_summary(_labelled(f))
+
+
+# The same reports with a name per customer instead of one per cluster, so that several names occur.
+_NAMED = {
+    "features": _FEATURES,
+    "labelled": f"""SELECT *, CASE WHEN Recency < 50 AND Frequency > 10 AND MonetaryValue > 3000 THEN '{clusters.VIP}'
+                                   WHEN Recency < 80 AND Frequency > 5 THEN '{clusters.LOYAL}'
+                                   WHEN Recency < 100 AND MonetaryValue > 2000 THEN '{clusters.HIGH_VALUE}'
+                                   WHEN Recency > 150 THEN '{clusters.LOST}'
+                                   ELSE '{clusters.GROWERS}' END AS ClusterName FROM features""",
+}
+
+
+def _named(f):
+    name = clusters.cluster_name("Recency", "Frequency", "MonetaryValue")
+    return customers.cluster_features(f.tx).withColumn("ClusterName", name)
+
+
+@query(
+    "l2_named_customers",
+    with_tables(
+        f"""SELECT ClusterName, count(*) AS customers, {compared('sum(MonetaryValue)')} AS revenue,
+              {compared('avg(MonetaryValue)')} AS avg_value, {compared('avg(Recency)')} AS avg_recency,
+              {compared('avg(Frequency)')} AS avg_frequency FROM labelled GROUP BY ClusterName""",
+        **_NAMED,
+    ),
+)
+def _(f):
+    return reports.cluster_rollup(_named(f))
+
+
+@query(
+    "l3_named_customers",
+    with_tables(
+        f"""SELECT ClusterName, count(*) AS customer_count, {compared('avg(MonetaryValue)')} AS avg_lifetime_value,
+              {compared('avg(Frequency)', 1)} AS avg_orders, {compared('avg(Recency)', 0)} AS avg_days_since_purchase,
+              {compared('avg(AvgOrderValue)')} AS avg_order_size, {compared('sum(MonetaryValue)')} AS total_revenue
+            FROM labelled GROUP BY ClusterName""",
+        **_NAMED,
+    ),
+)
+def _(f):
+    return reports.cluster_personas(_named(f))
+
+
+@query(
+    "d8_named_customers",
+    with_tables(
+        f"""SELECT *,
+              CASE WHEN Customers >= 1000 THEN printf('%.0fK', Customers / 1000.0)
+                   ELSE printf('%d', Customers) END AS Customers_Label,
+              {_MONEY.format('Total_Revenue')} AS Total_Revenue_Label,
+              {_MONEY.format('Avg_Revenue')} AS Avg_Revenue_Label,
+              printf('%.0f days', Avg_Recency) AS Avg_Recency_Label,
+              printf('%.1f orders', Avg_Frequency) AS Avg_Frequency_Label
+            FROM (SELECT ClusterName, count(CustomerID) AS Customers,
+                    {half_even('sum(MonetaryValue)')} AS Total_Revenue, {half_even('avg(MonetaryValue)')} AS Avg_Revenue,
+                    {half_even('avg(Frequency)')} AS Avg_Frequency, {half_even('avg(Recency)')} AS Avg_Recency
+                  FROM labelled GROUP BY ClusterName)""",
+        **_NAMED,
+    ),
+)
+def _(f):
+    return dashboard.segment_summary(_named(f))

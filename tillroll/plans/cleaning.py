@@ -1,5 +1,7 @@
 """Sources, sinks, cleaning and profiling."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning, profiling
@@ -41,8 +43,10 @@ def _(f):
 def _(f):
     path = new_path(f.spark, "csv")
     tables.write_result(f.tx, path)
-    tables.register_transactions(tables.read_transactions(f.spark, path, "csv"))
-    return _by_country(f.spark.table("transactions"))
+    view = f"transactions_{uuid.uuid4().hex}"  # runs side by side share no names
+    result = _by_country(tables.register_transactions(tables.read_transactions(f.spark, path, "csv"), view))
+    f.spark.catalog.dropTempView(view)
+    return result
 
 
 @query("s3_csv_timestamps", with_tables("SELECT InvoiceDate, count(*) AS rows FROM raw GROUP BY InvoiceDate"))
@@ -104,8 +108,11 @@ def _(f):
 @query("s7_replace_table", with_tables("SELECT CustomerID, count(*) AS rows FROM tx GROUP BY CustomerID"))
 def _(f):
     counts = f.tx.groupBy("CustomerID").agg(F.count("*").alias("rows"))
-    tables.replace_table(counts.limit(0), "tillroll_customers", new_path(f.spark, "table"))
-    return tables.replace_table(counts, "tillroll_customers", new_path(f.spark, "table"))
+    name = f"customers_{uuid.uuid4().hex}"
+    tables.replace_table(counts.limit(0), name, new_path(f.spark, "table"))
+    result = tables.replace_table(counts, name, new_path(f.spark, "table"))
+    f.spark.sql(f"DROP TABLE {name}")  # the files stay
+    return result
 
 
 _RAW_COLUMNS = ", ".join(RAW.fieldNames())

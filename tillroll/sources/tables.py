@@ -1,5 +1,7 @@
 """Readers and writers with declared schemas."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +75,23 @@ def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Replace the catalog table `name` by the frame and read it back."""
-    writer = df.write.mode("overwrite")
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    """Replace the catalog table `name` by the frame and read it back.
+
+    The frame is written as a new version below `path` (default: beside the warehouse's tables), then the
+    table's location is switched to it, so readers find the old rows or the new ones, never no table.
+    Older versions stay for readers that have begun; delete them when none is left.  Only a table with
+    other columns has to be created anew.
+    """
+    spark = df.sparkSession
+    root = path or f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-versions"
+    version = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    location = "'" + version.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns = [(f.name, f.dataType) for f in df.schema.fields]
+    if spark.catalog.tableExists(name) and [(f.name, f.dataType) for f in spark.table(name).schema.fields] == columns:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {location}")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {location}")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
