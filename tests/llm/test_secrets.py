@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from tests.llm.data import awkward, empty
 from tillroll.llm import secrets
@@ -69,3 +70,40 @@ def test_awkward_rows(spark):
     assert done.filter("doc_id = 100").first().text == "é [secret]" and done.filter("doc_id = 100").first().n_chars == 10
     assert done.filter("doc_id = 1").first().text is None
     assert secrets.find_secrets(empty(spark), ["doc_id"]).count() == secrets.redact_documents(empty(spark)).count() == 0
+
+
+def test_weak_parts_against_comparing_all_pairs():
+    rng = random.Random(6)
+    key = "abcdefGHIJKL1234567890mnopQRST"
+    bits = ["ftp://h.example/x", "9svn+ssh://u@h", "client_id=robot77", "ASIA" + "B" * 14, key, "db.eu.amazonaws.com", "token=abcdefgh123", "0a" * 16, "AKIA" + "C" * 16, "\n\n", " ", " ", " word ", "é", "-"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        found = list(secrets.strong(text))
+        role = lambda s: secrets.ROLES[s[0]]
+        weak = [s for s in secrets.weak_spans(text) if not any(role(s) == role(f) and f[1] < s[2] and s[1] < f[2] for f in found)]
+        breaks = [m.span() for m in re.finditer(r"\n\s*\n", text)]
+        scope = lambda at: sum(b <= at for _, b in breaks)
+        edges = list(zip([0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]))
+        expected = []
+        for w in weak:
+            low, high = next(e for e in edges if w[1] < e[1] or e is edges[-1])
+            if any(role(o) != role(w) and o[1] <= high and o[2] >= low for o in found + weak):
+                expected.append(w)
+        assert sorted(secrets.linked(text, found)) == sorted(expected), text
+
+
+def test_addresses_begin_with_the_first_letter_of_their_scheme():
+    found = lambda t: [t[a:b] for kind, a, b in secrets.weak_spans(t) if kind == "endpoint"]
+    assert found("x http://a.b 9ftp://c '.+s3+x://d' éhttps://e ://f 1://g") == ["http://a.b", "ftp://c", "s3+x://d", "https://e"]
+    assert found("at db.eu.amazonaws.com, 2.blob.windows.net; windows.net") == ["db.eu.amazonaws.com", "2.blob.windows.net"]
+
+
+def test_time_of_unbroken_runs():
+    rng = random.Random(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ACGT", "a.-+1", "Aa1+/", "一二三四"):
+        run = "".join(rng.choices(letters, k=1_000_000))
+        begin = time.monotonic()
+        secrets.spans(f"see http://a.example {run} token=abcdefgh1 {run}", None)
+        assert time.monotonic() - begin < 20, letters
+    text = "AKIA" + "B" * 16 + " client_id=robot77 http://h/x?token=abcdefgh1" * 20000
+    assert len(secrets.spans(text, None)) == 1 + 3 * 20000

@@ -6,12 +6,17 @@ within the scope of a paragraph reports them only where a part of another role o
 or around them.  `find_secrets` and `redact` join over whole paragraphs; `reach` limits the distance in
 code points, as `spans` does unless told otherwise.
 
+Every pattern starts at the edge of a run of its characters or is consumed by its match, so the time
+of a text grows with its length, also where it is one unbroken run.
+
 Positions are code points.  Null and empty texts have no spans.  Parts never leave their text, so the
 join needs no shuffle, and its memory is bounded by one text.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,11 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 8, 16
 WEAK = {
     "id": re.compile(r"(?<![A-Za-z0-9])(?:(?:ASIA|AROA|AIDA|ANPA)[A-Z0-9]{12,}|(?:client|account|access|user|tenant)_?(?:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,})", re.I | re.A),
     "key": re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])"),
-    "endpoint": re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|(?<![a-z0-9.-])(?:[a-z0-9-]+\.)+(?:amazonaws|googleapis|azure|windows)\.(?:com|net)(?![a-z0-9])", re.I | re.A),
+    "endpoint": re.compile(r"(?<![a-z0-9+.-])[0-9+.-]*(?P<url>[a-z][a-z0-9+.-]*://[^\s\"'<>]+)|(?<![a-z0-9.-])(?:[a-z0-9-]+\.)+(?:amazonaws|googleapis|azure|windows)\.(?:com|net)(?![a-z0-9])", re.I | re.A),
 }
 ROLES = {"assign": "secret", "hex": "secret", "key": "secret", "access": "id", "id": "id", "endpoint": "endpoint"}
+# Words without which the weak identifiers and endpoints cannot occur.
+HINTS = ("://", "amazonaws", "googleapis", "azure", "windows", "asia", "aroa", "aida", "anpa", "client", "account", "access", "user", "tenant")
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -57,19 +64,28 @@ def strong(text: str) -> Iterator[Span]:
         yield "hex", m.start(), m.end()
 
 
+def weak_spans(text: str) -> Iterator[Span]:
+    """Matches of the weak patterns; an address begins with the first letter of its scheme."""
+    for kind, pattern in WEAK.items():
+        for m in pattern.finditer(text):
+            yield kind, m.start("url") if kind == "endpoint" and m["url"] else m.start(), m.end()
+
+
 def linked(text: str, found: list[Span], reach: int | None = None) -> list[Span]:
     """Weak candidates that have a part of another role in their paragraph, at most `reach` away if given.
 
     One overlapping a strong span of its own role is that part once more, and is left out.
     """
     roles = {ROLES[kind] for kind, _, _ in found}
-    weak = []
-    if roles or "://" in text or WEAK["id"].search(text) or WEAK["endpoint"].search(text):
-        weak = [(kind, m.start(), m.end()) for kind, pattern in WEAK.items() for m in pattern.finditer(text)]
+    low = text.lower()
+    # Keys alone have no partner, so the patterns are tried where another part may be.
+    weak = list(weak_spans(text)) if roles or any(word in low for word in HINTS) else []
+    if not weak:
+        return []
+    covered = {role: Covered([(a, b) for kind, a, b in found if ROLES[kind] == role]) for role in roles}
+    weak = [s for s in weak if ROLES[s[0]] not in covered or not covered[ROLES[s[0]]].touches(s[1], s[2])]
     if not weak:
         return []
-    edges = {role: sorted((a, b) for kind, a, b in found if ROLES[kind] == role) for role in roles}
-    weak = [s for s in weak if not overlaps(edges.get(ROLES[s[0]], []), s[1], s[2])]
     breaks = [m.span() for m in PARAGRAPH.finditer(text)]
     begin_of, end_of = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
     parts = found + weak
@@ -94,8 +110,17 @@ def linked(text: str, found: list[Span], reach: int | None = None) -> list[Span]
     return result
 
 
-def overlaps(edges: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(first < b and a < last for first, last in edges)
+class Covered:
+    """Intervals by start with the running largest end: one search tells if a stretch meets any of them."""
+
+    def __init__(self, edges: list[tuple[int, int]]):
+        edges = sorted(edges)
+        self.starts = [a for a, _ in edges]
+        self.ends = list(accumulate((b for _, b in edges), max))
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
 
 
 def spans(text: str, reach: int | None = REACH) -> list[Span]:
