@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -74,3 +75,31 @@ def test_awkward_rows(spark, library):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text == (texts[r.doc_id] or "") for r in back.collect() if r.doc_id is not None)
     assert bpe.digests(empty(spark), BPE_VOCABULARY, ["doc_id"]).count() == bpe.tokenise(empty(spark), BPE_VOCABULARY).count() == 0
+
+
+def test_long_words_against_the_library(tool, library):
+    rng = random.Random(12)
+    kinds = ["etaoinshrdluc", "ACGT", "a", "ab", "0123456789", "一二三四五的是了", "=-_", "éaü", "\U0001f600\U0001f601", " "]
+    texts = ["".join(rng.choices(k, k=rng.choice([bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000]))) + tail for k in kinds for tail in ("", " end")]
+    texts += ["x".join(texts[:6]), "".join(tool.texts[rng.randrange(50256)].decode("utf-8", "replace").strip() for _ in range(2000))]
+    for text, made in zip(texts, tool.encode(texts)):
+        assert ids(made) == library.encode(text, add_special_tokens=False).ids
+    assert all(len(w) <= bpe.LONG for w in tool.known)
+
+
+def test_long_words_by_heap_and_by_table(tool):
+    rng = random.Random(13)
+    for k in range(200):
+        word = "".join(rng.choices("etaoinsé" if k % 2 else "ab", k=rng.randint(0, 60))).encode()
+        assert tool._merge_long(word).tolist() == tool.merge([word])[0].tolist()
+        assert (tool._follow(np.frombuffer(word, np.uint8)).tolist() if word else []) == tool.propose([word])[0].tolist()
+
+
+def test_time_of_unbroken_runs(tool, library):
+    rng = random.Random(14)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ACGT", "一二三四五六七八九十"):
+        text = "".join(rng.choices(letters, k=1_000_000 // len(letters[0].encode())))
+        begin = time.monotonic()
+        made = tool.encode([text])[0]
+        assert time.monotonic() - begin < 20, letters
+        assert ids(made) == library.encode(text, add_special_tokens=False).ids

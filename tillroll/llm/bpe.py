@@ -3,13 +3,15 @@
 A word is cut by longest vocabulary match.  A sequence of tokens is what merging would have made
 exactly if every two neighbours, merged on their own, stay the two tokens they are.  That test needs
 only the two merge trees, so it runs on arrays of all new pairs at once.  Words with a failing pair
-are merged step by step.
+are merged step by step: short ones together in tables, those above `LONG` bytes each by a heap of its
+pairs, so that the time of an unbroken run of n bytes grows with n log n.
 
 Texts: null counts as empty, an empty text has no tokens, texts of any length are encoded whole.
 """
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 from collections import deque
@@ -27,8 +29,11 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
 NEVER = np.int64(1) << 40
+UNMERGED = (int(NEVER), -1)
 CACHED_WORDS = 800_000
 MERGE_CELLS = 1 << 21
+LONG = 512
+PLACES = 1 << 18  # bytes of a long word looked up at once
 
 
 def byte_of_char() -> dict[str, int]:
@@ -142,6 +147,7 @@ class Encoder:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
         self.pair_wholes = np.array(wholes, np.int64)[order]
+        self.pair_table = dict(zip(keys, zip(ranks, wholes)))
 
     def _trie(self):
         """The vocabulary as a tree: edges (node, byte) in order, the node of edge k being k + 1."""
@@ -188,46 +194,72 @@ class Encoder:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return good
 
+    def longest(self, data: np.ndarray, at: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest token at each place that ends by its limit, and its length; -1 and 1 where there is none."""
+        best, length = np.full(len(at), -1, np.int64), np.ones(len(at), np.int64)
+        live, node, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+        while len(live):
+            key = node << 8 | data[at[live] + depth]
+            place = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+            hit = self.trie_keys[place] == key
+            live, node = live[hit], place[hit] + 1
+            depth += 1
+            token = self.trie_tokens[node]
+            whole = token >= 0
+            best[live[whole]], length[live[whole]] = token[whole], depth
+            more = at[live] + depth < limit[live]
+            live, node = live[more], node[more]
+        return best, length
+
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches from the left, all words at once: tokens, and where each word's begin.
 
-        A byte without a token becomes -1.
+        A byte without a token becomes -1.  A long word is looked up at all its places, then followed.
         """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(words), np.uint8)
-        at, row, found = ends - sizes, np.arange(len(words)), []
-        row = row[sizes > 0]
-        at = at[row]
+        found = []
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            tokens = self._follow(data[ends[k] - sizes[k] : ends[k]])
+            found.append((np.full(len(tokens), k), tokens))
+        row = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+        at = (ends - sizes)[row]
         while len(row):
             limit = ends[row]
-            best, length = np.full(len(row), -1, np.int64), np.ones(len(row), np.int64)
-            live, node, depth = np.arange(len(row)), np.zeros(len(row), np.int64), 0
-            while len(live):
-                key = node << 8 | data[at[live] + depth]
-                place = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-                hit = self.trie_keys[place] == key
-                live, node = live[hit], place[hit] + 1
-                depth += 1
-                token = self.trie_tokens[node]
-                whole = token >= 0
-                best[live[whole]], length[live[whole]] = token[whole], depth
-                more = at[live] + depth < limit[live]
-                live, node = live[more], node[more]
+            best, length = self.longest(data, at, limit)
             found.append((row, best))
             at = at + length
             left = at < limit
             row, at = row[left], at[left]
         return gathered(found, len(words))
 
+    def _follow(self, word: np.ndarray) -> np.ndarray:
+        """Longest matches of one word from the left."""
+        found, next_at = [], 0
+        for first in range(0, len(word), PLACES):
+            places = np.arange(first, min(first + PLACES, len(word)))
+            best, length = self.longest(word, places, np.full(len(places), len(word)))
+            steps, at, taken = length.tolist(), next_at - first, []
+            while at < len(steps):
+                taken.append(at)
+                at += steps[at]
+            next_at = first + at
+            found.append(best[taken])
+        return np.concatenate(found)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging, lowest rank first, leftmost of equals: tokens, and where each word's begin.
 
-        Bytes without a token are left out.  All words take a step at once: each merges its best pair,
+        Bytes without a token are left out.  Short words take a step at once: each merges its best pair,
         and only the ranks next to it change.  Words of about one length share a table.
         """
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        order = sorted((k for k in range(len(words)) if len(words[k]) <= LONG), key=lambda k: len(words[k]))
         first, found = 0, []
+        for k in range(len(words)):
+            if len(words[k]) > LONG:
+                tokens = self._merge_long(words[k])
+                found.append((np.full(len(tokens), k), tokens))
         while first < len(order):
             width = max(8, len(words[order[first]]) * 5 // 4)
             last = first + 1
@@ -238,6 +270,41 @@ class Encoder:
             first = last
         return gathered(found, len(words))
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """One word by a heap of its pairs; each merge touches its two neighbours only."""
+        tokens = self.byte_ids[np.frombuffer(word, np.uint8)]
+        tokens = tokens[tokens >= 0]
+        ranks = self.pair_rank(tokens[:-1], tokens[1:])
+        size, token = len(tokens), tokens.tolist()
+        # Entries are rank, place of the left token; one is stale once the pair at its place has another rank.
+        rank = [*ranks.tolist(), int(NEVER)]
+        heap = [(r, k) for k, r in enumerate(rank) if r < NEVER]
+        heapq.heapify(heap)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        table = self.pair_table
+        while heap:
+            r, k = heapq.heappop(heap)
+            if rank[k] != r:
+                continue
+            gone = after[k]
+            token[k] = table[token[k] << 20 | token[gone]][1]
+            rank[gone], token[gone] = -1, -1
+            after[k] = following = after[gone]
+            if following < size:
+                before[following] = k
+                rank[k] = table.get(token[k] << 20 | token[following], UNMERGED)[0]
+            else:
+                rank[k] = UNMERGED[0]
+            if rank[k] < NEVER:
+                heapq.heappush(heap, (rank[k], k))
+            left = before[k]
+            if left >= 0:
+                rank[left] = table.get(token[left] << 20 | token[k], UNMERGED)[0]
+                if rank[left] < NEVER:
+                    heapq.heappush(heap, (rank[left], left))
+        made = np.array(token, np.int64)
+        return made[made >= 0]
+
     def _merge_table(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
@@ -300,9 +367,14 @@ class Encoder:
         words = [split(part) for parts in cut for part in parts[::2]]
         for part in words:
             deque(map(known.__getitem__, part), 0)  # notes words without ids
-        self.learn(known.taken())
+        new = known.taken()
+        self.learn(new)
         plain = map(b"".join, (map(known.__getitem__, part) for part in words))
-        return [b"".join(self.special[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
+        result = [b"".join(self.special[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
+        for word in new:
+            if len(word) > LONG:  # remembered words stay small
+                del known[word]
+        return result
 
     def decode(self, ids: bytes) -> str:
         """The text of token ids, control tokens included; broken characters become U+FFFD."""
