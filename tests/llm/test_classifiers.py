@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import awkward, empty
-from tillroll.llm import language, quality, toxicity
+from tillroll.llm import language, quality, sampling, toxicity
 from tillroll.llm.text import span_hashes
 
 NO_LABELS = "doc_id long, quality int, toxic int, text string"
@@ -158,3 +158,51 @@ def test_document_frequencies(spark):
     total, seen = language.document_frequencies(docs)
     counts, _ = language.grams([b"ab ab", b"ab", "é".encode()])
     assert total == 9 and (seen == 3 * (counts > 0).sum(axis=0)).all()
+
+
+def test_gradient_of_the_noisy_or_against_differences():
+    rng = np.random.default_rng(4)
+    row = np.sort(rng.integers(0, 6, 20))
+    labels, logits = np.array([0, 1, 0, 1, 1, 0]), rng.normal(-2, 1, 20)
+
+    def loss(x):
+        total = 0.0
+        for k, label in enumerate(labels):
+            clean = np.prod([1 - 1 / (1 + np.exp(-v)) for v in x[row == k]])
+            total -= np.log(1 - clean if label else clean) / len(labels) if (row == k).any() or not label else 0.0
+        return total
+
+    slope, _ = toxicity.slopes(logits, row, labels)
+    for k in range(len(row)):
+        step = np.zeros(len(row))
+        step[k] = 1e-5
+        assert slope[k] == pytest.approx((loss(logits - step) - loss(logits + step)) / 2e-5, rel=1e-4, abs=1e-9)
+
+
+def test_training_starts_at_the_share_of_toxic_documents():
+    counts, labels = np.array([1, 4, 10, 30]), np.array([0, 0, 1, 0])
+    p = 1 / (1 + np.exp(-toxicity.even_bias(counts, labels)))
+    assert np.mean(1 - (1 - p) ** counts) == pytest.approx(0.25, abs=1e-6)
+
+
+def test_few_toxic_documents_are_learned_without_false_alarms():
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    insults = ["zvark", "zquol", "zmept"]
+    text = lambda toxic: " ".join([word() + rng.choice(["", "", "", "."]) for _ in range(80)] + [rng.choice(insults)] * toxic).encode()
+    made = [(text(k % 9 == 0), int(k % 9 == 0)) for k in range(300)]
+    found = [toxicity.sentences([t]) for t, _ in made]
+    model = toxicity.fit_rows([(f.owner, f.bucket) for f in found], np.array([y for _, y in made]))
+    scores = model.scores([text(k % 2) for k in range(200)])[0] >= 0.7
+    assert scores[1::2].mean() > 0.9 and scores[0::2].mean() < 0.02
+
+
+def test_one_text_of_a_repeated_id_is_learned(spark):
+    docs = spark.range(100_000).selectExpr("1L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    docs = docs.unionByName(spark.createDataFrame([(2, None, "de"), (2, "zwei", "de"), (3, "drei", "de")], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, toxic int")
+    rows = sampling.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 0), (3, 0)]
+    again = sampling.labelled_sample(docs.repartition(7), labels, "toxic", F.lit(True), 10).collect()
+    assert sorted(rows, key=lambda r: r.doc_id) == sorted(again, key=lambda r: r.doc_id)
+    assert language.fit(docs, F.lit(True)).names == ["de", "en"]

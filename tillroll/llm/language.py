@@ -7,7 +7,8 @@ rows kept aside makes the probabilities honest.
 
 The sample takes about `SAMPLE` rows in equal shares over all languages, but no fewer than about `LEAST`
 of each, by a threshold on a hash; the row of a language that comes first by it is always taken, and one
-row of each at least is trained on, so every language can be predicted.  Null texts and texts without a letter are `und` with score 0,
+row of each at least is trained on, so every language can be predicted.  Of rows of one language repeating
+an id one is taken.  Null texts and texts without a letter are `und` with score 0,
 as is every text if nothing could be learned.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.sampling import one_per_id
 from tillroll.llm.text import chunks, map_texts, mix
 
 BITS = 13
@@ -161,15 +163,15 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model:
         learnable & F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(10**9))
-    kinds = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    kinds = known.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n"), F.min(place).alias("first")).collect()
     if not kinds:
         return Model()
     total, seen = document_frequencies(known)
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     wanted = max(sample / len(kinds), LEAST)
-    bounds = [(r["lang"], max(int(min(1.0, wanted / r["n"]) * 10**9), r["first"] + 1)) for r in kinds]
+    bounds = [(r["lang"], max(int(min(1.0, wanted / max(r["n"], 1)) * 10**9), r["first"] + 1)) for r in kinds]
     bounds = docs.sparkSession.createDataFrame(bounds, "lang string, __bound long")
-    chosen = known.join(F.broadcast(bounds), "lang").filter(place < F.col("__bound"))
+    chosen = one_per_id(known.join(F.broadcast(bounds), "lang").filter(place < F.col("__bound")), "lang")
 
     def work(texts):
         at, count = [], []

@@ -19,10 +19,16 @@ def agreed_labels(labels: DataFrame, label: str, learnable: Column) -> DataFrame
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int) -> DataFrame:
     """doc_id, text and label of at most `per_class` labelled rows of each class.
 
-    The rows with the smallest hashes of their ids are taken, the same ones in every run.  Only ids are
+    Of rows repeating an id the one whose text has the smallest hash is taken.  The rows with the smallest hashes of their ids are taken, the same ones in every run.  Only ids are
     ordered (a bounded heap per task); the chosen ids, at most twice `per_class`, are broadcast to the texts.
     """
     known = agreed_labels(labels, label, learnable).withColumn("place", F.xxhash64("doc_id"))
     parts = [known.filter(F.col("label") == k).orderBy("place", "doc_id").limit(per_class) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return one_per_id(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label")
+
+
+def one_per_id(rows: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and label with one text for each; repeated ids are combined inside the tasks first."""
+    least = F.min(F.struct(F.xxhash64("text").alias("place"), "text"))
+    return rows.groupBy("doc_id", label).agg(least.alias("least")).select("doc_id", "least.text", label)

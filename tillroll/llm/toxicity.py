@@ -2,7 +2,8 @@
 
 Every sentence has a logistic score over its words and word beginnings; a document is toxic if any
 sentence is (noisy-or).  The weights are trained from document labels through the noisy-or, so the
-model itself finds which sentences offend.
+model itself finds which sentences offend.  Training starts where documents without any weight are as
+toxic as the labels, and goes on until the loss settles, on tables of any size.
 
 The fit uses at most `PER_CLASS` labelled rows of each class; scoring is one pass over all texts with
 a table of 2**BITS weights.  Sentences end at `.`, `!`, `?` or a line break.  Null and empty texts have
@@ -21,13 +22,14 @@ from tillroll.llm.text import ALNUM, chunks, joined, map_texts, mix, owners, sig
 
 BITS = 18
 PER_CLASS = 2000
-BEGINNINGS = (4, 5)
-EPOCHS = 15
-RATE = 1.0
-SPARSITY = 3e-4
-MIN_DOCS = 5
-START = -9.0
+BEGINNINGS = (4, 5, 6, 7)
+RATE, BIAS_RATE = 1.0, 0.3
+FLOOR = 1e-3  # of squared gradients: words of few documents take short steps
+SPARSITY = 2e-4
+MIN_DOCS = 3
 BATCH = 64
+LEAST_STEPS, MOST_STEPS = 600, 6000
+PATIENCE, SETTLED = 5, 0.02  # so little gained over so many epochs ends the training
 
 _STOP = np.zeros(256, np.int32)
 _STOP[[ord(c) for c in ".!?\n"]] = 1
@@ -82,12 +84,85 @@ class Model:
         return -np.expm1(np.bincount(found.row, np.log1p(-p), len(texts))), found, p
 
 
+def document_scores(logits: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each sentence, and of each document that no sentence is toxic."""
+    p = np.clip(sigmoid(logits), 1e-9, 1 - 1e-9)
+    return p, np.exp(np.bincount(row, np.log1p(-p), rows))
+
+
+def slopes(logits: np.ndarray, row: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the documents' mean log likelihood by the logit of each sentence, and the mean loss."""
+    p, clean = document_scores(logits, row, len(labels))
+    toxic = np.maximum(1 - clean, 1e-9)
+    pull = np.minimum(clean / toxic, 1e3)
+    loss = -np.where(labels == 1, np.log(toxic), np.log(np.maximum(clean, 1e-300))).mean()
+    return np.where(labels[row] == 1, pull[row] * p, -p) / len(labels), loss
+
+
+def even_bias(counts: np.ndarray, labels: np.ndarray) -> float:
+    """The bias at which documents of so many sentences are toxic as often as the labels are, without any weight."""
+    low, high = -20.0, 5.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        below = -np.expm1(counts * np.log1p(-sigmoid(middle))).mean() < labels.mean()
+        low, high = (middle, high) if below else (low, middle)
+    return low
+
+
+@dataclass
+class Rows:
+    """Documents as (sentence of every feature, feature), and how many sentences each has."""
+
+    docs: list[tuple[np.ndarray, np.ndarray]]
+    counts: np.ndarray
+    labels: np.ndarray
+
+    def batch(self, chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence of every feature, feature, document of every sentence, and labels."""
+        offsets = np.concatenate([[0], np.cumsum(self.counts[chosen])]).astype(np.int64)
+        owner = np.concatenate([self.docs[k][0] + o for k, o in zip(chosen, offsets)])
+        bucket = np.concatenate([self.docs[k][1] for k in chosen])
+        return owner, bucket, np.repeat(np.arange(len(chosen)), np.diff(offsets)), self.labels[chosen]
+
+
+def train(rows: Rows, chosen: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by steps of adaptive size with an L1 penalty, until the loss of an epoch settles."""
+    weights, squares = np.zeros(features), np.full(features, FLOOR)
+    bias, bias_square = even_bias(rows.counts[chosen], rows.labels[chosen]), 1e-6
+    rng = np.random.default_rng(0)
+    steps, losses = 0, []
+    while steps < MOST_STEPS:
+        order, total = rng.permutation(chosen), 0.0
+        for at in range(0, len(order), BATCH):
+            owner, bucket, row, label = rows.batch(order[at : at + BATCH])
+            slope, loss = slopes(np.bincount(owner, weights[bucket], len(row)) + bias, row, label)
+            gradient = np.bincount(bucket, slope[owner], features)
+            squares += gradient**2
+            step = RATE / np.sqrt(squares) * (gradient != 0)
+            moved = weights + step * gradient
+            weights = np.sign(moved) * np.maximum(np.abs(moved) - step * SPARSITY, 0)
+            by_bias = slope.sum()
+            bias_square += by_bias**2
+            bias += BIAS_RATE * by_bias / np.sqrt(bias_square)
+            total += loss * len(label)
+            steps += 1
+        losses.append(total / len(order))
+        back = losses[-1 - PATIENCE] if len(losses) > PATIENCE else np.inf
+        if steps >= LEAST_STEPS and losses[-1] > back * (1 - SETTLED):
+            break
+    return weights, float(bias)
+
+
 def fit_rows(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
-    """Fits documents given as (sentence of every feature, bucket); sentences are numbered from 0."""
-    weights, bias = np.zeros(1 << BITS), START
-    if len(set(labels.tolist())) < 2:
+    """Fits documents given as (sentence of every feature, bucket); sentences are numbered from 0.
+
+    Documents without words have no say.
+    """
+    weights = np.zeros(1 << BITS)
+    counts = np.array([int(owner.max()) + 1 if len(owner) else 0 for owner, _ in docs], np.int64)
+    chosen = np.flatnonzero(counts)
+    if len(set(labels[chosen].tolist())) < 2:
         return Model(weights, -30.0)
-    counts = [int(owner.max()) + 1 if len(owner) else 0 for owner, _ in docs]
     # Words of few documents can only be learned by heart; their weights stay zero.
     seen = np.zeros(1 << BITS, np.int64)
     for _, bucket in docs:
@@ -96,35 +171,9 @@ def fit_rows(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> M
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
     common = [seen[bucket] >= MIN_DOCS for _, bucket in docs]
-    docs = [(owner[c], place[bucket[c]]) for (owner, bucket), c in zip(docs, common)]
-    learned, squares, bias_square = np.zeros(len(used)), np.full(len(used), 1e-6), 1e-6
-    rng = np.random.default_rng(0)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            batch = [k for k in order[at : at + BATCH] if counts[k]]
-            if not batch:
-                continue
-            offsets = np.concatenate([[0], np.cumsum([counts[k] for k in batch])])
-            owner = np.concatenate([docs[k][0] + o for k, o in zip(batch, offsets)])
-            bucket = np.concatenate([docs[k][1] for k in batch])
-            row = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            p = np.clip(sigmoid(np.bincount(owner, learned[bucket], offsets[-1]) + bias), 1e-9, 1 - 1e-9)
-            clean = np.exp(np.bincount(row, np.log1p(-p), len(batch)))
-            toxic = np.maximum(1 - clean, 1e-9)
-            label = labels[batch]
-            # Gradient of the log likelihood by the logit of each sentence.
-            slope = np.where(label[row] == 1, np.minimum(clean / toxic, 1e3)[row] * p, -p) / len(batch)
-            gradient = np.bincount(bucket, slope[owner], len(used))
-            squares += gradient**2
-            step = RATE / np.sqrt(squares) * (gradient != 0)
-            moved = learned + step * gradient
-            learned = np.sign(moved) * np.maximum(np.abs(moved) - step * SPARSITY, 0)
-            total = slope.sum()
-            bias_square += total**2
-            bias += 0.1 * RATE * total / np.sqrt(bias_square)
-    weights[used] = learned
-    return Model(weights, float(bias))
+    rows = Rows([(owner[c], place[bucket[c]]) for (owner, bucket), c in zip(docs, common)], counts, labels)
+    weights[used], bias = train(rows, chosen, len(used))
+    return Model(weights, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> Model:
