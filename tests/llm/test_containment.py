@@ -71,3 +71,32 @@ def test_empty_tables(spark):
     assert containment.contained_items(docs, items).count() == 0
     assert containment.decontaminate(docs, items).count() == docs.count()
     assert containment.contained_items(empty(spark), items).count() == 0
+
+
+def test_one_row_per_document_over_several_blocks(spark, monkeypatch):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    passage = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, passage(rng.randint(1, 40))) for k in range(200)] + [(7, passage(12)), (None, passage(9)), (900, None), (901, "")]
+    texts = [f"{passage(50)} {items[k][1]} {passage(30)} {items[k + 1][1]}" for k in range(0, 200, 8)]
+    docs = awkward(spark, texts)
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    whole = containment.find_items(docs, frame, ["doc_id", "text", "score"]).collect()
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 64 << 10)
+    assert len(list(containment.blocks(frame))) > 3
+    parts = containment.find_items(docs, frame, ["doc_id", "text", "score"])
+    assert parts.columns == ["doc_id", "text", "score", "matches"]
+    key = lambda r: (str(r.doc_id), str(r.text), sorted(map(str, r.matches)))
+    assert sorted(map(key, parts.collect())) == sorted(map(key, whole)) and len(whole) == docs.count()
+    assert sum(len(r.matches) > 1 for r in whole) >= 20
+    clean = containment.decontaminate(docs, frame)
+    assert clean.count() == sum(not r.matches for r in whole)
+
+
+def test_blocks_are_as_large_as_their_index():
+    rng = random.Random(18)
+    items = [(k, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)).encode()) for k in range(20000)]
+    index = containment.Index(items)
+    taken = sum(g.minima.nbytes + g.owners.nbytes + g.table.nbytes for g in index.groups) + sum(map(len, index.lines))
+    assert taken <= sum(len(t) + containment.ITEM_BYTES for _, t in items)
+    assert index.candidates([items[5][1], b"", items[19999][1]]) >= {(0, 5), (2, 19999)}

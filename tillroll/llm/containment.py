@@ -11,7 +11,9 @@ Words are ASCII letters and digits and other characters, lower-cased; shingles a
 An item with fewer words is one shingle; an item without words is in no document, nor is any item in a
 null or empty text.  Items repeating an id are items of their own.
 
-Items are broadcast in blocks of about `BLOCK_BYTES`: any number of them is searched, in as many passes.
+Items are broadcast in blocks whose index takes about `BLOCK_BYTES` in a Python worker: any number of
+them is searched, one block after the other, and each document keeps one row.  Every block has Python
+workers of its own, so after `PASSES` blocks the rows are written to the shared folder and read back.
 """
 
 from collections.abc import Iterator
@@ -23,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.text import ALNUM, chunks, joined, map_texts, mix, span_hashes, utf8, words
+from tillroll.staging import stage
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SLOTS = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
+PASSES = 4
+ITEM_BYTES = 20 * SLOTS  # of an item in the index beside its words: minima, owners, table, counters
 WORD_TABLE = ALNUM.tobytes()
-_LOW = np.uint64(0xFFFF)
 
 
 def multipliers(slots: int) -> np.ndarray:
@@ -58,42 +62,57 @@ def shingle_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Group:
-    """Items of one size class and shingle length."""
+    """Items of one size class and shingle length, per slot in the order of the low halves of their minima."""
 
     words: int
     size: int  # most shingles of an item, a power of two
-    items: list[int]
+    minima: np.ndarray  # slots x items
+    owners: np.ndarray  # the item of each minimum
     table: np.ndarray  # slot by low bits of a minimum: may there be an item
-    owners: list[dict[int, list[int]]]  # per slot: minimum to items
+
+    def owners_of(self, slot: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `values`, and the items that have the value there as their minimum."""
+        hit = np.flatnonzero(self.table[slot][values & np.uint32(self.table.shape[1] - 1)])
+        first = np.searchsorted(self.minima[slot], values[hit])
+        many = np.searchsorted(self.minima[slot], values[hit], side="right") - first
+        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(hit, many), self.owners[slot][np.repeat(first, many) + nth]
+
+
+def group_of(words: int, size: int, members: list[int], sketches: np.ndarray) -> Group:
+    """`sketches` has a row per item; the table has four to eight places per item, but some thousands."""
+    order = np.argsort(sketches, axis=0, kind="stable").T
+    minima = np.ascontiguousarray(np.take_along_axis(sketches.T, order, axis=1))
+    places = 1 << max(14, (4 * len(members) - 1).bit_length())
+    table = np.zeros((len(minima), places), bool)
+    for line, values in zip(table, minima):
+        line[values & np.uint32(places - 1)] = True
+    return Group(words, size, minima, np.array(members, np.int32)[order], table)
 
 
 class Index:
     def __init__(self, items: list[tuple[object, bytes]], shingle: int = SHINGLE, slots: int = SLOTS):
         self.ids = [i for i, _ in items]
-        self.shingles = []
+        self.shingle = shingle
+        self.lines = [line_of(text) for _, text in items]
+        self.counts = np.zeros(len(items), np.int32)
         self.factors = multipliers(slots)
         sets: dict[tuple[int, int], list[int]] = {}
-        sketches = []
+        sketches = np.zeros((len(items), slots), np.uint32)
         for k, (_, text) in enumerate(items):
             size, found = item_shingles(text, shingle)
-            self.shingles.append(found)
-            sketches.append(None)
+            self.counts[k] = len(found)
             if found:
                 data, begins = joined([text])
                 data = ALNUM[data]
                 starts, ends, _ = words(data, begins)
                 hashes = shingle_hashes(span_hashes(data, starts, ends), size)
-                sketches[k] = (hashes[None, :] * self.factors[:, None]).min(axis=1)
+                sketches[k] = (hashes[None, :] * self.factors[:, None]).min(axis=1).astype(np.uint32)
                 sets.setdefault((size, 1 << (len(found) - 1).bit_length()), []).append(k)
-        self.groups = []
-        for (size, most), members in sorted(sets.items()):
-            table = np.zeros((slots, 1 << 16), bool)
-            owners: list[dict[int, list[int]]] = [{} for _ in range(slots)]
-            for k in members:
-                table[np.arange(slots), (sketches[k] & _LOW).astype(np.int64)] = True
-                for slot, value in enumerate(sketches[k].tolist()):
-                    owners[slot].setdefault(value, []).append(k)
-            self.groups.append(Group(size, most, members, table, owners))
+        self.groups = [group_of(*kind, members, sketches[members]) for kind, members in sorted(sets.items())]
+
+    def shingles(self, item: int) -> list[bytes]:
+        return item_shingles(self.lines[item], self.shingle)[1]
 
     def candidates(self, texts: list[bytes]) -> set[tuple[int, int]]:
         """(row, item) of a chunk of texts where a window and an item agree in a slot."""
@@ -126,17 +145,17 @@ class Index:
             heads = np.flatnonzero(nth % (g.size // step) == 0)
             pair = np.append(row[heads][1:] == row[heads][:-1], False)
             wide.append((g, heads, row[heads], pair))
-        found = set()
+        found = [np.empty(0, np.int64)]
         for slot, factor in enumerate(self.factors):
             low = np.minimum.reduceat(shingles * factor, edges)[0::2]
             for g, heads, rows, pair in wide:
                 block = np.minimum.reduceat(low, heads) if len(heads) < len(low) else low
                 window = block.copy()
                 window[:-1][pair[:-1]] = np.minimum(block[:-1], block[1:])[pair[:-1]]
-                for k in np.flatnonzero(g.table[slot][(window & _LOW).astype(np.int64)]).tolist():
-                    for item in g.owners[slot].get(int(window[k]), ()):
-                        found.add((int(rows[k]), item))
-        return found
+                at, item = g.owners_of(slot, window.astype(np.uint32))
+                found.append(np.unique(rows[at].astype(np.int64) << 32 | item))
+        pairs = np.unique(np.concatenate(found))
+        return set(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()))
 
     def matches(self, texts: list[bytes], threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int]]:
         """(row, item, shared shingles) of every text that contains an item to the threshold."""
@@ -145,14 +164,14 @@ class Index:
             for row, item in sorted(self.candidates(texts[a:b])):
                 if row not in lines:
                     lines = {row: line_of(texts[a + row])}
-                shared = sum(s in lines[row] for s in self.shingles[item])
-                if shared >= threshold * len(self.shingles[item]):
+                shared = sum(s in lines[row] for s in self.shingles(item))
+                if shared >= threshold * self.counts[item]:
                     yield a + row, item, shared
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in blocks that are small enough to broadcast, whatever their number."""
-    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
+    """The items in blocks whose index is small enough to broadcast, whatever their number and length."""
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ITEM_BYTES).alias("n")).first().n or 0
     parts = -(-total // BLOCK_BYTES)
     for k in range(parts):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
@@ -160,25 +179,27 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
         yield sorted(((r.item_id, bytes(r.text)) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+MATCHES = "array<struct<item_id:bigint,shared:bigint,shingles:bigint>>"
+
+
 def find_items(docs: DataFrame, items: DataFrame, keep: list[Column | str], threshold: float = THRESHOLD) -> DataFrame:
-    """Adds `matches`, the items that each text contains, to the columns `keep`; no shuffle."""
+    """Adds `matches`, the items that each text contains, to the columns `keep`; one row per document, no shuffle."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())]))
-    result = None
-    for rows in blocks(items):
+    result = docs.select(*keep, F.col("text").alias("__searched"), F.array().cast(MATCHES).alias("matches"))
+    for nth, rows in enumerate(blocks(items)):
+        result = stage(result, "matches") if nth and nth % PASSES == 0 else result
         shared = docs.sparkSession.sparkContext.broadcast(Index(rows))
 
         def work(texts, shared=shared):
             index, found = shared.value, [[] for _ in texts]
             for row, item, n in index.matches(texts, threshold):
-                found[row].append(dict(item_id=index.ids[item], shared=n, shingles=len(index.shingles[item])))
+                found[row].append(dict(item_id=index.ids[item], shared=n, shingles=int(index.counts[item])))
             return [pa.array(found, kind)]
 
-        part = map_texts(docs, keep, [("matches", "array<struct<item_id:bigint,shared:bigint,shingles:bigint>>")], work)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        nothing = F.lit(None).cast("array<struct<item_id:bigint,shared:bigint,shingles:bigint>>").alias("matches")
-        result = docs.select(*keep, nothing)
-    return result
+        kept = [F.col(f"`{c}`") for c in result.columns]
+        result = map_texts(result, kept, [("__more", MATCHES)], work, "__searched")
+        result = result.withColumn("matches", F.concat("matches", "__more")).drop("__more")
+    return result.drop("__searched")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -191,9 +212,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item, with all their columns; one pass per block of items, no shuffle."""
+    """The documents that contain no item, with all their columns; no shuffle."""
     clean = docs
-    for rows in blocks(items):
+    for nth, rows in enumerate(blocks(items)):
+        clean = stage(clean, "clean") if nth and nth % PASSES == 0 else clean
         shared = docs.sparkSession.sparkContext.broadcast(Index(rows))
 
         def run(batches, shared=shared):

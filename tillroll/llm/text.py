@@ -40,13 +40,13 @@ def bucket_of(doc_id: str, buckets: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets
 
 
-def map_texts(docs: DataFrame, keep: list[Column | str], schema: list[tuple[str, str]], work: Callable) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[Column | str], schema: list[tuple[str, str]], work: Callable, text: str = "text") -> DataFrame:
     """Adds columns made from whole texts.
 
-    `work(texts)` takes a list of bytes and returns one Arrow array per column of `schema`.
+    `work(texts)` takes a list of bytes, of the column `text`, and returns one Arrow array per column of `schema`.
     The columns `keep` pass through unchanged.  Nothing is shuffled.
     """
-    source = docs.select(*keep, utf8().alias("__utf8"))
+    source = docs.select(*keep, utf8(text).alias("__utf8"))
     kept = source.columns[:-1]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__utf8")
 
