@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 def test_against_plain_rules(spark):
