@@ -1,7 +1,11 @@
 import threading
 
-from tests.data import as_dicts, raw, transactions
+import pytest
+from pyspark.sql import functions as F
+
+from tests.data import as_dicts, at, raw, transactions
 from tillroll import staging
+from tillroll.operators import cleaning
 from tillroll.sources import tables
 
 
@@ -63,3 +67,56 @@ def test_readers_never_miss_a_table_that_is_replaced(spark, tmp_path):
     other = tables.replace_table(spark.range(2).selectExpr("id AS other"), name, str(tmp_path / "b"))
     assert other.columns == ["other"] and other.count() == 2
     spark.sql(f"DROP TABLE {name}")
+
+
+def _files(folder):
+    return sorted(str(f) for f in folder.glob("*.parquet"))
+
+
+def _lines(spark, path):
+    return sorted(map(str, tables.read_transactions(spark, path).collect()))
+
+
+def test_loads_in_parts_equal_one_load(spark, tmp_path):
+    may, june = at("2020-05-03 10:00"), at("2020-06-03 10:00")
+    first = [
+        {"InvoiceDate": may, "Description": None, "Country": " Home"},
+        {"InvoiceDate": may, "StockCode": "t", "Description": "  b  b "},
+        {"InvoiceDate": june},
+        {"InvoiceDate": None, "StockCode": "undated"},
+    ]
+    # Twins of stored lines whose texts come before those stored, or after; a new month; a price that is dropped.
+    second = [
+        {"InvoiceDate": may, "Description": "zzz", "Country": "Away"},
+        {"InvoiceDate": may, "StockCode": "t", "Description": "a"},
+        {"InvoiceDate": may, "StockCode": "t", "Description": "a"},
+        {"InvoiceDate": may, "StockCode": "u", "UnitPrice": -1.0},
+        {"InvoiceDate": None, "StockCode": "undated", "Quantity": -2},
+        {"InvoiceDate": at("2020-07-01 00:00"), "CustomerID": None},
+    ]
+    parts, whole = str(tmp_path / "parts"), str(tmp_path / "whole")
+    assert tables.append_transactions(raw(spark, []), parts) == []
+    assert tables.append_transactions(raw(spark, first), parts) == [None, "2020-05", "2020-06"]
+    kept = _files(tmp_path / "parts" / "YearMonth=2020-06")
+    more = raw(spark, second).withColumn("SourceDescription", F.lit("clash"))
+    assert tables.append_transactions(more, parts) == [None, "2020-05", "2020-07"]
+    tables.append_transactions(raw(spark, first + second), whole)
+    assert _lines(spark, parts) == _lines(spark, whole) and len(_lines(spark, whole)) == 6
+    assert _files(tmp_path / "parts" / "YearMonth=2020-06") == kept
+    again = _lines(spark, parts)
+    tables.append_transactions(raw(spark, second), parts)
+    assert _lines(spark, parts) == again
+
+
+def test_only_touched_months_are_read(spark, tmp_path):
+    path = str(tmp_path / "tx")
+    tables.append_transactions(raw(spark, [{}, {"InvoiceDate": at("2021-01-01 00:00")}]), path)
+    plan = tables._stored_lines(spark, path, ["2020-01"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(YearMonth" in plan and "2020-01" in plan
+
+
+def test_tables_without_their_source_texts_are_refused(spark, tmp_path):
+    path = str(tmp_path / "tx")
+    tables.write_transactions(cleaning.clean_transactions(raw(spark, [{}])), path)
+    with pytest.raises(ValueError, match="keep_sources"):
+        tables.append_transactions(raw(spark, [{}]), path)

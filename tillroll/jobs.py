@@ -23,7 +23,7 @@ def _write_all(results: Mapping[str, DataFrame], folder: str) -> None:
 def clean(spark: SparkSession, source: str, folder: str, kind: str = "parquet") -> None:
     """Raw table to cleaned table, sales table and cleaning report."""
     raw = tables.read_raw(spark, source, kind)
-    tables.write_transactions(cleaning.clean_transactions(raw), f"{folder}/transactions")
+    tables.write_transactions(cleaning.clean_transactions(cleaning.keep_sources(raw)), f"{folder}/transactions")
     # From here on the written table is read, so cleaning runs once.
     tx = tables.read_transactions(spark, f"{folder}/transactions")
     tables.write_sales(tx, f"{folder}/sales")
@@ -37,6 +37,13 @@ def clean(spark: SparkSession, source: str, folder: str, kind: str = "parquet")
     )
 
 
+def append(spark: SparkSession, source: str, folder: str, kind: str = "parquet") -> None:
+    """More raw lines into the tables that `clean` wrote (or the first ones); only their months are written again."""
+    months = tables.append_transactions(tables.read_raw(spark, source, kind), f"{folder}/transactions")
+    if months:
+        tables.append_sales(spark, f"{folder}/transactions", f"{folder}/sales", months)
+
+
 def profile(spark: SparkSession, source: str, folder: str, kind: str = "parquet") -> None:
     """Profile of the raw table."""
     raw = tables.read_raw(spark, source, kind)
@@ -171,6 +178,7 @@ def cluster(spark: SparkSession, source: str, folder: str, table: str | None = N
 
 JOBS = {
     "clean": clean,
+    "append": append,
     "profile": profile,
     "reports": report,
     "explore": explore_sales,
@@ -185,12 +193,12 @@ def main() -> None:
     parser.add_argument("job", choices=JOBS)
     parser.add_argument("source", help="table to read")
     parser.add_argument("folder", help="folder for the results")
-    parser.add_argument("--kind", default="parquet", help="format of the raw table (clean, profile)")
+    parser.add_argument("--kind", default="parquet", help="format of the raw table (clean, append, profile)")
     parser.add_argument("--table", help="catalog table to replace by the clustered customers (clusters)")
     chosen = parser.parse_args()
     spark = SparkSession.builder.getOrCreate()
     try:
-        options = {"kind": chosen.kind} if chosen.job in ("clean", "profile") else {}
+        options = {"kind": chosen.kind} if chosen.job in ("clean", "append", "profile") else {}
         options |= {"table": chosen.table} if chosen.job == "clusters" else {}
         JOBS[chosen.job](spark, chosen.source, chosen.folder, **options)
     finally:

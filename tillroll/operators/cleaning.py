@@ -93,6 +93,11 @@ def remove_returns(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("IsReturn"))
 
 
+def keep_sources(raw: DataFrame) -> DataFrame:
+    """Add the texts that cleaning changes as they came, from which a stored table can be cleaned again."""
+    return raw.withColumns({"SourceDescription": F.col("Description"), "SourceCountry": F.col("Country")})
+
+
 def clean_transactions(raw: DataFrame, max_price: float = MAX_PRICE, drop_returns: bool = False) -> DataFrame:
     """Raw to cleaned transactions: one lazy plan with one shuffle.
 

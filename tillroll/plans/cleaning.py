@@ -95,6 +95,26 @@ def _(f):
     return totals("all", tx).unionByName(totals("sales", tables.read_transactions(f.spark, sold)))
 
 
+# Two loads that share lines, months and duplicates give what one load of everything gives.
+@query(
+    "s5_incremental_loads",
+    with_tables(
+        f"""SELECT InvoiceNo, StockCode, CustomerID, Description, Country, Quantity, IsReturn, YearMonth, InvoiceDate,
+              {compared('UnitPrice')} AS UnitPrice, {compared('TotalPrice')} AS TotalPrice FROM tx"""
+    ),
+)
+def _(f):
+    path = new_path(f.spark, "growing")
+    part = F.pmod(F.hash("InvoiceNo"), F.lit(4))
+    tables.append_transactions(f.raw.filter(part < 3), path)
+    tables.append_transactions(f.raw.filter(part > 1), path)
+    stored = tables.read_transactions(f.spark, path)
+    return stored.select(
+        "InvoiceNo", "StockCode", "CustomerID", "Description", "Country", "Quantity", "IsReturn", "YearMonth",
+        "InvoiceDate", "UnitPrice", "TotalPrice",
+    )
+
+
 @query(
     "s6_csv_sink",
     with_tables(f"SELECT Country, {compared('sum(TotalPrice)')} AS Revenue FROM tx GROUP BY Country"),

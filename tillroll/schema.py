@@ -40,6 +40,11 @@ CALCULATED = T.StructType(
 
 TRANSACTIONS = T.StructType(RAW.fields + CALCULATED.fields)
 
+# Texts as they came, kept in tables that grow; readers of the cleaned table leave them out.
+SOURCES = T.StructType(
+    [T.StructField("SourceDescription", T.StringType()), T.StructField("SourceCountry", T.StringType())]
+)
+
 CUSTOMER_CLUSTERS = T.StructType(
     [
         T.StructField("CustomerID", T.StringType()),

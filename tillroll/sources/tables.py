@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import schema
+from tillroll.functions import dates
+from tillroll.operators import cleaning
 
 _CSV = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
 
@@ -65,6 +67,66 @@ def write_sales(tx: DataFrame, path: str) -> None:
     write_transactions(tx.filter(~F.col("IsReturn")), path)
 
 
+def append_transactions(raw: DataFrame, path: str, **options) -> list[str | None]:
+    """Add raw lines to the cleaned table at `path` and return the months that were written again.
+
+    The outcome is that of cleaning all raw lines at once, in whatever order and however often they arrive.
+    A duplicate has the date of its twin, so only the months of the new lines are read, as the raw lines they
+    came from, cleaned together with the new ones and overwritten; all other months keep their files.
+    The months of one call reach the driver, nothing else.  A call that was broken off may be repeated.
+
+    The table must hold the texts its lines came with (`cleaning.keep_sources`); a table that does not exist
+    begins empty, and no lines leave it as it is.  `options` go to `cleaning.clean_transactions`.  There must be
+    one writer at a time.
+    """
+    spark = raw.sparkSession
+    fresh = raw.select(*schema.RAW.fieldNames())
+    month = dates.year_month("InvoiceDate")
+    months = [row[0] for row in fresh.select(month.alias("month")).distinct().orderBy("month").collect()]
+    if not months:
+        return months
+    if _has_files(spark, path):
+        stored = _stored_lines(spark, path, months)
+        fresh = stored.unionByName(fresh)
+    cleaned = cleaning.clean_transactions(cleaning.keep_sources(fresh), **options)
+    _replace_months(cleaned, path)
+    return months
+
+
+def append_sales(spark: SparkSession, source: str, path: str, months: list[str | None]) -> None:
+    """Bring the given months of the table without returns up to date with the cleaned table at `source`."""
+    changed = read_transactions(spark, source).filter(_in_months(months) & ~F.col("IsReturn"))
+    _replace_months(changed, path)
+
+
+def _in_months(months: list[str | None]):
+    named = F.col("YearMonth").isin([m for m in months if m is not None])
+    return named | F.col("YearMonth").isNull() if None in months else named
+
+
+def _replace_months(df: DataFrame, path: str) -> None:
+    """Overwrite the months that occur in `df`, and no others."""
+    writer = df.hint("rebalance", "YearMonth").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("YearMonth").parquet(path)
+
+
+def _stored_lines(spark: SparkSession, path: str, months: list[str | None]) -> DataFrame:
+    """The raw lines behind the given months of a cleaned table."""
+    if not set(schema.SOURCES.fieldNames()) <= set(spark.read.parquet(path).columns):
+        raise ValueError(f"{path} does not hold the texts its lines came with; write it with keep_sources")
+    everything = T.StructType(schema.TRANSACTIONS.fields + schema.SOURCES.fields)
+    stored = spark.read.schema(everything).parquet(path).filter(_in_months(months))
+    source = {"Description": "SourceDescription", "Country": "SourceCountry"}
+    return stored.select(*[F.col(source.get(c, c)).alias(c) for c in schema.RAW.fieldNames()])
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the folder: an empty one has no columns to read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(folder) and bool(spark.read.schema(schema.TRANSACTIONS).parquet(path).inputFiles())
+
+
 def write_result(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A result table as CSV with a header, or as parquet."""
     writer = df.write.mode("overwrite")
