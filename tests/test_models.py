@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.data import as_dicts, at, transactions
-from tillroll.models import anomalies, churn, clusters, forecast, forest
+from tillroll.models import anomalies, churn, clusters, forecast, forest, importance
 
 
 def series(spark, values, name="a"):
@@ -228,3 +228,34 @@ def test_a_tuple_that_half_of_all_rows_share(spark):
     odd = {r.InvoiceNo for r in anomalies.flagged(sales, trees=20).collect()}
     assert "777" in odd and len(odd) <= 40
     assert not any(int(i) % 2 == 0 for i in odd)
+
+
+def test_permuted_inputs_keep_their_values(spark):
+    rows = [(str(i), i % 2, float(i) if i % 5 else None, i % 3) for i in range(25)]
+    data = spark.createDataFrame(rows, "id string, label int, x double, y int")
+    found = importance.permuted(data, "id", ["x", "y"], block=10).collect()
+    before = sorted(map(str, (tuple(r[1:]) for r in found if r["Permuted"] is None)))
+    assert before == sorted(map(str, rows))
+    for name, other in (("x", "y"), ("y", "x")):
+        dealt = {r["id"]: r for r in found if r["Permuted"] == name}
+        assert sorted(str(r[name]) for r in dealt.values()) == sorted(str(r[name]) for r in data.collect())
+        assert all(dealt[i][other] == (x, y)[other == "y"] and dealt[i]["label"] == label for i, label, x, y in rows)
+        assert any(dealt[i][name] != (x, y)[name == "y"] for i, _, x, y in rows)
+    assert importance.permuted(data.limit(0), "id", ["x"]).isEmpty()
+
+
+def test_an_input_the_model_reads_matters_and_another_does_not(spark):
+    data = spark.range(2000).selectExpr("CAST(id AS string) AS id", "CAST(id % 2 AS int) AS label", "id % 2 AS x", "id % 7 AS y")
+    falls = importance.permutation_importance(
+        data, lambda rows: rows.withColumn("prediction", F.col("x").cast("int")), "id", "label", ["x", "y"]
+    )
+    by = {r["Feature"]: r for r in falls.collect()}
+    assert 0.4 < by["x"]["Importance"] < 0.6 and by["y"]["Importance"] == 0.0 and by["y"]["Accuracy"] == 1.0
+
+
+def test_permutation_importance_of_the_churn_forest(spark):
+    rows = [(str(i), float(i % 10), float(i % 7), i % 5, i % 3, i % 120, i % 11, int(i % 120 > 90)) for i in range(400)]
+    columns = "CustomerID string, TotalSpent double, AvgOrderValue double, PurchaseFrequency int, TotalQuantity int, Recency int, CustomerLifetime int, Churned int"
+    model = churn.fit_churn(spark.createDataFrame(rows, columns), trees=10, depth=3)
+    falls = as_dicts(churn.permutation_importance(model))
+    assert falls[0]["Feature"] == "Recency" and falls[0]["Importance"] > 0.1 and len(falls) == len(churn.FEATURES)

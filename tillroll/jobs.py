@@ -145,6 +145,7 @@ def predict(spark: SparkSession, source: str, folder: str) -> None:
             "holt_winters_forecast_by_country": forecast.holt_winters(by_country, ["Country"]),
             "churn_report": churn.evaluate(model),
             "churn_feature_importance": churn.feature_importance(model),
+            "churn_permutation_importance": churn.permutation_importance(model),
             "at_risk_customers": churn.at_risk(model.scored),
             "churn_risk": churn.risk_summary(model.scored),
             "demand_forecast": forecast.product_demand(sales),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import safe_ratio
-from tillroll.models import forest
+from tillroll.models import forest, importance
 from tillroll.operators.ranking import bucket_by_last_rows, rows_at
 from tillroll.staging import stage
 
@@ -100,6 +100,18 @@ def feature_importance(model: ChurnModel) -> DataFrame:
     return forest.importance(model.forest).orderBy(F.desc("Importance"), "Feature")
 
 
+def permutation_importance(model: ChurnModel, seed: int = 42) -> DataFrame:
+    """Fall of the accuracy on the test customers when an input is dealt anew among them, largest first."""
+
+    def predict(rows):
+        scored = forest.score(rows, model.forest, "_probability")
+        return scored.withColumn("prediction", (F.col("_probability") > 0.5).cast("int"))
+
+    test = model.scored.filter("is_test").select("CustomerID", LABEL, *model.features)
+    falls = importance.permutation_importance(test, predict, "CustomerID", LABEL, model.features, seed)
+    return falls.orderBy(F.desc("Importance"), "Feature")
+
+
 def at_risk(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Active customers above the probability threshold, most likely first."""
     return scored.filter((F.col(LABEL) == 0) & (F.col("ChurnProbability") > threshold)).orderBy(

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.models import anomalies, churn, clusters, forecast, forest
+from tillroll.models import anomalies, churn, clusters, forecast, forest, importance
 from tillroll.operators import baskets, cleaning, cohorts, customers, dashboard, profiling, ranking, reports
 from tillroll.plans import forests, isolation, kmeans, sql
 from tillroll.plans.registry import query
@@ -419,6 +419,59 @@ def _(f):
     return churn.feature_importance(churn.fit_churn(customers.churn_features(f.sales)))
 
 
+# Inputs dealt anew in blocks, seen through a fixed rule with two inputs that matter and one that hardly does.
+_PERMUTED_BLOCK = 100
+_RULE = "Recency > 45 AND PurchaseFrequency < 12 OR TotalSpent < 500"
+_PERMUTED = {
+    "people": f"""SELECT *, (place - 1) * greatest(1, n // {_PERMUTED_BLOCK}) // n AS block FROM (
+                    SELECT *, row_number() OVER (ORDER BY md5(CustomerID || '|42'), CustomerID) AS place, count(*) OVER () AS n
+                    FROM ({_CHURN}))""",
+    "slots": "SELECT *, row_number() OVER (PARTITION BY block ORDER BY place) AS slot FROM people",
+    "dealt": "SELECT CustomerID, Churned, CAST(NULL AS VARCHAR) AS Permuted, Recency, PurchaseFrequency, TotalSpent, CustomerLifetime FROM people"
+    + "".join(
+        f""" UNION ALL SELECT s.CustomerID, s.Churned, '{c}', {', '.join(('o.' if c == x else 's.') + x for x in ('Recency', 'PurchaseFrequency', 'TotalSpent', 'CustomerLifetime'))}
+             FROM slots s JOIN (SELECT block, {c}, row_number() OVER (
+               PARTITION BY block ORDER BY md5(CustomerID || '|{c}|42'), CustomerID) AS slot FROM people) o USING (block, slot)"""
+        for c in ("Recency", "PurchaseFrequency", "TotalSpent", "CustomerLifetime")
+    ),
+    "shares": f"SELECT Permuted, avg(CAST((({_RULE}) = (Churned = 1)) AS DOUBLE)) AS share FROM dealt GROUP BY Permuted",
+}
+_PERMUTED_INPUTS = ["Recency", "PurchaseFrequency", "TotalSpent", "CustomerLifetime"]
+
+
+@query(
+    "m6_permuted_inputs",
+    sql.with_stored(
+        f"""SELECT CustomerID, Churned, coalesce(Permuted, '') AS Permuted, Recency, PurchaseFrequency,
+              {compared('TotalSpent')} AS TotalSpent, CustomerLifetime FROM dealt""",
+        _PERMUTED,
+    ),
+)
+def _(f):
+    data = customers.churn_features(f.sales).select("CustomerID", "Churned", *_PERMUTED_INPUTS)
+    dealt = importance.permuted(data, "CustomerID", _PERMUTED_INPUTS, block=_PERMUTED_BLOCK)
+    return dealt.fillna("", importance.INPUT)
+
+
+@query(
+    "m6_permutation_importance",
+    sql.with_stored(
+        f"""SELECT Permuted AS Feature, {compared('share', 6)} AS Accuracy,
+              {compared('(SELECT share FROM shares WHERE Permuted IS NULL) - share', 6)} AS Importance
+            FROM shares WHERE Permuted IS NOT NULL""",
+        _PERMUTED,
+    ),
+    digits=6,
+)
+def _(f):
+    data = customers.churn_features(f.sales).select("CustomerID", "Churned", *_PERMUTED_INPUTS)
+
+    def rule(rows):
+        return rows.withColumn("prediction", F.expr(f"CAST(({_RULE}) AS INT)"))
+
+    return importance.permutation_importance(data, rule, "CustomerID", "Churned", _PERMUTED_INPUTS, block=_PERMUTED_BLOCK)
+
+
 @query("m7_at_risk", sql.with_stored(f"SELECT {_SCORED} FROM scores WHERE Churned = 0 AND ChurnProbability > 0.3", _LEAK_FREE_FOREST))
 def _(f):
     return churn.at_risk(churn.fit_churn(customers.churn_features(f.sales), leak_free=True).scored, 0.3)
