@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests.data import as_dicts, at, raw, transactions
-from tillroll.operators import dashboard, explore, profiling
+from tillroll.operators import cube, dashboard, explore, profiling
 
 
 def test_end_date_is_its_midnight(spark):
@@ -77,3 +78,66 @@ def test_summary_with_sketched_quartiles(spark):
     exact, sketched = (as_dicts(profiling.numeric_summary(df, approximate=a))[0] for a in (False, True))
     assert (exact["q25"], exact["median"], exact["q75"]) == (25.75, 50.5, 75.25)
     assert abs(sketched["median"] - 50.5) <= 1 and sketched["mean"] == exact["mean"] == 50.5
+
+
+_LINES = [
+    {"InvoiceDate": at("2020-01-05 00:00"), "CustomerID": "Guest"},
+    {"InvoiceDate": at("2020-01-05 00:01"), "StockCode": "b", "CustomerID": "Guest"},
+    {"InvoiceDate": at("2020-01-05 23:59"), "InvoiceNo": "2", "Description": "other", "Quantity": 3},
+    {"InvoiceDate": at("2020-01-06 10:00"), "InvoiceNo": "2", "Country": "Away", "CustomerID": "d"},
+    {"InvoiceDate": at("2020-01-06 10:00"), "InvoiceNo": None, "Country": None, "CustomerID": None},
+    {"InvoiceDate": None, "InvoiceNo": "3", "Description": None},
+]
+
+
+@pytest.mark.parametrize(
+    "choice",
+    [
+        {},
+        {"end": "2020-01-05"},
+        {"start": "2020-01-05", "end": "2020-01-06"},
+        {"start": "2020-01-06"},
+        {"country": "Home"},
+        {"product": "other"},
+        {"customer_type": "Guest"},
+        {"customer_type": "Registered", "country": "Away"},
+        {"country": "nowhere"},
+    ],
+    ids=str,
+)
+def test_the_cube_gives_the_figures_of_its_sales(spark, choice, tmp_path_factory):
+    sales = transactions(spark, _LINES)
+    path = str(tmp_path_factory.getbasetemp() / "cube")
+    built = cube.read(spark, path) if (tmp_path_factory.getbasetemp() / "cube").exists() else cube.build(sales, path)
+    chosen, part = dashboard.filter_sales(sales, **choice), cube.choose(built, **choice)
+    assert as_dicts(cube.kpis(part)) == as_dicts(dashboard.kpis(chosen))
+    for figure in (dashboard.top_countries, dashboard.top_products, dashboard.hourly_revenue, explore.all_series, explore.weekday_revenue):
+        rows = [sorted(map(str, figure(df).collect())) for df in (part.cells, chosen)]
+        assert rows[0] == rows[1]
+    assert as_dicts(explore.guest_split(part.cells)) == as_dicts(explore.guest_split(chosen))
+
+
+def test_a_cube_counts_many_members_in_few_words(spark):
+    lines = spark.range(5000).selectExpr(
+        "CAST(id % 1500 AS string) AS InvoiceNo", "IF(id % 3 = 0, 'Guest', CAST(id % 700 AS string)) AS CustomerID",
+        "timestamp_ntz'2020-01-06 10:00:00' AS InvoiceDate", "'Home' AS Country", "'thing' AS Description",
+        "1 AS Quantity", "1.0D AS TotalPrice", "10 AS Hour",
+    )
+    built = cube.build(lines)
+    assert as_dicts(cube.distinct_members(built)) == [{"invoices": 1500, "customers": 701}]
+    # Two cells, of guests and of others.
+    assert built.members.filter("Kind = 'invoice'").count() <= 2 * (1500 // 64 + 2)
+    assert cube.build(lines.limit(0)).cells.isEmpty()
+
+
+def test_a_cube_refuses_times_of_day(spark):
+    with pytest.raises(ValueError, match="whole days"):
+        cube.choose(cube.Cube(None, None), start="2020-01-05 10:00")
+
+
+def test_reports_over_a_stored_table_copy_nothing(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    transactions(spark, [{}]).write.parquet(path)
+    for report in (explore.summary_panels, explore.insights):
+        files = report(spark.read.parquet(path)).inputFiles()
+        assert files and all(path in file for file in files)

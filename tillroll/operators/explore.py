@@ -12,12 +12,15 @@ from tillroll.functions import dates
 from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import rollups
 from tillroll.schema import GUEST, WEEKDAYS
-from tillroll.staging import stage
 
 # The country whose revenue is not international.
 HOME_COUNTRY = "United Kingdom"
 
-_PANEL_COLUMNS = ["InvoiceNo", "InvoiceDate", "CustomerID", "StockCode", "Description", "Country", "Quantity", "TotalPrice", "Hour"]
+# What `summary_panels` and `insights` read of sales, for callers that store it first.
+READ_COLUMNS = [
+    "InvoiceNo", "InvoiceDate", "CustomerID", "StockCode", "Description", "Country", "Quantity", "TotalPrice", "Hour",
+    "DayOfWeek", "DayName",
+]
 
 _GRAINS = {
     "Daily": lambda: F.date_format("InvoiceDate", "yyyy-MM-dd"),
@@ -268,8 +271,10 @@ def _as_panel(panel: str, df: DataFrame, key: str, value: str = "Revenue") -> Da
 
 
 def summary_panels(sales: DataFrame, n: int = 5) -> DataFrame:
-    """The executive summary as `(panel, key, value)` rows; the needed columns of sales are staged and read by all."""
-    sales = stage(sales.select(*_PANEL_COLUMNS), "sales")
+    """The executive summary as `(panel, key, value)` rows.
+
+    Every panel scans its columns of sales, so sales should be a stored table.
+    """
     panels = [
         _as_panel("kpi", summary_kpis(sales), "metric", "number"),
         _as_panel("monthly", revenue_series(sales, "Monthly"), "Date"),
@@ -282,8 +287,7 @@ def summary_panels(sales: DataFrame, n: int = 5) -> DataFrame:
 
 
 def insights(sales: DataFrame, home: str = HOME_COUNTRY) -> DataFrame:
-    """All exploratory key figures with their section; the needed columns of sales are staged and read by all."""
-    sales = stage(sales.select(*_PANEL_COLUMNS, "DayOfWeek", "DayName"), "sales")
+    """All exploratory key figures with their section; every section scans its columns of sales, a stored table."""
     sections = {
         "revenue": revenue_trends(sales),
         "products": products(sales),

@@ -1,11 +1,14 @@
 """Exploratory reports, rankings, samples and dashboard frames."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators import dashboard, explore, profiling, rollups
+from tillroll.operators import cube, dashboard, explore, profiling, rollups
 from tillroll.plans import sql
 from tillroll.plans.registry import query
-from tillroll.plans.sql import compared, metric, metrics, with_tables
+from tillroll.plans.sql import compared, day, metric, metrics, with_tables
 from tillroll.schema import WEEKDAYS
 from tillroll.staging import stage
 
@@ -215,7 +218,7 @@ def _panel(name, key, value, source):
     ),
 )
 def _(f):
-    return explore.summary_panels(f.sales)
+    return explore.summary_panels(stage(f.sales.select(*explore.READ_COLUMNS), "sales"))
 
 
 def _section(name, rows):
@@ -238,7 +241,7 @@ def _section(name, rows):
     ),
 )
 def _(f):
-    return explore.insights(f.sales, _HOME)
+    return explore.insights(stage(f.sales.select(*explore.READ_COLUMNS), "sales"), _HOME)
 
 
 @query(
@@ -448,3 +451,84 @@ def _(f):
 @query("d7_weekday_revenue", with_tables(_weekday_sql("sales")))
 def _(f):
     return explore.weekday_revenue(f.sales)
+
+
+# The same figures from the cube, under several choices of one cube.
+_CUBE_CHOICES = {
+    "everything": ({}, "TRUE"),
+    "all filters": (_CHOICE, _CHOSEN.split("WHERE", 1)[1]),
+    "guests": ({"customer_type": "Guest"}, "CustomerID = 'Guest'"),
+    "a day and its midnight": (
+        {"start": "1997-03-01", "end": "1997-03-02"},
+        "InvoiceDate >= TIMESTAMP '1997-03-01 00:00:00' AND InvoiceDate <= TIMESTAMP '1997-03-02 00:00:00'",
+    ),
+    "nothing": ({"country": "nowhere"}, "FALSE"),
+}
+
+
+def _cube_kpis_sql(name, condition):
+    return f"""SELECT '{name}' AS choice, coalesce({compared('sum(TotalPrice)')}, 0) AS total_revenue,
+                 count(*) AS total_transactions, count(DISTINCT CustomerID) AS total_customers,
+                 coalesce({compared('sum(TotalPrice) / nullif(count(DISTINCT InvoiceNo), 0)')}, 0) AS avg_order_value
+               FROM sales WHERE {condition}"""
+
+
+@query(
+    "d1_cube_kpis",
+    with_tables(" UNION ALL ".join(_cube_kpis_sql(name, condition) for name, (_, condition) in _CUBE_CHOICES.items())),
+)
+def _(f):
+    figures = cube.build(stage(f.sales, "sales"))
+    rows = [
+        cube.kpis(cube.choose(figures, **choice)).select(F.lit(name).alias("choice"), "*")
+        for name, (choice, _) in _CUBE_CHOICES.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "d1_cube_countries",
+    with_tables(
+        """SELECT Country, count(DISTINCT InvoiceNo) AS invoices, count(DISTINCT CustomerID) AS customers
+           FROM sales GROUP BY Country"""
+    ),
+)
+def _(f):
+    return cube.distinct_members(cube.build(stage(f.sales, "sales")), "Country")
+
+
+@query(
+    "d2_cube_panels",
+    with_tables(
+        " UNION ALL ".join(
+            [
+                f"SELECT 'day' AS panel, {day('InvoiceDate')} AS key, {compared('sum(TotalPrice)')} AS value FROM chosen GROUP BY 2",
+                f"SELECT 'month', YearMonth, {compared('sum(TotalPrice)')} FROM chosen GROUP BY 2",
+                f"SELECT 'hour', CAST(Hour AS VARCHAR), {compared('sum(TotalPrice)')} FROM chosen GROUP BY 2",
+                f"SELECT 'weekday', DayName, {compared('sum(TotalPrice)')} FROM chosen GROUP BY 2",
+                f"SELECT 'type', CASE WHEN CustomerID = 'Guest' THEN 'Guest' ELSE 'Registered' END, {compared('sum(TotalPrice)')} FROM chosen GROUP BY 2",
+                f"""SELECT * FROM (SELECT 'product', Description, {compared('r')} FROM (
+                      SELECT Description, sum(TotalPrice) AS r FROM chosen GROUP BY 1) ORDER BY r DESC, Description LIMIT 10)""",
+                f"""SELECT * FROM (SELECT 'country', Country, {compared('r')} FROM (
+                      SELECT Country, sum(TotalPrice) AS r FROM chosen GROUP BY 1) ORDER BY r DESC, Country LIMIT 10)""",
+            ]
+        ),
+        chosen="SELECT * FROM sales WHERE InvoiceDate >= TIMESTAMP '1996-01-01 00:00:00'",
+    ),
+)
+def _(f):
+    cells = cube.choose(cube.build(stage(f.sales, "sales")), start="1996-01-01").cells
+    panels = {
+        "day": (explore.revenue_series(cells, "Daily"), "Date"),
+        "month": (explore.revenue_series(cells, "Monthly"), "Date"),
+        "hour": (dashboard.hourly_revenue(cells), "Hour"),
+        "weekday": (explore.weekday_revenue(cells), "Day"),
+        "type": (explore.guest_split(cells), "CustomerType"),
+        "product": (dashboard.top_products(cells), "Product"),
+        "country": (dashboard.top_countries(cells), "Country"),
+    }
+    rows = [
+        df.select(F.lit(panel).alias("panel"), F.col(key).cast("string").alias("key"), F.col("Revenue").alias("value"))
+        for panel, (df, key) in panels.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
