@@ -29,30 +29,100 @@ class Template:
     base: bool = False
 
 
-# The mentions and the wording of public licences.
+# The wording of public licences.  An opening says which licence is meant; only the whole wording,
+# nothing added, left out or changed, says that its terms hold.
+MIT_OPENING = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;words="1-12">> (the'
+    ' <<var;words="1-3">>), to deal in the <<var;words="1-3">> without restriction, including without limitation'
+    " the rights to use, copy, modify, merge, publish, distribute, <<beginOptional>>sublicense,<<endOptional>>"
+    " and/or sell copies"
+)
+MIT_TERMS = """
+    of the <<var;words="1-3">>, and to permit persons to whom the <<var;words="1-3">>
+    <<beginOptional>>is<<endOptional>> <<beginOptional>>are<<endOptional>> furnished to do so, subject to the following
+    conditions: The above copyright notice and this permission notice
+    <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial
+    portions of the <<var;words="1-3">>."""
+AS_IS = """
+    THE <<var;words="1-3">> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+    LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+    SHALL <<var;words="1-10">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+    TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE <<var;words="1-3">> OR THE USE OR OTHER DEALINGS
+    IN THE <<var;words="1-3">>."""
+ISC_OPENING = (
+    "Permission to use, copy, modify, <<beginOptional>>and<<endOptional>> <<beginOptional>>/or<<endOptional>>"
+    " distribute this software for any purpose with or without fee is hereby granted, provided that the above"
+    " copyright notice"
+)
+ISC_TERMS = """
+    and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words="1-12">>
+    DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS. IN NO EVENT SHALL <<var;words="1-12">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+    DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+    NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+    SOFTWARE."""
+BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    " <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the"
+    " following conditions are met"
+)
+BSD_TERMS = """
+    <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this
+    list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form
+    must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution."""
+BSD_NAMES = """
+    <<beginOptional>>3.<<endOptional>> Neither the name of <<var;words="1-12">> nor the names of
+    <<var;words="1-4">> may be used to endorse or promote products derived from this software without specific prior
+    written permission."""
+BSD_DISCLAIMER = """
+    THIS SOFTWARE IS PROVIDED BY <<var;words="1-12">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+    EVENT SHALL <<var;words="1-12">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+    CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+    DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+    STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+    EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+UNLICENSE_OPENING = "This is free and unencumbered software released into the public domain"
+UNLICENSE_TERMS = """
+    Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+    form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions
+    that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+    the software to the public domain. We make this dedication for the benefit of the public at large and to the
+    detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+    perpetuity of all present and future rights to this software under copyright law."""
+ZLIB = """
+    This software is provided 'as-is', without any express or implied warranty. In no event will the
+    <<var;words="1-6">> be held liable for any damages arising from the use of this software. Permission is granted to
+    anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute
+    it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software
+    must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+    product, an acknowledgment in the product documentation would be appreciated but is not required.
+    <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be
+    misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed
+    or altered from any source distribution."""
+APACHE_HEADER = """
+    Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;words="1-8">> except in
+    compliance with the License. You may obtain a copy of the License at <<var;words="1-10">> Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+    governing permissions and limitations under the License."""
+
 TEMPLATES = (
     Template("mit", "mit license", 0.5, True),
     Template("apache", "apache license", 0.5, True),
     Template("gpl", "general public license", 0.5, True),
-    Template(
-        "mit-text",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;words="1-12">> (the'
-        ' <<var;words="1-3">>), to deal in the <<var;words="1-3">> without restriction, including without limitation'
-        " the rights to use, copy, modify, merge, publish, distribute, <<beginOptional>>sublicense,<<endOptional>>"
-        " and/or sell copies",
-    ),
-    Template(
-        "isc-text",
-        "Permission to use, copy, modify, <<beginOptional>>and<<endOptional>> <<beginOptional>>/or<<endOptional>>"
-        " distribute this software for any purpose with or without fee is hereby granted, provided that the above"
-        " copyright notice",
-    ),
-    Template(
-        "bsd-text",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted"
-        " <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the"
-        " following conditions are met",
-    ),
+    Template("mit-opening", MIT_OPENING, 0.7),
+    Template("mit-text", MIT_OPENING + MIT_TERMS + AS_IS),
+    Template("isc-opening", ISC_OPENING, 0.7),
+    Template("isc-text", ISC_OPENING + ISC_TERMS),
+    Template("bsd-opening", BSD_OPENING, 0.7),
+    Template("bsd-2-text", BSD_OPENING + BSD_TERMS + BSD_DISCLAIMER),
+    Template("bsd-3-text", BSD_OPENING + BSD_TERMS + BSD_NAMES + BSD_DISCLAIMER),
+    Template("unlicense-opening", UNLICENSE_OPENING, 0.7),
+    Template("unlicense-text", UNLICENSE_OPENING + UNLICENSE_TERMS + AS_IS),
+    Template("zlib-text", ZLIB),
+    Template("apache-2.0-header", APACHE_HEADER),
     Template(
         "apache-2.0",
         "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the License); you may not use"
@@ -87,7 +157,6 @@ TEMPLATES = (
         "<<beginOptional>>-NoDerivatives<<endOptional>> <<beginOptional>>4.0<<endOptional>>"
         " <<beginOptional>>International<<endOptional>> License",
     ),
-    Template("unlicense", "This is free and unencumbered software released into the public domain"),
     Template(
         "mpl-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
