@@ -11,6 +11,7 @@ from tillroll.llm.text import bucket_of, table
 
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+SECOND_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +92,7 @@ def op3_simhash_classes(spark, folder):
 
 @query
 def op4_fertility_rules(spark, folder):
-    return fertility.measure(table(spark, folder, "documents"), PIECE_VOCABULARY, [DOC_ID])
+    return fertility.measure(table(spark, folder, "documents"), PIECE_VOCABULARY, [DOC_ID], second=SECOND_VOCABULARY)
 
 
 @query
