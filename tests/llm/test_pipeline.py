@@ -1,13 +1,14 @@
 """The pipeline against a plain run of its rules, and the registration."""
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tests.llm.test_bpe import Tokenizer
 from tests.llm.test_containment import plain as plain_containment
 from tests.llm.test_simhash import plain_classes, plain_fingerprint
-from tillroll.llm import toxicity
+from tillroll.llm import text, toxicity
 from tillroll.llm.queries import BPE_VOCABULARY, learnable
 from tillroll.llm.secrets import redact
 from tillroll.llm.text import table
@@ -42,3 +43,13 @@ def test_stages_keep_columns(spark):
     docs = table(spark, FOLDER, "documents").withColumn("score", F.lit(1)).limit(40)
     for _, function in corpus_pipeline.STAGES[:-1]:
         assert function(spark, docs, FOLDER).columns == docs.columns
+
+
+def test_a_batch_is_worked_off_in_stretches_of_bounded_size(spark):
+    docs = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("ab "), 100_000).alias("text"))
+    given = text.map_texts(docs, ["id", "text"], [("given", "bigint")], lambda t: [pa.array([sum(map(len, t))] * len(t), pa.int64())])
+    assert {f.name for f in given.schema} == {"id", "text", "given"}
+    rows = given.collect()
+    assert sorted(r["id"] for r in rows) == list(range(40))
+    assert max(r["given"] for r in rows) <= text.CHUNK
+    assert all(r["text"] == "ab " * 100_000 for r in rows)

@@ -30,7 +30,7 @@ PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE
 
 NEVER = np.int64(1) << 40
 UNMERGED = (int(NEVER), -1)
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 MERGE_CELLS = 1 << 21
 LONG = 512
 PLACES = 1 << 18  # bytes of a long word looked up at once
@@ -426,7 +426,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         ids = pa.array([np.frombuffer(i, "<i4") for i in made], pa.list_(pa.int32()))
         return [ids, pa.array([tool.decode(i) == t for i, t in zip(made, texts)], pa.bool_())]
 
-    keep = [docs[f"`{c}`"] for c in docs.columns]
+    keep = [c if c == "text" else docs[f"`{c}`"] for c in docs.columns]
     return map_texts(docs, keep, [("token_ids", "array<int>"), ("round_trip", "boolean")], work)
 
 
