@@ -1,7 +1,7 @@
 import pytest
 
 from tests.data import as_dicts, at, metrics, transactions
-from tillroll.operators import cohorts, customers, explore, reports
+from tillroll.operators import cohorts, customers, explore, ranking, reports
 
 
 def sale(customer, when, price=10.0, **more):
@@ -95,3 +95,11 @@ def test_segments_use_calendar_days(spark):
 def test_idxmax_takes_the_first_on_a_tie(spark):
     sales = transactions(spark, [sale("b", "2020-01-01 10:00"), sale("a", "2020-01-01 10:00")])
     assert metrics(explore.customers(sales))["top_customer"] == (10.0, "a")
+
+
+def test_customers_of_equal_value_are_ties_whatever_the_order_of_their_sums(spark):
+    prices = [0.1, 0.2, 0.3]
+    rows = [{"CustomerID": c, "InvoiceNo": c, "UnitPrice": p} for c, order in (("b", prices), ("a", prices[::-1])) for p in order]
+    tx = transactions(spark, rows).coalesce(1)
+    ranked = ranking.number_rows(customers.customer_aggregate(tx), [("MonetaryValue", False), "CustomerID"], "rank")
+    assert {r["CustomerID"]: r["rank"] for r in ranked.collect()} == {"a": 1, "b": 2}

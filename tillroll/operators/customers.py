@@ -18,6 +18,7 @@ from tillroll.staging import stage
 
 CHURN_DAYS = 90
 DAYS_PER_MONTH = 30.0
+_MONEY_DIGITS = 6
 
 # Lower edges and labels of the lifetime value bands.
 CLV_EDGES = [0, 100, 500, 1000, 5000]
@@ -32,11 +33,12 @@ def customer_aggregate(tx: DataFrame) -> DataFrame:
     """Orders, money, units and purchase dates per customer.
 
     The distinct count groups by customer and invoice before it groups by customer, so a
-    customer with a large share of all rows is spread over its invoices first.
+    customer with a large share of all rows is spread over its invoices first.  Money is
+    without the noise of the order of its sum, so that customers of equal value are ties.
     """
     return tx.groupBy("CustomerID").agg(
         F.count_distinct("InvoiceNo").alias("Frequency"),
-        F.sum("TotalPrice").alias("MonetaryValue"),
+        F.round(F.sum("TotalPrice"), _MONEY_DIGITS).alias("MonetaryValue"),
         F.avg("TotalPrice").alias("AvgOrderValue"),
         F.sum("Quantity").alias("TotalQuantity"),
         F.min("InvoiceDate").alias("FirstPurchase"),
