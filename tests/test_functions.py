@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.data import at
 from tillroll.functions import dates, numbers, text
+from tillroll.operators import dashboard
 
 
 def value(spark, column):
@@ -65,3 +66,21 @@ def test_labels(spark):
 def test_following_days(spark):
     days = spark.range(1).select(dates.following_days(F.lit("2020-02-28").cast("date"), 3)).collect()
     assert [str(row[0]) for row in days] == ["2020-02-29", "2020-03-01", "2020-03-02"]
+
+
+def test_labels_print_the_binary_value_with_halves_to_even(spark):
+    numbers_of = [0.25, 0.15, 3.25, 3.35, 3.15, 44.5, 45.5, 0.05, 1.005, 1.125, 0.0, -2.5, -0.2, 0.4999999999999999, 1e17, 1234567.895]
+    rows = spark.createDataFrame([(v,) for v in numbers_of], "v double")
+    for digits in (0, 1, 2):
+        label = F.format_string(f"%.{digits}f", numbers.as_printed(F.col("v"), digits))
+        assert [r[0] for r in rows.select(label).collect()] == [f"%.{digits}f" % v for v in numbers_of]
+    assert value(spark, text.money_label(F.lit(3250.0))) == "$3.2K"
+    assert value(spark, text.count_label(F.lit(2500))) == "2K"
+
+
+def test_segment_labels_of_halves(spark):
+    rows = [("a", 3, 44, 1000.0), ("a", 3, 45, 1000.0), ("a", 3, 44, 1000.0), ("a", 4, 45, 1000.0)]
+    columns = "CustomerID string, Frequency int, Recency int, MonetaryValue double"
+    named = spark.createDataFrame(rows, columns).withColumn("ClusterName", F.lit("x"))
+    (row,) = dashboard.segment_summary(named).collect()
+    assert (row["Avg_Frequency_Label"], row["Avg_Recency_Label"]) == ("3.2 orders", "44 days")

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillroll.functions.numbers import as_printed
+
 # All Unicode whitespace plus the four ASCII separators.
 _WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -28,9 +30,9 @@ def is_cancellation(invoice: Column) -> Column:
 def money_label(amount: Column) -> Column:
     """`$1.25M`, `$1.2K` or `$950`."""
     return (
-        F.when(amount >= 1e6, F.format_string("$%.2fM", amount / 1e6))
-        .when(amount >= 1e3, F.format_string("$%.1fK", amount / 1e3))
-        .otherwise(F.format_string("$%,.0f", amount))
+        F.when(amount >= 1e6, F.format_string("$%.2fM", as_printed(amount / 1e6, 2)))
+        .when(amount >= 1e3, F.format_string("$%.1fK", as_printed(amount / 1e3, 1)))
+        .otherwise(F.format_string("$%,.0f", as_printed(amount, 0)))
     )
 
 
@@ -38,7 +40,7 @@ def count_label(number: Column) -> Column:
     """`1.2M`, `12K` or `950`."""
     number = number.cast("double")
     return (
-        F.when(number >= 1e6, F.format_string("%.1fM", number / 1e6))
-        .when(number >= 1e3, F.format_string("%.0fK", number / 1e3))
-        .otherwise(F.format_string("%,.0f", number))
+        F.when(number >= 1e6, F.format_string("%.1fM", as_printed(number / 1e6, 1)))
+        .when(number >= 1e3, F.format_string("%.0fK", as_printed(number / 1e3, 0)))
+        .otherwise(F.format_string("%,.0f", as_printed(number, 0)))
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import moment
-from tillroll.functions.numbers import half_even, safe_ratio
+from tillroll.functions.numbers import as_printed, half_even, safe_ratio
 from tillroll.functions.text import count_label, money_label
 from tillroll.operators import explore, rollups
 from tillroll.schema import GUEST
@@ -64,13 +64,17 @@ def hourly_revenue(sales: DataFrame) -> DataFrame:
 
 
 def segment_summary(clusters: DataFrame) -> DataFrame:
-    """Customers and averages per cluster name, with display labels."""
+    """Customers and averages per cluster name, with display labels.
+
+    Money is summed as decimals, so that a half is one whatever the order of the rows.
+    """
+    money = F.sum(F.col("MonetaryValue").cast("decimal(28,6)"))
     rounded = (
         clusters.groupBy("ClusterName")
         .agg(
             F.count("CustomerID").alias("Customers"),
-            half_even(F.sum("MonetaryValue"), 2).alias("Total_Revenue"),
-            half_even(F.avg("MonetaryValue"), 2).alias("Avg_Revenue"),
+            half_even(money, 2).cast("double").alias("Total_Revenue"),
+            half_even(money.cast("double") / F.count("MonetaryValue"), 2).alias("Avg_Revenue"),
             half_even(F.avg("Frequency"), 2).alias("Avg_Frequency"),
             half_even(F.avg("Recency"), 2).alias("Avg_Recency"),
         )
@@ -80,8 +84,8 @@ def segment_summary(clusters: DataFrame) -> DataFrame:
             "Customers_Label": count_label(F.col("Customers")),
             "Total_Revenue_Label": money_label(F.col("Total_Revenue")),
             "Avg_Revenue_Label": money_label(F.col("Avg_Revenue")),
-            "Avg_Recency_Label": F.format_string("%.0f days", "Avg_Recency"),
-            "Avg_Frequency_Label": F.format_string("%.1f orders", "Avg_Frequency"),
+            "Avg_Recency_Label": F.format_string("%.0f days", as_printed(F.col("Avg_Recency"), 0)),
+            "Avg_Frequency_Label": F.format_string("%.1f orders", as_printed(F.col("Avg_Frequency"), 1)),
         }
     )
 
