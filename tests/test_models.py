@@ -259,3 +259,22 @@ def test_permutation_importance_of_the_churn_forest(spark):
     model = churn.fit_churn(spark.createDataFrame(rows, columns), trees=10, depth=3)
     falls = as_dicts(churn.permutation_importance(model))
     assert falls[0]["Feature"] == "Recency" and falls[0]["Importance"] > 0.1 and len(falls) == len(churn.FEATURES)
+
+
+def test_a_level_is_counted_without_repeating_rows_per_tree(spark):
+    rows = [(str(i), i % 3 % 2, float(i % 7), float(i % 5)) for i in range(300)]
+    edges = [[1.0, 4.0], [2.0]]
+    plain = spark.createDataFrame(rows, "k string, y int, a double, b double").withColumn("_label", F.col("y"))
+    data = forest._drawn(plain.repartition(3), "k", ["a", "b"], edges, 4, 5)
+    level = forest._level({}, [(tree, 0) for tree in range(4)], 4, 0, 2, 5)
+    cells = forest._cells(data, level, 3)
+    assert "Generate" not in cells._jdf.queryExecution().executedPlan().toString()
+    expected = {}
+    for key, y, *values in rows:
+        for tree in range(4):
+            drawn = int(hashlib.md5(f"{key}|5|{tree}".encode()).hexdigest()[:8], 16)
+            weight = sum(drawn >= cut for cut in forest.POISSON)
+            for f in forest.tried(2, 5, tree, 0):
+                cell = expected.setdefault((tree, f, sum(e < values[f] for e in edges[f])), [0, 0])
+                cell[y] += weight
+    assert {tuple(r)[:3]: list(r)[3:] for r in cells.collect()} == {k: v for k, v in expected.items() if any(v)}

@@ -1,18 +1,21 @@
 """Random forest as relational steps: binned features, hashed bootstrap weights, trees grown level by level.
 
-A tree is a table of nodes; the children of node i are 2 i + 1 and 2 i + 2.  A level is one aggregate: rows are
-walked to their node inside the JVM, counted by (tree, node, feature, bin), and the best cut of every node
-follows from running sums over at most `bins` rows.  Hashes decide bootstrap weights and the features a node
+A tree is a table of nodes; the children of node i are 2 i + 1 and 2 i + 2.  A level is one aggregate: tasks walk
+their rows to the nodes in Arrow batches and count them by (node, feature, bin), the counts are shuffled and summed, and
+the best cut of every node follows from running sums over at most `bins` rows.  Hashes decide bootstrap weights and the features a node
 tries, counts are whole numbers, and ties go to the first feature and bin, so every run grows the same trees.
 
 Only nodes reach the driver, at most `trees * 2 ** depth` per level, whatever the number of rows.
 """
 
+import functools
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +54,22 @@ def _rounded(feature: str) -> Column:
     return F.round(F.coalesce(F.col(feature).cast("double"), F.lit(0.0)), _DIGITS)
 
 
-def _bins(features: Sequence[str], edges: list[list[float]]) -> Column:
-    def place(feature, cuts):
-        if not cuts:
-            return F.lit(0)
-        return F.size(F.filter(F.lit(cuts), lambda edge: edge < F.col(feature)))
+def bootstrap_weights(keys: Sequence[str | None], seed: int, trees: int) -> np.ndarray:
+    """How often each row is drawn for each tree: a Poisson number from a hash."""
+    ends = [f"{seed}|{tree}".encode() for tree in range(trees)]
+    drawn = np.empty((len(keys), trees), np.uint32)
+    for row, key in enumerate(keys):
+        begin = b"" if key is None else key.encode() + b"|"
+        drawn[row] = np.frombuffer(b"".join([_md5(begin + end).digest()[:4] for end in ends]), ">u4")
+    return np.searchsorted(POISSON, drawn.ravel(), side="right").astype(np.uint8).reshape(drawn.shape)
 
-    return F.array(*[place(f, cuts) for f, cuts in zip(features, edges)])
 
+_md5 = functools.partial(hashlib.md5, usedforsecurity=False)
 
-def bootstrap_weight(key: Column, seed: int, tree: Column) -> Column:
-    """How often a row is drawn for a tree: a Poisson number from a hash."""
-    digits = F.substring(F.md5(F.concat_ws("|", key, F.lit(seed), tree).cast("binary")), 1, 8)
-    drawn = F.conv(digits, 16, 10).cast("long")
-    return F.size(F.filter(F.lit(POISSON), lambda cut: cut <= drawn))
+
+def _binned(columns: Sequence[pa.Array], edges: list[list[float]]) -> np.ndarray:
+    """Per feature and row the number of edges below the value."""
+    return np.stack([np.searchsorted(cuts, c.to_numpy(zero_copy_only=False)) for c, cuts in zip(columns, edges)]).astype(np.int16)
 
 
 def tried(features: int, seed: int, tree: int, node: int) -> list[int]:
@@ -73,15 +78,14 @@ def tried(features: int, seed: int, tree: int, node: int) -> list[int]:
     return order[: max(1, round(math.sqrt(features)))]
 
 
-def _walk(feature: Column, cut: Column, bins: Column, levels: int) -> Column:
-    """The node a row reaches after so many levels, or the leaf before."""
-
-    def step(at, _):
-        f = F.get(feature, at)
-        right = (F.get(bins, f) > F.get(cut, at)).cast("int")
-        return F.when(F.coalesce(f, F.lit(-1)) < 0, at).otherwise(2 * at + 1 + right)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step) if levels else F.lit(0)
+def _walk(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, rows: np.ndarray, levels: int) -> np.ndarray:
+    """The node of one tree that each of the given rows reaches after so many levels, or the leaf before."""
+    at = np.zeros(len(rows), np.int64)
+    for _ in range(levels):
+        f = feature[at]
+        below = 2 * at + 1 + (bins[np.maximum(f, 0), rows] > cut[at])
+        at = np.where(f < 0, at, below)
+    return at
 
 
 def fit(
@@ -94,8 +98,7 @@ def fit(
     counted = plain.agg(F.count_if(F.col("_label") == 0), F.count_if(F.col("_label") == 1)).first()
     weights = tuple(sum(counted) / (2.0 * n) if n else 0.0 for n in counted)
     edges = bin_edges(plain, features, bins)
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: bootstrap_weight(F.col(key), seed, t).cast("byte"))
-    data = stage(plain.select("_label", _bins(features, edges).alias("_bins"), drawn.alias("_weights")), "forest-bins")
+    data = stage(_drawn(plain, key, features, edges, trees, seed), "forest-bins")
 
     nodes: dict[tuple[int, int], list] = {}  # feature, cut, rows per class, gain
     still = [(tree, 0) for tree in range(trees)] if all(counted) else []
@@ -104,9 +107,11 @@ def fit(
     for level in range(depth):
         if not still:
             break
-        grown = _best_cuts(data, _arrays(spark, nodes, trees, level), still, level, len(features), weights, seed)
+        opened = sorted(still)  # tree by tree
+        grown = _best_cuts(data, _level(nodes, opened, trees, level, len(features), seed), weights, max(map(len, edges)) + 1)
         still = []
-        for tree, node, total, best in grown.collect():
+        for number, total, best in grown.collect():
+            tree, node = opened[number]
             nodes.setdefault((tree, node), [-1, -1, *total, 0.0])
             if best is None:
                 continue
@@ -127,37 +132,100 @@ def _purity(weights, n0, n1) -> float:
     return (a * a + b * b) / (a + b)
 
 
-def _arrays(spark, nodes, trees: int, level: int) -> DataFrame:
-    """tree, feature and cut: the nodes above a level as arrays by node number."""
-    size = 2**level - 1
-    table = []
-    for tree in range(trees):
-        feature, cut = [-1] * size, [-1] * size
-        for node in range(size):
-            feature[node], cut[node] = nodes.get((tree, node), (-1, -1))[:2]
-        table.append((tree, feature, cut))
-    return spark.createDataFrame(table, "_tree int, _feature array<int>, _cut array<int>")
-
-
-def _best_cuts(data, arrays, still, level, n_features, weights, seed) -> DataFrame:
-    """tree, node, rows per class, and the best cut (null if no cut parts the node's rows)."""
-    spark = data.sparkSession
-    wanted = [(tree, node, tried(n_features, seed, tree, node)) for tree, node in still]
-    wanted = spark.createDataFrame(wanted, "_tree int, _node int, _tried array<int>")
-    drawn = data.select("_label", "_bins", F.posexplode("_weights").alias("_tree", "_w")).filter("_w > 0")
-    at = drawn.join(F.broadcast(arrays), "_tree").withColumn(
-        "_node", _walk(F.col("_feature"), F.col("_cut"), F.col("_bins"), level)
-    )
-    # Both broadcast sides hold nodes of one level.
-    open_rows = at.join(F.broadcast(wanted), ["_tree", "_node"]).select("_tree", "_node", "_label", "_w", "_bins", F.explode("_tried").alias("_f"))
-    counts = open_rows.groupBy("_tree", "_node", "_f", F.get("_bins", F.col("_f")).alias("_bin")).agg(
-        F.sum(F.when(F.col("_label") == 0, F.col("_w")).otherwise(0)).alias("b0"),
-        F.sum(F.when(F.col("_label") == 1, F.col("_w")).otherwise(0)).alias("b1"),
+def _drawn(rows: DataFrame, key: str, features: list[str], edges, trees: int, seed: int) -> DataFrame:
+    """Label, bins (two bytes per feature) and bootstrap weights (a byte per tree) of every row."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.ascontiguousarray(_binned([batch.column(f"_x{i}") for i in range(len(edges))], edges).T)
+            weights = bootstrap_weights(batch.column("_key").to_pylist(), seed, trees)
+            packed = [pa.array([row.tobytes() for row in table], pa.binary()) for table in (bins, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column("_label"), *packed], names=["_label", "_bins", "_weights"])
+
+    values = [F.col(f).alias(f"_x{i}") for i, f in enumerate(features)]
+    return rows.select("_label", F.col(key).cast("string").alias("_key"), *values).mapInArrow(
+        draw, "_label int, _bins binary, _weights binary"
     )
-    feature = Window.partitionBy("_tree", "_node", "_f")
+
+
+def _unpacked(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+class _Level(NamedTuple):
+    """What a task needs to count one level: the nodes above it, and its open nodes, tree by tree."""
+
+    depth: int
+    feature: np.ndarray  # tree, node
+    cut: np.ndarray
+    open: np.ndarray  # tree, node of the level: the number of the open node, -1 if there is none
+    tried: np.ndarray  # open node, feature
+
+
+def _level(nodes, opened, trees: int, level: int, n_features: int, seed: int) -> _Level:
+    size = 2**level - 1
+    feature, cut = np.full((trees, max(size, 1)), -1, np.int16), np.full((trees, max(size, 1)), -1, np.int16)
+    for (tree, node), values in nodes.items():
+        if node < size:
+            feature[tree, node], cut[tree, node] = values[:2]
+    numbers = np.full((trees, size + 1), -1, np.int64)
+    for number, (tree, node) in enumerate(opened):
+        numbers[tree, node - size] = number
+    return _Level(level, feature, cut, numbers, np.array([tried(n_features, seed, tree, node) for tree, node in opened], np.int16))
+
+
+def _cells(data: DataFrame, level: _Level, bins: int) -> DataFrame:
+    """Rows per class, open node, tried feature and bin; each task counts its rows first."""
+    shared = data.sparkSession.sparkContext.broadcast(level)
+    names = ["_open", "_f", "_bin", "b0", "b1"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depth, feature, cut, opened, features = shared.value
+        width = features.shape[1]
+        counts = np.zeros((len(features), width, bins, 2), np.int64)
+        flat = counts.reshape(-1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = batch.column("_label").to_numpy()
+            placed = np.ascontiguousarray(_unpacked(batch.column("_bins"), np.int16).T)
+            weights = np.ascontiguousarray(_unpacked(batch.column("_weights"), np.uint8).T)
+            for tree, weight in enumerate(weights):
+                mine = opened[tree]
+                some = np.flatnonzero(mine >= 0)
+                if not len(some):
+                    continue
+                rows = np.flatnonzero(weight)
+                at = _walk(feature[tree], cut[tree], placed, rows, depth) - (2**depth - 1)
+                number = np.where(at >= 0, mine[np.maximum(at, 0)], -1)
+                rows, number = rows[number >= 0], number[number >= 0]
+                # Open nodes of a tree have neighbouring numbers.
+                first, last = mine[some[0]], mine[some[-1]] + 1
+                for k in range(width):
+                    cell = (((number - first) * width + k) * bins + placed[features[number, k], rows]) * 2 + label[rows]
+                    size = (last - first) * width * bins * 2
+                    found = np.bincount(cell, weights=weight[rows], minlength=size)
+                    flat[first * width * bins * 2 : last * width * bins * 2] += found.astype(np.int64)
+        filled = np.flatnonzero(counts.any(axis=3))
+        number, slot, at_bin = np.unravel_index(filled, counts.shape[:3])
+        both = counts.reshape(-1, 2)[filled]
+        table = [number, features[number, slot] if len(filled) else number, at_bin]
+        for first in range(0, len(filled), 1 << 16):
+            part = slice(first, first + (1 << 16))
+            columns = [pa.array(c[part].astype(np.int32)) for c in table]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(both[part, c]) for c in (0, 1))], names=names)
+
+    counted = data.mapInArrow(count, "_open int, _f int, _bin int, b0 long, b1 long")
+    return counted.groupBy("_open", "_f", "_bin").agg(F.sum("b0").alias("b0"), F.sum("b1").alias("b1"))
+
+
+def _best_cuts(data: DataFrame, level: _Level, weights, bins: int) -> DataFrame:
+    """Open node, rows per class, and the best cut (null if no cut parts the node's rows)."""
+    counts = _cells(data, level, bins)
+    feature = Window.partitionBy("_open", "_f")
     running = feature.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = counts.select(
-        "_tree", "_node", "_f", "_bin",
+        "_open", "_f", "_bin",
         F.sum("b0").over(running).alias("l0"), F.sum("b1").over(running).alias("l1"),
         F.sum("b0").over(feature).alias("n0"), F.sum("b1").over(feature).alias("n1"),
     )
@@ -172,9 +240,9 @@ def _best_cuts(data, arrays, still, level, n_features, weights, seed) -> DataFra
     cut = F.struct(
         score.alias("score"), (-F.col("_f")).alias("f"), (-F.col("_bin")).alias("b"), l0.alias("n0"), l1.alias("n1")
     )
-    best = sums.groupBy("_tree", "_node").agg(F.first(F.struct("n0", "n1")).alias("total"), F.max(F.when(parts, cut)).alias("best"))
+    best = sums.groupBy("_open").agg(F.first(F.struct("n0", "n1")).alias("total"), F.max(F.when(parts, cut)).alias("best"))
     return best.select(
-        "_tree", "_node", "total",
+        "_open", "total",
         F.when(
             F.col("best").isNotNull(),
             F.struct((-F.col("best.f")).alias("feature"), (-F.col("best.b")).alias("cut"), "best.score", "best.n0", "best.n1"),
@@ -182,33 +250,31 @@ def _best_cuts(data, arrays, still, level, n_features, weights, seed) -> DataFra
     )
 
 
-def _grown(forest: Forest) -> Column:
-    """All trees as one value of bounded size: per tree the feature, the cut and the share of class 1 by node."""
+def _grown(forest: Forest) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree the feature, the cut and the share of class 1 by node; of bounded size."""
     size = 2 ** (forest.depth + 1) - 1
     by_tree = {}
     for tree, node, feature, cut, n0, n1, _ in forest.nodes.collect():
-        arrays = by_tree.setdefault(tree, ([-1] * size, [-1] * size, [0.0] * size))
+        arrays = by_tree.setdefault(tree, (np.full(size, -1, np.int16), np.full(size, -1, np.int16), np.zeros(size)))
         a, b = forest.weights[0] * n0, forest.weights[1] * n1
         arrays[0][node], arrays[1][node], arrays[2][node] = feature, cut, b / (a + b) if a + b else 0.0
-    table = [(tree, *arrays) for tree, arrays in sorted(by_tree.items())]
-    known = forest.nodes.sparkSession.createDataFrame(table, "t int, feature array<int>, cut array<int>, share array<double>")
-    return known.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar()
+    return [arrays for _, arrays in sorted(by_tree.items())]
 
 
 def score(rows: DataFrame, forest: Forest, name: str) -> DataFrame:
     """Add as column `name` the mean share of class 1 over the leaves a row reaches.  Nothing is shuffled."""
-
-    def mean(bins):
-        def add(total, tree):
-            return total + F.get(tree["share"], _walk(tree["feature"], tree["cut"], bins, forest.depth))
-
-        return F.aggregate("_forest", F.lit(0.0), add) / forest.trees
-
-    values = rows.withColumn("_row", F.struct(*rows.columns)).select("_row", *[_rounded(f).alias(f) for f in forest.features])
-    binned = values.select("_row", _bins(forest.features, forest.edges).alias("_bins"), _grown(forest).alias("_forest"))
-    # Bound as a variable, so that the bins are found once per row and not at every step.
-    once = F.get(F.transform(F.array("_bins"), mean), 0)
-    return binned.select("_row.*", F.round(once, 9).alias(name))
+    shared = rows.sparkSession.sparkContext.broadcast(_grown(forest))
+    edges, trees, depth = forest.edges, forest.trees, forest.depth
+
+    @F.arrow_udf("double")
+    def mean(*columns: pa.Array) -> pa.Array:
+        bins = _binned(columns, edges)
+        total, every = np.zeros(len(columns[0])), np.arange(len(columns[0]))
+        for feature, cut, share in shared.value:
+            total += share[_walk(feature, cut, bins, every, depth)]
+        return pa.array(total / trees)
+
+    return rows.withColumn(name, F.round(mean(*[_rounded(f) for f in forest.features]), 9))
 
 
 def importance(forest: Forest) -> DataFrame:
