@@ -104,3 +104,15 @@ def test_several_columns_at_once(spark):
     assert got["a"] == pytest.approx(np.quantile([r[0] for r in rows], [0.1, 0.5]).tolist())
     assert got["b"] == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], [0.1, 0.5]).tolist())
     assert got["c"] == [None, None]
+
+
+def test_values_at_ranks_of_any_doubles_with_weights(spark):
+    odd = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1e308, -1.5, 7.0, float("nan")]
+    rows = [(v, float(i * i % 97), i % 3) for i, v in enumerate(odd * 30)] + [(None, 3.0, 2)]
+    df = spark.createDataFrame(rows, "a double, b double, w int").repartition(4)
+    found = ranking.values_at(df, ["a", "b"], range, "w")
+    for column, (total, values) in found.items():
+        at = ["a", "b"].index(column)
+        order = sorted((r[at] for r in rows for _ in range(r[2]) if r[at] is not None), key=lambda v: (v != v, v if v == v else 0))
+        assert total == len(order)
+        assert [repr(values[k] + 0.0) for k in range(total)] == [repr(v + 0.0) for v in order]

@@ -8,12 +8,14 @@ other range bounds.  Only the row count per partition is ever summed up in one p
 """
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from fractions import Fraction
 from functools import cmp_to_key, reduce
 from math import floor
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,9 +80,43 @@ def rows_at(
     sampled rows become pivots, one scan counts the rows before, at and between them, and only the gaps that
     hold a wanted rank are looked at again.  Each round shrinks them by about `_PIVOTS` / ranks, until
     `_FEW` rows are left to sort at once; equal rows are found at a pivot, however many there are.
-    `df` must return the same rows in every job.
+    `df` must return the same rows in every job.  Of a numeric first key the values at the ranks are found first,
+    so that only rows with these values are compared by the others.
     """
     keys = _keys(order)
+    if isinstance(df.schema[keys[0].name].dataType, T.NumericType):
+        return _by_first_value(df, keys, pick, weight)
+    return _by_pivots(df, keys, pick, weight)
+
+
+def _by_first_value(df, keys, pick, weight):
+    first = keys[0].name
+    units = F.lit(1) if weight is None else F.col(weight)
+    total, known = df.agg(F.coalesce(F.sum(units.cast("long")), F.lit(0)), F.count(first) == F.count("*")).first()
+    wanted = sorted(set(pick(total)))
+    if not known or not wanted:
+        return _by_pivots(df, keys, pick, weight)
+    turned = (lambda r: r) if keys[0].ascending else (lambda r: total - 1 - r)
+    _, values = values_at(df, [first], lambda _: [turned(r) for r in wanted], weight)[first]
+    if any(v != v for v in values.values()):
+        return _by_pivots(df, keys, pick, weight)
+    chosen = sorted(set(values.values()), reverse=not keys[0].ascending)
+    value = F.col(first).cast("double")
+    counts = df.select(value.alias("_value"), units.cast("long").alias("_units"))
+    lists = F.lit(chosen).cast("array<double>")
+    own = {r[0]: r[1] for r in counts.filter(F.array_contains(lists, F.col("_value"))).groupBy("_value").agg(F.sum("_units")).collect()}
+    before = [F.col("_value") < v if keys[0].ascending else F.col("_value") > v for v in chosen]
+    ahead = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col("_units"))), F.lit(0)) for c in before]).first()
+    # Rank among the rows with a chosen value, by rank among all.
+    place, skipped = {}, 0
+    for v, start in zip(chosen, ahead):
+        place.update({r: r - start + skipped for r in wanted if start <= r < start + own[v]})
+        skipped += own[v]
+    _, rows = _by_pivots(df.filter(F.array_contains(lists, value)), keys, lambda _: place.values(), weight)
+    return total, {r: rows[at] for r, at in place.items()}
+
+
+def _by_pivots(df, keys, pick, weight):
     names = [key.name for key in keys]
     units = F.lit(1) if weight is None else F.col(weight)
     rows = df.select(*names, units.cast("long").alias("_units"))
@@ -249,8 +285,8 @@ def quantile_ranks(total: int, fractions: Sequence) -> list[int]:
 def exact_quantiles(df: DataFrame, column: str, fractions: Sequence, weight: str | None = None) -> list:
     """Linearly interpolated quantiles of the non-null values, one per fraction; a row may stand for `weight` rows."""
     values = df.filter(F.col(column).isNotNull()).select(column, *([weight] if weight else []))
-    total, rows = rows_at(values, [column], lambda n: quantile_ranks(n, fractions), weight)
-    return _interpolated(total, {rank: row[column] for rank, row in rows.items()}, fractions)
+    total, found = values_at(values, [column], lambda n: quantile_ranks(n, fractions), weight)[column]
+    return _interpolated(total, found, fractions)
 
 
 def quantiles_of(df: DataFrame, columns: Sequence[str], fractions: Sequence) -> dict[str, list]:
@@ -259,19 +295,93 @@ def quantiles_of(df: DataFrame, columns: Sequence[str], fractions: Sequence) ->
     return {c: _interpolated(total, rows, fractions) for c, (total, rows) in picked.items()}
 
 
-def values_at(df: DataFrame, columns: Sequence[str], pick: Callable[[int], Iterable[int]]) -> dict:
-    """Per numeric column the number of its non-null values, and its values at the ranks that `pick` wants."""
-    entries = [F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]
-    long = df.select(F.inline(F.array(*entries))).filter("_value IS NOT NULL")
-    sizes = dict(map(tuple, long.groupBy("_column").agg(F.count("*")).collect()))
-    totals = [sizes.get(i, 0) for i in range(len(columns))]
-    starts = [sum(totals[:i]) for i in range(len(columns))]
-    wanted = [sorted(set(pick(n))) for n in totals]
-    _, rows = rows_at(long, ["_column", "_value"], lambda _: [start + r for start, ranks in zip(starts, wanted) for r in ranks])
-    return {
-        c: (n, {r: rows[start + r]["_value"] for r in ranks})
-        for c, n, start, ranks in zip(columns, totals, starts, wanted)
-    }
+def values_at(df: DataFrame, columns: Sequence[str], pick: Callable[[int], Iterable[int]], weight: str | None = None) -> dict:
+    """Per numeric column the number of its non-null values, and its values at the ranks that `pick` wants.
+
+    With `weight`, a row stands for that many.  A round is one scan: tasks count their values, and note the least and the
+    greatest, in `_SPLITS` cells of every interval that holds a wanted rank.  A cell whose ends are equal is a result, the
+    others are the next intervals, cut down to their ends.  Doubles are cut by their bits, 64 of them, so ten rounds
+    are enough for any values.
+    """
+    names = [f"_{i}" for i in range(len(columns))]
+    units = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)], units.cast("long").alias("_units"))
+    everything = [(i, _LEAST, _GREATEST) for i in range(len(columns))]
+    ends = {i: (n, low, high) for i, n, low, high in _counted(rows, names, [(*e, 1) for e in everything])}
+    totals = [ends.get(i, (0,))[0] for i in range(len(columns))]
+    found: list[dict[int, float]] = [{} for _ in columns]
+    # Intervals with ends that occur: column, keys of the ends, ranks before, wanted ranks.
+    gaps = [(i, *ends[i][1:], 0, sorted(set(pick(totals[i])))) for i in sorted(ends)]
+    while True:
+        for i, low, high, _, wanted in gaps:
+            if low == high:
+                found[i].update({r: _double_of(low) for r in wanted})
+        gaps = [gap for gap in gaps if gap[4] and gap[1] < gap[2]]
+        if not gaps:
+            break
+        cells: dict[int, list] = {}
+        for cell, n, low, high in _counted(rows, names, [(i, low, high, _SPLITS) for i, low, high, *_ in gaps]):
+            cells.setdefault(cell // _SPLITS, []).append((low, high, n))
+        smaller = []
+        for number, (i, _, _, before, wanted) in enumerate(gaps):
+            for low, high, n in sorted(cells[number]):
+                smaller.append((i, low, high, before, [r for r in wanted if before <= r < before + n]))
+                before += n
+        gaps = [gap for gap in smaller if gap[4]]
+    return {c: (totals[i], found[i]) for i, c in enumerate(columns)}
+
+
+_LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
+_SPLITS = 256  # cells per interval
+
+
+def _key_of(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles, NaN last; zeros are equal."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & _GREATEST)
+
+
+def _double_of(key: int) -> float:
+    bits = np.int64(key)
+    return float((bits ^ ((bits >> np.int64(63)) & np.int64(_GREATEST))).view(np.float64))
+
+
+def _counted(rows: DataFrame, names: list[str], gaps: list[tuple[int, int, int, int]]) -> list[tuple]:
+    """Ranks, least and greatest key of the cells that are not empty; intervals of a column do not overlap."""
+    splits = gaps[0][3]
+    plans = []
+    for i in range(len(names)):
+        mine = sorted((low, high, number) for number, (column, low, high, _) in enumerate(gaps) if column == i)
+        # A cell begins where the one before ends; the steps between are whole numbers beyond 64 bits.
+        starts = [low + (high - low + 1) * k // splits for low, high, _ in mine for k in range(splits)]
+        tops = np.repeat(np.array([high for _, high, _ in mine], np.int64), splits)
+        plans.append((np.array(starts, np.int64), tops, [number * splits + k for *_, number in mine for k in range(splits)]))
+    shared = rows.sparkSession.sparkContext.broadcast(plans)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [(np.zeros(len(s), np.int64), np.full(len(s), _GREATEST), np.full(len(s), _LEAST)) for s, *_ in shared.value]
+        for batch in batches:
+            units = batch.column("_units").to_numpy(zero_copy_only=False)
+            for name, (starts, tops, _), (n, low, high) in zip(names, shared.value, sums):
+                column = batch.column(name)
+                known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)) if column.null_count else slice(None)
+                keys = _key_of(column.to_numpy(zero_copy_only=False)[known].astype(float))
+                cell = np.searchsorted(starts, keys, side="right") - 1
+                inside = cell >= 0
+                inside &= keys <= tops[np.maximum(cell, 0)] if len(tops) else False
+                cell, keys, weights = cell[inside], keys[inside], units[known][inside]
+                np.add.at(n, cell, weights)
+                np.minimum.at(low, cell, keys)
+                np.maximum.at(high, cell, keys)
+        for (_, _, numbers), (n, low, high) in zip(shared.value, sums):
+            filled = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(numbers, np.int64)[filled]), pa.array(n[filled]), pa.array(low[filled]), pa.array(high[filled])],
+                names=["cell", "n", "low", "high"],
+            )
+
+    cells = rows.mapInArrow(count, "cell long, n long, low long, high long").groupBy("cell")
+    return [tuple(r) for r in cells.agg(F.sum("n"), F.min("low"), F.max("high")).collect()]
 
 
 def _interpolated(total: int, values: dict[int, float], fractions: Sequence) -> list:
