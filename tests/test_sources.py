@@ -120,3 +120,27 @@ def test_tables_without_their_source_texts_are_refused(spark, tmp_path):
     tables.write_transactions(cleaning.clean_transactions(raw(spark, [{}])), path)
     with pytest.raises(ValueError, match="keep_sources"):
         tables.append_transactions(raw(spark, [{}]), path)
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_a_table_is_cleaned_and_written_in_one_shuffle(spark, tmp_path, monkeypatch):
+    days = [None, *[at(f"2020-0{m}-0{d} 10:00") for m in (1, 2) for d in range(1, 9)]]
+    rows = [{"InvoiceDate": day, "InvoiceNo": i, "Description": d} for day in days for i in ("a", None) for d in (" b", "a ")]
+    rows.append({"InvoiceDate": days[1], "CustomerID": None, "Quantity": -1})
+    lines = raw(spark, rows * 3)
+    dealt = cleaning.clean_transactions(lines, month_parts=tables.MONTH_PARTS)
+    plain = cleaning.clean_transactions(lines)
+    assert _shuffles(dealt) == _shuffles(plain) == 1
+    tables.write_cleaned(lines, str(tmp_path / "tx"))
+    assert _lines(spark, str(tmp_path / "tx")) == sorted(map(str, plain.collect()))
+    plans, write = [], tables._replace_months
+    monkeypatch.setattr(tables, "_replace_months", lambda df, path: (plans.append(_shuffles(df)), write(df, path)))
+    tables.append_transactions(lines, str(tmp_path / "tx"))
+    assert _lines(spark, str(tmp_path / "tx")) == sorted(map(str, plain.collect()))
+    assert plans == [1]
+    stored = tables.read_transactions(spark, str(tmp_path / "tx"))
+    tables.write_sales(stored, str(tmp_path / "sales"))
+    assert _lines(spark, str(tmp_path / "sales")) == sorted(map(str, stored.filter("NOT IsReturn").collect()))

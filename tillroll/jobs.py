@@ -23,7 +23,7 @@ def _write_all(results: Mapping[str, DataFrame], folder: str) -> None:
 def clean(spark: SparkSession, source: str, folder: str, kind: str = "parquet") -> None:
     """Raw table to cleaned table, sales table and cleaning report."""
     raw = tables.read_raw(spark, source, kind)
-    tables.write_transactions(cleaning.clean_transactions(cleaning.keep_sources(raw)), f"{folder}/transactions")
+    tables.write_cleaned(raw, f"{folder}/transactions")
     # From here on the written table is read, so cleaning runs once.
     tx = tables.read_transactions(spark, f"{folder}/transactions")
     tables.write_sales(tx, f"{folder}/sales")

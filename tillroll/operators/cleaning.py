@@ -40,13 +40,22 @@ def remove_bad_prices(df: DataFrame, max_price: float = MAX_PRICE) -> DataFrame:
     return df.filter(~_bad_price(max_price))
 
 
-def remove_duplicates(df: DataFrame, key=tuple(DUPLICATE_KEY)) -> DataFrame:
+def remove_duplicates(df: DataFrame, key=tuple(DUPLICATE_KEY), month_parts: int | None = None) -> DataFrame:
     """Keep one row per key: the first by Description (missing last), then Country.
 
     Copies are combined before the shuffle, so a group holding a large share of all rows
     sends one row per task.  Plans that read neither Description nor Country reduce this to
     a hash aggregate on the key.
+
+    With `month_parts` the rows of a month come out in at most that many tasks, ready to be written by month:
+    this one shuffle also does what the sink's would, but copies are combined behind it.
     """
+    if month_parts is not None:
+        # The part follows from the key, so that the groups stay the same.  Lines of an invoice stay together.
+        hashed = F.pmod(F.xxhash64("InvoiceNo", "InvoiceDate"), F.lit(month_parts))
+        month = F.coalesce(dates.month_index("InvoiceDate"), F.lit(0))
+        dealt = df.withColumn("_part", (month * month_parts + hashed).cast("int")).repartition("_part")
+        return remove_duplicates(dealt, ("_part", *key)).drop("_part")
     rest = [c for c in df.columns if c not in key]
     first = [c for c in ("Description", "Country") if c in rest]
     rest = first + [c for c in rest if c not in first]
@@ -98,16 +107,26 @@ def keep_sources(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"SourceDescription": F.col("Description"), "SourceCountry": F.col("Country")})
 
 
-def clean_transactions(raw: DataFrame, max_price: float = MAX_PRICE, drop_returns: bool = False) -> DataFrame:
+def clean_transactions(
+    raw: DataFrame,
+    max_price: float = MAX_PRICE,
+    drop_returns: bool = False,
+    month_parts: int | None = None,
+    sources: bool = False,
+) -> DataFrame:
     """Raw to cleaned transactions: one lazy plan with one shuffle.
 
     Returns are flagged after de-duplication: the flag follows from Quantity, which is in the key,
-    and would otherwise be carried, and ordered by, through the shuffle.
+    and would otherwise be carried, and ordered by, through the shuffle.  `sources` keeps the texts as they
+    came (`keep_sources`), which are not shuffled twice either.  For `month_parts` see `remove_duplicates`.
     """
-    tx = (
+    kept = (
         raw.transform(handle_missing_customers)
         .transform(remove_bad_prices, max_price)
-        .transform(remove_duplicates)
+        .transform(remove_duplicates, month_parts=month_parts)
+    )
+    tx = (
+        (keep_sources(kept) if sources else kept)
         .transform(flag_returns)
         .transform(handle_missing_descriptions)
         .transform(add_calculated_fields)

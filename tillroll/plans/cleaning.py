@@ -83,7 +83,7 @@ def _(f):
 )
 def _(f):
     everything, sold = new_path(f.spark, "tx"), new_path(f.spark, "sales")
-    tables.write_transactions(f.tx, everything)
+    tables.write_cleaned(f.raw, everything, sources=False)
     tx = tables.read_transactions(f.spark, everything)
     tables.write_sales(tx, sold)
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tillroll import schema
 from tillroll.functions import dates
 from tillroll.operators import cleaning
+from tillroll.staging import stage
 
 _CSV = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
 
@@ -62,9 +63,26 @@ def write_transactions(tx: DataFrame, path: str) -> None:
     tx.hint("rebalance", "YearMonth").write.mode("overwrite").partitionBy("YearMonth").parquet(path)
 
 
+# Tasks, and so files, that the rows of one month are dealt to when raw lines are cleaned into a table.
+MONTH_PARTS = 8
+
+
+def write_cleaned(raw: DataFrame, path: str, sources: bool = True, **options) -> None:
+    """Clean raw lines into a table as `write_transactions` writes it, in one shuffle instead of two.
+
+    The table holds the texts its lines came with, unless `sources` is false, so that it can grow
+    (`append_transactions`).  `options` go to `cleaning.clean_transactions`.
+    """
+    cleaned = cleaning.clean_transactions(raw, month_parts=MONTH_PARTS, sources=sources, **options)
+    cleaned.write.mode("overwrite").partitionBy("YearMonth").parquet(path)
+
+
 def write_sales(tx: DataFrame, path: str) -> None:
-    """The same without returns."""
-    write_transactions(tx.filter(~F.col("IsReturn")), path)
+    """The same without returns, from a written table.
+
+    Its files hold one month each, so a task that reads some of them writes few files and nothing is shuffled.
+    """
+    tx.filter(~F.col("IsReturn")).write.mode("overwrite").partitionBy("YearMonth").parquet(path)
 
 
 def append_transactions(raw: DataFrame, path: str, **options) -> list[str | None]:
@@ -73,14 +91,15 @@ def append_transactions(raw: DataFrame, path: str, **options) -> list[str | None
     The outcome is that of cleaning all raw lines at once, in whatever order and however often they arrive.
     A duplicate has the date of its twin, so only the months of the new lines are read, as the raw lines they
     came from, cleaned together with the new ones and overwritten; all other months keep their files.
-    The months of one call reach the driver, nothing else.  A call that was broken off may be repeated.
+    The new lines are staged, as their months are looked up first.  The months of one call reach the driver,
+    nothing else.  A call that was broken off may be repeated.
 
     The table must hold the texts its lines came with (`cleaning.keep_sources`); a table that does not exist
     begins empty, and no lines leave it as it is.  `options` go to `cleaning.clean_transactions`.  There must be
     one writer at a time.
     """
     spark = raw.sparkSession
-    fresh = raw.select(*schema.RAW.fieldNames())
+    fresh = stage(raw.select(*schema.RAW.fieldNames()), "lines")
     month = dates.year_month("InvoiceDate")
     months = [row[0] for row in fresh.select(month.alias("month")).distinct().orderBy("month").collect()]
     if not months:
@@ -88,7 +107,7 @@ def append_transactions(raw: DataFrame, path: str, **options) -> list[str | None
     if _has_files(spark, path):
         stored = _stored_lines(spark, path, months)
         fresh = stored.unionByName(fresh)
-    cleaned = cleaning.clean_transactions(cleaning.keep_sources(fresh), **options)
+    cleaned = cleaning.clean_transactions(fresh, month_parts=MONTH_PARTS, sources=True, **options)
     _replace_months(cleaned, path)
     return months
 
@@ -105,8 +124,8 @@ def _in_months(months: list[str | None]):
 
 
 def _replace_months(df: DataFrame, path: str) -> None:
-    """Overwrite the months that occur in `df`, and no others."""
-    writer = df.hint("rebalance", "YearMonth").write.mode("overwrite")
+    """Overwrite the months that occur in `df`, and no others; its tasks hold few months each."""
+    writer = df.write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("YearMonth").parquet(path)
 
 
