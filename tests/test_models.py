@@ -278,3 +278,17 @@ def test_a_level_is_counted_without_repeating_rows_per_tree(spark):
                 cell = expected.setdefault((tree, f, sum(e < values[f] for e in edges[f])), [0, 0])
                 cell[y] += weight
     assert {tuple(r)[:3]: list(r)[3:] for r in cells.collect()} == {k: v for k, v in expected.items() if any(v)}
+
+
+@pytest.mark.parametrize("find", [anomalies.detect_anomalies, anomalies.anomaly_summary])
+def test_anomalies_make_sales_once(spark, find):
+    lines = transactions(spark, [{"InvoiceNo": str(i), "Quantity": 1 + i % 7} for i in range(40)])
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    assert find(lines.mapInArrow(counted, lines.schema), trees=3).count() in (1, 40)
+    assert made.value == 40

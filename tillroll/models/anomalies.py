@@ -135,17 +135,23 @@ def fit_forest(rows: DataFrame, total: int, trees: int = TREES, sample: int = SA
 
 
 def _path_lengths(forest: dict, rows: np.ndarray) -> np.ndarray:
-    """Mean path length of each row over all trees, one vectorised level at a time."""
+    """Mean path length of each row over all trees, one vectorised level at a time.
+
+    A leaf leads to itself: no value is above its threshold, and the child below is the leaf.
+    """
     total = np.zeros(len(rows))
-    index = np.arange(len(rows))
+    values, start = rows.ravel(), np.arange(len(rows)) * rows.shape[1]
     for feature, threshold, path in zip(forest["feature"], forest["threshold"], forest["path"]):
+        inner = feature >= 0
+        places = np.arange(len(feature))
+        below = np.where(inner, 2 * places + 1, places)
+        column, limit = np.where(inner, feature, 0).astype(np.int64), np.where(inner, threshold, np.inf)
         node = np.zeros(len(rows), dtype=np.int64)
         for _ in range(forest["height"]):
-            split = feature[node]
-            value = rows[index, np.maximum(split, 0)]
-            child = 2 * node + 1 + (value > threshold[node])
-            node = np.where(split < 0, node, child)
-        total += path[node]
+            above = values.take(start + column.take(node)) > limit.take(node)
+            node = below.take(node)
+            node += above
+        total += path.take(node)
     return total / len(forest["feature"])
 
 
@@ -180,13 +186,15 @@ def detect_anomalies(
 ) -> DataFrame:
     """Feature rows with `Anomaly`: -1 above the score quantile `1 - contamination`, else 1.
 
-    The quantile is exact over all rows.  Rows are scored where they are: no join on the features could be
-    skewed by a tuple that many rows share.
+    The quantile is exact over all rows.  Feature rows are staged, so sales are made once, and scored once
+    where they are: no join on the features could be skewed by a tuple that many rows share.
     """
-    rows = anomaly_features(sales)
-    _, forest, cutoff = _scored(rows, contamination, trees, sample, seed)
-    found = F.when(F.col("_score") > cutoff, -1).otherwise(1)
-    return scored_rows(rows, forest, "_score").withColumn("Anomaly", found).drop("_score")
+    rows = stage(anomaly_features(sales), "features")
+    forest = fit_forest(rows, rows.count(), trees, sample, seed)
+    scored = stage(scored_rows(rows, forest, "_score"), "scores")
+    (cutoff,) = exact_quantiles(scored, "_score", [1 - contamination])
+    found = F.when(F.col("_score") > F.lit(cutoff).cast("double"), -1).otherwise(1)
+    return scored.withColumn("Anomaly", found).drop("_score")
 
 
 def flagged(sales: DataFrame, **options) -> DataFrame:
@@ -195,13 +203,13 @@ def flagged(sales: DataFrame, **options) -> DataFrame:
 
 
 def _scored(rows, contamination, trees, sample, seed):
+    rows = stage(rows, "features")
     tuples = distinct_tuples(rows)
     total = tuples.agg(F.sum("copies")).first()[0] or 0
     forest = fit_forest(rows, total, trees, sample, seed)
     scored = score_tuples(tuples, forest)
-    per_score = scored.groupBy("score").agg(F.sum("copies").alias("copies"))
-    (cutoff,) = exact_quantiles(per_score, "score", [1 - contamination], "copies")
-    return scored, forest, F.lit(cutoff).cast("double")
+    (cutoff,) = exact_quantiles(scored, "score", [1 - contamination], "copies")
+    return scored, F.lit(cutoff).cast("double")
 
 
 def anomaly_summary(
@@ -212,7 +220,7 @@ def anomaly_summary(
     seed: int = 42,
 ) -> DataFrame:
     """Rows, flagged rows and rate, means of flagged and normal rows, from the scored tuples."""
-    scored, _, cutoff = _scored(anomaly_features(sales), contamination, trees, sample, seed)
+    scored, cutoff = _scored(anomaly_features(sales), contamination, trees, sample, seed)
     flagged = F.col("score") > cutoff
 
     def count(condition):
