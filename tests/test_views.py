@@ -141,3 +141,22 @@ def test_reports_over_a_stored_table_copy_nothing(spark, tmp_path):
     for report in (explore.summary_panels, explore.insights):
         files = report(spark.read.parquet(path)).inputFiles()
         assert files and all(path in file for file in files)
+
+
+def test_a_cube_reads_its_sales_twice(spark):
+    lines = transactions(spark, [{"InvoiceNo": str(i % 9) if i % 9 else None, "CustomerID": [None, "Guest", "a", "b"][i % 4],
+                                  "Country": ["X", None, "Y"][i % 3], "InvoiceDate": at(f"2020-01-0{1 + i % 5} 0{i % 7}:00")} for i in range(90)])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    built = cube.build(lines.mapInArrow(counted, lines.schema))
+    assert read.value == 2 * 90
+    assert as_dicts(cube.distinct_members(built)) == [{"invoices": 8, "customers": 3}]
+    per_country = {r["Country"]: (r["invoices"], r["customers"]) for r in as_dicts(cube.distinct_members(built, "Country"))}
+    expected = lines.groupBy("Country").agg(F.count_distinct("InvoiceNo"), F.count_distinct("CustomerID")).collect()
+    assert per_country == {r[0]: (r[1], r[2]) for r in expected}
+    assert built.cells.agg(F.sum("Lines")).first()[0] == 90

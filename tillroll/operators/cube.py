@@ -6,6 +6,7 @@ words: exact, and summed up per task before it is shuffled.  Invoices are number
 by country, so that those of a cell lie in few words.
 """
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,20 @@ from tillroll.functions.numbers import safe_ratio
 from tillroll.operators import dashboard
 from tillroll.operators.ranking import number_rows
 from tillroll.schema import GUEST
-from tillroll.staging import new_path
+from tillroll.staging import new_path, stage
 
 _CELL = ["InvoiceDate", "Country", "Description", "CustomerID"]
 _WORD = 6  # bits of a number that are its place in a word
 _REGISTERED = "Registered"
+_TOGETHER = ["InvoiceNo", "_customer", "Country"]
+_SUMS = "sums"
+_MEMBERS = {"invoice": "_invoice_no", "customer": "_customer_no"}
+# Sums have their hour in place of a word.
+_STORED = """InvoiceDate timestamp_ntz, Country string, Description string, CustomerID string, Kind string, Word bigint,
+             TotalPrice double, Quantity bigint, Lines bigint, Bits bigint, Part int"""
+
+# What a cube needs of sales.
+COLUMNS = ["InvoiceNo", "CustomerID", "InvoiceDate", "Country", "Description", "Hour", "TotalPrice", "Quantity"]
 
 
 class Cube(NamedTuple):
@@ -43,49 +53,81 @@ def _cell_of(sales: DataFrame) -> DataFrame:
 def build(sales: DataFrame, path: str | None = None) -> Cube:
     """The cube of `sales`, written to `path` (or staged) and read back.
 
-    Sales are read four times, so they should be a stored table.  Nulls in any column are values of a cell; null
-    invoices and customers are not counted, as in SQL.
+    Sales are read twice, so they should be a stored table.  Nulls in any column are values of a cell; null
+    invoices and customers are not counted, as in SQL.  Lines get both numbers in one join and are dealt by cell
+    once; what a cell keeps is then added up where its lines are.
     """
     spark = sales.sparkSession
     path = path or new_path(spark, "cube")
     lines = _cell_of(sales)
-    cells = lines.groupBy(*_CELL, "Hour").agg(
-        F.sum("TotalPrice").alias("TotalPrice"), F.sum("Quantity").alias("Quantity"), F.count("*").alias("Lines")
-    )
-    days = {"DayName": dates.day_name("InvoiceDate"), "DayOfWeek": dates.day_of_week("InvoiceDate")}
-    _sorted_by_cell(cells.withColumns(days)).write.mode("overwrite").parquet(f"{path}/cells")
-    members = _words(lines, "invoice", "InvoiceNo", ["_first", "Country"]).unionByName(
-        _words(lines, "customer", "_customer", ["Country"])
+    named = _numbers(lines).alias("named")
+    same = reduce(Column.__and__, [F.col(f"lines.{c}").eqNullSafe(F.col(f"named.{c}")) for c in _TOGETHER])
+    numbered = lines.alias("lines").join(named.hint("merge"), same)
+    numbered = numbered.select(*[f"lines.{c}" for c in [*_CELL, "Hour", "TotalPrice", "Quantity"]], *_MEMBERS.values())
+    # A line becomes three rows, so partitions are not merged into larger ones, as they would be without their number.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = numbered.repartitionByRange(tasks, "Country", "InvoiceDate", "Description", "CustomerID")
+    kept = [
+        _kept(_SUMS, F.col("Hour"), F.col("TotalPrice"), F.col("Quantity"), F.lit(None)),
+        *[_kept(kind, F.shiftright(n, _WORD), F.lit(None), F.lit(None), _bit(n)) for kind, n in _MEMBERS.items()],
+    ]
+    entries = dealt.select(*_CELL, F.inline(F.array(*kept))).filter((F.col("Kind") == _SUMS) | F.col("Bits").isNotNull())
+    rows = entries.groupBy(*_CELL, "Kind", "Word").agg(
+        F.sum("TotalPrice").alias("TotalPrice"),
+        F.sum("Quantity").alias("Quantity"),
+        F.count("*").alias("Lines"),
+        F.bit_or("Bits").alias("Bits"),
     )
-    _sorted_by_cell(members).write.mode("overwrite").parquet(f"{path}/members")
+    # Files hold few countries and short stretches of time, so that filters skip most of them.
+    part = F.when(F.col("Kind") == _SUMS, 0).otherwise(1).alias("Part")
+    ordered = rows.select("*", part).sortWithinPartitions("Part", "Country", "InvoiceDate")
+    ordered.write.mode("overwrite").partitionBy("Part").parquet(path)
     return read(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> Cube:
     """A cube that `build` wrote."""
-    return Cube(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/members"))
-
-
-def _sorted_by_cell(df: DataFrame) -> DataFrame:
-    """Files hold few countries and short stretches of time, so that filters skip most of them."""
-    return df.repartitionByRange("Country", "InvoiceDate").sortWithinPartitions("Country", "InvoiceDate")
-
-
-def _words(lines: DataFrame, kind: str, name: str, order: list[str]) -> DataFrame:
-    """Cells with the words of the numbers that occur in them."""
-    known = lines.filter(F.col(name).isNotNull())
-    members = known.groupBy(name).agg(F.min("_moment").alias("_first"), F.min("Country").alias("Country"))
-    place = "_number"
-    numbered = number_rows(members, [*order, name], place).select(name, place)
-    # One row per cell and member is joined.  Guests are one member of very many cells: they are number 0, which
-    # no other has, without a join.
-    pairs = known.select(*_CELL, name).distinct()
-    guest = F.col(name) == GUEST if kind == "customer" else F.lit(False)
-    joined = pairs.filter(~guest).join(numbered, name).select(*_CELL, place)
-    all_pairs = joined.unionByName(pairs.filter(guest).select(*_CELL, F.lit(0).cast("long").alias(place)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place).bitwiseAND((1 << _WORD) - 1).cast("int"))
-    word = F.shiftright(place, _WORD).alias("Word")
-    return all_pairs.groupBy(*_CELL, F.lit(kind).alias("Kind"), word).agg(F.bit_or(bit).alias("Bits"))
+    stored = spark.read.schema(_STORED).parquet(path)
+    days = [dates.day_name("InvoiceDate").alias("DayName"), dates.day_of_week("InvoiceDate").alias("DayOfWeek")]
+    hour = F.col("Word").cast("int").alias("Hour")
+    return Cube(
+        stored.filter("Part = 0").select(*_CELL, hour, "TotalPrice", "Quantity", "Lines", *days),
+        stored.filter("Part = 1").select(*_CELL, "Kind", "Word", "Bits"),
+    )
+
+
+def _kept(kind: str, word: Column, price: Column, quantity: Column, bits: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("Kind"),
+        word.cast("long").alias("Word"),
+        price.cast("double").alias("TotalPrice"),
+        quantity.cast("long").alias("Quantity"),
+        bits.cast("long").alias("Bits"),
+    )
+
+
+def _bit(number: str) -> Column:
+    place = F.col(number).bitwiseAND((1 << _WORD) - 1).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _numbers(lines: DataFrame) -> DataFrame:
+    """Every invoice, customer and country that occur together, with their numbers; what is null has none.
+
+    The country is a key here, as the least of texts cannot be found by hashing.
+    """
+    together = stage(lines.groupBy(*_TOGETHER).agg(F.min("_moment").alias("_first")), "members")
+    invoices = together.groupBy("InvoiceNo").agg(F.min("_first").alias("_first"), F.min("Country").alias("Country"))
+    invoices = number_rows(invoices.filter("InvoiceNo IS NOT NULL"), ["_first", "Country", "InvoiceNo"], "_invoice_no")
+    # Guests are one member of very many cells: they are number 0, which no other has, without a join.
+    other = F.coalesce(F.col("_customer") != GUEST, F.lit(False))
+    customers = together.filter(other).groupBy("_customer").agg(F.min("Country").alias("Country"))
+    customers = number_rows(customers, ["Country", "_customer"], "_customer_no").select("_customer", "_customer_no")
+    guest = F.when(F.col("_customer") == GUEST, F.lit(0).cast("long")).alias("_customer_no")
+    keys = together.select(*_TOGETHER)
+    numbered = keys.filter(other).join(customers, "_customer").select(*_TOGETHER, "_customer_no")
+    numbered = numbered.unionByName(keys.filter(~other).select(*_TOGETHER, guest))
+    return numbered.join(invoices.select("InvoiceNo", "_invoice_no"), "InvoiceNo", "left")
 
 
 def choose(cube: Cube, start=None, end=None, **choices) -> Cube:

@@ -478,7 +478,7 @@ def _cube_kpis_sql(name, condition):
     with_tables(" UNION ALL ".join(_cube_kpis_sql(name, condition) for name, (_, condition) in _CUBE_CHOICES.items())),
 )
 def _(f):
-    figures = cube.build(stage(f.sales, "sales"))
+    figures = cube.build(stage(f.sales.select(*cube.COLUMNS), "sales"))
     rows = [
         cube.kpis(cube.choose(figures, **choice)).select(F.lit(name).alias("choice"), "*")
         for name, (choice, _) in _CUBE_CHOICES.items()
@@ -494,7 +494,7 @@ def _(f):
     ),
 )
 def _(f):
-    return cube.distinct_members(cube.build(stage(f.sales, "sales")), "Country")
+    return cube.distinct_members(cube.build(stage(f.sales.select(*cube.COLUMNS), "sales")), "Country")
 
 
 @query(
@@ -517,7 +517,7 @@ def _(f):
     ),
 )
 def _(f):
-    cells = cube.choose(cube.build(stage(f.sales, "sales")), start="1996-01-01").cells
+    cells = cube.choose(cube.build(stage(f.sales.select(*cube.COLUMNS), "sales")), start="1996-01-01").cells
     panels = {
         "day": (explore.revenue_series(cells, "Daily"), "Date"),
         "month": (explore.revenue_series(cells, "Monthly"), "Date"),
