@@ -89,3 +89,12 @@ def test_a_large_basket_is_spread(spark):
     lines = spark.range(2000).selectExpr("'one' AS InvoiceNo", "concat('p', id) AS Description", "1 AS lines", "CAST(1 AS DECIMAL(24, 8)) AS money")
     pairs = baskets._pairs(lines, 256)
     assert pairs.select("Product_A", "Product_B").distinct().count() == pairs.count() == 2000 * 1999 // 2
+
+
+def test_a_row_is_repeated_for_smaller_names_only(spark, monkeypatch):
+    lines = spark.range(100).selectExpr("'one' AS InvoiceNo", "format_string('p%03d', id) AS Description", "1 AS lines", "CAST(1 AS DECIMAL(24, 8)) AS money")
+    joined, join = [], type(lines).join
+    monkeypatch.setattr(type(lines), "join", lambda a, b, *on: (joined.append((a, b)), join(a, b, *on))[1])
+    baskets._pairs(lines, 10)
+    a, b = joined[-1]
+    assert a.count() == 100 and b.count() == sum(1 + (place - 1) // 10 for place in range(1, 100))

@@ -1,6 +1,6 @@
 """Products bought together."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numbers import half_up, safe_ratio
@@ -28,14 +28,19 @@ def basket_lines(tx: DataFrame, exclude: str = POSTAGE) -> DataFrame:
 def _pairs(lines: DataFrame, block: int) -> DataFrame:
     """Pairs of different products per invoice, smaller name first.
 
-    A basket is spread over one salt per `block` products: one side is dealt over the salts, the
-    other repeated for each, so a task holds `block` rows of it against the basket.  A basket of up
-    to `block` products has one salt and nothing is repeated.
+    A basket in the order of its names is cut into salts of `block` products.  One side has its own salt, the other
+    is repeated for the salts with smaller names, so a task holds `block` rows of a salt against the basket.
+    A basket of up to `block` products has one salt and nothing is repeated.
     """
-    sizes = lines.groupBy("InvoiceNo").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-    salted = lines.join(sizes, "InvoiceNo")
-    a = salted.withColumn("salt", F.pmod(F.xxhash64("Description"), "salts").cast("int")).alias("a")
-    b = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    place = F.row_number().over(Window.partitionBy("InvoiceNo").orderBy("Description"))
+    placed = lines.withColumn("place", place - 1)
+
+    def salt(place):
+        return F.floor(place / block).cast("int")
+
+    a = placed.withColumn("salt", salt(F.col("place"))).alias("a")
+    smaller = F.sequence(F.lit(0), salt(F.col("place") - 1))
+    b = placed.filter("place > 0").withColumn("salt", F.explode(smaller)).alias("b")
     together = (
         (F.col("a.InvoiceNo") == F.col("b.InvoiceNo"))
         & (F.col("a.salt") == F.col("b.salt"))
