@@ -160,3 +160,14 @@ def test_a_cube_reads_its_sales_twice(spark):
     expected = lines.groupBy("Country").agg(F.count_distinct("InvoiceNo"), F.count_distinct("CustomerID")).collect()
     assert per_country == {r[0]: (r[1], r[2]) for r in expected}
     assert built.cells.agg(F.sum("Lines")).first()[0] == 90
+
+
+def test_top_values_copy_no_row_per_column(spark):
+    lines = raw(spark, [{"InvoiceNo": str(i % 3), "StockCode": str(i), "CustomerID": None, "Country": "ab"[i % 2]} for i in range(8)])
+    found = profiling.top_values(lines, 2)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r["column"], r["rank"]): (r["value"], r["count"]) for r in as_dicts(found)}
+    assert rows == {
+        ("InvoiceNo", 1): ("0", 3), ("InvoiceNo", 2): ("1", 3), ("StockCode", 1): ("0", 1), ("StockCode", 2): ("1", 1),
+        ("Description", 1): ("thing", 8), ("Country", 1): ("a", 4), ("Country", 2): ("b", 4),
+    }

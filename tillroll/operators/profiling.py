@@ -161,19 +161,17 @@ def distinct_values(df: DataFrame, approximate: bool = False) -> DataFrame:
 def top_values(df: DataFrame, n: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
     """Most frequent values of every text column.
 
-    The rank filter is applied before the shuffle too, so each task sends `n` rows per column.
+    The columns are staged and counted one at a time, so that a task holds the values of one column, and no row is
+    copied once per column.  The rank filter is applied before the last shuffle too, so each task sends `n` rows per column.
     """
     if columns is None:
         columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
-    counts = (
-        df.select(F.inline(F.array(*pairs)))
-        .filter("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("count"))
-    )
+    staged = stage(df.select(*columns), "texts")
+    values = [staged.select(F.lit(c).alias("column"), F.col(c).alias("value")).filter("value IS NOT NULL") for c in columns]
+    counts = [v.groupBy("column", "value").agg(F.count("*").alias("count")) for v in values]
     by_count = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    return counts.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= n)
+    ranked = reduce(DataFrame.unionByName, counts).withColumn("rank", F.row_number().over(by_count))
+    return ranked.filter(F.col("rank") <= n)
 
 
 def quality_issues(raw: DataFrame) -> DataFrame:
