@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import chat
@@ -81,3 +82,34 @@ def test_digests_are_taken_from_example_rows(spark, monkeypatch):
     masked = changed(lambda e: e.withColumn("loss_end", F.col("loss_end") - 1))
     assert masked.n_examples == 2 and masked.loss_chars == right.loss_chars - 2
     assert masked.loss_sha256 == hashlib.sha256(b"<| firssecon").hexdigest()
+
+
+def test_examples_are_written_out_and_read(spark, monkeypatch):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"<| {c} é {k}" * (k + 1)) for c in (None, 1, 2) for k in range(9)]
+    rows += [(1, 3, "assistant", None), (1, None, "assistant", "first"), (3, 0, "assistant", "alone"), (4, 0, "user", "none")]
+    formatted = chat.format_turns(conversations(spark, rows))
+    monkeypatch.setattr(chat, "CHUNK", 100)  # several batches from one
+    stream = {}
+    for r in formatted.collect():
+        stream.setdefault(r.conv_id, []).append(r)
+    expected = sorted(
+        (str(c), r.start, "".join(x.segment for x in turns if x.start <= r.start))
+        for c, turns in stream.items() for r in turns if r.segment.startswith("<|im_start|>assistant\n")
+    )
+    written = chat.write_out(chat.examples(formatted, with_turns=True)).collect()
+    assert sorted((str(r.conv_id), r.context_chars, r.example) for r in written if r.segment is None) == expected
+    assert all(r.example is None for r in written if r.segment is not None) and len(written) == len(rows) + len(expected)
+    right, make = {r.conv_id: r for r in chat.digests(formatted).collect()}, chat.write_out
+    assert sum(r.example_chars for r in right.values()) == sum(len(text) for _, _, text in expected)
+    assert {c: r.n_turns for c, r in right.items()} == {None: 9, 1: 11, 2: 9, 3: 1, 4: 1}
+
+    for change in ("translate(example, 'é', 'e')", "substr(example, 2)", "concat(example, ' ')"):
+        monkeypatch.setattr(chat, "write_out", lambda e, c=change: make(e).withColumn("example", F.expr(c)))
+        with pytest.raises(Exception, match="does not go on from the stream"):
+            chat.digests(formatted).collect()
+
+
+def test_context_without_its_turns_is_refused(spark):
+    formatted = chat.format_turns(conversations(spark, [(1, 0, "user", "a"), (1, 1, "assistant", "b")]))
+    with pytest.raises(Exception, match="code points in a stream of"):
+        chat.write_out(chat.examples(formatted, with_turns=True).filter("turn > 0")).collect()
